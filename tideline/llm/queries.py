@@ -22,11 +22,22 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op10_line_first_cleaning": op10_line_first_cleaning,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality
+
+    return {
+        "op10_line_first_cleaning": quality.SQL,
+    }
