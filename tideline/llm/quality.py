@@ -12,12 +12,13 @@ Defined results: a null or blank text has no words, so base_failed is true. Repe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = r"cookie policy|we use cookies|privacy policy|terms of (use|service)|all rights reserved|licensed under|released under the|enable javascript|subscribe to our|click here|sign up for"
+BOILERPLATE = ("cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "released under the", "enable javascript", "subscribe to our", "click here", "sign up for")
 NAVIGATION = r" (\||>|»|•|/) "
 MIN_WORDS = 10
 #: Percent of a document's words that may stand in repeated 5-word windows.
@@ -69,15 +70,10 @@ def repeated_words(words: Column) -> Column:
 
         return let(let(F.sort_array(windows), marked), covered)
 
-    def hashed(h: Column) -> Column:
-        two = lambda a, by: F.zip_with(a, _shift(a, by), lambda x, y: F.xxhash64(x, y))
-        four = let(two(h, 1), lambda p: two(p, 2))
-        five = F.zip_with(four, _shift(h, 4), lambda x, y: F.xxhash64(x, y))
-        return F.slice(five, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
-
     def counted(ws: Column) -> Column:
         # windows with distinct hashes are distinct; only texts with equal hashes pay for the exact count
-        clash = let(let(F.transform(ws, lambda w: F.xxhash64(w)), hashed), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+        clash = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
         return F.when(F.size(ws) < WINDOW, F.lit(0)).when(clash, exact(ws)).otherwise(F.lit(0))
 
     return let(words, counted)
@@ -94,7 +90,7 @@ def line_fails(line: Column) -> Column:
             | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 10 >= F.length(line))
             | (F.regexp_count(line, F.lit("!!")) * 3 >= n)
             | ((separators >= 3) & (separators * 3 >= n))
-            | F.lower(line).rlike(BOILERPLATE)
+            | let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]))
             | ((n >= 10) & (F.size(F.array_distinct(ws)) * 3 < n))
         )
 
@@ -158,7 +154,7 @@ k AS (
     AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 < length(x)
     AND len(regexp_extract_all(x, '!!')) * 3 < n
     AND NOT (sep >= 3 AND sep * 3 >= n)
-    AND NOT regexp_matches(lower(x), '""" + BOILERPLATE + r"""')
+    AND NOT regexp_matches(lower(x), '""" + "|".join(BOILERPLATE) + r"""')
     AND NOT (n >= 10 AND nd * 3 < n)
   GROUP BY r),
 s AS (
