@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,19 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write_archive
+
+    write_archive(table(spark, sf_dir, "pages"), path := shared_dir(spark))
+    return read_records(spark, path)
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import report
 
@@ -31,13 +44,16 @@ def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op5_content_addressed_archive": op5_content_addressed_archive,
+        "op7_hilbert_shards": op7_hilbert_shards,
         "op10_line_first_cleaning": op10_line_first_cleaning,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import quality, warc
 
     return {
+        "op5_content_addressed_archive": warc.SQL,
         "op10_line_first_cleaning": quality.SQL,
     }
