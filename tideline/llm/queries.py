@@ -35,6 +35,12 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pack import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import report
 
@@ -46,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op5_content_addressed_archive": op5_content_addressed_archive,
         "op7_hilbert_shards": op7_hilbert_shards,
+        "op8_vector_best_fit": op8_vector_best_fit,
         "op10_line_first_cleaning": op10_line_first_cleaning,
     }
 
