@@ -41,6 +41,12 @@ def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import report
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_content_addressed_archive": op5_content_addressed_archive,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op8_vector_best_fit": op8_vector_best_fit,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_first_cleaning": op10_line_first_cleaning,
     }
 
