@@ -22,6 +22,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op5_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_records, write_archive
 
@@ -56,6 +62,7 @@ def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op3_deletion_neighbourhood": op3_deletion_neighbourhood,
         "op5_content_addressed_archive": op5_content_addressed_archive,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op8_vector_best_fit": op8_vector_best_fit,
@@ -65,9 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality, warc
+    from . import linededup, quality, warc
 
     return {
+        "op3_deletion_neighbourhood": linededup.SQL,
         "op5_content_addressed_archive": warc.SQL,
         "op10_line_first_cleaning": quality.SQL,
     }
