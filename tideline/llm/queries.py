@@ -59,6 +59,12 @@ def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_best_fit": op8_vector_best_fit,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_first_cleaning": op10_line_first_cleaning,
+        "pipeline": pipeline,
     }
 
 
