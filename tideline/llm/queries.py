@@ -22,6 +22,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op3_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import report
 
@@ -68,6 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_repair_files": op2_repair_files,
         "op3_deletion_neighbourhood": op3_deletion_neighbourhood,
         "op5_content_addressed_archive": op5_content_addressed_archive,
         "op7_hilbert_shards": op7_hilbert_shards,
