@@ -78,6 +78,31 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def distinct_spans(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For spans [s, e) of code points that rise: the number of each one's text, and a span that has the text of each number."""
+    up, down = powers(len(cp))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed()[cp] * up, dtype=np.uint64)))
+    key = (total[e] - total[s]) * down[s]
+    key ^= key >> np.uint64(31)
+    codes, _ = pd.factorize(key)
+    lead = np.empty(codes.max() + 1, np.int64)
+    lead[codes[::-1]] = np.arange(len(codes))[::-1]
+    size = e - s
+    # equal keys are held against their texts, so a clash of keys can't pass
+    same = np.array_equal(size, size[lead][codes])
+    if same:
+        place = np.repeat((s[lead][codes] - s).astype(np.int32), size)
+        if len(place) == len(cp):
+            place += np.arange(len(cp), dtype=np.int32)
+            same = np.array_equal(cp.take(place), cp)
+        else:
+            own = np.repeat((s - np.concatenate(([0], np.cumsum(size)[:-1]))).astype(np.int32), size) + np.arange(len(place), dtype=np.int32)
+            same = np.array_equal(cp.take(own + place), cp.take(own))
+    if not same:
+        codes, lead = np.arange(len(s)), np.arange(len(s))
+    return codes, lead
+
+
 class PairTable:
     """Finds the ranks of pairs of ids by open addressing over arrays."""
 
@@ -299,26 +324,7 @@ class Encoder:
         s, e = self.spans(cp, starts)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        up, down = powers(len(cp))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed()[cp] * up, dtype=np.uint64)))
-        key = (total[e] - total[s]) * down[s]
-        key ^= key >> np.uint64(31)
-        codes, _ = pd.factorize(key)
-        lead = np.empty(codes.max() + 1, np.int64)
-        lead[codes[::-1]] = np.arange(len(codes))[::-1]
-        size = e - s
-        # equal keys are held against their texts, so a clash of keys can't pass
-        same = np.array_equal(size, size[lead][codes])
-        if same:
-            place = np.repeat((s[lead][codes] - s).astype(np.int32), size)
-            if len(place) == len(cp):
-                place += np.arange(len(cp), dtype=np.int32)
-                same = np.array_equal(cp.take(place), cp)
-            else:
-                own = np.repeat((s - np.concatenate(([0], np.cumsum(size)[:-1]))).astype(np.int32), size) + np.arange(len(place), dtype=np.int32)
-                same = np.array_equal(cp.take(own + place), cp.take(own))
-        if not same:
-            codes, lead = np.arange(len(s)), np.arange(len(s))
+        codes, lead = distinct_spans(cp, s, e)
         number = self.numbers([every[i:j] for i, j in zip(s[lead].tolist(), e[lead].tolist())])
         flat, begin, each = self.flat, self.start[number], self.size[number]
         n = each[codes]

@@ -34,6 +34,12 @@ def op3_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op4_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_records, write_archive
 
@@ -41,6 +47,12 @@ def op5_content_addressed_archive(spark: SparkSession, sf_dir: str) -> DataFrame
     return read_records(spark, path)
 
 
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .addquant import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert import assign_shards
 
@@ -76,7 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_repair_files": op2_repair_files,
         "op3_deletion_neighbourhood": op3_deletion_neighbourhood,
+        "op4_unigram_counts": op4_unigram_counts,
         "op5_content_addressed_archive": op5_content_addressed_archive,
+        "op6_additive_quantisation": op6_additive_quantisation,
         "op7_hilbert_shards": op7_hilbert_shards,
         "op8_vector_best_fit": op8_vector_best_fit,
         "op9_ngram_jaccard": op9_ngram_jaccard,
