@@ -35,8 +35,8 @@ from .common import on_workers, shuffle_partitions, stored
 
 SIZE = 5
 BITS = 512
-#: Edges of a tile in the block comparison.
-BLOCK = 2048
+#: Nodes of a side of a tile in the block comparison, and pairs compared at a time.
+BLOCK, PAIRS = 2048, 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -260,32 +260,34 @@ def _across(groups: DataFrame, features: DataFrame, labels: DataFrame) -> DataFr
     maps = [c for c in features.columns if c[0] == "m"]
     named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named)
+    buckets = max(shuffle_partitions(groups.sparkSession), named.count() // 100_000 + 1)
     open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
     rows = named.join(open_, "sig").join(features.select("node", "n", *maps), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    rows = rows.withColumn("tile", F.xxhash64("sig", "i", "j")).withColumn("bucket", F.pmod("tile", F.lit(buckets)))
 
-    def tile(t: pa.Table) -> pa.Table:
-        node, label, n, chunk = (t.column(c).to_numpy() for c in ("node", "label", "n", "chunk"))
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tile")
+        tile, node, label, n, chunk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "chunk"))
         bits = np.stack([t.column(m).to_numpy() for m in maps], 1).view(_U)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left = np.flatnonzero(chunk == i)
-        right = left if i == j else np.flatnonzero(chunk == j)
-        found = []
-        for at in range(0, len(left), 256):
-            x = left[at : at + 256]
-            size = n[x][:, None] + n[right][None]
-            ok = (label[x][:, None] != label[right][None]) & (5 * np.minimum(n[x][:, None], n[right][None]) >= 4 * np.maximum(n[x][:, None], n[right][None]))
-            if i == j:
-                ok &= node[x][:, None] < node[right][None]
-            differ = np.zeros(ok.shape, np.int64)
-            for k in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[x, k][:, None] ^ bits[right, k][None])
-            a, b = np.nonzero(ok & (9 * differ <= size))
-            found.append(np.stack([node[x][a], node[right][b]]))
-        got = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(got.min(0)), "b": pa.array(got.max(0))})
-
-    return rows.groupBy("sig", "i", "j").applyInArrow(tile, "a long, b long").distinct()
+        head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        size = np.diff(np.append(head, len(tile)))
+        crossed = np.repeat(t.column("i").to_numpy()[head] != t.column("j").to_numpy()[head], size)
+        later = np.repeat(head + size, size) - np.arange(len(tile)) - 1
+        upto, found, at = np.cumsum(later), [], 0
+        while at < len(tile):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            x = np.repeat(np.arange(at, to), later[at:to])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+            ok = (label[x] != label[y]) & (node[x] != node[y]) & ~(crossed[x] & (chunk[x] == chunk[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            ok = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
+            found.append(np.stack([node[x[ok]], node[y[ok]]]))
+            at = to
+        got = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+        return pa.table({"a": pa.array(got[0]), "b": pa.array(got[1])})
+
+    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
