@@ -24,7 +24,7 @@ def millis(value: Column) -> Column:
     """Whole milliseconds, cut toward zero; NULL beyond what a date can express."""
     n = nanos(value)
     # DIV wraps beyond bigint, so the range is checked before
-    inside = F.when(F.abs(n) <= F.lit(LIMIT).cast("decimal(38,0)"), n)
+    inside = F.when(F.abs(n) <= F.lit(str(LIMIT)).cast("decimal(38,0)"), n)
     return F.call_function("div", inside, F.lit(1_000_000).cast("decimal(38,0)"))
 
 

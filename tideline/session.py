@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # attributes repeat keys; the last one holds
@@ -16,3 +20,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     return spark
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it lies beside the driver; elsewhere ship it with --py-files."""
+    env = spark.sparkContext.environment
+    if _ROOT not in (had := env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (had, _ROOT) if x)

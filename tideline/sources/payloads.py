@@ -10,16 +10,17 @@ import gzip
 import json
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import DEPTH, DONE
-from ..session import configure
+from ..session import configure, on_workers
 from .wire import decode_request
 
-#: Three nested containers at least, so that values may lie deeper than expressions unfold.
-_DEEP = r"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue).*(arrayValue|kvlistValue)"
+#: Two nested containers at least, so that values may lie deeper than expressions unfold.
+_DEEP = r"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)"
 
 
 def _plain(value):
@@ -63,8 +64,7 @@ def _folded(x, depth: int):
     return {k: _folded(v, depth) for k, v in x.items()}
 
 
-@F.pandas_udf("string")
-def _fold_deep(texts):  # noqa: ANN001, ANN202
+def _fold_deep(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else json.dumps(_folded(json.loads(t), DEPTH), ensure_ascii=False))
 
 
@@ -76,7 +76,8 @@ def parse(df: DataFrame, body: str = "body", deep: bool = False) -> DataFrame:
     configure(df.sparkSession)
     raw = F.when(F.length(body) == 0, F.lit("{}")).otherwise(F.col(body))
     if deep:
-        df = df.withColumn("_deep", _fold_deep(F.when(raw.rlike(_DEEP) & F.try_parse_json(raw).isNotNull(), raw)))
+        on_workers(df.sparkSession)
+        df = df.withColumn("_deep", F.pandas_udf(_fold_deep, "string")(F.when(raw.rlike(_DEEP) & F.try_parse_json(raw).isNotNull(), raw)))
         raw = F.coalesce("_deep", raw)
     return df.withColumn("payload", F.try_parse_json(raw)).drop(body, "_deep")
 
@@ -103,6 +104,7 @@ def decompress(encoding: str | None, body: bytes) -> bytes:
 
 def decode_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     """df (signal, contentType, contentEncoding and a binary body) with the body as JSON text and `error`, NULL if there is none."""
+    on_workers(df.sparkSession)
     kept = [f for f in df.schema if f.name != body]
 
     def run(batches):
