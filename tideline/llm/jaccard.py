@@ -9,15 +9,16 @@ more than d parts; two linked sets agree on at least one whole part. So nodes ar
 elements of a part of a tile, which shared passages of otherwise different texts hardly ever do. A set with so many empty
 parts that the agreeing ones could all be empty also stands under each hash of its prefix, which is complete for such pairs.
 
-Signatures. A node's bitmap holds the parity of its elements per hashed bit. The bits in which two bitmaps differ bound the
-overlap from above; pairs beyond the bound are dropped, the rest are intersected exactly.
+Signatures. A node's bitmaps hold the parity of its elements per hashed bit, a short one and a long one. The bits in which two
+bitmaps differ bound the overlap from above; pairs beyond the bound of either are dropped, the rest are intersected exactly.
 
-Groups. In a group that shares a part every node is first held against one anchor, which links most copies with as many pairs
-as nodes. Only groups that still hold several components are compared throughout, in blocks, and only across components, so
-no group of copies is expanded into its pairs and no link between different texts is lost.
+Groups. In a group that shares a part every node is first held against one anchor, then against the node that stands in the
+most and largest groups, which links copies of one text through it with as many pairs as nodes. Only groups that still hold
+several components are compared throughout, in blocks, and only across components, so no group of copies is expanded into
+its pairs and no link between different texts is lost. Texts are fetched once, for nodes with a pair that the bitmaps allow.
 
-Defined results: null, empty and blank texts have no set and are their own component; repeated rows share a node; the
-smallest doc_id of a component names it. Hashes of 64 bits stand for shingles: for a corpus of 10**12 distinct shingles the
+Defined results: null, empty and blank texts have no set and are their own component; repeated rows share a node and rows that share
+a doc_id share its links; the smallest doc_id of a component names it. Hashes of 64 bits stand for shingles: for a corpus of 10**12 distinct shingles the
 chance that any two of one pair of documents clash stays under 10**-10.
 """
 
@@ -34,7 +35,8 @@ from .bpe import powers, slices
 from .common import on_workers, shuffle_partitions, stored
 
 SIZE = 5
-BITS = 512
+#: Bits of the short and the long bitmap.
+BITS, LONG_BITS = 512, 2048
 #: Nodes of a side of a tile in the block comparison, and pairs compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
 _U = np.uint64
@@ -94,8 +96,8 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount((hashes >> _U(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def bitmap(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    odd = np.bincount((hashes >> _U(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -134,16 +136,27 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+#: 48 bits of a digest or a signature: what candidates are found by; clashes only add candidates.
+_SHORT = (1 << 48) - 1
+MAPS = [f"m{i}" for i in range(BITS // 64)]
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
+    """Every document's set: its size, digest (u, v), and bitmaps."""
+
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 flat, at = shingle_sets(b.column("text").to_pylist())
                 n = np.diff(at)
-                d = [set_digest(flat[at[i] : at[i + 1]]) if n[i] else (None, None) for i in range(len(n))]
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n), "u": pa.array([x for x, _ in d], pa.int64()), "v": pa.array([x for _, x in d], pa.int64())})
+                sets = [flat[at[i] : at[i + 1]] for i in range(len(n))]
+                d = [set_digest(x) if len(x) else (None, None) for x in sets]
+                bits = np.array([bitmap(x) for x in sets]).reshape(len(sets), -1)
+                # for small sets the short bitmap says enough
+                long = [bitmap(x, LONG_BITS).tobytes() if len(x) > BITS // 2 else None for x in sets]
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n), "u": pa.array([x for x, _ in d], pa.int64()), "v": pa.array([x for _, x in d], pa.int64())} | {m: pa.array(bits[:, i]) for i, m in enumerate(MAPS)} | {"long": pa.array(long, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, u long, v long")
+    return docs.mapInArrow(run, "doc_id long, n long, u long, v long, " + ", ".join(f"{m} long" for m in MAPS) + ", long binary")
 
 
 def _groups(docs: DataFrame, buckets: int) -> DataFrame:
@@ -153,7 +166,7 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
         sigs, us, held = [], [], 0
 
         def flush():
-            sig, u = np.concatenate(sigs), np.concatenate(us)
+            sig, u = np.concatenate(sigs) & _U(_SHORT), np.concatenate(us) & _SHORT
             order = np.lexsort((u, sig))
             sig, u = sig[order], u[order]
             fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (u[1:] != u[:-1])))
@@ -161,11 +174,11 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
             to = (sig % _U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            sig, u = sig[order], u[order]
+            six = np.concatenate((sig[order].view(np.uint8).reshape(-1, 8)[:, :6], u[order].view(np.uint8).reshape(-1, 8)[:, :6]), 1)
             some = np.flatnonzero(np.diff(edge))
             sigs.clear()
             us.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(some), "sig": pa.array([sig[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), "u": pa.array([u[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(some), "rows": pa.array([six[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())})
 
         for whole in batches:
             for b in slices(whole, "text"):
@@ -182,8 +195,10 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x.as_py(), _U) for x in t.column("sig")])
-        u = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("u")])
+        six = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 12) for x in t.column("rows")])
+        wide = np.zeros((2, len(six), 8), np.uint8)
+        wide[0, :, :6], wide[1, :, :6] = six[:, :6], six[:, 6:]
+        sig, u = wide[0].view(np.int64).ravel(), wide[1].view(np.int64).ravel()
         order = np.argsort(sig, kind="stable")
         sig, u = sig[order], u[order]
         head = np.concatenate(([True], sig[1:] != sig[:-1]))
@@ -196,37 +211,42 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
         size = np.diff(np.append(head, len(sig)))
         least, most = np.minimum.reduceat(u, head), np.maximum.reduceat(u, head)
         keep = np.repeat(least != most, size)
-        return pa.table({"sig": pa.array(sig.view(np.int64)[keep]), "u": pa.array(u[keep]), "anchor": pa.array(np.repeat(least, size)[keep])})
+        return pa.table({"sig": pa.array(sig[keep]), "u": pa.array(u[keep]), "anchor": pa.array(np.repeat(least, size)[keep])})
 
-    blobs = docs.select("text").mapInArrow(emit, "bucket long, sig binary, u binary").repartition(buckets, "bucket")
+    blobs = docs.select("text").mapInArrow(emit, "bucket long, rows binary").repartition(buckets, "bucket")
     return stored(blobs.groupBy("bucket").applyInArrow(meet, "sig long, u long, anchor long"))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    maps = [f"m{i}" for i in range(BITS // 64)]
-
+def _hashes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 flat, at = shingle_sets(b.column("text").to_pylist())
-                rows = [flat[at[i] : at[i + 1]] for i in range(b.num_rows)]
-                bits = np.array([bitmap(r) for r in rows]).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_pydict({"node": b.column("doc_id"), "n": pa.array(np.diff(at))} | {m: pa.array(bits[:, i]) for i, m in enumerate(maps)} | {"hashes": pa.array([r.tobytes() for r in rows], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": b.column("doc_id"), "hashes": pa.array([flat[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())})
 
-    return docs.mapInArrow(run, "node long, n long, " + ", ".join(f"{m} long" for m in maps) + ", hashes binary")
+    return docs.mapInArrow(run, "node long, hashes binary")
 
 
-def _bounded(pairs: DataFrame, features: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps allow a link."""
-    maps = [c for c in features.columns if c[0] == "m"]
-    side = lambda p: features.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), *[F.col(m).alias(p + m) for m in maps])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col("a" + m).bitwiseXOR(F.col("b" + m))) for m in maps), F.lit(0))
-    size = F.col("na") + F.col("nb")
-    return both.filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * differ <= size)).select("a", "b")
+    side = lambda p, more: nodes.select(F.col("node").alias(p), *[F.col(m).alias(p + m) for m in more])
+    both = pairs.join(side("a", ["n", *MAPS]), "a").join(side("b", ["n", *MAPS]), "b")
+    differ = sum((F.bit_count(F.col("a" + m).bitwiseXOR(F.col("b" + m))) for m in MAPS), F.lit(0))
+    near = both.filter((5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (9 * differ <= F.col("an") + F.col("bn"))).select("a", "b")
+
+    def run(batches):
+        for t in batches:
+            keep = []
+            for x, y, n in zip(t.column("along"), t.column("blong"), t.column("n").to_pylist()):
+                known = x.is_valid and y.is_valid
+                keep.append(not known or 9 * int(np.bitwise_count(np.frombuffer(x.as_py(), _U) ^ np.frombuffer(y.as_py(), _U)).sum()) <= n)
+            yield pa.RecordBatch.from_pydict({k: t.column(k) for k in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
 
+    both = near.join(side("a", ["n", "long"]), "a").join(side("b", ["n", "long"]), "b")
+    return both.select("a", "b", "along", "blong", (F.col("an") + F.col("bn")).alias("n")).mapInArrow(run, "a long, b long")
 
-def _exact(pairs: DataFrame, features: DataFrame) -> DataFrame:
+
+def _exact(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by intersection of their sorted hashes."""
 
     def run(batches):
@@ -234,7 +254,7 @@ def _exact(pairs: DataFrame, features: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(t.column("ha"), t.column("hb"))]
             yield pa.RecordBatch.from_pydict({k: t.column(k) for k in ("a", "b")}).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda p: features.select(F.col("node").alias(p), F.col("hashes").alias("h" + p))
+    side = lambda p: hashes.select(F.col("node").alias(p), F.col("hashes").alias("h" + p))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
@@ -255,14 +275,31 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _across(groups: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs that share a part but no component and that sizes and bitmaps allow, from block comparisons."""
-    maps = [c for c in features.columns if c[0] == "m"]
-    named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named)
-    buckets = max(shuffle_partitions(groups.sparkSession), named.count() // 100_000 + 1)
-    open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
-    rows = named.join(open_, "sig").join(features.select("node", "n", *maps), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sig, node and label of the groups whose nodes have several labels."""
+    if labels is None:
+        return groups.select("sig", "node", F.col("node").alias("label"))
+    named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), F.col("label").alias("_l")), "node", "left").select("sig", "node", F.coalesce("_l", "node").alias("label"))
+    mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
+    return stored(named.join(mixed, "sig"))
+
+
+def _central(rows: DataFrame) -> DataFrame:
+    """The pairs of each node with the one of its group that meets the most nodes."""
+    size = rows.groupBy("sig").agg(F.count("*").alias("size"))
+    degree = rows.join(size, "sig").groupBy("node").agg(F.sum("size").alias("degree"))
+    top = rows.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node", "label")).alias("top"))
+    met = rows.join(top, "sig").filter(F.col("label") != F.col("top.label"))
+    return met.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that share a part but no label and that sizes and short bitmaps allow, from block comparisons. rows: as _open gives."""
+    maps = MAPS
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("size")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
+    count = rows.count()
+    rows = rows.join(sizes, "sig").join(nodes.select("node", "n", *maps), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    buckets = max(shuffle_partitions(rows.sparkSession), count // 100_000 + 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     rows = rows.withColumn("tile", F.xxhash64("sig", "i", "j")).withColumn("bucket", F.pmod("tile", F.lit(buckets)))
 
@@ -298,18 +335,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = stored(_nodes(docs))
     elements = placed.agg(F.sum("n")).first()[0] or 0
     groups = _groups(docs, max(shuffle_partitions(spark), int(elements // 2_000_000) + 1))
-    nodes = stored(placed.filter("u IS NOT NULL").groupBy("u", "v").agg(F.min("doc_id").alias("node")))
-    met = groups.select("u").distinct().join(nodes, "u")
-    chosen = docs.join(met.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    features = stored(_features(chosen))
-    names = nodes.select("u", "node")
-    stars = groups.filter("u != anchor").select("u", "anchor").distinct().join(names.withColumnRenamed("node", "a"), "u").join(names.select(F.col("u").alias("anchor"), F.col("node").alias("b")), "anchor").select("a", "b")
-    links = stored(_exact(_bounded(stars, features), features))
+    sets = placed.filter("u IS NOT NULL")
+    names = stored(sets.groupBy("u", "v").agg(F.min("doc_id").alias("node")))
+    # one row of each node: rows that share its doc_id but not its set have another digest
+    nodes = stored(sets.join(names, ["u", "v"]).filter(F.col("doc_id") == F.col("node")).select("node", "u", "v", "n", *MAPS, "long").dropDuplicates(["node", "u", "v"]))
+    key = names.select(F.col("u").bitwiseAND(F.lit(_SHORT)).alias("u"), "node")
+    first = groups.filter("u != anchor").select("u", "anchor").distinct()
+    first = first.join(key.withColumnRenamed("node", "a"), "u").join(key.select(F.col("u").alias("anchor"), F.col("node").alias("b")), "anchor").select("a", "b")
+    stars = stored(_bounded(first, nodes))
+    members = groups.join(key, "u").select("sig", "node")
+    # pairs that the bitmaps allow, through anchors, central nodes and, where both leave several components, blocks
+    tentative = components(stars)
+    rows = _open(members, tentative)
+    central = stored(_bounded(_central(rows), nodes))
+    stars = stars.unionByName(central)
+    tentative = components(stars)
+    rows = _open(rows, tentative)
+    across = stored(_bounded(_across(rows, nodes), nodes))
+    pairs = stored(stars.unionByName(across).distinct())
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    hashes = stored(_hashes(docs.join(wanted, "doc_id", "left_semi")))
+    links = stored(_exact(pairs, hashes))
     labels = components(links)
-    more = stored(_exact(_across(groups.join(names, "u"), features, labels), features))
+    # nodes joined by bitmaps alone may have come apart
+    apart = _open(members.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi"), labels)
+    more = stored(_exact(_bounded(_across(apart, nodes), nodes).join(pairs, ["a", "b"], "left_anti"), hashes))
     if more.take(1):
         labels = components(links.unionByName(more))
-    root = nodes.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("u", "v", F.coalesce("label", "node").alias("root"))
+    root = names.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("u", "v", F.coalesce("label", "node").alias("root"))
     return placed.join(root, ["u", "v"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
