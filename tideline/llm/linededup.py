@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 from .quality import let
 
 #: Characters that both lines of a near pair must have.
@@ -32,28 +32,29 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _digest(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+#: The halves under which a line meets others, by code: its first or last half as the shorter line, and as the longer one.
+CODES = ("p0", "s0", "p1", "s1")
+#: What tells a distinct line: the place of its first row and, where rows share a doc_id, its hash.
+LINE = ("doc_id", "line_no", "check")
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """The hashes of the halves under which a line meets others, and its part there (0: as long as the shorter, 1: longer)."""
-
-    def of(part: int) -> list[Column]:
+def _halves(line: Column, n: Column) -> list[Column]:
+    """The hashes of a line's halves in the order of CODES, NULL where it is too short."""
+    out = []
+    for part in (0, 1):
         short = n - part
         cut = F.floor(short / 2).cast("int")
-        ends = {"p": F.substring(line, F.lit(1), cut), "s": F.substring(line, n - (short - cut) + 1, short - cut)}
-        return [F.struct(F.xxhash64(F.lit(k), short, x).alias("half"), F.lit(part).alias("part"), F.lit(k).alias("side")) for k, x in ends.items()]
-
-    keys = F.array(*of(0), *of(1))
-    return F.when(n > NEAR, keys).when(n == NEAR, F.slice(keys, 1, 2)).otherwise(F.slice(keys, 1, 0))
+        for k, x in (("p", F.substring(line, F.lit(1), cut)), ("s", F.substring(line, n - (short - cut) + 1, short - cut))):
+            out.append(F.when(short >= NEAR, F.xxhash64(F.lit(k), short, x)).alias(f"{k}{part}"))
+    return out
 
 
-def _variants(line: Column, n: Column, part: Column, side: Column) -> Column:
+def _variants(line: Column, n: Column, code: Column) -> Column:
     """The variant hashes of a line in one of its groups: kind and hash. Kind 0: one place of equal lengths; 1: taken from the longer; 2: the shorter itself."""
+    part, front = F.floor(code / 2).cast("int"), code % 2 == 0
     short = n - part
     cut = F.floor(short / 2).cast("int")
-    low, high = F.when(side == "p", cut).otherwise(F.lit(0)), F.when(side == "p", n - 1).otherwise(cut - 1 + part)
+    low, high = F.when(front, cut).otherwise(F.lit(0)), F.when(front, n - 1).otherwise(cut - 1 + part)
     lacking = lambda i: F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
     places = F.sequence(low, high)
     replaced = F.transform(places, lambda i: F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit("r"), n, i, lacking(i)).alias("hash")))
@@ -63,16 +64,18 @@ def _variants(line: Column, n: Column, part: Column, side: Column) -> Column:
 
 
 def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The digests of distinct lines that have an earlier line within one edit."""
-    halves = first.select("digest", "at", F.explode("halves").alias("h")).select("digest", "at", "h.half", "h.part", "h.side")
-    shared = halves.groupBy("half").agg(F.count("*").alias("n"), F.min("part").alias("least")).filter("n > 1 AND least = 0").select("half")
-    entering = stored(halves.join(shared, "half"))
-    wanted = entering.groupBy("at.doc_id").agg(F.collect_set(F.struct(F.col("at.line_no").alias("line_no"), "digest")).alias("lines"))
-    named = docs.select("doc_id", _lines(F.col("text")).alias("texts")).join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    got = let(F.col("texts"), lambda t: F.transform("lines", lambda x: F.struct(x["digest"].alias("digest"), F.get(t, x["line_no"]).alias("line"))))
-    texts = stored(named.select(F.explode(got).alias("x")).select("x.digest", "x.line").filter(_digest(F.col("line")) == F.col("digest")).dropDuplicates(["digest"]))
-    rows = entering.join(texts, "digest").select("digest", "at", F.explode(_variants(F.col("line"), F.length("line"), F.col("part"), F.col("side"))).alias("v"))
-    rows = rows.select("digest", "at", "v.kind", "v.hash").withColumn("me", F.struct("at", "digest"))
+    """The distinct lines (LINE) that have an earlier line within one edit."""
+    codes = F.array(*[F.struct(F.lit(i).cast("byte").alias("code"), F.col(c).alias("half")) for i, c in enumerate(CODES)])
+    halves = first.select(*LINE, F.inline(F.filter(codes, lambda x: x["half"].isNotNull())))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n"), F.min("code").alias("least")).filter("n > 1 AND least < 2").select("half")
+    entering = halves.join(shared, "half").select(*LINE, "code")
+    wanted = stored(entering.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "check", "code")).alias("lines")))
+    named = docs.select(F.col("doc_id").alias("_doc"), _lines(F.col("text")).alias("texts")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    got = let(F.col("texts"), lambda t: F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["check"].alias("check"), x["code"].alias("code"), F.get(t, x["line_no"]).alias("line"))))
+    texts = named.select("doc_id", F.explode(got).alias("x")).select("doc_id", "x.line_no", "x.check", "x.code", "x.line").filter(F.xxhash64("line") == F.col("check"))
+    # a few texts make many variants, so they are dealt out by number and not by size
+    texts = stored(texts.repartition(shuffle_partitions(docs.sparkSession), *LINE, "code"))
+    rows = texts.select(F.struct(*LINE).alias("me"), F.inline(_variants(F.col("line"), F.length("line"), F.col("code"))))
     group = "OVER (PARTITION BY hash)"
     met = rows.withColumns({
         "same": F.expr(f"min(CASE WHEN kind = 0 THEN me END) {group}"),
@@ -80,18 +83,20 @@ def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
         "shorter": F.expr(f"min(CASE WHEN kind = 2 THEN me END) {group}"),
     })
     other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    pairs = met.select("digest", "at", other.alias("o")).filter("o IS NOT NULL AND o.at < at").select("digest", F.col("o.digest").alias("earlier")).distinct()
-    both = pairs.join(texts, "digest").join(texts.select(F.col("digest").alias("earlier"), F.col("line").alias("before")), "earlier")
-    return both.filter(F.levenshtein("line", "before", 1) == 1).select("digest").distinct()
+    pairs = met.select("me", other.alias("earlier")).filter("earlier < me").distinct()
+    line = texts.select(F.struct(*LINE).alias("me"), "line").dropDuplicates(["me"])
+    both = pairs.join(line, "me").join(line.select(F.col("me").alias("earlier"), F.col("line").alias("before")), "earlier")
+    return both.filter(F.levenshtein("line", "before", 1) == 1).select("me").distinct().select("me.*")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, keep (the numbers of the worded lines that stay) and n_near (how many go for an unequal one) of every document with either."""
     body = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).filter(F.col("line").rlike(WORDED))
-    keyed = body.select(_digest(F.col("line")).alias("digest"), F.struct("doc_id", "line_no").alias("at"), _halves(F.col("line"), F.length("line")).alias("halves"))
-    first = stored(keyed.groupBy("digest").agg(F.min(F.struct("at", "halves")).alias("m")).select("digest", "m.at", "m.halves"))
+    keyed = body.select(F.unhex(F.md5("line")).alias("digest"), "doc_id", "line_no", F.xxhash64("line").alias("check"), *_halves(F.col("line"), F.length("line")))
+    first = stored(keyed.groupBy("digest").agg(F.min(F.struct(*LINE, *CODES)).alias("m")).select("m.*"))
     near = _removed_near(docs, first).withColumn("near", F.lit(True))
-    judged = first.select("digest", "at").join(near, "digest", "left").select("at.doc_id", "at.line_no", F.coalesce("near", F.lit(False)).alias("near"))
+    same = [first[c].eqNullSafe(near[c]) for c in LINE]
+    judged = first.join(near, same, "left").select(first["doc_id"], first["line_no"], F.coalesce("near", F.lit(False)).alias("near"))
     return judged.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("keep"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
 
 
