@@ -354,7 +354,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     across = stored(_bounded(_across(rows, nodes), nodes))
     pairs = stored(stars.unionByName(across).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    hashes = stored(_hashes(docs.join(wanted, "doc_id", "left_semi")))
+    # nothing bounds how many nodes have such a pair, so this side is never broadcast and the plan is the same at every size
+    hashes = stored(_hashes(docs.join(wanted.hint("merge"), "doc_id", "left_semi")))
     links = stored(_exact(pairs, hashes))
     labels = components(links)
     # nodes joined by bitmaps alone may have come apart

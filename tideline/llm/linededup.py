@@ -70,7 +70,8 @@ def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.count("*").alias("n"), F.min("code").alias("least")).filter("n > 1 AND least < 2").select("half")
     entering = halves.join(shared, "half").select(*LINE, "code")
     wanted = stored(entering.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "check", "code")).alias("lines")))
-    named = docs.select(F.col("doc_id").alias("_doc"), _lines(F.col("text")).alias("texts")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # nothing bounds how many lines enter, so this side is never broadcast and the plan is the same at every size
+    named = docs.select(F.col("doc_id").alias("_doc"), _lines(F.col("text")).alias("texts")).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
     got = let(F.col("texts"), lambda t: F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["check"].alias("check"), x["code"].alias("code"), F.get(t, x["line_no"]).alias("line"))))
     texts = named.select("doc_id", F.explode(got).alias("x")).select("doc_id", "x.line_no", "x.check", "x.code", "x.line").filter(F.xxhash64("line") == F.col("check"))
     # a few texts make many variants, so they are dealt out by number and not by size
