@@ -1,0 +1,102 @@
+import random
+import re
+
+import duckdb
+import pytest
+
+from tideline.llm import linededup, quality
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "One good line that ends well and has enough words to stay.\nHome | About | Contact | Help\nAll rights reserved. Cookie policy here.\nOne more good line with words."), (5, "a b c d e a b c d e. " * 3), (6, "Short one."), (None, "No id but a text of more than ten words that ends with a stop."), (7, "x" * 30000 + " y."), (8, "Line one is here.\nLine one is here.\nLine two is there with é and 中文 words in it, truly."), (8, "Line one is here.\nLine one is here.\nLine two is there with é and 中文 words in it, truly.")]
+
+
+def as_df(spark, rows):
+    return spark.createDataFrame([(d, t, "q", 1) for d, t in rows], "doc_id long, text string, kept string, n_words int")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def repeated(ws):
+    wins = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    return len({p for i, w in enumerate(wins) if wins.count(w) > 1 for p in range(i, i + 5)})
+
+
+def test_base_signals_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = ODD + [(100 + i, " ".join(rng.choice(["a", "b", "c#", "d"]) + rng.choice(["", "\n", ""]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    got = quality.report(as_df(spark, rows)).collect()
+    want = []
+    for d, t in rows:
+        ws, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+        n = repeated(ws)
+        want.append((d, len(ws), sum(map(len, ws)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), n, len(ws) < 10 or 100 * n > 20 * len(ws)))
+    assert sorted(map(repr, (tuple(r)[:7] for r in got))) == sorted(map(repr, want))
+    kept = {r.doc_id: r.kept for r in got}
+    assert kept[4] is True and kept[None] is True and kept[8] is True and not any(kept[d] for d in (1, 2, 3, 5, 6))
+
+
+def test_failed_lines_go_and_columns_stay(spark):
+    df = as_df(spark, ODD)
+    out = quality.filter_documents(df)
+    assert out.columns == df.columns
+    assert out.filter("doc_id = 4").first().text == "One good line that ends well and has enough words to stay.\nOne more good line with words."
+    assert quality.filter_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("line", "fails"), [("A plain sentence.", False), ("no stop at all", True), ("WOW!! NOW!! BUY!!", True), ("Home | News | Help. | Map", True), ("We use cookies.", True), ("a### b$$$ c.", True), ("spam " * 20 + ".", True), ("   ", False), ("Prices are 5 & 6 in most of the many towns nearby.", False)])
+def test_line_rules(spark, line, fails):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(quality.line_fails(F.lit(line))).first()[0] is fails
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def random_lines(seed):
+    rng, docs = random.Random(seed), []
+    base = ["the quick brown foxes jump", "äöü lorem ipsum dolor sit amet", "short", "another line that is here!!", "0123456789abcdef", "0123456789abcde"]
+    for d in range(70):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            x = rng.choice(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                i = rng.randrange(len(x) + 1)
+                x = rng.choice([x[:i] + rng.choice("xyé") + x[i:], x[:i] + x[i + 1 :], x[:i] + rng.choice("xyé") + x[i + 1 :]])
+            lines.append(x)
+        docs.append((d, "\n".join(lines + [""] * rng.randint(0, 1)) if d % 13 else None))
+    return docs
+
+
+def brute(docs):
+    seen, gone = [], set()
+    for d, i, x in sorted((d, i, x) for d, t in docs for i, x in enumerate((t or "").split("\n")) if words(x)):
+        if any(x == y or len(x) >= 16 and len(y) >= 16 and near(x, y) for y in seen):
+            gone.add((d, i))
+        seen.append(x)
+    return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if (d, i) not in gone) for d, t in docs}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_line_dedup_equals_brute_force_and_sql(spark, seed):
+    docs = random_lines(seed)
+    df = spark.createDataFrame([(d, t, 9) for d, t in docs], "doc_id long, text string, clean int")
+    rows = linededup.dedup_lines(df.drop("clean")).collect()
+    assert {r.doc_id: r.clean for r in rows} == brute(docs) and sum(r.n_near for r in rows) > 20
+    documents = df.toPandas()  # noqa: F841
+    want = duckdb.sql(linededup.SQL).fetchall()
+    assert sorted(map(tuple, linededup.report(df).collect())) == sorted(want)
+    out = linededup.filter_documents(df)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {d for d, t in docs if words(brute(docs)[d]) or brute(docs)[d] == (t or "")}
+
+
+def test_line_dedup_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "same line\nother"), (1, "same line\nother"), (None, "same line"), (2, None), (3, "\n\n"), (4, "other\nnew " + "y" * 3000)], "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.clean) for r in linededup.dedup_lines(df).collect())
+    assert got == sorted([("1", "other"), ("1", "other"), ("None", "same line"), ("2", ""), ("3", "\n\n"), ("4", "new " + "y" * 3000)])
+    assert linededup.dedup_lines(df.limit(0)).count() == 0
