@@ -259,7 +259,7 @@ def _exact(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and label (the least id it reaches) of every id that has a link (a, b), by alternating large and small stars."""
+    """id and label (the least id it reaches) of every id that reaches a smaller one by links (a, b), by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
     while True:

@@ -168,13 +168,17 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 at = np.concatenate(([0], np.cumsum(counts)))
                 doc = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.frombuffer(r["no_id"], bool))
                 crc = [zlib.crc32(ids[at[i] : at[i + 1]].data) for i in range(len(counts))]
-                cols = {"doc_id": doc, "start": pa.array(at[:-1] + r["before"]), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
+                cols = {"shard": pa.array(np.full(len(counts), r["shard"])), "doc_id": doc, "start": pa.array(at[:-1]), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
                     cols["ids"] = pa.array([ids[at[i] : at[i + 1]].astype(np.int32) for i in range(len(counts))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    columns = ["base", "n_rules", "n_symbols", "rules", "symbols", "doc_ids", "no_id", "counts", "before"]
-    return files.join(before, "shard").select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    columns = ["shard", "base", "n_rules", "n_symbols", "rules", "symbols", "doc_ids", "no_id", "counts"]
+    more = ", ids array<int>" * with_ids
+    rows = files.select(*columns).mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long" + more)
+    # the documents' narrow rows meet the shards' starts, so no ids are moved
+    joined = rows.join(before, "shard").withColumn("start", F.col("start") + F.col("before"))
+    return joined.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
