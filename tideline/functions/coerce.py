@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Levels of arrays and maps inside a value that expressions unfold; sources.payloads folds what lies deeper.
 DEPTH = 1
 #: Key under which sources.payloads leaves a finished deep value.
-DONE = "tideline.done"
+DONE = "tidelineDone"
 
 
 def field(value: Column, name: str) -> Column:
@@ -21,6 +21,16 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$['{name}']" if "." in name else f"$.{name}", "variant")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shape(value: Column, *names: str) -> Column:
+    """Fields of an object, read in one pass, as a struct of VARIANTs; absent ones are NULL. NULL for anything but an object."""
+    return F.try_variant_get(value, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
 def has(value: Column, name: str) -> Column:
     return field(value, name).isNotNull()
 
@@ -99,35 +109,42 @@ def truth(value: Column) -> Column:
     )
 
 
+#: Tags of a value in the order in which they decide.
+TAGS = ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue")
+
+
 def any_value(value: Column, depth: int = DEPTH) -> Column:
     """The plain VARIANT of a tagged value. The first tag present decides, whatever it holds."""
 
-    def nested(name: str, use: Callable[[Column], Column]) -> Column:
-        return use(elements(field(field(value, name), "values")))
-
-    if depth:
-        as_array = nested("arrayValue", lambda e: F.transform(e, lambda x: F.coalesce(any_value(x, depth - 1), null_variant())).cast("variant"))
-        as_map = nested("kvlistValue", lambda e: F.to_variant_object(entries_to_map(e, depth - 1)))
-    else:
-        as_array = as_map = field(value, DONE)
-    return (
-        F.when(value.isNull(), null_variant())
-        .when(~is_object(value), value)
-        .when(has(value, "stringValue"), F.when(is_text(field(value, "stringValue")), field(value, "stringValue")))
-        .when(has(value, "boolValue"), truth(field(value, "boolValue")).cast("variant"))
-        .when(has(value, "intValue"), number_like(field(value, "intValue")))
-        .when(has(value, "doubleValue"), F.when(is_number(field(value, "doubleValue")), field(value, "doubleValue")))
-        .when(has(value, "bytesValue"), F.when(is_text(field(value, "bytesValue")), field(value, "bytesValue")))
-        .when(has(value, "arrayValue"), as_array)
-        .when(has(value, "kvlistValue"), as_map)
-        .otherwise(field(value, DONE) if not depth else null_variant())
-    )
+    def tagged(s: Column) -> Column:
+        string, flag, whole, double, raw = (s[t] for t in TAGS[:5])
+        done = s[DONE]
+        if depth:
+            done = null_variant()
+            as_array = F.transform(elements(field(s["arrayValue"], "values")), lambda x: F.coalesce(any_value(x, depth - 1), null_variant())).cast("variant")
+            as_map = F.to_variant_object(entries_to_map(elements(field(s["kvlistValue"], "values")), depth - 1))
+        else:
+            as_array = as_map = done
+        return (
+            F.when(value.isNull(), null_variant())
+            .when(s.isNull(), value)
+            .when(string.isNotNull(), F.when(is_text(string), string))
+            .when(flag.isNotNull(), truth(flag).cast("variant"))
+            .when(whole.isNotNull(), number_like(whole))
+            .when(double.isNotNull(), F.when(is_number(double), double))
+            .when(raw.isNotNull(), F.when(is_text(raw), raw))
+            .when(s["arrayValue"].isNotNull(), as_array)
+            .when(s["kvlistValue"].isNotNull(), as_map)
+            .otherwise(done)
+        )
+
+    return let(shape(value, *TAGS, DONE), tagged)
 
 
 def entries_to_map(entries: Column, depth: int = DEPTH) -> Column:
     """A map of key-value entries: entries without a non-empty key are skipped, the last of a key holds, omitted values go."""
-    named = F.filter(entries, lambda e: text(field(e, "key")).isNotNull())
-    pairs = F.transform(named, lambda e: F.struct(text(field(e, "key")), any_value(field(e, "value"), depth)))
+    shaped = F.transform(entries, lambda e: let(shape(e, "key", "value"), lambda s: F.struct(text(s["key"]).alias("key"), s["value"].alias("value"))))
+    pairs = F.transform(F.filter(shaped, lambda s: s["key"].isNotNull()), lambda s: F.struct(s["key"], any_value(s["value"], depth)))
     return F.map_filter(F.map_from_entries(pairs), lambda _, v: v.isNotNull())
 
 

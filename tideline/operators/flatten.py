@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timefn
-from ..functions.coerce import any_value, array, attributes, boolean, elements, field, has, integer, is_object, number, number_like, text
+from ..functions.coerce import any_value, array, attributes, boolean, elements, field, integer, is_object, let, number, number_like, shape, text
 
 UNKNOWN_SERVICE = "_unknown"
 
@@ -24,38 +24,46 @@ def _service(resource: Column) -> Column:
 
 
 def _scope(scope: Column) -> Column:
-    return F.struct(text(field(scope, "name")).alias("name"), text(field(scope, "version")).alias("version"), attributes(field(scope, "attributes")).alias("attributes"))
+    return let(shape(scope, "name", "version", "attributes"), lambda s: F.struct(text(s["name"]).alias("name"), text(s["version"]).alias("version"), attributes(s["attributes"]).alias("attributes")))
 
 
-def _leaves(df: DataFrame, top: str, middle: str, leaf: str) -> DataFrame:
-    """The leaves with resource, serviceName and scope beside them, and their place as resourceIndex, scopeIndex and leafIndex."""
+def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...]) -> DataFrame:
+    """The leaves' fields (_x) with resource, serviceName and scope beside them, and their place as resourceIndex, scopeIndex and leafIndex."""
     kept = [c for c in df.columns if c != "payload"]
     outer = df.select(*kept, F.posexplode(elements(field(F.col("payload"), top))).alias("resourceIndex", "_r"))
-    outer = outer.select(*kept, "resourceIndex", attributes(field(field(F.col("_r"), "resource"), "attributes")).alias("resource"), elements(field(F.col("_r"), middle)).alias("_scopes"))
+    outer = outer.select(*kept, "resourceIndex", shape(F.col("_r"), "resource", middle).alias("_r"))
+    outer = outer.select(*kept, "resourceIndex", attributes(field(F.col("_r.resource"), "attributes")).alias("resource"), elements(F.col(f"_r.{middle}")).alias("_scopes"))
     inner = outer.select(*kept, "resourceIndex", _service(F.col("resource")).alias("serviceName"), "resource", F.posexplode("_scopes").alias("scopeIndex", "_s"))
-    inner = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", _scope(field(F.col("_s"), "scope")).alias("scope"), elements(field(F.col("_s"), leaf)).alias("_leaves"))
-    return inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", "scope", F.posexplode("_leaves").alias("leafIndex", "_leaf"))
+    inner = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", shape(F.col("_s"), "scope", leaf).alias("_s"))
+    inner = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", _scope(F.col("_s.scope")).alias("scope"), elements(F.col(f"_s.{leaf}")).alias("_leaves"))
+    rows = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", "scope", F.posexplode("_leaves").alias("leafIndex", "_leaf"))
+    return rows.withColumn("_x", shape(F.col("_leaf"), *fields)).drop("_leaf")
 
 
 def _place(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("payload", "serviceName", "resource", "scope", "_leaf")]
+    return [c for c in df.columns if c not in ("payload", "serviceName", "resource", "scope", "_x")]
+
+
+#: Fields read of a log record and of a span.
+LOG = ("timeUnixNano", "observedTimeUnixNano", "severityNumber", "severityText", "body", "traceId", "spanId", "flags", "droppedAttributesCount", "attributes")
+SPAN = ("traceId", "spanId", "parentSpanId", "name", "kind", "traceState", "flags", "startTimeUnixNano", "endTimeUnixNano", "status", "droppedAttributesCount", "droppedEventsCount", "droppedLinksCount", "attributes", "events", "links")
 
 
 def flatten_logs(payloads: DataFrame) -> DataFrame:
-    df, x = _leaves(payloads, "resourceLogs", "scopeLogs", "logRecords"), F.col("_leaf")
+    df, x = _leaves(payloads, "resourceLogs", "scopeLogs", "logRecords", LOG), F.col("_x")
     return df.select(
         *_place(df), "serviceName",
-        timefn.iso(field(x, "timeUnixNano")).alias("timestamp"), timefn.iso(field(x, "observedTimeUnixNano")).alias("observedTimestamp"),
-        integer(field(x, "severityNumber")).alias("severityNumber"), text(field(x, "severityText")).alias("severityText"),
-        any_value(field(x, "body")).alias("body"),
-        text(field(x, "traceId")).alias("traceId"), text(field(x, "spanId")).alias("spanId"),
-        integer(field(x, "flags")).alias("flags"), integer(field(x, "droppedAttributesCount")).alias("droppedAttributesCount"),
-        "resource", "scope", attributes(field(x, "attributes")).alias("attributes"),
+        timefn.iso(x["timeUnixNano"]).alias("timestamp"), timefn.iso(x["observedTimeUnixNano"]).alias("observedTimestamp"),
+        integer(x["severityNumber"]).alias("severityNumber"), text(x["severityText"]).alias("severityText"),
+        any_value(x["body"]).alias("body"),
+        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"),
+        integer(x["flags"]).alias("flags"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"),
+        "resource", "scope", attributes(x["attributes"]).alias("attributes"),
     )
 
 
-def _each(value: Column, use: Callable[[Column], Column]) -> Column:
-    return F.transform(elements(value), use)
+def _each(value: Column, fields: tuple[str, ...], use: Callable[[Column], Column]) -> Column:
+    return F.transform(elements(value), lambda x: let(shape(x, *fields), use))
 
 
 def _status(value: Column) -> Column:
@@ -63,44 +71,46 @@ def _status(value: Column) -> Column:
 
 
 def _event(x: Column) -> Column:
-    return F.struct(timefn.iso(field(x, "timeUnixNano")).alias("timestamp"), text(field(x, "name")).alias("name"), integer(field(x, "droppedAttributesCount")).alias("droppedAttributesCount"), attributes(field(x, "attributes")).alias("attributes"))
+    return F.struct(timefn.iso(x["timeUnixNano"]).alias("timestamp"), text(x["name"]).alias("name"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"), attributes(x["attributes"]).alias("attributes"))
 
 
 def _link(x: Column) -> Column:
     return F.struct(
-        text(field(x, "traceId")).alias("traceId"), text(field(x, "spanId")).alias("spanId"), text(field(x, "traceState")).alias("traceState"),
-        integer(field(x, "flags")).alias("flags"), integer(field(x, "droppedAttributesCount")).alias("droppedAttributesCount"), attributes(field(x, "attributes")).alias("attributes"),
+        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"), text(x["traceState"]).alias("traceState"),
+        integer(x["flags"]).alias("flags"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"), attributes(x["attributes"]).alias("attributes"),
     )
 
 
 def flatten_traces(payloads: DataFrame) -> DataFrame:
-    df, x = _leaves(payloads, "resourceSpans", "scopeSpans", "spans"), F.col("_leaf")
-    start, end = field(x, "startTimeUnixNano"), field(x, "endTimeUnixNano")
+    df, x = _leaves(payloads, "resourceSpans", "scopeSpans", "spans", SPAN), F.col("_x")
+    start, end = x["startTimeUnixNano"], x["endTimeUnixNano"]
     return df.select(
         *_place(df), "serviceName",
-        *[text(field(x, c)).alias(c) for c in ("traceId", "spanId", "parentSpanId", "name")],
-        integer(field(x, "kind")).alias("kind"), text(field(x, "traceState")).alias("traceState"), integer(field(x, "flags")).alias("flags"),
+        *[text(x[c]).alias(c) for c in ("traceId", "spanId", "parentSpanId", "name")],
+        integer(x["kind"]).alias("kind"), text(x["traceState"]).alias("traceState"), integer(x["flags"]).alias("flags"),
         timefn.iso(start).alias("startTimestamp"), timefn.iso(end).alias("endTimestamp"), timefn.duration_ms(start, end).alias("durationMs"),
-        _status(field(x, "status")).alias("status"),
-        *[integer(field(x, c)).alias(c) for c in ("droppedAttributesCount", "droppedEventsCount", "droppedLinksCount")],
-        "resource", "scope", attributes(field(x, "attributes")).alias("attributes"),
-        _each(field(x, "events"), _event).alias("events"), _each(field(x, "links"), _link).alias("links"),
+        _status(x["status"]).alias("status"),
+        *[integer(x[c]).alias(c) for c in ("droppedAttributesCount", "droppedEventsCount", "droppedLinksCount")],
+        "resource", "scope", attributes(x["attributes"]).alias("attributes"),
+        _each(x["events"], ("timeUnixNano", "name", "droppedAttributesCount", "attributes"), _event).alias("events"), _each(x["links"], ("traceId", "spanId", "traceState", "flags", "droppedAttributesCount", "attributes"), _link).alias("links"),
     )
 
 
+#: Fields read of a data point of any kind.
+POINT = ("startTimeUnixNano", "timeUnixNano", "flags", "asDouble", "asInt", "count", "sum", "bucketCounts", "explicitBounds", "min", "max", "scale", "zeroCount", "zeroThreshold", "positive", "negative", "quantileValues", "attributes", "exemplars")
 #: Data containers of a metric in the order of their rows.
 KINDS = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
 
 
 def _value_type(x: Column) -> Column:
-    return F.when(has(x, "asDouble"), "double").when(has(x, "asInt"), "int")
+    return F.when(x["asDouble"].isNotNull(), "double").when(x["asInt"].isNotNull(), "int")
 
 
 def _exemplar(x: Column) -> Column:
-    double = F.when(number(field(x, "asDouble")).isNotNull(), field(x, "asDouble"))
+    double = F.when(number(x["asDouble"]).isNotNull(), x["asDouble"])
     return F.struct(
-        timefn.iso(field(x, "timeUnixNano")).alias("timestamp"), F.coalesce(double, number_like(field(x, "asInt"))).alias("value"), _value_type(x).alias("valueType"),
-        text(field(x, "traceId")).alias("traceId"), text(field(x, "spanId")).alias("spanId"), attributes(field(x, "filteredAttributes")).alias("filteredAttributes"),
+        timefn.iso(x["timeUnixNano"]).alias("timestamp"), F.coalesce(double, number_like(x["asInt"])).alias("value"), _value_type(x).alias("valueType"),
+        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"), attributes(x["filteredAttributes"]).alias("filteredAttributes"),
     )
 
 
@@ -109,41 +119,43 @@ def _buckets(value: Column) -> Column:
 
 
 def _quantile(x: Column) -> Column:
-    return F.struct(number(field(x, "quantile")).alias("quantile"), number(field(x, "value")).alias("value"))
+    return F.struct(number(x["quantile"]).alias("quantile"), number(x["value"]).alias("value"))
 
 
 def flatten_metrics(payloads: DataFrame) -> DataFrame:
     """One superset of columns for all kinds; columns that a kind lacks are NULL."""
-    df, x = _leaves(payloads, "resourceMetrics", "scopeMetrics", "metrics"), F.col("_leaf")
+    df, x = _leaves(payloads, "resourceMetrics", "scopeMetrics", "metrics", ("name", "description", "unit", "metadata", *KINDS)), F.col("_x")
 
     def points(kind: str) -> Column:
-        holder = field(x, kind)
-        shared = [F.lit(kind).alias("kind"), integer(field(holder, "aggregationTemporality")).alias("temporality"), boolean(field(holder, "isMonotonic")).alias("monotonic")]
-        return F.transform(elements(field(holder, "dataPoints")), lambda p: F.struct(*shared, p.alias("point")))
+        def of_holder(h: Column) -> Column:
+            shared = [F.lit(kind).alias("kind"), integer(h["aggregationTemporality"]).alias("temporality"), boolean(h["isMonotonic"]).alias("monotonic")]
+            return F.transform(elements(h["dataPoints"]), lambda p: F.struct(*shared, p.alias("point")))
+
+        return let(shape(x[kind], "dataPoints", "aggregationTemporality", "isMonotonic"), of_holder)
 
     base = df.select(
-        *_place(df), "serviceName", text(field(x, "name")).alias("metricName"), text(field(x, "description")).alias("description"), text(field(x, "unit")).alias("unit"),
-        "resource", "scope", attributes(field(x, "metadata")).alias("metadata"), F.concat(*[points(k) for k in KINDS]).alias("_points"),
+        *_place(df), "serviceName", text(x["name"]).alias("metricName"), text(x["description"]).alias("description"), text(x["unit"]).alias("unit"),
+        "resource", "scope", attributes(x["metadata"]).alias("metadata"), F.concat(*[points(k) for k in KINDS]).alias("_points"),
     )
     kept = [c for c in base.columns if c != "_points"]
-    rows = base.select(*kept, F.posexplode("_points").alias("pointIndex", "_p")).select(*kept, "pointIndex", F.col("_p.kind").alias("metricType"), F.col("_p.temporality").alias("_t"), F.col("_p.monotonic").alias("_m"), F.col("_p.point").alias("_point"))
+    rows = base.select(*kept, F.posexplode("_points").alias("pointIndex", "_p")).select(*kept, "pointIndex", F.col("_p.kind").alias("metricType"), F.col("_p.temporality").alias("_t"), F.col("_p.monotonic").alias("_m"), shape(F.col("_p.point"), *POINT).alias("_point"))
     p, kind = F.col("_point"), F.col("metricType")
     of = lambda kinds, value: F.when(kind.isin(*kinds), value)
     numbers, both, counted = ("gauge", "sum"), ("histogram", "exponentialHistogram"), ("histogram", "exponentialHistogram", "summary")
     # a present asDouble decides even if it holds no number
-    value = F.when(has(p, "asDouble"), F.when(number(field(p, "asDouble")).isNotNull(), field(p, "asDouble"))).otherwise(number_like(field(p, "asInt")))
+    value = F.when(p["asDouble"].isNotNull(), F.when(number(p["asDouble"]).isNotNull(), p["asDouble"])).otherwise(number_like(p["asInt"]))
     return rows.select(
         *kept, "pointIndex", "metricType",
         of(numbers + both, F.col("_t")).alias("aggregationTemporality"), of(numbers, F.col("_m")).alias("isMonotonic"),
-        timefn.iso(field(p, "startTimeUnixNano")).alias("startTimestamp"), timefn.iso(field(p, "timeUnixNano")).alias("timestamp"), integer(field(p, "flags")).alias("flags"),
+        timefn.iso(p["startTimeUnixNano"]).alias("startTimestamp"), timefn.iso(p["timeUnixNano"]).alias("timestamp"), integer(p["flags"]).alias("flags"),
         of(numbers, value).alias("value"), of(numbers, _value_type(p)).alias("valueType"),
-        of(counted, number_like(field(p, "count"))).alias("count"), of(counted, number(field(p, "sum"))).alias("sum"),
-        of(("histogram",), array(field(p, "bucketCounts"))).alias("bucketCounts"), of(("histogram",), array(field(p, "explicitBounds"))).alias("explicitBounds"),
-        of(both, number(field(p, "min"))).alias("min"), of(both, number(field(p, "max"))).alias("max"),
-        of(("exponentialHistogram",), integer(field(p, "scale"))).alias("scale"), of(("exponentialHistogram",), number_like(field(p, "zeroCount"))).alias("zeroCount"), of(("exponentialHistogram",), number(field(p, "zeroThreshold"))).alias("zeroThreshold"),
-        of(("exponentialHistogram",), _buckets(field(p, "positive"))).alias("positive"), of(("exponentialHistogram",), _buckets(field(p, "negative"))).alias("negative"),
-        of(("summary",), _each(field(p, "quantileValues"), _quantile)).alias("quantileValues"),
-        attributes(field(p, "attributes")).alias("attributes"), of(numbers + both, _each(field(p, "exemplars"), _exemplar)).alias("exemplars"),
+        of(counted, number_like(p["count"])).alias("count"), of(counted, number(p["sum"])).alias("sum"),
+        of(("histogram",), array(p["bucketCounts"])).alias("bucketCounts"), of(("histogram",), array(p["explicitBounds"])).alias("explicitBounds"),
+        of(both, number(p["min"])).alias("min"), of(both, number(p["max"])).alias("max"),
+        of(("exponentialHistogram",), integer(p["scale"])).alias("scale"), of(("exponentialHistogram",), number_like(p["zeroCount"])).alias("zeroCount"), of(("exponentialHistogram",), number(p["zeroThreshold"])).alias("zeroThreshold"),
+        of(("exponentialHistogram",), _buckets(p["positive"])).alias("positive"), of(("exponentialHistogram",), _buckets(p["negative"])).alias("negative"),
+        of(("summary",), _each(p["quantileValues"], ("quantile", "value"), _quantile)).alias("quantileValues"),
+        attributes(p["attributes"]).alias("attributes"), of(numbers + both, _each(p["exemplars"], ("timeUnixNano", "asDouble", "asInt", "traceId", "spanId", "filteredAttributes"), _exemplar)).alias("exemplars"),
     )
 
 
