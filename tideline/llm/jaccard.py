@@ -36,7 +36,7 @@ from .common import on_workers, shuffle_partitions, stored
 
 SIZE = 5
 #: Bits of the short and the long bitmap.
-BITS, LONG_BITS = 512, 2048
+BITS, LONG_BITS = 2048, 8192
 #: Nodes of a side of a tile in the block comparison, and pairs compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
 _U = np.uint64
@@ -261,24 +261,20 @@ def _exact(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id and label (the least id it reaches) of every id that reaches a smaller one by links (a, b), by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = stored(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = stored(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
+        # done when every id has one edge and none leads to an id that has one itself
+        ids = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if not edges.select(F.col("v").alias("u"), F.lit(2).alias("n")).join(ids.select("u"), "u", "left_semi").unionByName(ids.filter("n > 1").select("u", F.col("n").cast("int").alias("n"))).take(1):
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        state = now
 
 
-def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, node and label of the groups whose nodes have several labels."""
-    if labels is None:
-        return groups.select("sig", "node", F.col("node").alias("label"))
     named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), F.col("label").alias("_l")), "node", "left").select("sig", "node", F.coalesce("_l", "node").alias("label"))
     mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
     return stored(named.join(mixed, "sig"))
@@ -342,15 +338,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     key = names.select(F.col("u").bitwiseAND(F.lit(_SHORT)).alias("u"), "node")
     first = groups.filter("u != anchor").select("u", "anchor").distinct()
     first = first.join(key.withColumnRenamed("node", "a"), "u").join(key.select(F.col("u").alias("anchor"), F.col("node").alias("b")), "anchor").select("a", "b")
-    stars = stored(_bounded(first, nodes))
+    stars = _bounded(first, nodes)
     members = groups.join(key, "u").select("sig", "node")
     # pairs that the bitmaps allow, through anchors, central nodes and, where both leave several components, blocks
-    tentative = components(stars)
-    rows = _open(members, tentative)
-    central = stored(_bounded(_central(rows), nodes))
-    stars = stars.unionByName(central)
-    tentative = components(stars)
-    rows = _open(rows, tentative)
+    stars = stored(stars.unionByName(_bounded(_central(members.withColumn("label", F.col("node"))), nodes)).distinct())
+    rows = _open(members, components(stars))
     across = stored(_bounded(_across(rows, nodes), nodes))
     pairs = stored(stars.unionByName(across).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
