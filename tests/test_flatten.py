@@ -84,3 +84,33 @@ def test_plan_has_no_exchange_and_three_generators(spark):
     df = payloads.parse(spark.createDataFrame([("{}",)], "body string"))
     plan = FLATTEN["logs"](df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate") == 3
+
+
+def nested(levels):
+    """A tagged map in a map and so on around a number, and what it comes to."""
+    value, plain = {"doubleValue": 1.50}, 1.5
+    for i in range(levels):
+        value, plain = ({"kvlistValue": {"values": kv(a=value, b={"intValue": "1"}, c={"stringValue": 5})}}, {"a": plain, "b": "1"}) if i % 2 else ({"arrayValue": {"values": [value, {}]}}, [plain, None])
+    return value, plain
+
+
+def test_values_of_any_depth_are_whole_everywhere(spark):
+    for levels in (2, 3, 60, 240):
+        value, plain = nested(levels)
+        got = rows(spark, "logs", logs({"body": value, "attributes": kv(k=value, big={"intValue": 2**60}), "arrayValue": {}}, r=value))
+        assert (got[0]["body"], got[0]["attributes"], got[0]["resource"]) == (plain, {"k": plain, "big": 2**60}, {"r": plain})
+    value, plain = nested(4)
+    exemplar = {"asInt": 1, "filteredAttributes": kv(q=value)}
+    got = rows(spark, "metrics", {"resourceMetrics": [{"scopeMetrics": [{"scope": {"attributes": kv(s=value)}, "metrics": [{"metadata": kv(m=value), "gauge": {"dataPoints": [{"attributes": kv(p=value), "exemplars": [exemplar]}]}}]}]}]})
+    assert (got[0]["scope"]["attributes"], got[0]["metadata"], got[0]["attributes"], got[0]["exemplars"][0]["filteredAttributes"]) == ({"s": plain}, {"m": plain}, {"p": plain}, {"q": plain})
+    got = rows(spark, "traces", {"resourceSpans": [{"scopeSpans": [{"spans": [{"events": [{"attributes": kv(e=value)}], "links": [{"attributes": kv(n=value)}]}]}]}]})
+    assert (got[0]["events"][0]["attributes"], got[0]["links"][0]["attributes"]) == ({"e": plain}, {"n": plain})
+
+
+def test_finished_values_take_nothing_from_the_sender(spark):
+    value, plain = nested(3)
+    bad = {"arrayValue": {"values": [{"arrayValue": {"values": [{"doubleValue": 1}]}, "tidelineDone": 7}, {"tidelineDone": 7}]}}
+    got = rows(spark, "logs", logs({"body": bad}), logs({"body": [value]}), logs({"body": {"tidelineDone": 7}}))
+    assert [r["body"] for r in got] == [[[1], None], [value], None]
+    df = payloads.parse(spark.createDataFrame([('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":{"arrayValue":{"values":[{"arrayValue":{"values":[{"doubleValue":1e400},{"doubleValue":12345678901234567890.12345678901},{"stringValue":"\\ud800"}]}}]}}}]}]}]}',)], "body string"))
+    assert FLATTEN["logs"](df).select(F.to_json("body")).first()[0] == '[[null,12345678901234567890.12345678901,"?"]]'

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.config import Options, options, resolve_options
+from tideline.engine import Engine
 from tideline.functions import timefn
 from tideline.operators.routing import classify_request, service_dir
 from tideline.sources import payloads, wire
@@ -103,3 +104,28 @@ def test_options():
     assert options(["--port", "12x", "--output=o", "--other"], env) == Options(12, "o")
     assert resolve_options(["--port", "abc", "--port=", "--output"], {"TIDELINE_PORT": "x"}) == {}
     assert options(["--output="], env).output == "./otel-data"
+
+
+def deep_log():
+    value = {"intValue": "7"}
+    for key in "cba":
+        value = {"kvlistValue": {"values": [{"key": key, "value": value}]}}
+    return {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": value, "attributes": [{"key": "k", "value": value}]}]}]}]}
+
+
+def test_deep_values_through_the_engine(spark, tmp_path):
+    out, raw, deep = str(tmp_path / "out"), json.dumps(deep_log()).encode(), {"a": {"b": {"c": "7"}}}
+    engine = Engine(spark, 0, out, seconds=0.2).start()
+    for kind, body in (("application/json", raw), ("application/x-protobuf", wire.encode("logs", deep_log()))):
+        c = http.client.HTTPConnection("127.0.0.1", engine.front.port)
+        c.request("POST", "/v1/logs", body, {"Content-Type": kind})
+        assert c.getresponse().status == 200
+    engine.stop()
+    handed = str(tmp_path / "handed")
+    Engine(spark, 0, handed).ingest(batch(spark, deep_log()))
+    for folder, n in ((out, 2), (handed, 1)):
+        for sink in ("services", "logs-by-service"):
+            rows = [json.loads(r.value) for r in spark.read.text(f"{folder}/{sink}").collect()]
+            assert [(r["body"], r["attributes"]) for r in rows] == [(deep, {"k": deep})] * n
+        # raw output is the payload as it came
+        assert [json.loads(r.value) for r in spark.read.text(f"{folder}/raw").collect()] == [deep_log()] * n

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Levels of arrays and maps inside a value that expressions unfold; sources.payloads folds what lies deeper.
+#: Levels of arrays and maps inside a value that expressions unfold; sources.payloads.finish folds what lies deeper.
 DEPTH = 1
 #: Key under which sources.payloads leaves a finished deep value.
 DONE = "tidelineDone"

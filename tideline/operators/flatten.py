@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefn
 from ..functions.coerce import any_value, array, attributes, boolean, elements, field, integer, is_object, let, number, number_like, shape, text
+from ..sources.payloads import finish
 
 UNKNOWN_SERVICE = "_unknown"
 
@@ -30,7 +31,7 @@ def _scope(scope: Column) -> Column:
 def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...]) -> DataFrame:
     """The leaves' fields (_x) with resource, serviceName and scope beside them, and their place as resourceIndex, scopeIndex and leafIndex."""
     kept = [c for c in df.columns if c != "payload"]
-    outer = df.select(*kept, F.posexplode(elements(field(F.col("payload"), top))).alias("resourceIndex", "_r"))
+    outer = finish(df).select(*kept, F.posexplode(elements(field(F.col("payload"), top))).alias("resourceIndex", "_r"))
     outer = outer.select(*kept, "resourceIndex", shape(F.col("_r"), "resource", middle).alias("_r"))
     outer = outer.select(*kept, "resourceIndex", attributes(field(F.col("_r.resource"), "attributes")).alias("resource"), elements(F.col(f"_r.{middle}")).alias("_scopes"))
     inner = outer.select(*kept, "resourceIndex", _service(F.col("resource")).alias("serviceName"), "resource", F.posexplode("_scopes").alias("scopeIndex", "_s"))

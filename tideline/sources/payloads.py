@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import sys
 import zlib
 
 import pandas as pd
@@ -15,12 +16,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import DEPTH, DONE
+from ..functions.coerce import DEPTH, DONE, TAGS
 from ..session import configure, on_workers
 from .wire import decode_request
 
-#: Two nested containers at least, so that values may lie deeper than expressions unfold.
-_DEEP = r"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)"
+#: Two containers at least, so that values may lie deeper than expressions unfold; or the key of finished ones, which no sender may use.
+_DEEP = rf"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)|{DONE}"
+#: Keys of key-value arrays.
+_ENTRIES = ("attributes", "filteredAttributes", "metadata")
+
+
+class _Float(float):
+    """A number that keeps its digits."""
+
+    def __new__(cls, digits: str):
+        self = super().__new__(cls, digits)
+        self.digits = digits
+        return self
+
+
+def _text(x) -> str:
+    """JSON text, as json.dumps gives it but for the digits of numbers."""
+    if isinstance(x, _Float):
+        return x.digits
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_text(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_text, x)) + "]"
+    return json.dumps(x)
 
 
 def _plain(value):
@@ -28,7 +51,7 @@ def _plain(value):
     if not isinstance(value, dict):
         return value
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < float("inf")
-    for tag in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue"):
+    for tag in TAGS:
         if tag not in value:
             continue
         x = value[tag]
@@ -49,37 +72,58 @@ def _plain(value):
     return None
 
 
-def _folded(x, depth: int):
-    """x with tagged values that lie deeper than the given depth finished."""
+def _folded(value, depth: int):
+    """A tagged value with those that lie deeper in it than the given depth finished."""
+    if not isinstance(value, dict):
+        return value
+    tag = next((t for t in TAGS if t in value), None)
+    if tag not in ("arrayValue", "kvlistValue"):
+        return {tag: value[tag]} if tag else {}
+    if not depth:
+        return {tag: None, DONE: _plain(value)}
+    inner = value[tag].get("values") if isinstance(value[tag], dict) else None
+    inner = inner if isinstance(inner, list) else []
+    return {tag: {"values": [_folded(e, depth - 1) for e in inner] if tag == "arrayValue" else _entries(inner, depth - 1)}}
+
+
+def _entries(entries: list, depth: int = DEPTH) -> list:
+    return [e | {"value": _folded(e["value"], depth)} if isinstance(e, dict) and "value" in e else e for e in entries]
+
+
+def _finished(x):
+    """A payload, or a part of it above its values, with deep values finished."""
     if isinstance(x, list):
-        return [_folded(e, depth) for e in x]
+        return [_finished(e) for e in x]
     if not isinstance(x, dict):
         return x
-    if "arrayValue" in x or "kvlistValue" in x:
-        if not depth:
-            y = _plain(x)
-            first = next(t for t in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue") if t in x)
-            return {first: x[first]} if first not in ("arrayValue", "kvlistValue") else {first: None, DONE: y}
-        depth -= 1
-    return {k: _folded(v, depth) for k, v in x.items()}
+    return {k: _entries(v) if k in _ENTRIES and isinstance(v, list) else _folded(v, DEPTH) if k == "body" else _finished(v) for k, v in x.items()}
 
 
 def _fold_deep(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else json.dumps(_folded(json.loads(t), DEPTH), ensure_ascii=False))
+    # JSON text of Spark nests 1000 levels at most
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    return texts.map(lambda t: None if t is None else _text(_finished(json.loads(t, parse_float=_Float))))
+
+
+def finish(df: DataFrame) -> DataFrame:
+    """df with the values in `payload` that are nested deeper than expressions unfold finished; only payloads that may hold some pass through Python.
+
+    The flatteners call it, so whatever hands payloads to them, none is cut, and raw sinks keep payloads as they came.
+    """
+    on_workers(df.sparkSession)
+    raw = F.to_json("payload")
+    folded = F.pandas_udf(_fold_deep, "string")(F.when(raw.rlike(_DEEP), raw))
+    return df.withColumn("payload", F.coalesce(F.parse_json(folded), "payload"))
 
 
-def parse(df: DataFrame, body: str = "body", deep: bool = False) -> DataFrame:
+def parse(df: DataFrame, body: str = "body", deep: bool = True) -> DataFrame:
     """df with `payload` (VARIANT) in place of a text column: empty bodies are {}, unreadable ones NULL.
 
-    deep: values nested deeper than expressions unfold are finished first; only payloads that may hold some pass through Python.
+    deep: has no effect; values of any depth stay as they came, and the flatteners finish them.
     """
     configure(df.sparkSession)
     raw = F.when(F.length(body) == 0, F.lit("{}")).otherwise(F.col(body))
-    if deep:
-        on_workers(df.sparkSession)
-        df = df.withColumn("_deep", F.pandas_udf(_fold_deep, "string")(F.when(raw.rlike(_DEEP) & F.try_parse_json(raw).isNotNull(), raw)))
-        raw = F.coalesce("_deep", raw)
-    return df.withColumn("payload", F.try_parse_json(raw)).drop(body, "_deep")
+    return df.withColumn("payload", F.try_parse_json(raw)).drop(body)
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
