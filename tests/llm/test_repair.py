@@ -43,3 +43,19 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path):
     assert got == [(0, None, 2), (2, 1, 1), (3, 5, 2), (5, 5, 2)]
     repair.write_ids(df.limit(0), path, str(tmp_path / "b"))
     assert repair.read_ids(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_no_pair_worth_a_rule_is_left():
+    rng = np.random.default_rng(3)
+    copies = np.tile(rng.integers(0, 40000, 500, np.uint32), 200)
+    for ids in (copies, rng.integers(0, 30, 20000).astype(np.uint32), np.zeros(5001, np.uint32), rng.integers(0, 300, 200_000).astype(np.uint32)):
+        rules, lengths, seq = repair.compress(ids, 50000)
+        assert np.array_equal(repair.expand(seq, rules, 50000), ids) and np.array_equal(repair.expand(seq, rules, 50000, lengths), ids)
+        last, count = {}, {}
+        for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last.get(pair, -2) < i - 1:
+                last[pair] = i
+                count[pair] = count.get(pair, 0) + 1
+        assert max(count.values(), default=0) < repair.LEAST
+    # far below the 1/16 that four rounds could reach
+    assert len(repair.compress(copies, 50000)[2]) < len(copies) // 200

@@ -6,7 +6,7 @@ and id count. A document, or any range of ids, is decoded by finding its symbols
 lengths and expanding only those.
 
 Pairs are replaced in rounds: each takes the most frequent pairs of the shard at once, replaces their occurrences from left
-to right without overlap, and ends when no pair is worth a rule. Shards are cut by doc_id at bounds from all rows' doc_ids, so
+to right without overlap; they end when no pair stands LEAST times without overlap. Shards are cut by doc_id at bounds from all rows' doc_ids, so
 none grows with the corpus.
 
 Defined results: a null or empty text has only the end id; rows that share a doc_id follow each other in a fixed order;
@@ -27,66 +27,89 @@ from .common import on_workers, shared_dir
 
 #: Documents' bytes a shard should have, and ids a grammar covers.
 SHARD_BYTES = 4 << 20
-#: Rounds of replacement, rules a round adds at most, and occurrences that a pair must have.
-ROUNDS, RULES, LEAST = 4, 4096, 4
+#: Rules a round adds at most, and occurrences without overlap that a pair must have.
+RULES, LEAST = 4096, 4
+
+
+def _chosen(place: np.ndarray) -> np.ndarray:
+    """Which of the ascending places are taken where neighbours overlap: in a row, every other one from the left."""
+    start = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+    return (np.arange(len(place)) - np.repeat(start, np.diff(np.append(start, len(place))))) % 2 == 0
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (two symbols each), their expansion lengths, and the sequence over ids below base and nonterminals from base on."""
-    seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
+    seq, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.int64)]
     size = np.ones(base, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    most = RULES
+    while len(seq) > 1:
         pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         # a pair hash of 20 bits finds the candidates; their exact pairs are counted
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(slot, minlength=1 << 20)[slot] >= LEAST
-        kinds, count = np.unique(pair[often], return_counts=True)
-        good = count >= LEAST
-        kinds, count = kinds[good], count[good]
-        if not len(kinds):
+        place = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= LEAST)[slot])
+        # equal symbols in a row overlap themselves
+        double = seq[place] == seq[place + 1]
+        if double.any():
+            own = np.ones(len(place), bool)
+            own[double] = _chosen(place[double])
+            place = place[own]
+        kinds, found, count = np.unique(pair[place], return_inverse=True, return_counts=True)
+        good = np.flatnonzero(count >= LEAST)
+        if not len(good):
             break
-        if len(kinds) > RULES:
-            top = np.sort(np.argsort(-count, kind="stable")[:RULES])
-            kinds, count = kinds[top], count[top]
-        place = np.flatnonzero(often)
-        found = np.searchsorted(kinds, pair[place])
-        hit = kinds[np.minimum(found, len(kinds) - 1)] == pair[place]
-        place, found = place[hit], np.minimum(found, len(kinds) - 1)[hit]
-        # where chosen pairs overlap in a row, every other one is taken from the left
-        run = np.concatenate(([True], np.diff(place) != 1))
-        start = np.flatnonzero(run)
-        nth = np.arange(len(place)) - np.repeat(start, np.diff(np.append(start, len(place))))
-        take = nth % 2 == 0
+        if len(good) > most:
+            good = np.sort(good[np.argsort(-count[good], kind="stable")[:most]])
+        number = np.full(len(kinds), -1)
+        number[good] = np.arange(len(good))
+        found = number[found]
+        hit = found >= 0
+        place, found, kinds = place[hit], found[hit], kinds[good]
+        take = _chosen(place)
         place, found = place[take], found[take]
         used = np.bincount(found, minlength=len(kinds))
-        names = np.cumsum(used >= LEAST - 1) - 1
-        live = used[found] >= LEAST - 1
+        live = used >= LEAST - 1
         if not live.any():
-            break
-        place, found = place[live], names[found[live]]
-        kinds = kinds[used >= LEAST - 1]
+            # the chosen pairs only stand in each other's way; the most frequent one alone does not
+            most = 1
+            continue
+        most = RULES
+        names = np.cumsum(live) - 1
+        kept = live[found]
+        place, found, kinds = place[kept], names[found[kept]], kinds[live]
         left, right = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)
         seq[place] = (len(size) + found).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
         seq = seq[keep]
-        rules = np.concatenate((rules, np.stack((left, right), 1).astype(np.uint32)))
-        new = size[left] + size[right]
-        size, lengths = np.concatenate((size, new)), np.concatenate((lengths, new))
-    return rules, lengths, seq
+        rules.append(np.stack((left, right), 1).astype(np.uint32))
+        lengths.append(size[left] + size[right])
+        size = np.concatenate((size, lengths[-1]))
+    return np.concatenate(rules), np.concatenate(lengths), seq
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    while len(seq) and (high := seq >= base).any():
-        wide = np.repeat(seq, 1 + high)
-        first = np.flatnonzero(high) + np.arange(int(high.sum()))
-        pair = rules[seq[high] - base]
-        wide[first], wide[first + 1] = pair[:, 0], pair[:, 1]
-        seq = wide
-    return seq
+def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each nonterminal stands for."""
+    out: list[int] = []
+    for left, right in rules.tolist():
+        out.append((1 if left < base else out[left - base]) + (1 if right < base else out[right - base]))
+    return np.array(out, np.int64)
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for. Every symbol is written to its place, so depth costs nothing."""
+    lengths = _lengths(rules, base) if lengths is None else lengths.astype(np.int64)
+    of = lambda x: np.where(x < base, 1, lengths[np.maximum(x.astype(np.int64) - base, 0)] if len(lengths) else 1)
+    each = of(seq)
+    ends = np.cumsum(each)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    at = ends - each
+    while len(seq):
+        low = seq < base
+        out[at[low]] = seq[low]
+        seq, at = seq[~low], at[~low]
+        pair = rules[seq.astype(np.int64) - base]
+        seq, at = np.concatenate((pair[:, 0], pair[:, 1])), np.concatenate((at, at + of(pair[:, 0])))
+    return out
 
 
 def read_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
@@ -95,7 +118,7 @@ def read_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     ends = np.cumsum(each)
     i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[i - 1]) if i else 0
-    return expand(seq[i:j], rules, base)[start - before : stop - before]
+    return expand(seq[i:j], rules, base, lengths)[start - before : stop - before]
 
 
 def _narrow(seq: np.ndarray) -> bytes:
@@ -163,7 +186,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for b in batches:
             for r in b.to_pylist():
                 rules = _wide(r["rules"], 2 * r["n_rules"]).reshape(-1, 2)
-                ids = expand(_wide(r["symbols"], r["n_symbols"]), rules, r["base"]).astype("<u4")
+                ids = expand(_wide(r["symbols"], r["n_symbols"]), rules, r["base"], np.frombuffer(r["lengths"], "<u4")).astype("<u4")
                 counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 doc = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.frombuffer(r["no_id"], bool))
@@ -173,7 +196,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     cols["ids"] = pa.array([ids[at[i] : at[i + 1]].astype(np.int32) for i in range(len(counts))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    columns = ["shard", "base", "n_rules", "n_symbols", "rules", "symbols", "doc_ids", "no_id", "counts"]
+    columns = ["shard", "base", "n_rules", "n_symbols", "rules", "lengths", "symbols", "doc_ids", "no_id", "counts"]
     more = ", ids array<int>" * with_ids
     rows = files.select(*columns).mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long" + more)
     # the documents' narrow rows meet the shards' starts, so no ids are moved
