@@ -100,3 +100,14 @@ def test_line_dedup_of_odd_tables(spark):
     got = sorted((repr(r.doc_id), r.clean) for r in linededup.dedup_lines(df).collect())
     assert got == sorted([("1", "other"), ("1", "other"), ("None", "same line"), ("2", ""), ("3", "\n\n"), ("4", "new " + "y" * 3000)])
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_floor_and_bound_of_line_dedup(spark):
+    df = spark.createDataFrame([(1, "a\nab\nb"), (2, "0123456789abcde"), (3, "0123456789abcdX\n0123456789abcd"), (4, "0123456789abcde"), (5, "a long enough line here"), (6, "a long enough line her")], "doc_id long, text string")
+    clean = lambda **k: {r.doc_id: r.clean for r in linededup.dedup_lines(df, **k).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()} | {4: ""}
+    assert clean() == texts | {6: ""} and clean(bound=0) == texts
+    assert clean(floor=14) == texts | {3: "", 6: ""} and clean(floor=15) == texts | {3: "0123456789abcd", 6: ""}
+    assert clean(floor=1) == {1: "a", 2: texts[2], 3: "", 4: "", 5: texts[5], 6: ""}
+    with pytest.raises(ValueError, match="bound"):
+        linededup.dedup_lines(df, bound=2)

@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join: within one edit, the earliest line stays.
 
 A line is removed if an equal line or one within one edit (a character put in, taken out or replaced) stands earlier, by
-doc_id and line number; lines without a word always stay, and lines shorter than NEAR characters go only for equal ones.
+doc_id and line number; lines without a word always stay, and near pairs are those of lines with
+`floor` characters or more (NEAR unless told otherwise: in a shorter line one character is often the whole difference, as between
+two numbered headings); shorter lines go only for equal ones. `bound` is 1, or 0 for equal lines alone.
 
 Distinct lines are found by digest. Two lines within one edit share their first or last half (halves of the shorter one), so
 only lines that share a half with another enter the join; for the rest it could find nothing. An entering line emits the
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 from .quality import let
 
-#: Characters that both lines of a near pair must have.
+#: Characters that both lines of a near pair must have if nothing else is asked for.
 NEAR = 16
 WORDED = r"[^\x20\x09-\x0D]"
 
@@ -38,14 +40,14 @@ CODES = ("p0", "s0", "p1", "s1")
 LINE = ("doc_id", "line_no", "check")
 
 
-def _halves(line: Column, n: Column) -> list[Column]:
+def _halves(line: Column, n: Column, floor: int) -> list[Column]:
     """The hashes of a line's halves in the order of CODES, NULL where it is too short."""
     out = []
     for part in (0, 1):
         short = n - part
         cut = F.floor(short / 2).cast("int")
         for k, x in (("p", F.substring(line, F.lit(1), cut)), ("s", F.substring(line, n - (short - cut) + 1, short - cut))):
-            out.append(F.when(short >= NEAR, F.xxhash64(F.lit(k), short, x)).alias(f"{k}{part}"))
+            out.append(F.when(short >= floor, F.xxhash64(F.lit(k), short, x)).alias(f"{k}{part}"))
     return out
 
 
@@ -90,14 +92,19 @@ def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
     return both.filter(F.levenshtein("line", "before", 1) == 1).select("me").distinct().select("me.*")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, floor: int = NEAR, bound: int = 1) -> DataFrame:
     """doc_id, keep (the numbers of the worded lines that stay) and n_near (how many go for an unequal one) of every document with either."""
+    if bound not in (0, 1) or floor < 1:
+        raise ValueError("bound must be 0 or 1, and floor 1 or more")
     body = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).filter(F.col("line").rlike(WORDED))
-    keyed = body.select(F.unhex(F.md5("line")).alias("digest"), "doc_id", "line_no", F.xxhash64("line").alias("check"), *_halves(F.col("line"), F.length("line")))
+    keyed = body.select(F.unhex(F.md5("line")).alias("digest"), "doc_id", "line_no", F.xxhash64("line").alias("check"), *_halves(F.col("line"), F.length("line"), floor))
     first = stored(keyed.groupBy("digest").agg(F.min(F.struct(*LINE, *CODES)).alias("m")).select("m.*"))
-    near = _removed_near(docs, first).withColumn("near", F.lit(True))
-    same = [first[c].eqNullSafe(near[c]) for c in LINE]
-    judged = first.join(near, same, "left").select(first["doc_id"], first["line_no"], F.coalesce("near", F.lit(False)).alias("near"))
+    if bound:
+        near = _removed_near(docs, first).withColumn("near", F.lit(True))
+        same = [first[c].eqNullSafe(near[c]) for c in LINE]
+        judged = first.join(near, same, "left").select(first["doc_id"], first["line_no"], F.coalesce("near", F.lit(False)).alias("near"))
+    else:
+        judged = first.select("doc_id", "line_no", F.lit(False).alias("near"))
     return judged.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("keep"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
 
 
@@ -116,9 +123,9 @@ def _kept_lines(texts: Column, keep: Column) -> Column:
     return F.filter(paired, lambda t: t.isNotNull())
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, floor: int = NEAR, bound: int = 1) -> DataFrame:
     """docs with the columns clean (the text without removed lines), n_lines, n_removed and n_near."""
-    marks = decisions(docs).withColumnRenamed("doc_id", "_doc")
+    marks = decisions(docs, floor, bound).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     keep = F.coalesce("keep", F.array().cast("array<int>"))
     out = joined.withColumn("_texts", _lines(F.col("text"))).withColumn("_kept", _kept_lines(F.col("_texts"), keep))
