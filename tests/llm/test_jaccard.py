@@ -102,3 +102,15 @@ def test_odd_tables(spark):
     got = sorted(map(repr, map(tuple, jaccard.jaccard_components(df).collect())))
     assert got == sorted(map(repr, [(4, 2, 4), (4, 2, 4), (9, 2, 4), (5, 0, 5), (None, 0, None)]))
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_rows_without_doc_id_link_and_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words), " ".join(words[15:] + [f"x{i}" for i in range(15)]), " ".join(words[30:] + [f"x{i}" for i in range(30)])
+    # a and c link only through b, which has no doc_id; two copies without one have each other only
+    own = " ".join(f"o{i}" for i in range(50))
+    df = spark.createDataFrame([(7, a, 1), (None, b, 2), (3, c, 3), (None, own, 4), (None, own + " z", 4), (None, None, 5), (None, "", 6), (9, None, 7)], "doc_id long, text string, _n int")
+    got = sorted(map(repr, map(tuple, jaccard.jaccard_components(df).collect())))
+    assert got == sorted(map(repr, [(7, 196, 3), (None, 196, 3), (3, 196, 3), (None, 46, None), (None, 47, None), (None, 0, None), (None, 0, None), (9, 0, 9)]))
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r._n for r in kept.collect()) == [3, 4, 5, 6, 7]

@@ -18,7 +18,8 @@ several components are compared throughout, in blocks, and only across component
 its pairs and no link between different texts is lost. Texts are fetched once, for nodes with a pair that the bitmaps allow.
 
 Defined results: null, empty and blank texts have no set and are their own component; repeated rows share a node and rows that share
-a doc_id share its links; the smallest doc_id of a component names it. Hashes of 64 bits stand for shingles: for a corpus of 10**12 distinct shingles the
+a doc_id share its links; rows without a doc_id are documents of their own and link as others do; the smallest doc_id of a component
+names it, and one of such rows alone has no name. Hashes of 64 bits stand for shingles: for a corpus of 10**12 distinct shingles the
 chance that any two of one pair of documents clash stays under 10**-10.
 """
 
@@ -323,11 +324,36 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _identified(docs: DataFrame) -> DataFrame | None:
+    """docs with _id, the doc_id or, in rows without one, a hash of the row's place; None if no row lacks its doc_id."""
+    if not docs.filter("doc_id IS NULL").take(1):
+        return None
+    # written once, so places stay
+    return stored(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("row"), F.monotonically_increasing_id()))))
+
+
+def _found(marked: DataFrame) -> DataFrame:
+    """_id, doc_id (NULL as in marked), n_shingles and the component, by one of its _id, of every row of marked."""
+    out = _components(marked.select(F.col("_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_id")
+    lost = marked.filter("doc_id IS NULL").select("_id", F.lit(True).alias("_lost"))
+    return stored(out.join(lost, "_id", "left").select("_id", F.when(F.col("_lost").isNull(), F.col("_id")).alias("doc_id"), "n_shingles", "component_id"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = _identified(docs)
+    if marked is None:
+        return _components(docs)
+    found = _found(marked)
+    names = found.groupBy("component_id").agg(F.min("doc_id").alias("_name"))
+    return found.join(names, "component_id").select("doc_id", "n_shingles", F.col("_name").alias("component_id"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """The same where every row has its doc_id."""
     spark = docs.sparkSession
     on_workers(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = stored(_nodes(docs))
     elements = placed.agg(F.sum("n")).first()[0] or 0
     groups = _groups(docs, max(shuffle_partitions(spark), int(elements // 2_000_000) + 1))
@@ -360,6 +386,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, in the columns of docs; of rows with one doc_id all stay."""
-    named = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
+    """The documents that name their component, in the columns of docs; of rows with one doc_id all stay, of components without any one row."""
+    marked = _identified(docs)
+    if marked is None:
+        named = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+        return docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
+    stay = _found(marked).groupBy("component_id").agg(F.coalesce(F.min("doc_id"), F.min("_id")).alias("_id")).select("_id")
+    return marked.join(stay, "_id", "left_semi").select(docs.columns)
