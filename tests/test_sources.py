@@ -15,7 +15,7 @@ from tideline.operators.routing import classify_request, service_dir
 from tideline.sources import payloads, wire
 from tideline.sources.http import Front
 from tideline.sources.sinks import write_batch
-from tideline.streaming.stream import ingest_stream
+from tideline.streaming.stream import drain, flatten_stream, ingest_stream, rejected_stream
 
 LOG = {"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": ".."}}]}, "scopeLogs": [{"logRecords": [{"body": {"stringValue": "x"}}]}]}]}
 
@@ -129,3 +129,14 @@ def test_deep_values_through_the_engine(spark, tmp_path):
             assert [(r["body"], r["attributes"]) for r in rows] == [(deep, {"k": deep})] * n
         # raw output is the payload as it came
         assert [json.loads(r.value) for r in spark.read.text(f"{folder}/raw").collect()] == [deep_log()] * n
+
+
+def test_unreadable_lines_come_out_of_their_own_stream(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "a.txt").write_text("\n".join([json.dumps(LOG), "[", "", "{]", "{}"]) + "\n")
+    for name, stream in (("read", flatten_stream), ("rejected", rejected_stream)):
+        rows = stream(spark, str(tmp_path / "landing"))
+        rows = rows.select(F.to_json("payload").alias("value")) if name == "read" else rows.select("value", "error")
+        drain(rows.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "rejected")).collect()) == [("[", "Invalid JSON"), ("{]", "Invalid JSON")]
+    assert spark.read.parquet(str(tmp_path / "read")).count() == 3

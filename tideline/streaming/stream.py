@@ -15,11 +15,22 @@ FILES = 1000
 LANDED = "signal string, contentType string, contentEncoding string, received_at timestamp, body binary"
 
 
-def flatten_stream(spark: SparkSession, landing: str, form: str = "text", files: int = FILES) -> DataFrame:
-    """Payloads (payload, received_at) as a stream from text files with one JSON body a line."""
+def _lines(spark: SparkSession, landing: str, form: str, files: int) -> DataFrame:
     configure(spark)
     lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).format(form).load(landing)
-    return payloads.parse(lines.withColumn("received_at", F.current_timestamp()), "value").filter("payload IS NOT NULL")
+    return lines.withColumn("received_at", F.current_timestamp())
+
+
+def flatten_stream(spark: SparkSession, landing: str, form: str = "text", files: int = FILES) -> DataFrame:
+    """Payloads (payload, received_at) as a stream from text files with one JSON body a line; rejected_stream has the lines that can't be read."""
+    return payloads.parse(_lines(spark, landing, form, files), "value").filter("payload IS NOT NULL")
+
+
+def rejected_stream(spark: SparkSession, landing: str, form: str = "text", files: int = FILES) -> DataFrame:
+    """The lines (value, received_at, error) that flatten_stream leaves out, as a stream of its own over the same files."""
+    lines = _lines(spark, landing, form, files).withColumn("_line", F.col("value"))
+    _, rejected = payloads.split_rejected(payloads.parse(lines, "_line"))
+    return rejected.select("value", "received_at", F.lit("Invalid JSON").alias("error"))
 
 
 def drain(writer: DataStreamWriter) -> None:
