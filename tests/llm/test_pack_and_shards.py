@@ -74,3 +74,14 @@ def test_shards_are_level_and_slots_gapless(spark):
     by = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.hilbert for r in by] == sorted(r.hilbert for r in got)
     assert hilbert.assign_shards(df.limit(0)).count() == 0 and hilbert.assign_shards(df.limit(3)).count() == 3
+
+
+def test_strings_with_a_common_prefix_fall_in_cells_of_their_own(spark):
+    df = spark.createDataFrame([(i, f"https://host/{i % 40:02d}" if i % 4 else None, "en") for i in range(400)], "doc_id long, source string, lang string")
+    got = hilbert.text_bounds(df, "source", 4)
+    values = sorted(r.source for r in df.collect() if r.source)
+    assert sorted(got) == [values[len(values) * k // 4 - 1] for k in (1, 2, 3)]
+    assert hilbert.text_bounds(df, "lang", 4) == ["en"] and hilbert.text_bounds(df.limit(0), "lang", 4) == []
+    rows = hilbert.curve_order(df, ["source", "lang"], "doc_id").collect()
+    # nulls share the lowest cell with the lowest of the 30 values
+    assert len({r.hilbert for r in rows}) == 30

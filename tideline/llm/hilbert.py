@@ -1,8 +1,8 @@
 """Hilbert-curve ordering: several metadata dimensions are quantised, rows sorted by their index on the curve and cut into runs.
 
 Rows that lie near each other in every dimension come to lie in the same run, so a reader prunes whole shards by the least
-and largest value of any of them. Quantile bounds come from all rows. Numbers order by value, strings by their first seven
-bytes. Rows of one cell, however many, are ordered by key, so a hot cell spreads over as many tasks as its rows need.
+and largest value of any of them. Quantile bounds come from all rows. Numbers order by value, strings as whole
+strings, each distinct one weighted by its rows. Rows of one cell, however many, are ordered by key, so a hot cell spreads over as many tasks as its rows need.
 
 Defined results: nulls fall in the lowest cell of their dimension; a null text has no bytes; ties on the curve order by key,
 repeated rows each get a slot; an empty table gives an empty result.
@@ -21,14 +21,21 @@ from .common import shuffle_partitions, stored
 _ROW = (1 << 33) - 1
 
 
-def prefix_number(text: Column) -> Column:
-    """The first seven bytes as a number, so that numbers order as strings do."""
-    return F.conv(F.substring(F.rpad(F.hex(F.encode(text, "UTF-8")), 14, "0"), 1, 14), 16, 10).cast("long")
+def text_bounds(df: DataFrame, column: str, count: int) -> list[str]:
+    """The values of a string column at the quantiles 1 / count to (count - 1) / count of all rows; nulls don't count."""
+    values = df.select(F.col(column).cast("string").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("_n"))
+    ranges = stored(values.repartitionByRange(shuffle_partitions(df.sparkSession), "_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranges.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    # as many rows as there are shuffle partitions, so a broadcast is bounded
+    before = sums.select("_part", F.expr("sum(_s) OVER (ORDER BY _part) - _s").alias("_before"), F.expr("sum(_s) OVER ()").alias("_total"))
+    running = ranges.withColumn("_upto", F.expr("sum(_n) OVER (PARTITION BY _part ORDER BY _v)")).join(F.broadcast(before), "_part").withColumn("_upto", F.col("_before") + F.col("_upto"))
+    passed = F.expr(f"_upto * {count} DIV _total > (_upto - _n) * {count} DIV _total AND (_upto - _n) * {count} DIV _total < {count - 1}")
+    return [r[0] for r in running.filter(passed).select("_v").collect()]
 
 
-def cell(value: Column, bounds: list[float]) -> Column:
+def cell(value: Column, bounds: list, kind: str = "double") -> Column:
     """How many bounds lie below the value."""
-    at = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
+    at = F.array(*[F.lit(b) for b in set(bounds)]).cast(f"array<{kind}>")
     return F.coalesce(F.size(F.filter(at, lambda b: b < value)), F.lit(0)).cast("long")
 
 
@@ -86,10 +93,10 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 def curve_order(df: DataFrame, dimensions: list[str], key: str, bits: int = 6) -> DataFrame:
     """df, which should be narrow, with columns hilbert, rank and _total, in the order of the curve over the dimensions."""
     df = stored(df)
-    number = {c: F.col(c) if isinstance(df.schema[c].dataType, T.NumericType) else prefix_number(F.col(c)) for c in dimensions}
+    numbers = [c for c in dimensions if isinstance(df.schema[c].dataType, T.NumericType)]
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = df.agg(*[F.percentile_approx(number[c].cast("double"), cuts, 10000).alias(f"b{i}") for i, c in enumerate(dimensions)]).first()
-    cells = [cell(number[c].cast("double"), bounds[i] or []) for i, c in enumerate(dimensions)]
+    bounds = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10000).alias(c) for c in numbers]).first().asDict() if numbers else {}
+    cells = [cell(F.col(c).cast("double"), bounds[c] or []) if c in numbers else cell(F.col(c).cast("string"), text_bounds(df, c, 1 << bits), "string") for c in dimensions]
     rest = [c for c in df.columns if c != key]
     return ranked(df.withColumn("hilbert", hilbert_index(cells, bits)), ["hilbert", key, *rest])
 
