@@ -1,16 +1,20 @@
 """Token ids in grammar-compressed files: per shard, frequent id pairs are replaced again and again by new symbols (Re-Pair).
 
-A file is a table of shards in ascending doc_id order. A shard holds its first and last rows' places, the rules (left and right
-symbol of each nonterminal), how many ids each nonterminal expands to, the compressed sequence, and each document's doc_id
-and id count. A document, or any range of ids, is decoded by finding its symbols through the running sum of expansion
-lengths and expanding only those.
+A file is a table of shards in ascending doc_id order. A shard holds the rules (left and right symbol of each nonterminal), how
+many ids each nonterminal expands to, the compressed sequence, each document's doc_id and id count, and its least and largest
+doc_id. A document, or any range of ids, is decoded by finding its symbols through the running sum of expansion lengths and
+expanding only those; shards that can't hold a doc_id are not read.
 
-Pairs are replaced in rounds: each takes the most frequent pairs of the shard at once, replaces their occurrences from left
-to right without overlap; they end when no pair stands LEAST times without overlap. Shards are cut by doc_id at bounds from all rows' doc_ids, so
-none grows with the corpus.
+Each round counts the pairs of the shard that may stand LEAST times without overlap. Where two such pairs overlap, the more
+frequent one is replaced; then the next round counts only pairs at places that changed or that lost. A shard is done when no
+pair stands LEAST times without overlap; no round, rule or expansion is capped.
 
-Defined results: a null or empty text has only the end id; rows that share a doc_id follow each other in a fixed order;
-null doc_ids come first; an empty table makes an empty file.
+Rows are dealt by ranges of doc_id, text hash and row place, so one doc_id, or rows without any, spread over as many shards as
+they need. A task encodes its range once and closes a shard whenever SHARD_BYTES of text are together, so memory follows neither
+the corpus nor a range; a document longer than that has a shard of its own.
+
+Defined results: a null or empty text has only the end id; rows that share a doc_id follow each other, ordered by text hash;
+null doc_ids come first; other columns are not read; an empty table makes an empty file.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
-from .common import on_workers, shared_dir
+from .common import on_workers, shared_dir, shuffle_partitions
 
-#: Documents' bytes a shard should have, and ids a grammar covers.
-SHARD_BYTES = 4 << 20
-#: Rules a round adds at most, and occurrences without overlap that a pair must have.
-RULES, LEAST = 4096, 4
+#: Bytes of text that a shard covers, and bytes of text that a task of the writer takes.
+SHARD_BYTES, TASK_BYTES = 4 << 20, 256 << 20
+#: Occurrences without overlap that a pair must have.
+LEAST = 4
+#: Times that places which lost to a neighbour strive again within a round.
+TRIES = 2
+_U = np.uint64
 
 
 def _chosen(place: np.ndarray) -> np.ndarray:
@@ -37,69 +44,75 @@ def _chosen(place: np.ndarray) -> np.ndarray:
     return (np.arange(len(place)) - np.repeat(start, np.diff(np.append(start, len(place))))) % 2 == 0
 
 
+def _winners(place: np.ndarray, rank: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (ascending) that overlap no place of a better rank, and their kinds."""
+    won = []
+    for _ in range(TRIES):
+        touch = place[1:] == place[:-1] + 1
+        take = np.ones(len(place), bool)
+        take[1:] &= ~(touch & (rank[:-1] <= rank[1:]))
+        take[:-1] &= ~(touch & (rank[1:] < rank[:-1]))
+        won.append((place[take], kind[take]))
+        rest = ~take
+        rest[1:] &= ~(touch & take[:-1])
+        rest[:-1] &= ~(touch & take[1:])
+        place, rank, kind = place[rest], rank[rest], kind[rest]
+        if not len(place):
+            break
+    return np.concatenate([p for p, _ in won]), np.concatenate([k for _, k in won])
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (two symbols each), their expansion lengths, and the sequence over ids below base and nonterminals from base on."""
     seq, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.int64)]
     size = np.ones(base, np.int64)
-    most = RULES
-    while len(seq) > 1:
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        # a pair hash of 20 bits finds the candidates; their exact pairs are counted
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        place = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= LEAST)[slot])
+    # places whose pair may still stand LEAST times: a pair of old symbols never grows more frequent
+    live = np.arange(max(len(seq) - 1, 0))
+    while len(live):
+        left, right = seq[live], seq[live + 1]
+        table = pa.array(left.astype(_U) << _U(32) | right).dictionary_encode()
+        kind, kinds = table.indices.to_numpy(), table.dictionary.to_numpy()
         # equal symbols in a row overlap themselves
-        double = seq[place] == seq[place + 1]
-        if double.any():
-            own = np.ones(len(place), bool)
-            own[double] = _chosen(place[double])
-            place = place[own]
-        kinds, found, count = np.unique(pair[place], return_inverse=True, return_counts=True)
-        good = np.flatnonzero(count >= LEAST)
-        if not len(good):
+        own = np.ones(len(live), bool)
+        if (double := left == right).any():
+            own[double] = _chosen(live[double])
+        count = np.bincount(kind[own], minlength=len(kinds))
+        many = (count >= LEAST)[kind]
+        live, kind, own = live[many], kind[many], own[many]
+        if not len(live):
             break
-        if len(good) > most:
-            good = np.sort(good[np.argsort(-count[good], kind="stable")[:most]])
-        number = np.full(len(kinds), -1)
-        number[good] = np.arange(len(good))
-        found = number[found]
-        hit = found >= 0
-        place, found, kinds = place[hit], found[hit], kinds[good]
-        take = _chosen(place)
-        place, found = place[take], found[take]
-        used = np.bincount(found, minlength=len(kinds))
-        live = used >= LEAST - 1
-        if not live.any():
-            # the chosen pairs only stand in each other's way; the most frequent one alone does not
-            most = 1
-            continue
-        most = RULES
-        names = np.cumsum(live) - 1
-        kept = live[found]
-        place, found, kinds = place[kept], names[found[kept]], kinds[live]
-        left, right = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        seq[place] = (len(size) + found).astype(np.uint32)
+        # the more frequent pair is better; a hash decides ties, since an order along the text would let one place of a row win at a time
+        order = np.lexsort(((kinds * _U(0xBF58476D1CE4E5B9)) >> _U(40), -count))
+        rank = np.empty(len(kinds), np.int64)
+        rank[order] = np.arange(len(kinds))
+        place, found = _winners(live[own], rank[kind[own]], kind[own])
+        # the best pair loses nowhere, so a round replaces one pair at least
+        good = np.bincount(found, minlength=len(kinds)) >= LEAST - 1
+        used = good[found]
+        place, found, kinds = place[used], (np.cumsum(good) - 1)[found[used]], kinds[good]
+        open_ = np.zeros(len(seq), bool)
+        open_[live] = True
+        open_[place] = open_[np.maximum(place - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack((left, right), 1).astype(np.uint32))
-        lengths.append(size[left] + size[right])
+        seq[place] = (len(size) + found).astype(np.uint32)
+        seq, open_ = seq[keep], open_[keep]
+        live = np.flatnonzero(open_[:-1])
+        first, second = (kinds >> _U(32)).astype(np.int64), (kinds & _U(0xFFFFFFFF)).astype(np.int64)
+        rules.append(np.stack((first, second), 1).astype(np.uint32))
+        lengths.append(size[first] + size[second])
         size = np.concatenate((size, lengths[-1]))
     return np.concatenate(rules), np.concatenate(lengths), seq
 
 
-def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each nonterminal stands for."""
-    out: list[int] = []
-    for left, right in rules.tolist():
-        out.append((1 if left < base else out[left - base]) + (1 if right < base else out[right - base]))
-    return np.array(out, np.int64)
+def _sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    return np.where(seq < base, 1, lengths[np.maximum(seq.astype(np.int64) - base, 0)] if len(lengths) else 1).astype(np.int64)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids that the symbols stand for. Every symbol is written to its place, so depth costs nothing."""
-    lengths = _lengths(rules, base) if lengths is None else lengths.astype(np.int64)
-    of = lambda x: np.where(x < base, 1, lengths[np.maximum(x.astype(np.int64) - base, 0)] if len(lengths) else 1)
-    each = of(seq)
+    each = _sizes(seq, lengths, base)
     ends = np.cumsum(each)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
     at = ends - each
@@ -108,17 +121,16 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray |
         out[at[low]] = seq[low]
         seq, at = seq[~low], at[~low]
         pair = rules[seq.astype(np.int64) - base]
-        seq, at = np.concatenate((pair[:, 0], pair[:, 1])), np.concatenate((at, at + of(pair[:, 0])))
+        seq, at = np.concatenate((pair[:, 0], pair[:, 1])), np.concatenate((at, at + _sizes(pair[:, 0], lengths, base)))
     return out
 
 
 def read_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
     """The ids from start to stop of a shard, expanding only the symbols that hold them."""
-    each = np.where(seq >= base, lengths[np.maximum(seq.astype(np.int64) - base, 0)] if len(lengths) else 1, 1)
-    ends = np.cumsum(each)
+    ends = np.cumsum(_sizes(seq, lengths, base))
     i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[i - 1]) if i else 0
-    return expand(seq[i:j], rules, base, lengths)[start - before : stop - before]
+    return expand(seq[i:j], rules, lengths, base)[start - before : stop - before]
 
 
 def _narrow(seq: np.ndarray) -> bytes:
@@ -129,7 +141,21 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
-_FORMAT = "shard long, base long, n_rules long, n_symbols long, rules binary, lengths binary, symbols binary, doc_ids binary, no_id binary, counts binary, n_ids long"
+_FORMAT = "shard long, base long, n_rules long, n_symbols long, rules binary, lengths binary, symbols binary, doc_ids binary, no_id binary, counts binary, n_ids long, least_id long, largest_id long"
+_SHARD = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in _FORMAT.split(", ")])
+
+
+def _shard(number: int, base: int, docs: list[pa.Array], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """One shard of the documents whose doc_ids and ids (with the end id) are given."""
+    ids, doc = np.concatenate(parts), pa.concat_arrays(docs)
+    rules, lengths, seq = compress(ids, base)
+    known = doc.drop_null().to_numpy()
+    row = {
+        "shard": number, "base": base, "n_rules": len(rules), "n_symbols": len(seq), "rules": _narrow(rules.ravel()), "lengths": lengths.astype("<u4").tobytes(), "symbols": _narrow(seq),
+        "doc_ids": doc.fill_null(0).to_numpy().astype("<i8").tobytes(), "no_id": doc.is_null().to_numpy(zero_copy_only=False).tobytes(), "counts": np.array([len(p) for p in parts], "<u4").tobytes(), "n_ids": len(ids),
+        "least_id": int(known[0]) if len(known) else None, "largest_id": int(known[-1]) if len(known) else None,
+    }
+    return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
@@ -137,73 +163,89 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard
     spark = docs.sparkSession
     on_workers(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, int(total // shard_bytes))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    order = ["doc_id", "hash", "place"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ranges = rows.repartitionByRange(max(shuffle_partitions(spark), int(total // TASK_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+    def run(batches):
+        from pyspark import TaskContext
 
-    def encode(batches):
-        enc = encoder(tokenizer)
+        enc, number = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        base, end = len(enc.token_bytes), np.array([end_id], np.uint32)
+        held, doc, parts = 0, [], []
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", shard_bytes):
+                if parts and held + b.column("text").nbytes > shard_bytes:
+                    yield _shard(number, base, doc, parts)
+                    number, held, doc, parts = number + 1, 0, [], []
                 ids, at = enc.encode(b.column("text").to_pylist())
-                ids = ids.astype("<u2") if len(enc.token_bytes) <= 1 << 16 else ids
-                doc = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.searchsorted(bounds, doc, "right")), "doc_id": b.column("doc_id"), "ids": pa.array([ids[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())})
+                doc.append(b.column("doc_id"))
+                parts += [np.concatenate((ids[at[i] : at[i + 1]], end)) for i in range(b.num_rows)]
+                held += b.column("text").nbytes
+        if parts:
+            yield _shard(number, base, doc, parts)
 
-    def squeeze(key: tuple, t: pa.Table) -> pa.Table:
-        enc = encoder(tokenizer)
-        base = len(enc.token_bytes)
-        kind = "<u2" if base <= 1 << 16 else "<u4"
-        parts = [np.append(np.frombuffer(x.as_py(), kind), np.array([end_id], kind)) for x in t.column("ids")]
-        ids = np.concatenate(parts).astype(np.uint32)
-        rules, lengths, seq = compress(ids, base)
-        doc = t.column("doc_id").combine_chunks()
-        row = {
-            "shard": key[0].as_py(), "base": base, "n_rules": len(rules), "n_symbols": len(seq), "rules": _narrow(rules.ravel()), "lengths": lengths.astype("<u4").tobytes(), "symbols": _narrow(seq),
-            "doc_ids": doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "no_id": doc.is_null().to_numpy(zero_copy_only=False).tobytes(), "counts": np.array([len(p) for p in parts], "<u4").tobytes(), "n_ids": len(ids),
-        }
-        return pa.Table.from_pylist([row], schema=pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in _FORMAT.split(", ")]))
+    ranges.mapInArrow(run, _FORMAT).write.parquet(path)
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard long, doc_id long, ids binary").repartition(shards, "shard")
-    encoded.sortWithinPartitions("shard", "doc_id", "ids").groupBy("shard").applyInArrow(_in_order(squeeze), _FORMAT).write.parquet(path)
 
+def _starts(files: DataFrame) -> DataFrame:
+    """How many ids stand before each shard: within its task's shards, and in all tasks before."""
+    shards = files.select("shard", "n_ids", F.shiftright("shard", 32).alias("_task"))
+    within = shards.withColumn("_in", F.expr("sum(n_ids) OVER (PARTITION BY _task ORDER BY shard) - n_ids"))
+    # one row per task of the writer
+    tasks = shards.groupBy("_task").agg(F.sum("n_ids").alias("_n")).select("_task", F.expr("sum(_n) OVER (ORDER BY _task) - _n").alias("_before"))
+    return within.join(tasks, "_task").select("shard", (F.col("_before") + F.col("_in")).alias("before"))
 
-def _in_order(squeeze):
-    def call(key: tuple, t: pa.Table) -> pa.Table:
-        return squeeze(key, t.sort_by([("doc_id", "ascending"), ("ids", "ascending")]) if t.column("doc_id").null_count == 0 else pa.concat_tables([t.filter(t.column("doc_id").is_null()), t.filter(t.column("doc_id").is_valid()).sort_by([("doc_id", "ascending"), ("ids", "ascending")])]))
 
-    return call
+_READ = ("shard", "base", "n_rules", "n_symbols", "rules", "lengths", "symbols", "doc_ids", "no_id", "counts")
+
+
+def _open(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules, expansion lengths and the places where documents begin (and the last one's end) of a shard."""
+    rules, lengths = _wide(r["rules"], 2 * r["n_rules"]).reshape(-1, 2), np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+    return _wide(r["symbols"], r["n_symbols"]), rules, lengths, np.concatenate(([0], np.cumsum(np.frombuffer(r["counts"], "<u4").astype(np.int64))))
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document of the file at path."""
     on_workers(spark)
     files = spark.read.parquet(path)
-    # one row per shard
-    before = files.select("shard", F.expr("sum(n_ids) OVER (ORDER BY shard) - n_ids").alias("before"))
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                rules = _wide(r["rules"], 2 * r["n_rules"]).reshape(-1, 2)
-                ids = expand(_wide(r["symbols"], r["n_symbols"]), rules, r["base"], np.frombuffer(r["lengths"], "<u4")).astype("<u4")
-                counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
-                at = np.concatenate(([0], np.cumsum(counts)))
+                seq, rules, lengths, at = _open(r)
+                ids, n = expand(seq, rules, lengths, r["base"]).astype("<u4"), len(at) - 1
                 doc = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.frombuffer(r["no_id"], bool))
-                crc = [zlib.crc32(ids[at[i] : at[i + 1]].data) for i in range(len(counts))]
-                cols = {"shard": pa.array(np.full(len(counts), r["shard"])), "doc_id": doc, "start": pa.array(at[:-1]), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
+                crc = [zlib.crc32(ids[at[i] : at[i + 1]].data) for i in range(n)]
+                cols = {"shard": pa.array(np.full(n, r["shard"])), "doc_id": doc, "start": pa.array(at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
-                    cols["ids"] = pa.array([ids[at[i] : at[i + 1]].astype(np.int32) for i in range(len(counts))], pa.list_(pa.int32()))
+                    cols["ids"] = pa.array([ids[at[i] : at[i + 1]].astype(np.int32) for i in range(n)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    columns = ["shard", "base", "n_rules", "n_symbols", "rules", "lengths", "symbols", "doc_ids", "no_id", "counts"]
     more = ", ids array<int>" * with_ids
-    rows = files.select(*columns).mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long" + more)
+    rows = files.select(*_READ).mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long" + more)
     # the documents' narrow rows meet the shards' starts, so no ids are moved
-    joined = rows.join(before, "shard").withColumn("start", F.col("start") + F.col("before"))
+    joined = rows.join(_starts(files), "shard").withColumn("start", F.col("start") + F.col("before"))
     return joined.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """doc_id and ids of the documents with that doc_id; only shards that may hold it are read, and only its symbols expanded."""
+    on_workers(spark)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                seq, rules, lengths, at = _open(r)
+                hit = np.flatnonzero((np.frombuffer(r["doc_ids"], "<i8") == doc_id) & ~np.frombuffer(r["no_id"], bool))
+                ids = [read_range(seq, rules, lengths, r["base"], int(at[i]), int(at[i + 1])).astype(np.int32) for i in hit]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(hit), doc_id, np.int64)), "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    near = spark.read.parquet(path).filter((F.col("least_id") <= doc_id) & (F.col("largest_id") >= doc_id))
+    return near.select(*_READ).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def write_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:
     path = shared_dir(docs.sparkSession)
     write_ids(docs, tokenizer, path)
