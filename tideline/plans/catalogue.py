@@ -5,9 +5,6 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable
 
@@ -18,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import timefn
 from ..operators.flatten import flatten_logs, flatten_metrics, flatten_traces
 from ..operators.routing import classify_request, ingest_date, service_dir
-from ..session import configure, on_workers
+from ..session import configure, on_workers, scratch_dir
 from ..sources import payloads
 from ..sources.wire import encode
 
@@ -421,8 +418,7 @@ def streaming_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log payloads land as files, a stream flattens them, and its output is read back."""
     from ..streaming.stream import drain, flatten_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tideline-streams")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     _log_bodies(spark, sf_dir).withColumnRenamed("body", "value").write.text(f"{root}/landing")
     rows = _log_rows(flatten_stream(spark, f"{root}/landing", "text").drop("received_at"))
     drain(rows.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state"))

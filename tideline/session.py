@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +31,24 @@ def on_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in (had := env.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (had, _ROOT) if x)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The path of a new folder that driver and executors share, below spark.checkpoint.dir; it goes when the driver ends.
+
+    Where the setting is missing a folder of this machine serves, which only a local master shares; a cluster must name one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tideline-scratch")
+    path = f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
