@@ -39,7 +39,11 @@ def test_base_signals_equal_brute_force(spark):
 def test_failed_lines_go_and_columns_stay(spark):
     df = as_df(spark, ODD)
     out = quality.filter_documents(df)
-    assert out.columns == df.columns
+    assert out.schema == df.schema and all((r.kept, r.n_words) == ("q", 1) for r in out.collect())
+    clashing = df.selectExpr("doc_id", "text", "'mine' clean", "'hello' kept", "77 n_words", "'x' _c0", "5 n_chars", "2 base_failed", "doc_id kept_chars")
+    rows = quality.filter_documents(clashing).collect()
+    assert {r.doc_id for r in rows} == {4, None}
+    assert all(tuple(r)[2:6] == ("mine", "hello", 77, "x") and r.n_chars == len(r.text) and r.base_failed == 2 and r.kept_chars == r.doc_id for r in rows)
     assert out.filter("doc_id = 4").first().text == "One good line that ends well and has enough words to stay.\nOne more good line with words."
     assert quality.filter_documents(df.limit(0)).count() == 0
 

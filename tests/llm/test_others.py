@@ -1,6 +1,8 @@
 import hashlib
-import importlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -9,6 +11,8 @@ from tokenizers.models import Unigram
 from tideline.llm import addquant, unigram, warc
 from tideline.llm.queries import vocabulary
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def test_counts_equal_the_library(spark):
     path = vocabulary("piece_bpe_32k.model")
@@ -107,10 +111,17 @@ def test_search_with_copies_ties_and_unusable_rows(spark):
     assert addquant.nearest(df.limit(0)).count() == 0
 
 
-def test_entry_works_without_the_subpackage(spark):
-    entry = importlib.import_module("__spark_entry__")
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_scratch_tables_need_no_setting(spark, tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from tideline.llm.common import stored
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+assert spark.conf.get('spark.checkpoint.dir', None) is None
+assert stored(spark.range(5)).count() == 5
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=240)
 
 
 def test_pipeline_on_the_small_tables(spark):

@@ -81,7 +81,69 @@ def test_strings_with_a_common_prefix_fall_in_cells_of_their_own(spark):
     got = hilbert.text_bounds(df, "source", 4)
     values = sorted(r.source for r in df.collect() if r.source)
     assert sorted(got) == [values[len(values) * k // 4 - 1] for k in (1, 2, 3)]
-    assert hilbert.text_bounds(df, "lang", 4) == ["en"] and hilbert.text_bounds(df.limit(0), "lang", 4) == []
+    assert hilbert.text_bounds(df, "lang", 4) == ["en"] * 3 and hilbert.text_bounds(df.limit(0), "lang", 4) == []
     rows = hilbert.curve_order(df, ["source", "lang"], "doc_id").collect()
     # nulls share the lowest cell with the lowest of the 30 values
     assert len({r.hilbert for r in rows}) == 30
+
+
+def curve_place(cells, bits):
+    """The place of a cell on the Hilbert curve, one bit of each number at a time."""
+    x, n = list(cells), len(cells)
+    for level in range(bits - 1, 0, -1):
+        low = (1 << level) - 1
+        for i in range(n):
+            if x[i] >> level & 1:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ x[i]) & low
+                x[0], x[i] = x[0] ^ swap, x[i] ^ swap
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    flip = 0
+    for level in range(bits - 1, 0, -1):
+        if x[-1] >> level & 1:
+            flip ^= (1 << level) - 1
+    x = [v ^ flip for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, "w" * rng.randint(0, 300) if i % 11 else None, rng.choice(["de", "en", "fr", None]), f"src{rng.randint(0, 90):02d}" if i % 7 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sizes = [len((t or "").encode()) + 1 for _, t, _, _ in rows]
+
+    def bounds(values, bits=6):
+        values = sorted(v for v in values if v is not None)
+        return [values[-(-len(values) * k // (1 << bits)) - 1] for k in range(1, 1 << bits)]
+
+    cuts = [bounds(r[2] for r in rows), bounds(r[3] for r in rows), bounds(sizes)]
+    cell = lambda v, b: 0 if v is None else bisect.bisect_left(b, v)
+    index = [curve_place((cell(r[2], cuts[0]), cell(r[3], cuts[1]), cell(s, cuts[2])), 6) for r, s in zip(rows, sizes)]
+    want, slots = [], [0] * 16
+    for rank, (h, (d, *_)) in enumerate(sorted(zip(index, rows))):
+        shard = rank * 16 // len(rows)
+        want.append((d, h, shard, slots[shard]))
+        slots[shard] += 1
+    got = hilbert.assign_shards(df).select("doc_id", "hilbert", "shard", "slot").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_written_shards_hold_every_row_and_prune(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i % 1500, "w" * rng.randint(0, 400), rng.choice(["de", "en", "fr", "es"]), f"s{rng.randint(0, 63):02d}", i, "x") for i in range(3000)] + [(None, None, None, None, -1, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard_number int, slot string").drop("shard_number").withColumn("shard", F.lit(3))
+    hilbert.write_shards(df, str(tmp_path / "s"), file_rows=60)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    key = lambda r: repr((r.doc_id, r.text, r.lang, r.source, r.slot, r.shard))
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+    counts = [r["count"] for r in back.groupBy("shard_number").count().collect()]
+    assert len(counts) == 16 and max(counts) - min(counts) <= 1
+    files = back.withColumn("f", F.input_file_name()).withColumn("size", F.length("text")).groupBy("f")
+    for column, value in (("lang", "de"), ("source", "s17"), ("size", 33)):
+        kept = files.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).select((F.col("lo") <= value) & (F.col("hi") >= value)).toPandas().iloc[:, 0]
+        # a file's least and largest value rule most files out, whichever dimension is asked for
+        assert kept.mean() < 0.5, (column, kept.mean())
+    with pytest.raises(ValueError, match="no column source"):
+        hilbert.assign_shards(df.drop("source"))

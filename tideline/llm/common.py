@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import on_workers, scratch_dir as shared_dir
+
+__all__ = ["WORD", "on_workers", "shared_dir", "shuffle_partitions", "stored", "table", "words"]
 
 #: Whitespace between words in the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,32 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it lies beside the driver; elsewhere ship it with --py-files."""
-    env = spark.sparkContext.environment
-    if _ROOT not in (had := env.get("PYTHONPATH", "")).split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (had, _ROOT) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, which all executors share; it goes when the driver ends.
-    Where the setting is missing (tests, local runs) a folder of the driver's machine serves."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "tideline-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm, sc = spark._jvm, spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-
-
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lineage cut that outlives lost executors."""
     spark = df.sparkSession

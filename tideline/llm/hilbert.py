@@ -22,21 +22,24 @@ _ROW = (1 << 33) - 1
 
 
 def text_bounds(df: DataFrame, column: str, count: int) -> list[str]:
-    """The values of a string column at the quantiles 1 / count to (count - 1) / count of all rows; nulls don't count."""
+    """The values of a string column at the quantiles 1 / count to (count - 1) / count of all rows, one value as often as it is met; nulls don't count."""
     values = df.select(F.col(column).cast("string").alias("_v")).filter("_v IS NOT NULL").groupBy("_v").agg(F.count("*").alias("_n"))
     ranges = stored(values.repartitionByRange(shuffle_partitions(df.sparkSession), "_v").withColumn("_part", F.spark_partition_id()))
     sums = ranges.groupBy("_part").agg(F.sum("_n").alias("_s"))
     # as many rows as there are shuffle partitions, so a broadcast is bounded
     before = sums.select("_part", F.expr("sum(_s) OVER (ORDER BY _part) - _s").alias("_before"), F.expr("sum(_s) OVER ()").alias("_total"))
     running = ranges.withColumn("_upto", F.expr("sum(_n) OVER (PARTITION BY _part ORDER BY _v)")).join(F.broadcast(before), "_part").withColumn("_upto", F.col("_before") + F.col("_upto"))
-    passed = F.expr(f"_upto * {count} DIV _total > (_upto - _n) * {count} DIV _total AND (_upto - _n) * {count} DIV _total < {count - 1}")
-    return [r[0] for r in running.filter(passed).select("_v").collect()]
+    # quantile k is the value of row ceil(k * _total / count)
+    passed = F.expr(f"least(_upto * {count} DIV _total, {count - 1}) - least((_upto - _n) * {count} DIV _total, {count - 1})")
+    return [r[0] for r in running.select("_v", passed.alias("_k")).filter("_k > 0").collect() for _ in range(r[1])]
 
 
 def cell(value: Column, bounds: list, kind: str = "double") -> Column:
-    """How many bounds lie below the value."""
-    at = F.array(*[F.lit(b) for b in set(bounds)]).cast(f"array<{kind}>")
-    return F.coalesce(F.size(F.filter(at, lambda b: b < value)), F.lit(0)).cast("long")
+    """How many bounds lie below the value, so that the cells of a dimension with few values still reach over the whole range."""
+    distinct = sorted(set(bounds))
+    below = [sum(b < d for b in bounds) for d in distinct] + [len(bounds)]
+    passed = F.size(F.filter(F.array(*[F.lit(b) for b in distinct]).cast(f"array<{kind}>"), lambda b: b < value))
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in below]), F.when(value.isNotNull(), passed)), F.lit(0)).cast("long")
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -101,17 +104,31 @@ def curve_order(df: DataFrame, dimensions: list[str], key: str, bits: int = 6) -
     return ranked(df.withColumn("hilbert", hilbert_index(cells, bits)), ["hilbert", key, *rest])
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("lang", "source", "size"), bits: int = 6) -> DataFrame:
-    """A shard and slot for every document, by the law "rows": counts of shards differ by one at most."""
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+def assign_shards(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("lang", "source", "size"), bits: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A shard and slot for every document, by the law "rows": counts of shards differ by one at most.
+
+    docs must have the dimensions as columns, but for size, which is taken from the text. carry: columns that come along.
+    """
     named = [c for c in dimensions if c != "size"]
-    narrow = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *named)
+    if missing := [c for c in ("doc_id", "text", *named) if c not in docs.columns]:
+        raise ValueError(f"no column {missing[0]} to order documents by")
+    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    narrow = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *named, *carry)
     placed = curve_order(narrow, list(dimensions), "doc_id", bits).withColumn("shard", F.expr(f"(rank * {shards}) DIV _total").cast("int"))
     first = F.expr(f"(shard * _total + {shards - 1}) DIV {shards}")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
-
-
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes whole documents into a folder per shard, each in curve order."""
-    joined = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert", *carry)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, dimensions: tuple[str, ...] = ("lang", "source", "size"), bits: int = 6, file_rows: int = 100_000) -> None:
+    """Writes every row of docs, whole, into a folder per shard (shard_number=N), in curve order, in files of file_rows rows.
+
+    Rows are told apart by their place, so rows that share a doc_id, or have none, are written once each.
+    """
+    columns = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    # written once, so places stay
+    marked = stored(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()], F.monotonically_increasing_id().alias("_row")))
+    needed = ["doc_id", "text", *[c for c in dimensions if c != "size"]]
+    assigned = assign_shards(marked.select("_row", *[F.col(columns[c]).alias(c) for c in needed if c in columns]), shards, dimensions, bits, ("_row",))
+    joined = marked.join(assigned.select("_row", F.col("shard").alias("shard_number"), "slot"), "_row")
+    dealt = joined.repartition("shard_number", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard_number", "slot")
+    dealt.select(*[F.col(n).alias(c) for c, n in columns.items()], "shard_number").write.option("maxRecordsPerFile", file_rows).partitionBy("shard_number").parquet(path)

@@ -99,7 +99,7 @@ def line_fails(line: Column) -> Column:
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns clean (its text without failed lines), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    kept_chars, base_failed and kept; columns of these names are replaced."""
+    kept_chars, base_failed and kept; columns of these names are replaced (filter_documents and report keep a caller's)."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n")
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -120,12 +120,16 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The kept documents with their failed lines removed, in the columns of docs."""
-    kept = signals(docs, text).filter("kept")
+    """The kept documents with their failed lines removed, in the columns of docs, whatever their names; n_chars follows the text.
+
+    Null and blank texts, and short ones, go, since their base signals fail; repeated rows are judged each; an empty table stays empty.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    kept = signals(docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in own.items() if c != text])).filter("kept")
     out = {text: F.col("clean")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(F.col("clean")).cast(docs.schema["n_chars"].dataType)
-    return kept.select([out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        out["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return kept.select([out.get(c, F.col(n)).alias(c) for c, n in own.items()])
 
 
 def report(docs: DataFrame) -> DataFrame:
