@@ -180,15 +180,16 @@ class Encoder:
         if len(self.known) > CACHE:
             self._forget()
         get = self.known.get
-        found = [get(p, -1) for p in pieces]
-        if new := [p for p, i in zip(pieces, found) if i < 0]:
+        found = np.array([get(p, -1) for p in pieces], np.int64)
+        fresh = np.flatnonzero(found < 0)
+        if new := [pieces[i] for i in fresh.tolist()]:
             ids, each = self.encode_pieces(new)
             begin = len(self.flat) + np.concatenate(([0], np.cumsum(each)[:-1]))
             at = len(self.start)
             self.flat, self.start, self.size = np.concatenate((self.flat, ids)), np.concatenate((self.start, begin)), np.concatenate((self.size, each))
             self.known.update(zip(new, range(at, at + len(new))))
-            found = [get(p) for p in pieces]
-        return np.array(found, np.int64)
+            found[fresh] = np.arange(at, at + len(new))
+        return found
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct pre-tokens, one after another, and how many each has."""

@@ -35,7 +35,7 @@ SHARD_BYTES, TASK_BYTES = 4 << 20, 256 << 20
 LEAST = 4
 #: Times that places which lost to a neighbour strive again within a round.
 TRIES = 2
-_U = np.uint64
+_U, _ODD, _SLOTS = np.uint64, 0x9E3779B97F4A7C15, 20
 
 
 def _chosen(place: np.ndarray) -> np.ndarray:
@@ -44,22 +44,22 @@ def _chosen(place: np.ndarray) -> np.ndarray:
     return (np.arange(len(place)) - np.repeat(start, np.diff(np.append(start, len(place))))) % 2 == 0
 
 
-def _winners(place: np.ndarray, rank: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (ascending) that overlap no place of a better rank, and their kinds."""
+def _winners(place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (ascending) that overlap no place of a better rank, and their ranks."""
     won = []
     for _ in range(TRIES):
         touch = place[1:] == place[:-1] + 1
         take = np.ones(len(place), bool)
         take[1:] &= ~(touch & (rank[:-1] <= rank[1:]))
         take[:-1] &= ~(touch & (rank[1:] < rank[:-1]))
-        won.append((place[take], kind[take]))
+        won.append((place[take], rank[take]))
         rest = ~take
         rest[1:] &= ~(touch & take[:-1])
         rest[:-1] &= ~(touch & take[1:])
-        place, rank, kind = place[rest], rank[rest], kind[rest]
+        place, rank = place[rest], rank[rest]
         if not len(place):
             break
-    return np.concatenate([p for p, _ in won]), np.concatenate([k for _, k in won])
+    return np.concatenate([p for p, _ in won]), np.concatenate([r for _, r in won])
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,23 +69,31 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     # places whose pair may still stand LEAST times: a pair of old symbols never grows more frequent
     live = np.arange(max(len(seq) - 1, 0))
     while len(live):
-        left, right = seq[live], seq[live + 1]
-        table = pa.array(left.astype(_U) << _U(32) | right).dictionary_encode()
+        pair = seq[live].astype(_U) << _U(32) | seq[live + 1]
+        # a hash of few bits rules out most rare pairs; what it leaves is counted exactly
+        slot = ((pair * _U(_ODD)) >> _U(64 - _SLOTS)).astype(np.int32)
+        some = (np.bincount(slot, minlength=1 << _SLOTS) >= LEAST)[slot]
+        live, pair = live[some], pair[some]
+        table = pa.array(pair).dictionary_encode()
         kind, kinds = table.indices.to_numpy(), table.dictionary.to_numpy()
         # equal symbols in a row overlap themselves
         own = np.ones(len(live), bool)
-        if (double := left == right).any():
+        if (double := (pair >> _U(32)) == (pair & _U(0xFFFFFFFF))).any():
             own[double] = _chosen(live[double])
-        count = np.bincount(kind[own], minlength=len(kinds))
-        many = (count >= LEAST)[kind]
-        live, kind, own = live[many], kind[many], own[many]
-        if not len(live):
+        count = np.bincount(kind[own] if double.any() else kind, minlength=len(kinds))
+        frequent = np.flatnonzero(count >= LEAST)
+        if not len(frequent):
             break
         # the more frequent pair is better; a hash decides ties, since an order along the text would let one place of a row win at a time
-        order = np.lexsort(((kinds * _U(0xBF58476D1CE4E5B9)) >> _U(40), -count))
-        rank = np.empty(len(kinds), np.int64)
-        rank[order] = np.arange(len(kinds))
-        place, found = _winners(live[own], rank[kind[own]], kind[own])
+        order = np.argsort((-count[frequent] << 24) + ((kinds[frequent] * _U(_ODD)) >> _U(40)).astype(np.int64))
+        rank = np.full(len(kinds), -1, np.int32)
+        rank[frequent[order]] = np.arange(len(frequent), dtype=np.int32)
+        rank = rank[kind]
+        many = rank >= 0
+        live, rank, own = live[many], rank[many], own[many]
+        # from here a kind is its rank
+        kinds = kinds[frequent[order]]
+        place, found = _winners(live[own], rank[own])
         # the best pair loses nowhere, so a round replaces one pair at least
         good = np.bincount(found, minlength=len(kinds)) >= LEAST - 1
         used = good[found]
