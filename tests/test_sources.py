@@ -1,8 +1,14 @@
 import datetime
 import gzip
+import io
 import http.client
 import json
 import os
+import signal
+import subprocess
+import sys
+import threading
+import time
 import zlib
 
 import pytest
@@ -13,7 +19,7 @@ from tideline.engine import Engine
 from tideline.functions import timefn
 from tideline.operators.routing import classify_request, service_dir
 from tideline.sources import payloads, wire
-from tideline.sources.http import Front
+from tideline.sources.http import Front, read_body
 from tideline.sources.sinks import write_batch
 from tideline.streaming.stream import drain, flatten_stream, ingest_stream, rejected_stream
 
@@ -31,7 +37,7 @@ def test_service_folders(spark):
     ('"1e3"', None), ('" 1000000 "', "1970-01-01T00:00:00.001Z"), ('"253402300800000000000"', "+010000-01-01T00:00:00.000Z"), ('"-62198755200000000000"', "-000001-01-01T00:00:00.000Z"), ("null", None), ("true", None), ('"8640000000001000000000"', None),
 ])
 def test_timestamps(spark, raw, iso):
-    assert spark.range(1).select(timefn.iso(F.parse_json(F.lit(raw)))).first()[0] == iso
+    assert spark.createDataFrame([(raw,)], "raw string").select(F.parse_json("raw").alias("v")).selectExpr(timefn.iso("v")).first()[0] == iso
 
 
 def test_requests(spark):
@@ -91,7 +97,7 @@ def test_http_to_tables(spark, tmp_path):
     finally:
         front.stop()
         front.stop()
-    assert len(os.listdir(landing)) == 3
+    assert 1 <= len(os.listdir(landing)) <= 3
     ingest_stream(spark, landing, out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.text(f"{out}/services").count() == 2
     ingest_stream(spark, landing, out, str(tmp_path / "state")).awaitTermination()
@@ -140,3 +146,116 @@ def test_unreadable_lines_come_out_of_their_own_stream(spark, tmp_path):
         drain(rows.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "rejected")).collect()) == [("[", "Invalid JSON"), ("{]", "Invalid JSON")]
     assert spark.read.parquet(str(tmp_path / "read")).count() == 3
+
+
+def test_framing_of_bodies():
+    read = lambda raw, **head: read_body(io.BytesIO(raw), {k.replace("_", "-"): v for k, v in head.items()})
+    assert read(b"5;x=1\r\nabcde\r\nA\r\n0123456789\r\n0\r\nT: 1\r\n\r\nrest", Transfer_Encoding="Chunked") == b"abcde0123456789"
+    assert read(b"abc", Content_Length="2") == b"ab" and read(b"abc") == b""
+    for raw, head in ((b"zz\r\n", {"Transfer_Encoding": "chunked"}), (b"5\r\nab", {"Transfer_Encoding": "chunked"}), (b"2\r\nabc\r\n0\r\n\r\n", {"Transfer_Encoding": "chunked"}), (b"ab", {"Content_Length": "3"}), (b"ab", {"Content_Length": "-1"}), (b"ab", {"Content_Length": "x"}), (b"", {"Transfer_Encoding": "gzip"})):
+        with pytest.raises(Exception, match="Malformed request body|Unsupported Transfer-Encoding"):
+            read(raw, **head)
+
+
+def nested_json(levels):
+    value = '{"stringValue":"x"}'
+    for _ in range(levels):
+        value = '{"arrayValue":{"values":[' + value + "]}}"
+    return '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":' + value + "}]}]}]}"
+
+
+def nested_wire(levels):
+    def sized(tag, raw):
+        return bytes([tag]) + wire.write_varint(len(raw)) + raw
+
+    out = b"\x0a\x01x"
+    for _ in range(levels):
+        out = sized(0x2A, sized(0x0A, out))
+    for tag in (0x2A, 0x12, 0x12, 0x0A):
+        out = sized(tag, out)
+    return out
+
+
+def test_bodies_sent_in_chunks_or_too_deep_or_with_nan(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    front = Front(landing, 0, "127.0.0.1").start()
+    try:
+        def send(body, kind="application/json", connection=None, **head):
+            c = connection or http.client.HTTPConnection("127.0.0.1", front.port, timeout=30)
+            chunked = not isinstance(body, bytes)
+            c.request("POST", "/v1/logs", body, {"Content-Type": kind, **({"Transfer-Encoding": "chunked"} if chunked else {}), **head}, encode_chunked=chunked)
+            r = c.getresponse()
+            return r.status, r.read()
+
+        raw, pb = json.dumps(LOG).encode(), "application/x-protobuf"
+        one = http.client.HTTPConnection("127.0.0.1", front.port, timeout=30)
+        # the connection serves on after chunks and after a refusal
+        assert send(iter([raw[:9], raw[9:40], raw[40:]]), connection=one)[0] == 200
+        assert send(b"[", connection=one)[0] == 400
+        assert send(iter([wire.encode("logs", LOG)]), pb, connection=one) == (200, b"")
+        assert send(nested_json(300).encode())[0] == 200 and send(nested_wire(300), pb)[0] == 200
+        for body, kind in ((nested_json(1500).encode(), "application/json"), (b"[" * 100_000, "application/json"), (b'{"a":NaN}', "application/json"), (b"[-Infinity]", "application/json"), (nested_wire(1500), pb)):
+            status, answer = send(body, kind)
+            assert status == 400 and json.loads(answer)["code"] == 3
+        # requests that come in together are all landed before their answers
+        many = [threading.Thread(target=lambda: send(raw)) for _ in range(20)]
+        [t.start() for t in many]
+        [t.join() for t in many]
+    finally:
+        front.stop()
+    assert sum(spark.read.parquet(landing).groupBy().count().first()) == 24
+    ingest_stream(spark, landing, out, str(tmp_path / "state")).awaitTermination()
+    assert spark.read.text(f"{out}/services").count() == 24 and spark.read.schema("error string").json(f"{out}/rejected").count() == 0
+    bodies = [json.loads(r.value)["body"] for r in spark.read.text(f"{out}/services").collect()]
+    depth = lambda x: 1 + depth(x[0]) if isinstance(x, list) else 0
+    assert sorted(map(depth, bodies))[-2:] == [300, 300] and bodies.count("x") == 22
+
+
+def test_poison_is_rejected_one_by_one_and_a_new_checkpoint_replaces_nothing(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "signal string, contentType string, contentEncoding string, received_at timestamp, body binary"
+    at, js, pb = datetime.datetime(2024, 5, 1), "application/json", "application/x-protobuf"
+    bodies = [(js, json.dumps(LOG).encode()), (pb, nested_wire(1500)), (js, nested_json(1500).encode()), (pb, b"\xff\xff"), (js, b"{"), (pb, wire.encode("logs", LOG))]
+    for day in ("a", "b"):
+        rows = [("logs", kind, None, at, body) for kind, body in bodies] + [("other", pb, None, at, b"x")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / day))
+        ingest_stream(spark, str(tmp_path / day), out, str(tmp_path / f"state-{day}")).awaitTermination()
+    assert spark.read.text(f"{out}/services").count() == 4 and spark.read.text(f"{out}/logs-by-service").count() == 4
+    assert sorted(r.error for r in spark.read.schema("error string").json(f"{out}/rejected").collect()) == ["Invalid JSON"] * 4 + ["Invalid protobuf"] * 6
+    assert len(os.listdir(f"{out}/services")) == 2 + sum(not f.startswith("batch=") for f in os.listdir(f"{out}/services"))
+
+
+def test_engine_starts_once_stops_any_time_and_frees_its_port(spark, tmp_path):
+    idle = Engine(spark, 0, str(tmp_path / "idle"))
+    idle.stop()
+    engine = Engine(spark, 0, str(tmp_path / "out"), seconds=0.2).start()
+    port = engine.front.port
+    assert engine.start() is engine and engine.front.port == port
+    with pytest.raises(OSError):
+        Engine(spark, port, str(tmp_path / "taken")).start()
+    engine.stop()
+    engine.stop()
+    again = Engine(spark, port, str(tmp_path / "out"), seconds=0.2).start()
+    again.stop()
+    assert Engine(spark).output == "./otel-data" and Engine(spark).front.port == 4318
+    engine.views(batch(spark, LOG))
+    assert spark.sql("SELECT body FROM logs").count() == 1
+
+
+@pytest.mark.parametrize("name", ["SIGINT", "SIGTERM"])
+def test_cli_serves_until_a_signal(tmp_path, name):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": root, "TIDELINE_OUTPUT_DIR": str(tmp_path / "out"), "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell"}
+    run = subprocess.Popen([sys.executable, "-m", "tideline.cli", "--port", "0"], env=env, cwd=tmp_path, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True)
+    try:
+        began, line = time.time(), ""
+        while not line.startswith("listening") and time.time() < began + 100:
+            line = run.stdout.readline()
+        c = http.client.HTTPConnection("127.0.0.1", int(line.split()[2].strip(",")), timeout=30)
+        c.request("POST", "/v1/logs", json.dumps(LOG), {"Content-Type": "application/json"})
+        assert c.getresponse().status == 200
+        run.send_signal(getattr(signal, name))
+        assert run.wait(100) == 0
+    finally:
+        run.kill()
+    lines = [line for d, _, names in os.walk(tmp_path / "out" / "services") for f in names if f.startswith("part-") for line in open(os.path.join(d, f))]
+    assert [json.loads(x)["serviceName"] for x in lines] == [".."]

@@ -16,9 +16,10 @@ from .engine import Engine
 def main(argv: list[str] | None = None) -> int:
     chosen = options(sys.argv[1:] if argv is None else argv, os.environ)
     done = threading.Event()
+    spark = SparkSession.builder.appName("tideline").getOrCreate()
+    # a session puts in a handler of its own, so these come after it
     for name in (signal.SIGINT, signal.SIGTERM):
         signal.signal(name, lambda *_: done.set())
-    spark = SparkSession.builder.appName("tideline").getOrCreate()
     engine = Engine(spark, chosen.port, chosen.output).start()
     print(f"listening on {engine.front.port}, writing to {chosen.output}", flush=True)
     done.wait()

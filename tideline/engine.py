@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from .config import DEFAULT_OUTPUT, DEFAULT_PORT
 from .operators.flatten import FLATTEN
 from .session import configure
-from .sources.http import Front
+from .sources.http import Front, hadoop_folder
 from .sources.sinks import write_batch
 from .streaming.stream import LANDED, ingest_stream
 
@@ -19,13 +17,17 @@ class Engine:
     def __init__(self, spark: SparkSession, port: int | None = None, output: str | None = None, *, seconds: float = 5.0, logs_mirror: bool = True):
         self.spark, self.output, self.seconds, self.logs_mirror = configure(spark), output or DEFAULT_OUTPUT, seconds, logs_mirror
         self.landing = f"{self.output.rstrip('/')}/_landing"
-        self.front = Front(self.landing, DEFAULT_PORT if port is None else port)
+        self.front = Front(self.landing, DEFAULT_PORT if port is None else port, save=hadoop_folder(spark, self.landing))
         self.query: StreamingQuery | None = None
 
     def start(self) -> Engine:
-        os.makedirs(self.landing, exist_ok=True)
+        """Listens, then streams; does nothing if it runs. If the port is taken nothing has begun."""
+        if self.query:
+            return self
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.landing)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
         self.front.start()
-        self.query = ingest_stream(self.spark, self.landing, self.output, f"{self.output.rstrip('/')}/_checkpoint", seconds=self.seconds, logs_mirror=self.logs_mirror)
+        self.query = ingest_stream(self.spark, self.landing, self.output, f"{self.output.rstrip('/')}/_checkpoint", seconds=self.seconds, logs_mirror=self.logs_mirror, clean=True)
         return self
 
     def stop(self) -> None:

@@ -1,111 +1,112 @@
-"""Coercions from VARIANT values. A value is omitted (SQL NULL), an explicit null (variant null) or present.
+"""Coercions from VARIANT values, as SQL text: a function takes the text of an expression and gives the text of another.
 
-`try_variant_get` converts freely between types, so each coercion asks for the stored type first.
+A flattener is some thousand nested calls; as text it reaches the JVM in one piece and is parsed there, where building it call by
+call takes seconds, in every micro-batch. Column objects come from `functions.expr`.
+
+A value is omitted (SQL NULL), an explicit null (variant null) or present. `try_variant_get` converts freely between types, so
+each coercion asks for the stored type first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
 #: Levels of arrays and maps inside a value that expressions unfold; sources.payloads.finish folds what lies deeper.
 DEPTH = 1
 #: Key under which sources.payloads leaves a finished deep value.
 DONE = "tidelineDone"
+NULL = "parse_json('null')"
+_fresh = count()
 
 
-def field(value: Column, name: str) -> Column:
-    """A field of an object; NULL if absent, variant null if it is a JSON null."""
-    return F.try_variant_get(value, f"$['{name}']" if "." in name else f"$.{name}", "variant")
+def each(items: str, use: Callable[[str], str]) -> str:
+    """use of every element of an array."""
+    x = f"x{next(_fresh)}"
+    return f"transform({items}, {x} -> {use(x)})"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: str, use: Callable[[str], str]) -> str:
     """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return f"get({each(f'array({value})', use)}, 0)"
 
 
-def shape(value: Column, *names: str) -> Column:
-    """Fields of an object, read in one pass, as a struct of VARIANTs; absent ones are NULL. NULL for anything but an object."""
-    return F.try_variant_get(value, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+def record(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def has(value: Column, name: str) -> Column:
-    return field(value, name).isNotNull()
+def get(value: str, kind: str, path: str = "$") -> str:
+    return f"try_variant_get({value}, '{path}', '{kind}')"
 
 
-def null_variant() -> Column:
-    return F.parse_json(F.lit("null"))
+def field(value: str, name: str) -> str:
+    """A field of an object; NULL if absent, variant null if it is a JSON null."""
+    return get(value, "variant", f"$.{name}")
 
 
-def kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def shape(value: str, *names: str) -> str:
+    """Fields of an object, read in one pass, as a struct of VARIANTs; absent ones are NULL. NULL for anything but an object."""
+    return get(value, "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
-def is_text(value: Column) -> Column:
-    return kind(value) == "STRING"
+def kind(value: str) -> str:
+    return f"schema_of_variant({value})"
 
 
-def is_number(value: Column) -> Column:
-    """A finite number."""
-    number = kind(value).isin("BIGINT", "DOUBLE", "FLOAT") | kind(value).startswith("DECIMAL")
-    return number & (F.abs(F.try_variant_get(value, "$", "double")) < float("inf"))
+def is_text(value: str) -> str:
+    return f"({kind(value)} = 'STRING')"
 
 
-def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+def is_number(value: str) -> str:
+    """A finite number."""
+    return f"(left({kind(value)}, 3) IN ('BIG', 'DOU', 'FLO', 'DEC') AND abs({get(value, 'double')}) < double('infinity'))"
 
 
-def any_text(value: Column) -> Column:
+def any_text(value: str) -> str:
     """A string, the empty one too."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+    return f"CASE WHEN {is_text(value)} THEN {get(value, 'string')} END"
 
 
-def text(value: Column) -> Column:
+def text(value: str) -> str:
     """A non-empty string."""
-    return F.nullif(any_text(value), F.lit(""))
+    return f"nullif({any_text(value)}, '')"
 
 
-def number(value: Column) -> Column:
+def number(value: str) -> str:
     """A finite number as double."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    return f"CASE WHEN {is_number(value)} THEN {get(value, 'double')} END"
 
 
-def integer(value: Column) -> Column:
+def integer(value: str) -> str:
     """A whole number as bigint; fractions, which no integer column of the protocol has, are omitted."""
-    x = number(value)
-    return F.when(x == F.floor(x), F.try_variant_get(value, "$", "bigint"))
+    x = get(value, "double")
+    return f"CASE WHEN {is_number(value)} AND {x} = floor({x}) THEN {get(value, 'bigint')} END"
 
 
-def number_like(value: Column) -> Column:
+def number_like(value: str) -> str:
     """A finite number or a non-empty string, unchanged."""
-    return F.when(is_number(value) | text(value).isNotNull(), value)
+    return f"CASE WHEN {is_text(value)} THEN CASE WHEN {get(value, 'string')} <> '' THEN {value} END WHEN {is_number(value)} THEN {value} END"
 
 
-def boolean(value: Column) -> Column:
-    return F.when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+def boolean(value: str) -> str:
+    return f"CASE WHEN {kind(value)} = 'BOOLEAN' THEN {get(value, 'boolean')} END"
 
 
-def array(value: Column) -> Column:
+def array(value: str) -> str:
     """The elements of an array; NULL for anything else."""
-    return F.try_variant_get(value, "$", "array<variant>")
+    return get(value, "array<variant>")
 
 
-def elements(value: Column) -> Column:
+def elements(value: str) -> str:
     """The elements of an array; none for anything else."""
-    return F.coalesce(array(value), F.array().cast("array<variant>"))
+    return f"coalesce({array(value)}, CAST(array() AS ARRAY<VARIANT>))"
 
 
-def truth(value: Column) -> Column:
+def truth(value: str) -> str:
     """Whether a script would take the value for true."""
-    k = kind(value)
     return (
-        F.when(k == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(k == "STRING", F.length(F.try_variant_get(value, "$", "string")) > 0)
-        .when(k == "VOID", F.lit(False))
-        .when(k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"), F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(F.lit(True))
+        f"CASE WHEN {kind(value)} = 'BOOLEAN' THEN {get(value, 'boolean')} WHEN {is_text(value)} THEN {get(value, 'string')} <> '' WHEN {kind(value)} = 'VOID' THEN false"
+        f" WHEN left({kind(value)}, 3) IN ('BIG', 'DOU', 'FLO', 'DEC') THEN {get(value, 'double')} <> 0 ELSE true END"
     )
 
 
@@ -113,41 +114,36 @@ def truth(value: Column) -> Column:
 TAGS = ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue")
 
 
-def any_value(value: Column, depth: int = DEPTH) -> Column:
+def any_value(value: str, depth: int = DEPTH) -> str:
     """The plain VARIANT of a tagged value. The first tag present decides, whatever it holds."""
 
-    def tagged(s: Column) -> Column:
-        string, flag, whole, double, raw = (s[t] for t in TAGS[:5])
-        done = s[DONE]
+    def tagged(s: str) -> str:
+        string, flag, whole, double, raw, many, named = (f"{s}.{t}" for t in TAGS)
+        done = NULL if depth else f"{s}.{DONE}"
+        as_array = as_map = done
         if depth:
-            done = null_variant()
-            as_array = F.transform(elements(field(s["arrayValue"], "values")), lambda x: F.coalesce(any_value(x, depth - 1), null_variant())).cast("variant")
-            as_map = F.to_variant_object(entries_to_map(elements(field(s["kvlistValue"], "values")), depth - 1))
-        else:
-            as_array = as_map = done
+            as_array = f"CAST({each(elements(field(many, 'values')), lambda x: f'coalesce({any_value(x, depth - 1)}, {NULL})')} AS VARIANT)"
+            as_map = f"to_variant_object({entries_to_map(elements(field(named, 'values')), depth - 1)})"
         return (
-            F.when(value.isNull(), null_variant())
-            .when(s.isNull(), value)
-            .when(string.isNotNull(), F.when(is_text(string), string))
-            .when(flag.isNotNull(), truth(flag).cast("variant"))
-            .when(whole.isNotNull(), number_like(whole))
-            .when(double.isNotNull(), F.when(is_number(double), double))
-            .when(raw.isNotNull(), F.when(is_text(raw), raw))
-            .when(s["arrayValue"].isNotNull(), as_array)
-            .when(s["kvlistValue"].isNotNull(), as_map)
-            .otherwise(done)
+            f"CASE WHEN {value} IS NULL THEN {NULL} WHEN {s} IS NULL THEN {value}"
+            f" WHEN {string} IS NOT NULL THEN CASE WHEN {is_text(string)} THEN {string} END"
+            f" WHEN {flag} IS NOT NULL THEN CAST({truth(flag)} AS VARIANT)"
+            f" WHEN {whole} IS NOT NULL THEN {number_like(whole)}"
+            f" WHEN {double} IS NOT NULL THEN CASE WHEN {is_number(double)} THEN {double} END"
+            f" WHEN {raw} IS NOT NULL THEN CASE WHEN {is_text(raw)} THEN {raw} END"
+            f" WHEN {many} IS NOT NULL THEN {as_array} WHEN {named} IS NOT NULL THEN {as_map} ELSE {done} END"
         )
 
     return let(shape(value, *TAGS, DONE), tagged)
 
 
-def entries_to_map(entries: Column, depth: int = DEPTH) -> Column:
+def entries_to_map(entries: str, depth: int = DEPTH) -> str:
     """A map of key-value entries: entries without a non-empty key are skipped, the last of a key holds, omitted values go."""
-    shaped = F.transform(entries, lambda e: let(shape(e, "key", "value"), lambda s: F.struct(text(s["key"]).alias("key"), s["value"].alias("value"))))
-    pairs = F.transform(F.filter(shaped, lambda s: s["key"].isNotNull()), lambda s: F.struct(s["key"], any_value(s["value"], depth)))
-    return F.map_filter(F.map_from_entries(pairs), lambda _, v: v.isNotNull())
+    shaped = each(entries, lambda e: let(shape(e, "key", "value"), lambda s: record(key=text(f"{s}.key"), value=f"{s}.value")))
+    pairs = each(f"filter({shaped}, e -> e.key IS NOT NULL)", lambda s: record(key=f"{s}.key", value=any_value(f"{s}.value", depth)))
+    return f"map_filter(map_from_entries({pairs}), (k, v) -> v IS NOT NULL)"
 
 
-def attributes(value: Column) -> Column:
+def attributes(value: str) -> str:
     """The attribute map of a key-value array; empty for anything else."""
     return entries_to_map(elements(value))

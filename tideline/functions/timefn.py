@@ -1,47 +1,52 @@
-"""Timestamps and durations from nanosecond counts given as strings or whole numbers."""
+"""Timestamps and durations from nanosecond counts given as strings or whole numbers; SQL text like coerce."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .coerce import is_number, is_text
+from .coerce import get, is_number, is_text, let
 
 #: Milliseconds either side of 1970 that a date can express, in nanoseconds.
 LIMIT = 8_640_000_000_000_000 * 1_000_000 + 999_999
-_SPACE = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]+"
+SPACE = r"[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}\p{Zs}]+"
+_COUNT = "DECIMAL(38,0)"
 
 
-def nanos(value: Column) -> Column:
+def nanos(value: str) -> str:
     """The count as decimal(38,0). Strings are whole numbers with sign and surrounding space, empty ones 0; numbers pass through double."""
-    raw = F.regexp_replace(F.try_variant_get(value, "$", "string"), f"^{_SPACE}|{_SPACE}$", "")
-    from_text = F.when(raw == "", F.lit(0).cast("decimal(38,0)")).when(raw.rlike(r"^[+-]?[0-9]{1,38}$"), raw.try_cast("decimal(38,0)"))
-    double = F.try_variant_get(value, "$", "double")
-    return F.when(is_text(value), from_text).when(is_number(value) & (double == F.floor(double)), double.try_cast("decimal(38,0)"))
+    raw, double = get(value, "string"), get(value, "double")
+    # most counts are plain digits
+    odd = let(f"regexp_replace({raw}, r'^{SPACE}|{SPACE}$', '')", lambda s: f"CASE WHEN {s} = '' THEN CAST(0 AS {_COUNT}) WHEN {s} RLIKE r'^[+-]?[0-9]{{1,38}}$' THEN try_cast({s} AS {_COUNT}) END")
+    return (
+        f"CASE WHEN {is_text(value)} THEN CASE WHEN {raw} RLIKE '^[0-9]{{1,19}}$' THEN CAST({raw} AS {_COUNT}) ELSE {odd} END"
+        f" WHEN {is_number(value)} AND {double} = floor({double}) THEN try_cast({double} AS {_COUNT}) END"
+    )
 
 
-def millis(value: Column) -> Column:
-    """Whole milliseconds, cut toward zero; NULL beyond what a date can express."""
-    n = nanos(value)
+def millis_of(count: str) -> str:
+    """Whole milliseconds of a count, cut toward zero; NULL beyond what a date can express."""
     # DIV wraps beyond bigint, so the range is checked before
-    inside = F.when(F.abs(n) <= F.lit(str(LIMIT)).cast("decimal(38,0)"), n)
-    return F.call_function("div", inside, F.lit(1_000_000).cast("decimal(38,0)"))
+    return f"(CASE WHEN abs({count}) <= CAST('{LIMIT}' AS {_COUNT}) THEN {count} END DIV CAST(1000000 AS {_COUNT}))"
+
+
+def iso_of(count: str) -> str:
+    """YYYY-MM-DDTHH:mm:ss.sssZ in UTC of a count; years outside 0 to 9999 have a sign and six digits."""
+
+    def shown(t: str) -> str:
+        rest = f"date_format({t}, \"-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+        odd = f"concat(CASE WHEN year({t}) BETWEEN 0 AND 9999 THEN lpad(CAST(year({t}) AS STRING), 4, '0') ELSE concat(CASE WHEN year({t}) < 0 THEN '-' ELSE '+' END, lpad(CAST(abs(year({t})) AS STRING), 6, '0')) END, {rest})"
+        return f"CASE WHEN year({t}) BETWEEN 1 AND 9999 THEN date_format({t}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") ELSE {odd} END"
+
+    return let(f"timestamp_millis({millis_of(count)})", shown)
 
 
-def timestamp(value: Column) -> Column:
-    return F.timestamp_millis(millis(value))
+def iso(value: str) -> str:
+    return let(nanos(value), iso_of)
 
 
-def iso(value: Column) -> Column:
-    """YYYY-MM-DDTHH:mm:ss.sssZ in UTC; years outside 0 to 9999 have a sign and six digits."""
-    t = timestamp(value)
-    year = F.year(t)
-    rest = F.date_format(t, "-MM-dd'T'HH:mm:ss.SSS'Z'")
-    wide = F.concat(F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0"))
-    return F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(wide), rest)
+def duration_of(start: str, end: str) -> str:
+    """Milliseconds between two counts with their fraction; omitted if either is missing or the end comes first."""
+    span = f"try_subtract({end}, {start})"
+    return f"CASE WHEN {span} >= 0 THEN CAST({span} AS DOUBLE) / 1e6 END"
 
 
-def duration_ms(start: Column, end: Column) -> Column:
-    """Milliseconds from start to end with their fraction; omitted if either is missing or the end comes first."""
-    span = F.try_subtract(nanos(end), nanos(start))
-    return F.when(span >= 0, span.cast("double") / 1e6)
+def duration_ms(start: str, end: str) -> str:
+    return let(nanos(start), lambda a: let(nanos(end), lambda b: duration_of(a, b)))

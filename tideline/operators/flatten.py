@@ -9,40 +9,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import timefn
-from ..functions.coerce import any_value, array, attributes, boolean, elements, field, integer, is_object, let, number, number_like, shape, text
+from ..functions.coerce import any_value, array, attributes, boolean, each, elements, field, integer, let, number, number_like, record, shape, text
+from ..functions.timefn import duration_of, iso, iso_of, nanos
 from ..sources.payloads import finish
 
 UNKNOWN_SERVICE = "_unknown"
 
 
-def _service(resource: Column) -> Column:
-    value = F.try_element_at(resource, F.lit("service.name"))
-    return F.coalesce(text(value), F.lit(UNKNOWN_SERVICE))
+def _named(**columns: str) -> list[str]:
+    return [f"{value} AS `{name}`" for name, value in columns.items()]
 
 
-def _scope(scope: Column) -> Column:
-    return let(shape(scope, "name", "version", "attributes"), lambda s: F.struct(text(s["name"]).alias("name"), text(s["version"]).alias("version"), attributes(s["attributes"]).alias("attributes")))
+def _quoted(df: DataFrame, *left_out: str) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c not in left_out]
 
 
-def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...]) -> DataFrame:
-    """The leaves' fields (_x) with resource, serviceName and scope beside them, and their place as resourceIndex, scopeIndex and leafIndex."""
-    kept = [c for c in df.columns if c != "payload"]
-    outer = finish(df).select(*kept, F.posexplode(elements(field(F.col("payload"), top))).alias("resourceIndex", "_r"))
-    outer = outer.select(*kept, "resourceIndex", shape(F.col("_r"), "resource", middle).alias("_r"))
-    outer = outer.select(*kept, "resourceIndex", attributes(field(F.col("_r.resource"), "attributes")).alias("resource"), elements(F.col(f"_r.{middle}")).alias("_scopes"))
-    inner = outer.select(*kept, "resourceIndex", _service(F.col("resource")).alias("serviceName"), "resource", F.posexplode("_scopes").alias("scopeIndex", "_s"))
-    inner = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", shape(F.col("_s"), "scope", leaf).alias("_s"))
-    inner = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", _scope(F.col("_s.scope")).alias("scope"), elements(F.col(f"_s.{leaf}")).alias("_leaves"))
-    rows = inner.select(*kept, "resourceIndex", "scopeIndex", "serviceName", "resource", "scope", F.posexplode("_leaves").alias("leafIndex", "_leaf"))
-    return rows.withColumn("_x", shape(F.col("_leaf"), *fields)).drop("_leaf")
+def _scope(scope: str) -> str:
+    return let(shape(scope, "name", "version", "attributes"), lambda s: record(name=text(f"{s}.name"), version=text(f"{s}.version"), attributes=attributes(f"{s}.attributes")))
+
+
+def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...], times: dict[str, str]) -> DataFrame:
+    """The leaves' fields (_x) with resource, serviceName and scope beside them, their place as resourceIndex, scopeIndex and leafIndex, and counts of nanoseconds (times: name and field)."""
+    kept = _quoted(df, "payload")
+    outer = finish(df).selectExpr(*kept, f"posexplode({elements(field('payload', top))}) AS (resourceIndex, _r)")
+    outer = outer.selectExpr(*kept, "resourceIndex", f"{shape('_r', 'resource', middle)} AS _r")
+    outer = outer.selectExpr(*kept, "resourceIndex", f"{attributes(field('_r.resource', 'attributes'))} AS resource", f"{elements(f'_r.{middle}')} AS _scopes")
+    service = f"""coalesce({text("try_element_at(resource, 'service.name')")}, '{UNKNOWN_SERVICE}')"""
+    inner = outer.selectExpr(*kept, "resourceIndex", f"{service} AS serviceName", "resource", "posexplode(_scopes) AS (scopeIndex, _s)")
+    kept += ["resourceIndex", "scopeIndex", "serviceName", "resource"]
+    inner = inner.selectExpr(*kept, f"{shape('_s', 'scope', leaf)} AS _s")
+    inner = inner.selectExpr(*kept, f"{_scope('_s.scope')} AS scope", f"{elements(f'_s.{leaf}')} AS _leaves")
+    rows = inner.selectExpr(*kept, "scope", "posexplode(_leaves) AS (leafIndex, _leaf)").selectExpr(*kept, "scope", "leafIndex", f"{shape('_leaf', *fields)} AS _x")
+    return rows.selectExpr("*", *_named(**{name: nanos(f"_x.{source}") for name, source in times.items()})) if times else rows
 
 
 def _place(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("payload", "serviceName", "resource", "scope", "_x")]
+    return [f"`{c}`" for c in df.columns if c not in ("serviceName", "resource", "scope", "_x") and not c.startswith("_nanos")]
 
 
 #: Fields read of a log record and of a span.
@@ -50,50 +54,53 @@ LOG = ("timeUnixNano", "observedTimeUnixNano", "severityNumber", "severityText",
 SPAN = ("traceId", "spanId", "parentSpanId", "name", "kind", "traceState", "flags", "startTimeUnixNano", "endTimeUnixNano", "status", "droppedAttributesCount", "droppedEventsCount", "droppedLinksCount", "attributes", "events", "links")
 
 
+def _each(value: str, fields: tuple[str, ...], use: Callable[[str], str]) -> str:
+    return each(elements(value), lambda x: let(shape(x, *fields), use))
+
+
+def _same(s: str, read: Callable[[str], str], *names: str) -> dict[str, str]:
+    """Fields of a struct under their own names."""
+    return {n: read(f"{s}.{n}") for n in names}
+
+
 def flatten_logs(payloads: DataFrame) -> DataFrame:
-    df, x = _leaves(payloads, "resourceLogs", "scopeLogs", "logRecords", LOG), F.col("_x")
-    return df.select(
+    df = _leaves(payloads, "resourceLogs", "scopeLogs", "logRecords", LOG, {"_nanos": "timeUnixNano", "_nanos_observed": "observedTimeUnixNano"})
+    return df.selectExpr(
         *_place(df), "serviceName",
-        timefn.iso(x["timeUnixNano"]).alias("timestamp"), timefn.iso(x["observedTimeUnixNano"]).alias("observedTimestamp"),
-        integer(x["severityNumber"]).alias("severityNumber"), text(x["severityText"]).alias("severityText"),
-        any_value(x["body"]).alias("body"),
-        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"),
-        integer(x["flags"]).alias("flags"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"),
-        "resource", "scope", attributes(x["attributes"]).alias("attributes"),
+        *_named(
+            timestamp=iso_of("_nanos"), observedTimestamp=iso_of("_nanos_observed"), severityNumber=integer("_x.severityNumber"), severityText=text("_x.severityText"), body=any_value("_x.body"),
+            **_same("_x", text, "traceId", "spanId"), **_same("_x", integer, "flags", "droppedAttributesCount"),
+        ),
+        "resource", "scope", *_named(attributes=attributes("_x.attributes")),
     )
 
 
-def _each(value: Column, fields: tuple[str, ...], use: Callable[[Column], Column]) -> Column:
-    return F.transform(elements(value), lambda x: let(shape(x, *fields), use))
-
+def _status(value: str) -> str:
+    return let(shape(value, "code", "message"), lambda s: f"CASE WHEN {s} IS NOT NULL THEN {record(code=integer(f'{s}.code'), message=text(f'{s}.message'))} END")
 
-def _status(value: Column) -> Column:
-    return F.when(is_object(value), F.struct(integer(field(value, "code")).alias("code"), text(field(value, "message")).alias("message")))
 
+def _event(x: str) -> str:
+    return record(timestamp=iso(f"{x}.timeUnixNano"), name=text(f"{x}.name"), droppedAttributesCount=integer(f"{x}.droppedAttributesCount"), attributes=attributes(f"{x}.attributes"))
 
-def _event(x: Column) -> Column:
-    return F.struct(timefn.iso(x["timeUnixNano"]).alias("timestamp"), text(x["name"]).alias("name"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"), attributes(x["attributes"]).alias("attributes"))
 
-
-def _link(x: Column) -> Column:
-    return F.struct(
-        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"), text(x["traceState"]).alias("traceState"),
-        integer(x["flags"]).alias("flags"), integer(x["droppedAttributesCount"]).alias("droppedAttributesCount"), attributes(x["attributes"]).alias("attributes"),
-    )
+def _link(x: str) -> str:
+    return record(**_same(x, text, "traceId", "spanId", "traceState"), **_same(x, integer, "flags", "droppedAttributesCount"), attributes=attributes(f"{x}.attributes"))
 
 
 def flatten_traces(payloads: DataFrame) -> DataFrame:
-    df, x = _leaves(payloads, "resourceSpans", "scopeSpans", "spans", SPAN), F.col("_x")
-    start, end = x["startTimeUnixNano"], x["endTimeUnixNano"]
-    return df.select(
+    df = _leaves(payloads, "resourceSpans", "scopeSpans", "spans", SPAN, {"_nanos": "startTimeUnixNano", "_nanos_end": "endTimeUnixNano"})
+    return df.selectExpr(
         *_place(df), "serviceName",
-        *[text(x[c]).alias(c) for c in ("traceId", "spanId", "parentSpanId", "name")],
-        integer(x["kind"]).alias("kind"), text(x["traceState"]).alias("traceState"), integer(x["flags"]).alias("flags"),
-        timefn.iso(start).alias("startTimestamp"), timefn.iso(end).alias("endTimestamp"), timefn.duration_ms(start, end).alias("durationMs"),
-        _status(x["status"]).alias("status"),
-        *[integer(x[c]).alias(c) for c in ("droppedAttributesCount", "droppedEventsCount", "droppedLinksCount")],
-        "resource", "scope", attributes(x["attributes"]).alias("attributes"),
-        _each(x["events"], ("timeUnixNano", "name", "droppedAttributesCount", "attributes"), _event).alias("events"), _each(x["links"], ("traceId", "spanId", "traceState", "flags", "droppedAttributesCount", "attributes"), _link).alias("links"),
+        *_named(
+            **_same("_x", text, "traceId", "spanId", "parentSpanId", "name"), kind=integer("_x.kind"), traceState=text("_x.traceState"), flags=integer("_x.flags"),
+            startTimestamp=iso_of("_nanos"), endTimestamp=iso_of("_nanos_end"), durationMs=duration_of("_nanos", "_nanos_end"), status=_status("_x.status"),
+            **_same("_x", integer, "droppedAttributesCount", "droppedEventsCount", "droppedLinksCount"),
+        ),
+        "resource", "scope",
+        *_named(
+            attributes=attributes("_x.attributes"), events=_each("_x.events", ("timeUnixNano", "name", "droppedAttributesCount", "attributes"), _event),
+            links=_each("_x.links", ("traceId", "spanId", "traceState", "flags", "droppedAttributesCount", "attributes"), _link),
+        ),
     )
 
 
@@ -103,60 +110,57 @@ POINT = ("startTimeUnixNano", "timeUnixNano", "flags", "asDouble", "asInt", "cou
 KINDS = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
 
 
-def _value_type(x: Column) -> Column:
-    return F.when(x["asDouble"].isNotNull(), "double").when(x["asInt"].isNotNull(), "int")
+def _value_type(x: str) -> str:
+    return f"CASE WHEN {x}.asDouble IS NOT NULL THEN 'double' WHEN {x}.asInt IS NOT NULL THEN 'int' END"
 
 
-def _exemplar(x: Column) -> Column:
-    double = F.when(number(x["asDouble"]).isNotNull(), x["asDouble"])
-    return F.struct(
-        timefn.iso(x["timeUnixNano"]).alias("timestamp"), F.coalesce(double, number_like(x["asInt"])).alias("value"), _value_type(x).alias("valueType"),
-        text(x["traceId"]).alias("traceId"), text(x["spanId"]).alias("spanId"), attributes(x["filteredAttributes"]).alias("filteredAttributes"),
-    )
+def _exemplar(x: str) -> str:
+    double = f"CASE WHEN {number(f'{x}.asDouble')} IS NOT NULL THEN {x}.asDouble END"
+    return record(timestamp=iso(f"{x}.timeUnixNano"), value=f"coalesce({double}, {number_like(f'{x}.asInt')})", valueType=_value_type(x), **_same(x, text, "traceId", "spanId"), filteredAttributes=attributes(f"{x}.filteredAttributes"))
 
 
-def _buckets(value: Column) -> Column:
-    return F.when(is_object(value), F.struct(integer(field(value, "offset")).alias("offset"), array(field(value, "bucketCounts")).alias("bucketCounts")))
+def _buckets(value: str) -> str:
+    return let(shape(value, "offset", "bucketCounts"), lambda s: f"CASE WHEN {s} IS NOT NULL THEN {record(offset=integer(f'{s}.offset'), bucketCounts=array(f'{s}.bucketCounts'))} END")
 
 
-def _quantile(x: Column) -> Column:
-    return F.struct(number(x["quantile"]).alias("quantile"), number(x["value"]).alias("value"))
+def _quantile(x: str) -> str:
+    return record(**_same(x, number, "quantile", "value"))
 
 
 def flatten_metrics(payloads: DataFrame) -> DataFrame:
     """One superset of columns for all kinds; columns that a kind lacks are NULL."""
-    df, x = _leaves(payloads, "resourceMetrics", "scopeMetrics", "metrics", ("name", "description", "unit", "metadata", *KINDS)), F.col("_x")
+    df = _leaves(payloads, "resourceMetrics", "scopeMetrics", "metrics", ("name", "description", "unit", "metadata", *KINDS), {})
 
-    def points(kind: str) -> Column:
-        def of_holder(h: Column) -> Column:
-            shared = [F.lit(kind).alias("kind"), integer(h["aggregationTemporality"]).alias("temporality"), boolean(h["isMonotonic"]).alias("monotonic")]
-            return F.transform(elements(h["dataPoints"]), lambda p: F.struct(*shared, p.alias("point")))
+    def points(kind: str) -> str:
+        def of_holder(h: str) -> str:
+            shared = {"kind": f"'{kind}'", "temporality": integer(f"{h}.aggregationTemporality"), "monotonic": boolean(f"{h}.isMonotonic")}
+            return each(elements(f"{h}.dataPoints"), lambda p: record(**shared, point=p))
 
-        return let(shape(x[kind], "dataPoints", "aggregationTemporality", "isMonotonic"), of_holder)
+        return let(shape(f"_x.{kind}", "dataPoints", "aggregationTemporality", "isMonotonic"), of_holder)
 
-    base = df.select(
-        *_place(df), "serviceName", text(x["name"]).alias("metricName"), text(x["description"]).alias("description"), text(x["unit"]).alias("unit"),
-        "resource", "scope", attributes(x["metadata"]).alias("metadata"), F.concat(*[points(k) for k in KINDS]).alias("_points"),
+    base = df.selectExpr(
+        *_place(df), "serviceName", *_named(metricName=text("_x.name"), description=text("_x.description"), unit=text("_x.unit")), "resource", "scope",
+        *_named(metadata=attributes("_x.metadata"), _points=f"concat({', '.join(map(points, KINDS))})"),
     )
-    kept = [c for c in base.columns if c != "_points"]
-    rows = base.select(*kept, F.posexplode("_points").alias("pointIndex", "_p")).select(*kept, "pointIndex", F.col("_p.kind").alias("metricType"), F.col("_p.temporality").alias("_t"), F.col("_p.monotonic").alias("_m"), shape(F.col("_p.point"), *POINT).alias("_point"))
-    p, kind = F.col("_point"), F.col("metricType")
-    of = lambda kinds, value: F.when(kind.isin(*kinds), value)
+    kept = _quoted(base, "_points")
+    rows = base.selectExpr(*kept, "posexplode(_points) AS (pointIndex, _p)")
+    rows = rows.selectExpr(*kept, "pointIndex", "_p.kind AS metricType", "_p.temporality AS _t", "_p.monotonic AS _m", f"{shape('_p.point', *POINT)} AS p")
+    rows = rows.selectExpr("*", *_named(_start=nanos("p.startTimeUnixNano"), _time=nanos("p.timeUnixNano")))
+    of = lambda kinds, value: f"CASE WHEN metricType IN ({', '.join(repr(k) for k in kinds)}) THEN {value} END"
     numbers, both, counted = ("gauge", "sum"), ("histogram", "exponentialHistogram"), ("histogram", "exponentialHistogram", "summary")
+    plain, exp, summary = ("histogram",), ("exponentialHistogram",), ("summary",)
     # a present asDouble decides even if it holds no number
-    value = F.when(p["asDouble"].isNotNull(), F.when(number(p["asDouble"]).isNotNull(), p["asDouble"])).otherwise(number_like(p["asInt"]))
-    return rows.select(
+    value = f"CASE WHEN p.asDouble IS NOT NULL THEN CASE WHEN {number('p.asDouble')} IS NOT NULL THEN p.asDouble END ELSE {number_like('p.asInt')} END"
+    return rows.selectExpr(
         *kept, "pointIndex", "metricType",
-        of(numbers + both, F.col("_t")).alias("aggregationTemporality"), of(numbers, F.col("_m")).alias("isMonotonic"),
-        timefn.iso(p["startTimeUnixNano"]).alias("startTimestamp"), timefn.iso(p["timeUnixNano"]).alias("timestamp"), integer(p["flags"]).alias("flags"),
-        of(numbers, value).alias("value"), of(numbers, _value_type(p)).alias("valueType"),
-        of(counted, number_like(p["count"])).alias("count"), of(counted, number(p["sum"])).alias("sum"),
-        of(("histogram",), array(p["bucketCounts"])).alias("bucketCounts"), of(("histogram",), array(p["explicitBounds"])).alias("explicitBounds"),
-        of(both, number(p["min"])).alias("min"), of(both, number(p["max"])).alias("max"),
-        of(("exponentialHistogram",), integer(p["scale"])).alias("scale"), of(("exponentialHistogram",), number_like(p["zeroCount"])).alias("zeroCount"), of(("exponentialHistogram",), number(p["zeroThreshold"])).alias("zeroThreshold"),
-        of(("exponentialHistogram",), _buckets(p["positive"])).alias("positive"), of(("exponentialHistogram",), _buckets(p["negative"])).alias("negative"),
-        of(("summary",), _each(p["quantileValues"], ("quantile", "value"), _quantile)).alias("quantileValues"),
-        attributes(p["attributes"]).alias("attributes"), of(numbers + both, _each(p["exemplars"], ("timeUnixNano", "asDouble", "asInt", "traceId", "spanId", "filteredAttributes"), _exemplar)).alias("exemplars"),
+        *_named(
+            aggregationTemporality=of(numbers + both, "_t"), isMonotonic=of(numbers, "_m"), startTimestamp=iso_of("_start"), timestamp=iso_of("_time"), flags=integer("p.flags"),
+            value=of(numbers, value), valueType=of(numbers, _value_type("p")), count=of(counted, number_like("p.count")), sum=of(counted, number("p.sum")),
+            bucketCounts=of(plain, array("p.bucketCounts")), explicitBounds=of(plain, array("p.explicitBounds")), min=of(both, number("p.min")), max=of(both, number("p.max")),
+            scale=of(exp, integer("p.scale")), zeroCount=of(exp, number_like("p.zeroCount")), zeroThreshold=of(exp, number("p.zeroThreshold")),
+            positive=of(exp, _buckets("p.positive")), negative=of(exp, _buckets("p.negative")), quantileValues=of(summary, _each("p.quantileValues", ("quantile", "value"), _quantile)),
+            attributes=attributes("p.attributes"), exemplars=of(numbers + both, _each("p.exemplars", ("timeUnixNano", "asDouble", "asInt", "traceId", "spanId", "filteredAttributes"), _exemplar)),
+        ),
     )
 
 

@@ -7,9 +7,10 @@ import gzip
 import json
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timefn
@@ -17,10 +18,12 @@ from ..operators.flatten import flatten_logs, flatten_metrics, flatten_traces
 from ..operators.routing import classify_request, ingest_date, service_dir
 from ..session import configure, on_workers, scratch_dir
 from ..sources import payloads
-from ..sources.wire import encode
+from ..sources.wire import encode, read_scalar, write_scalar
 
 #: Leaves that one payload holds.
 CHUNK = 500
+#: How bodies become payloads.
+Reader = Callable[[DataFrame], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +50,13 @@ def nanos(ts: str) -> str:
 _NAMES = {"logs": ("resourceLogs", "scopeLogs", "logRecords"), "traces": ("resourceSpans", "scopeSpans", "spans"), "metrics": ("resourceMetrics", "scopeMetrics", "metrics")}
 
 
-def envelopes(df: DataFrame, signal: str, service: str, number: str, leaf: str) -> DataFrame:
-    """Payloads (body) with up to CHUNK leaves of one service each; number: a whole number that tells rows apart."""
+def envelopes(df: DataFrame, signal: str, service: str, number: str, leaf: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Payloads (body) with up to CHUNK leaves of one service each; number: a whole number that tells rows apart; kept: of service and chunk."""
     top, middle, inner = _NAMES[signal]
     rows = df.select(F.expr(service).alias("service"), F.expr(f"({number}) DIV {CHUNK}").alias("chunk"), F.expr(leaf).alias("leaf"))
     body = f"""to_json(named_struct('{top}', array(named_struct('resource', named_struct('attributes', array({entry('service.name', s='service')})),
         '{middle}', array(named_struct('scope', named_struct('name', 'gen', 'version', '1.0'), '{inner}', collect_list(leaf)))))))"""
-    return rows.groupBy("service", "chunk").agg(F.expr(body).alias("body")).select("body")
+    return rows.groupBy("service", "chunk").agg(F.expr(body).alias("body")).select("body", *kept)
 
 
 def attr(name: str, type_: str, column: str = "attributes"):
@@ -156,14 +159,14 @@ def traces_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_rows(payloads.parse(_span_bodies(spark, sf_dir)))
 
 
-def span_events_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def span_events_links(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     """One span per order; its lines are events, its suppliers links."""
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.expr(f"collect_list(named_struct('timeUnixNano', {nanos('l_shipdate')}, 'name', l_returnflag, 'droppedAttributesCount', l_linenumber, 'attributes', array({entry('line', i='l_linenumber')})))").alias("events"),
         F.expr("collect_list(named_struct('traceId', lpad(lower(hex(l_suppkey)), 32, '0'), 'spanId', lpad(lower(hex(l_linenumber)), 16, '0'), 'flags', 1))").alias("links"),
     )
     bodies = envelopes(lines, "traces", "'orders'", "l_orderkey", "named_struct('name', concat('order-', l_orderkey), 'events', events, 'links', links)")
-    rows = flatten_traces(payloads.parse(bodies)).select("name", F.explode(F.arrays_zip("events", "links")).alias("z"))
+    rows = flatten_traces(read(bodies)).select("name", F.explode(F.arrays_zip("events", "links")).alias("z"))
     return rows.select("name", F.col("z.events.timestamp").alias("event_timestamp"), F.col("z.events.name").alias("event_name"), F.col("z.events.droppedAttributesCount").alias("dropped"), F.try_variant_get(F.try_element_at("z.events.attributes", F.lit("line")), "$", "string").cast("long").alias("line"), F.col("z.links.spanId").alias("link_span"), F.col("z.links.flags").alias("link_flags"))
 
 
@@ -184,9 +187,9 @@ def _metric(name: str, kind: str, point: str, more: str = "") -> str:
 _POINT_TIME = "'startTimeUnixNano', '1000000', 'timeUnixNano', '1700000000123456789'"
 
 
-def metrics_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_gauge(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     leaf = _metric("'balance'", "gauge", f"named_struct({_POINT_TIME}, 'asDouble', s_acctbal, 'attributes', array({entry('id', i='s_suppkey')}))")
-    rows = flatten_metrics(payloads.parse(envelopes(_table(spark, sf_dir, "supplier"), "metrics", "concat('nation-', s_nationkey)", "s_suppkey", leaf)))
+    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "supplier"), "metrics", "concat('nation-', s_nationkey)", "s_suppkey", leaf)))
     return rows.select("serviceName", "metricName", "unit", "metricType", "startTimestamp", "timestamp", F.try_variant_get("value", "$", "double").alias("value"), "valueType", "aggregationTemporality", "isMonotonic", whole("id").alias("id"))
 
 
@@ -210,11 +213,11 @@ FROM part
 """
 
 
-def metrics_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_histogram(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     """Quantities per part counted in three buckets."""
     counts = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in (("b0", "l_quantity <= 10"), ("b1", "l_quantity > 10 AND l_quantity <= 30"), ("b2", "l_quantity > 30"))], F.count("*").alias("n"), F.sum("l_quantity").alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
     point = f"named_struct({_POINT_TIME}, 'count', CAST(n AS STRING), 'sum', s, 'min', lo, 'max', hi, 'bucketCounts', array(CAST(b0 AS STRING), CAST(b1 AS STRING), CAST(b2 AS STRING)), 'explicitBounds', array(10.0D, 30.0D), 'attributes', array({entry('id', i='l_partkey')}))"
-    rows = flatten_metrics(payloads.parse(envelopes(counts, "metrics", "'parts'", "l_partkey", _metric("'quantity'", "histogram", point, ", 'aggregationTemporality', 1"))))
+    rows = flatten_metrics(read(envelopes(counts, "metrics", "'parts'", "l_partkey", _metric("'quantity'", "histogram", point, ", 'aggregationTemporality', 1"))))
     bucket = lambda i: F.try_variant_get(F.get("bucketCounts", F.lit(i)), "$", "string").cast("long").alias(f"b{i}")
     return rows.select(whole("id").alias("id"), "metricType", F.try_variant_get("count", "$", "string").cast("long").alias("count"), "sum", "min", "max", bucket(0), bucket(1), bucket(2), F.size("explicitBounds").cast("long").alias("n_bounds"), "aggregationTemporality")
 
@@ -227,9 +230,9 @@ FROM lineitem GROUP BY l_partkey
 """
 
 
-def metrics_exp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_exp_histogram(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     point = f"named_struct({_POINT_TIME}, 'count', p_size, 'sum', p_retailprice, 'scale', p_size % 7 - 3, 'zeroCount', CAST(p_size % 3 AS STRING), 'zeroThreshold', 0.5D, 'positive', named_struct('offset', p_size % 5 - 2, 'bucketCounts', array(CAST(p_size AS STRING), '1')), 'negative', CASE WHEN p_size % 2 = 0 THEN named_struct('offset', -1) END, 'attributes', array({entry('id', i='p_partkey')}))"
-    rows = flatten_metrics(payloads.parse(envelopes(_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", _metric("'price'", "exponentialHistogram", point))))
+    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", _metric("'price'", "exponentialHistogram", point))))
     return rows.select(whole("id").alias("id"), "metricType", F.to_json("count").alias("count"), "sum", "scale", F.to_json("zeroCount").alias("zeroCount"), "zeroThreshold", F.col("positive.offset").alias("offset"), F.size("positive.bucketCounts").cast("long").alias("n_positive"), F.col("negative").isNotNull().alias("has_negative"), F.col("negative.bucketCounts").isNull().alias("no_negative_counts"))
 
 
@@ -240,9 +243,9 @@ FROM part
 """
 
 
-def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_summary(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     point = f"named_struct({_POINT_TIME}, 'count', CAST(user_id AS STRING), 'sum', value, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', value), named_struct('quantile', 0.99D, 'value', value * 2)), 'attributes', array({entry('id', i='event_id')}))"
-    rows = flatten_metrics(payloads.parse(envelopes(_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))))
+    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))))
     rows = rows.select(whole("id").alias("id"), "metricType", F.try_variant_get("count", "$", "string").cast("long").alias("count"), "sum", F.col("exemplars").isNull().alias("no_exemplars"), F.explode("quantileValues").alias("q"))
     return rows.select("id", "metricType", "count", "sum", "no_exemplars", F.col("q.quantile").alias("quantile"), F.col("q.value").alias("value"))
 
@@ -309,7 +312,7 @@ def timestamp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("""CASE event_id % 9 WHEN 0 THEN concat('"', unix_micros(ts), '999"') WHEN 1 THEN concat('" ', unix_micros(ts), '000 "') WHEN 2 THEN '"-1"' WHEN 3 THEN '1.5' WHEN 4 THEN '"1e3"' WHEN 5 THEN '"8640000000000000000000"'
         WHEN 6 THEN '"8640000000001000000000"' WHEN 7 THEN CAST(event_id * 1000000 AS STRING) ELSE 'null' END""")
     v = _table(spark, sf_dir, "events").select("event_id", F.parse_json(raw).alias("v"))
-    return v.select("event_id", timefn.iso(F.col("v")).alias("iso"))
+    return v.select("event_id", F.expr(timefn.iso("v")).alias("iso"))
 
 
 TIMESTAMP_SQL = """
@@ -322,7 +325,7 @@ FROM events
 def duration_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.expr("CASE event_id % 5 WHEN 0 THEN concat('\"', unix_micros(ts) + 2, '500\"') WHEN 1 THEN '\"1\"' WHEN 2 THEN 'null' WHEN 3 THEN concat('\"', unix_micros(ts), '000\"') ELSE '\"99999999999999999999999999999999999999\"' END")
     v = _table(spark, sf_dir, "events").select("event_id", F.parse_json(F.expr("concat('\"', unix_micros(ts), '000\"')")).alias("s"), F.parse_json(end).alias("e"))
-    return v.select("event_id", timefn.duration_ms(F.col("s"), F.col("e")).isNotNull().alias("known"), F.when(F.expr("event_id % 5 < 4"), timefn.duration_ms(F.col("s"), F.col("e"))).alias("ms"))
+    return v.select("event_id", F.expr(timefn.duration_ms("s", "e")).isNotNull().alias("known"), F.when(F.expr("event_id % 5 < 4"), F.expr(timefn.duration_ms("s", "e"))).alias("ms"))
 
 
 DURATION_SQL = """
@@ -359,15 +362,104 @@ FROM events
 """
 
 
-def _as_protobuf(bodies: DataFrame, signal: str, encoding: str = "identity") -> DataFrame:
+def _as_protobuf(bodies: DataFrame, signal: str, encoding: str = "identity", packed: bool = False) -> DataFrame:
     on_workers(bodies.sparkSession)
 
     def wire(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode(signal, json.loads(t)))
+        return texts.map(lambda t: encode(signal, json.loads(t), packed))
 
     return bodies.select(F.lit(signal).alias("signal"), F.lit("application/x-protobuf").alias("contentType"), F.lit(encoding).alias("contentEncoding"), F.pandas_udf(wire, "binary")("body").alias("body"))
 
 
+def _by_wire(signal: str, packed: bool = False) -> Reader:
+    """Bodies sent as protobuf and decoded again."""
+    return lambda bodies: payloads.parse(payloads.decode_bodies(_as_protobuf(bodies, signal, packed=packed)))
+
+
+def protobuf_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_gauge(spark, sf_dir, _by_wire("metrics"))
+
+
+def protobuf_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated numbers one by one."""
+    return metrics_histogram(spark, sf_dir, _by_wire("metrics"))
+
+
+def protobuf_packed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated numbers in one field."""
+    return metrics_histogram(spark, sf_dir, _by_wire("metrics", True))
+
+
+def protobuf_exp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_exp_histogram(spark, sf_dir, _by_wire("metrics", True))
+
+
+#: Whole numbers of 64 bits come out of the wire as strings.
+PROTOBUF_EXP_SQL = METRICS_EXP_SQL.replace("CAST(p_size AS VARCHAR) AS count", "'\"' || p_size || '\"' AS count")
+
+
+def protobuf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_summary(spark, sf_dir, _by_wire("metrics"))
+
+
+def protobuf_events_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_events_links(spark, sf_dir, _by_wire("traces"))
+
+
+def protobuf_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exemplars with either number; one that has both keeps asDouble."""
+    exemplar = f"named_struct('timeUnixNano', {nanos('ts')}, 'asDouble', CASE WHEN event_id % 3 <> 0 THEN value END, 'asInt', CASE WHEN event_id % 3 <> 1 THEN CAST(user_id AS STRING) END, 'traceId', lpad(lower(hex(event_id)), 32, '0'), 'spanId', lpad(lower(hex(user_id)), 16, '0'), 'filteredAttributes', array({entry('k', s='event_type')}))"
+    leaf = _metric("'value'", "gauge", f"named_struct({_POINT_TIME}, 'asInt', CAST(-event_id AS STRING), 'flags', event_id % 2, 'exemplars', array({exemplar}), 'attributes', array({entry('id', i='event_id')}))")
+    rows = flatten_metrics(_by_wire("metrics")(envelopes(_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", leaf)))
+    rows = rows.select(whole("id").alias("id"), F.to_json("value").alias("value"), "valueType", "flags", F.explode("exemplars").alias("x"))
+    return rows.select("id", "value", "valueType", "flags", "x.timestamp", F.to_json("x.value").alias("exemplar"), F.col("x.valueType").alias("exemplar_type"), "x.traceId", "x.spanId", F.try_variant_get(F.try_element_at("x.filteredAttributes", F.lit("k")), "$", "string").alias("k")).withColumn("exemplar", F.when(F.col("exemplar_type") == "int", F.col("exemplar")))
+
+
+PROTOBUF_EXEMPLARS_SQL = """
+SELECT event_id AS id, '"' || -event_id || '"' AS value, 'int' AS "valueType", CAST(event_id % 2 AS BIGINT) AS flags, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
+       CASE WHEN event_id % 3 = 0 THEN '"' || user_id || '"' END AS exemplar, CASE WHEN event_id % 3 = 0 THEN 'int' ELSE 'double' END AS exemplar_type,
+       lpad(printf('%x', event_id), 32, '0') AS "traceId", lpad(printf('%x', user_id), 16, '0') AS "spanId", event_type AS k
+FROM events
+"""
+
+
+def protobuf_anyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every arm of a value over the wire: strings, flags, numbers, bytes, arrays and maps within each other."""
+    value = F.expr(r"""CASE p_partkey % 8 WHEN 0 THEN concat('{"stringValue":"', p_brand, '"}') WHEN 1 THEN concat('{"boolValue":', p_size % 2 = 1, '}') WHEN 2 THEN concat('{"intValue":"', -p_partkey, '"}')
+        WHEN 3 THEN concat('{"doubleValue":', p_size, '.5}') WHEN 4 THEN concat('{"bytesValue":"', base64(encode(p_brand, 'UTF-8')), '"}') WHEN 5 THEN concat('{"arrayValue":{"values":[{"intValue":"', p_size, '"},{},{"arrayValue":{"values":[{"boolValue":true},{"arrayValue":{"values":[{"stringValue":""}]}}]}}]}}')
+        WHEN 6 THEN concat('{"kvlistValue":{"values":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"c","value":{"intValue":"', p_size, '"}}]}}}]}}},{"key":"a2","value":{"arrayValue":{"values":[]}}}]}}') ELSE '{}' END""")
+    body = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"severityNumber":'), F.expr("CAST(p_size AS STRING)"), F.lit(',"attributes":[{"key":"id","value":{"intValue":"'), F.col("p_partkey").cast("string"), F.lit('"}}],"body":'), value, F.lit("}]}]}]}"))
+    rows = flatten_logs(_by_wire("logs")(_table(spark, sf_dir, "part").select(body.alias("body"))))
+    return rows.select(whole("id").alias("id"), "severityNumber", F.to_json("body").alias("body"))
+
+
+PROTOBUF_ANYVALUE_SQL = """
+SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS "severityNumber", CASE p_partkey % 8 WHEN 0 THEN '"' || p_brand || '"' WHEN 1 THEN CASE WHEN p_size % 2 = 1 THEN 'true' ELSE 'false' END WHEN 2 THEN '"-' || p_partkey || '"' WHEN 3 THEN p_size || '.5'
+       WHEN 4 THEN '"' || base64(encode(p_brand)) || '"' WHEN 5 THEN '["' || p_size || '",null,[true,[""]]]' WHEN 6 THEN '{"a":{"b":{"c":"' || p_size || '"}},"a2":[]}' ELSE 'null' END AS body
+FROM part
+"""
+
+
+def wire_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars of the wire that no message of the protocol uses alone, written and read back."""
+    on_workers(spark)
+
+    def sent(kind: str) -> Column:
+        def there_and_back(xs: pd.Series) -> pd.Series:
+            return xs.map(lambda x: str(read_scalar(kind, write_scalar(kind, x))))
+
+        return F.pandas_udf(there_and_back, "string")(F.expr("(p_partkey - 100) * (p_size - 25)"))
+
+    kinds = ("sint", "sfixed32", "float", "int64", "sfixed64", "uint", "fixed32", "double")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[sent(k).cast("double").alias(k) for k in kinds])
+
+
+WIRE_SCALARS_SQL = """
+SELECT p_partkey AS id, x AS sint, x AS sfixed32, x AS float, x AS int64, x AS sfixed64, CASE WHEN x < 0 THEN x + 18446744073709551616 ELSE x END AS uint, CASE WHEN x < 0 THEN x + 4294967296 ELSE x END AS fixed32, x AS double
+FROM (SELECT p_partkey, CAST((p_partkey - 100) * (p_size - 25) AS DOUBLE) AS x FROM part)
+"""
+
+
 def protobuf_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log_rows(payloads.parse(payloads.decode_bodies(_as_protobuf(_log_bodies(spark, sf_dir), "logs"))))
 
@@ -425,6 +517,164 @@ def streaming_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{root}/rows")
 
 
+_JSON_LOG = r"""concat('{"timeUnixNano":"', unix_micros(ts), '000","severityText":"', event_type, '","body":{"kvlistValue":{"values":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"c","value":{"intValue":"', event_id,
+    '"}}]}}}]}}}]}},"attributes":[{"key":"event_id","value":{"intValue":"', event_id, '"}},{"key":"deep","value":{"arrayValue":{"values":[{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":"', user_id, '"}]}}]}}]}}}]}')"""
+_LOG_ROW = "serviceName string, timestamp string, severityText string, body variant, attributes map<string,variant>"
+
+
+def _landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as the HTTP front lands them: log records with values three deep, as JSON and protobuf, plain and compressed, and bodies that can't be read."""
+    on_workers(spark)
+    ev = _table(spark, sf_dir, "events")
+    head, tail = F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"a/'), F.lit("]}]}]}")
+    sent = ev.groupBy("event_type", F.expr(f"event_id DIV {CHUNK}").alias("chunk")).agg(F.concat_ws(",", F.collect_list(F.expr(_JSON_LOG))).alias("records"))
+    good = sent.select(F.pmod(F.xxhash64("event_type", "chunk"), F.lit(6)).cast("int").alias("form"), F.concat(head, "event_type", F.lit('"}}]},"scopeLogs":[{"logRecords":['), "records", tail).alias("body"))
+    poison = ev.filter("event_id % 100 = 0").select(F.expr("CAST(6 + event_id DIV 100 % 3 AS INT)").alias("form"), F.lit("").alias("body"))
+    def nested() -> bytes:
+        """A value 1500 arrays deep on the wire, put together from within."""
+        out = b"\x0a\x01x"
+        for _ in range(1500):
+            for tag in (b"\x0a", b"\x2a"):
+                n = len(out)
+                out = tag + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7]) if n < 16384 else bytes([n & 127 | 128, n >> 7 & 127 | 128, n >> 14])) + out
+        for tag in (b"\x2a", b"\x12", b"\x12", b"\x0a"):
+            n = len(out)
+            out = tag + bytes([n & 127 | 128, n >> 7 & 127 | 128, n >> 14]) + out
+        return out
+
+    def bytes_of(forms: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for form, text in zip(forms, texts):
+            if form >= 6:
+                out.append((b"[", b"\xff\xff\xff", nested())[form - 6])
+                continue
+            raw = encode("logs", json.loads(text)) if form % 2 else text.encode()
+            out.append(gzip.compress(raw) if form // 2 == 1 else zlib.compress(raw) if form // 2 == 2 else raw)
+        return pd.Series(out)
+
+    kind = F.when((F.col("form") % 2 == 1) & (F.col("form") < 6) | (F.col("form") > 6), "application/x-protobuf").otherwise("application/json; charset=utf-8")
+    encoding = F.when(F.col("form").isin(2, 3), "gzip").when(F.col("form").isin(4, 5), "deflate")
+    at = F.lit("2024-05-01 23:59:59").cast("timestamp")
+    return good.unionByName(poison).select(F.lit("logs").alias("signal"), kind.alias("contentType"), encoding.alias("contentEncoding"), at.alias("received_at"), F.pandas_udf(bytes_of, "binary")("form", "body").alias("body"))
+
+
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed requests through the ingest stream, read back from every sink: raw, services, the logs' mirror and what was rejected."""
+    from ..streaming.stream import ingest_stream
+
+    root = scratch_dir(spark)
+    _landed_logs(spark, sf_dir).write.parquet(f"{root}/landing")
+    ingest_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/state").awaitTermination()
+    parts = "value string, batch string, {}ingest_date string"
+    services = spark.read.schema(parts.format("service_dir string, signal string, ")).text(f"{root}/out/services").select(F.lit("services").alias("sink"), "service_dir", "signal", "ingest_date", F.from_json("value", _LOG_ROW).alias("r"))
+    mirror = spark.read.schema(parts.format("service_dir string, ")).text(f"{root}/out/logs-by-service").select(F.lit("logs-by-service").alias("sink"), "service_dir", F.lit(None).cast("string").alias("signal"), "ingest_date", F.from_json("value", _LOG_ROW).alias("r"))
+    rows = services.unionByName(mirror).select("sink", "service_dir", "signal", "ingest_date", "r.serviceName", "r.timestamp", "r.severityText", "r.body", "r.attributes")
+    raw = spark.read.schema(parts.format("signal string, ")).text(f"{root}/out/raw").select(F.lit("raw").alias("sink"), F.lit(None).cast("string").alias("service_dir"), "signal", "ingest_date", F.parse_json("value").alias("payload"))
+    rows = rows.unionByName(flatten_logs(raw).select(*rows.columns))
+    rows = rows.select("sink", "service_dir", "signal", "ingest_date", "serviceName", "timestamp", "severityText", F.to_json("body").alias("body"), whole("event_id").alias("event_id"), F.to_json(F.try_element_at("attributes", F.lit("deep"))).alias("deep"), F.lit(None).cast("string").alias("error"))
+    rejected = spark.read.schema("signal string, received_at timestamp, error string, batch string").json(f"{root}/out/rejected")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    rejected = rejected.select(F.lit("rejected").alias("sink"), *none("service_dir"), "signal", F.date_format("received_at", "yyyy-MM-dd").alias("ingest_date"), *none("serviceName", "timestamp", "severityText", "body"), F.lit(None).cast("long").alias("event_id"), *none("deep"), "error")
+    return rows.unionByName(rejected)
+
+
+STREAMING_INGEST_SQL = """
+SELECT sink, CASE WHEN sink <> 'raw' THEN 'a_' || event_type END AS service_dir, CASE WHEN sink <> 'logs-by-service' THEN 'logs' END AS signal, '2024-05-01' AS ingest_date, 'a/' || event_type AS "serviceName",
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, event_type AS "severityText", '{"a":{"b":{"c":"' || event_id || '"}}}' AS body, event_id, '[[["' || user_id || '"]]]' AS deep, CAST(NULL AS VARCHAR) AS error
+FROM events, (SELECT unnest(['raw', 'services', 'logs-by-service']) AS sink)
+UNION ALL
+SELECT 'rejected', NULL, 'logs', '2024-05-01', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN event_id // 100 % 3 = 0 THEN 'Invalid JSON' ELSE 'Invalid protobuf' END
+FROM events WHERE event_id % 100 = 0
+"""
+
+
+def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of every signal over three days in two batches, the second of which is written twice; a row per line of each sink."""
+    from ..sources.sinks import write_batch
+
+    root, kept = scratch_dir(spark), ("service", "chunk")
+    gauge = _metric("'balance'", "gauge", f"named_struct({_POINT_TIME}, 'asDouble', s_acctbal)")
+    sent = {
+        "logs": envelopes(_table(spark, sf_dir, "events"), "logs", "concat(' svc/', event_type)", "event_id", _LOG, kept),
+        "traces": envelopes(_table(spark, sf_dir, "lineitem"), "traces", "concat('supplier-', l_suppkey % 10)", "l_orderkey", _SPAN, kept),
+        "metrics": envelopes(_table(spark, sf_dir, "supplier"), "metrics", "'..'", "s_suppkey", gauge, kept),
+    }
+    day = F.timestamp_seconds(F.lit(1714607999) + F.col("chunk") % 3 * 86400)
+    bodies = reduce(DataFrame.unionByName, [b.select(F.lit(signal).alias("signal"), day.alias("received_at"), "chunk", "body") for signal, b in sent.items()])
+    payload = payloads.parse(bodies)
+    for number in (0, 1, 1):
+        write_batch(payload.filter(F.col("chunk") % 2 == number).drop("chunk"), root, True, number)
+    found = []
+    for sink, parts in (("raw", "signal string, ingest_date string"), ("services", "service_dir string, signal string, ingest_date string"), ("logs-by-service", "service_dir string, ingest_date string")):
+        lines = spark.read.schema(f"value string, batch string, {parts}").text(f"{root}/{sink}")
+        columns = [F.col(c) if c in lines.columns else F.lit(None).cast("string").alias(c) for c in ("service_dir", "signal", "ingest_date")]
+        found.append(lines.select(F.lit(sink).alias("sink"), *columns, F.try_variant_get(F.parse_json("value"), "$.serviceName", "string").alias("service")))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.groupBy("sink", "service_dir", "signal", "ingest_date", "service").agg(F.count("*").alias("n"))
+
+
+SINK_BATCHES_SQL = f"""
+WITH l AS (
+  SELECT 'logs' AS signal, ' svc/' || event_type AS service, 'svc_' || event_type AS dir, event_id // {CHUNK} AS chunk FROM events
+  UNION ALL SELECT 'traces', 'supplier-' || l_suppkey % 10, 'supplier-' || l_suppkey % 10, l_orderkey // {CHUNK} FROM lineitem
+  UNION ALL SELECT 'metrics', '..', '_dotdot', s_suppkey // {CHUNK} FROM supplier),
+d AS (SELECT *, CASE chunk % 3 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2024-05-02' ELSE '2024-05-03' END AS day FROM l)
+SELECT 'raw' AS sink, CAST(NULL AS VARCHAR) AS service_dir, signal, day AS ingest_date, CAST(NULL AS VARCHAR) AS service, count(DISTINCT (service, chunk)) AS n FROM d GROUP BY signal, day
+UNION ALL SELECT 'services', dir, signal, day, service, count(*) FROM d GROUP BY dir, signal, day, service
+UNION ALL SELECT 'logs-by-service', dir, NULL, day, service, count(*) FROM d WHERE signal = 'logs' GROUP BY dir, day, service
+"""
+
+
+def http_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per nation to the HTTP front, in chunks, compressed, as protobuf, or bad in turn; what it answered and what the stream made of it."""
+    import http.client
+
+    from ..sources.http import Front, hadoop_folder
+    from ..streaming.stream import ingest_stream
+
+    root = scratch_dir(spark)
+    front = Front(f"{root}/landing", 0, "127.0.0.1", hadoop_folder(spark, f"{root}/landing")).start()
+    answers = []
+    try:
+        # a table of 25 rows by its specification
+        for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+            key, log = r.n_nationkey, {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": r.n_name, "severityNumber": r.n_nationkey}]}]}]}
+            text, path, method = json.dumps(log).encode(), "/v1/logs", "POST"
+            head, body = {"Content-Type": "application/json"}, text
+            if key % 8 == 1:
+                head["Transfer-Encoding"], body = "chunked", iter([text[:7], text[7:20], text[20:]])
+            elif key % 8 == 2:
+                head["Content-Encoding"], body = "gzip", gzip.compress(text)
+            elif key % 8 == 3:
+                head, body = {"Content-Type": "application/x-protobuf"}, encode("logs", log)
+            elif key % 8 == 4:
+                body = text[:-1]
+            elif key % 8 == 5:
+                body = b'{"n":NaN}'
+            elif key % 8 == 6:
+                path = "/v1/other"
+            elif key % 8 == 7:
+                body = b"[" * 1500 + b"]" * 1500
+            c = http.client.HTTPConnection("127.0.0.1", front.port, timeout=60)
+            c.request(method, path, body, head, encode_chunked="Transfer-Encoding" in head)
+            answer = c.getresponse()
+            answers.append((key, answer.status, answer.read().decode()))
+            c.close()
+    finally:
+        front.stop()
+    ingest_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/state").awaitTermination()
+    line = spark.read.schema("value string").text(f"{root}/out/services").select(F.from_json("value", "severityNumber long, severityText string").alias("r")).select(F.col("r.severityNumber").alias("id"), F.col("r.severityText").alias("stored"))
+    return spark.createDataFrame(answers, "id long, status int, answer string").join(line, "id", "left")
+
+
+HTTP_FRONT_SQL = """
+SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN k < 4 THEN 200 WHEN k = 6 THEN 404 ELSE 400 END AS status,
+       CASE WHEN k = 3 THEN '' WHEN k < 4 THEN '{"partialSuccess": {"rejectedLogRecords": 0}}' WHEN k = 6 THEN '{"code": 5, "message": "Not found"}' ELSE '{"code": 3, "message": "Invalid JSON"}' END AS answer,
+       CASE WHEN k < 4 THEN n_name END AS stored
+FROM (SELECT *, n_nationkey % 8 AS k FROM nation)
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "logs_flatten": (logs_flatten, LOGS_SQL),
     "logs_edge_defaults": (logs_edge_defaults, LOGS_EDGE_SQL),
@@ -448,4 +698,16 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "compressed_payloads": (compressed_payloads, LOGS_SQL),
     "request_classification": (request_classification, REQUEST_SQL),
     "streaming_logs": (streaming_logs, LOGS_SQL),
+    "protobuf_gauge": (protobuf_gauge, METRICS_GAUGE_SQL),
+    "protobuf_histogram": (protobuf_histogram, METRICS_HISTOGRAM_SQL),
+    "protobuf_packed_histogram": (protobuf_packed_histogram, METRICS_HISTOGRAM_SQL),
+    "protobuf_exp_histogram": (protobuf_exp_histogram, PROTOBUF_EXP_SQL),
+    "protobuf_summary": (protobuf_summary, METRICS_SUMMARY_SQL),
+    "protobuf_events_links": (protobuf_events_links, SPAN_EVENTS_SQL),
+    "protobuf_exemplars": (protobuf_exemplars, PROTOBUF_EXEMPLARS_SQL),
+    "protobuf_anyvalue": (protobuf_anyvalue, PROTOBUF_ANYVALUE_SQL),
+    "wire_scalars": (wire_scalars, WIRE_SCALARS_SQL),
+    "streaming_ingest": (streaming_ingest, STREAMING_INGEST_SQL),
+    "sink_batches": (sink_batches, SINK_BATCHES_SQL),
+    "http_front": (http_front, HTTP_FRONT_SQL),
 }

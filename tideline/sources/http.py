@@ -1,7 +1,8 @@
-"""A small HTTP front: checks each request, lands it as one file of the landing folder, then answers.
+"""A small HTTP front: checks each request, lands its body as it came in a file of the landing folder, then answers.
 
-A landed file appears under its final name only when it is complete, so a stream never reads half of one. A request that
-could not be landed gets a 500 and leaves nothing.
+Requests that come in together share a file, and none is answered before its file is there. A landed file appears under its
+final name only when it is complete, so a stream never reads half of one. A request that could not be landed gets a 500 and
+leaves nothing. Bodies are decoded here only to refuse bad ones; the stream decodes them again on the executors.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ import json
 import os
 import threading
 import uuid
+from collections.abc import Callable, Mapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from io import BytesIO
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import SparkSession
 
 from ..operators.routing import JSON_TYPE, PROTOBUF_TYPE, SIGNALS
-from .payloads import decompress
+from .payloads import check_json, decompress
 from .wire import decode_request
 
 #: Fixed values of the protocol: what an accepted export answers per signal.
@@ -46,38 +51,121 @@ def check_head(method: str, path: str, content_type: str | None, encoding: str |
     return route[4:], media
 
 
-def check_body(signal: str, media: str, encoding: str | None, body: bytes) -> str:
-    """The JSON text of a body."""
+def check_body(signal: str, media: str, encoding: str | None, body: bytes) -> None:
+    """Refuses a body that can't be read."""
     try:
         plain = decompress(encoding, body)
     except ValueError as e:
         raise Refused(400, 3, str(e)) from e
     try:
         if media == PROTOBUF_TYPE:
-            return decode_request(signal, plain)
-        text = plain.decode("utf-8", "replace") or "{}"
-        json.loads(text)
-        return text
+            decode_request(signal, plain)
+        else:
+            check_json(plain.decode("utf-8", "replace") or "{}")
     except ValueError as e:
         raise Refused(400, 3, "Invalid protobuf" if media == PROTOBUF_TYPE else "Invalid JSON") from e
 
 
-def land(landing: str, signal: str, text: str) -> str:
-    """Writes one request into the landing folder and gives its file."""
-    os.makedirs(landing, exist_ok=True)
-    name = f"{uuid.uuid4().hex}.parquet"
-    row = {"signal": signal, "contentType": JSON_TYPE, "contentEncoding": None, "received_at": datetime.datetime.now(datetime.UTC), "body": text.encode()}
-    hidden = os.path.join(landing, f".{name}")
-    pq.write_table(pa.Table.from_pylist([row], _SCHEMA), hidden)
-    os.rename(hidden, final := os.path.join(landing, name))
-    return final
+def read_body(stream: BinaryIO, headers: Mapping[str, str]) -> bytes:
+    """The body of a request, by its chunks or its Content-Length; refuses broken framing, after which a connection is of no use."""
+    broken = Refused(400, 3, "Malformed request body")
+
+    def exactly(n: int) -> bytes:
+        if len(got := stream.read(n)) < n:
+            raise broken
+        return got
+
+    coding = (headers.get("Transfer-Encoding") or "").strip().lower()
+    if coding:
+        if coding != "chunked":
+            raise Refused(501, 12, "Unsupported Transfer-Encoding")
+        parts = []
+        while True:
+            size = stream.readline(1 << 16).split(b";")[0].strip()
+            if not size or size.strip(b"0123456789abcdefABCDEF"):
+                raise broken
+            if not (n := int(size, 16)):
+                break
+            parts.append(exactly(n))
+            if stream.readline(3) not in (b"\r\n", b"\n"):
+                raise broken
+        # trailers, up to the blank line
+        while stream.readline(1 << 16).strip():
+            pass
+        return b"".join(parts)
+    length = (headers.get("Content-Length") or "0").strip()
+    if not (length.isascii() and length.isdigit()):
+        raise broken
+    return exactly(int(length))
+
+
+def local_folder(folder: str) -> Callable[[str, bytes], None]:
+    """Saves files in a folder of this machine, under their names once complete."""
+
+    def save(name: str, data: bytes) -> None:
+        os.makedirs(folder, exist_ok=True)
+        with open(hidden := os.path.join(folder, f".{name}"), "wb") as f:
+            f.write(data)
+        os.rename(hidden, os.path.join(folder, name))
+
+    return save
+
+
+def hadoop_folder(spark: SparkSession, folder: str) -> Callable[[str, bytes], None]:
+    """Saves files in a folder of any file system that Spark reads, under their names once complete."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    files = path(folder).getFileSystem(conf)
+
+    def save(name: str, data: bytes) -> None:
+        try:
+            out = files.create(hidden := path(folder, f".{name}"), True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
+            done = files.rename(hidden, path(folder, name))
+        except Exception as e:
+            raise OSError(f"can't write to {folder}") from e
+        if not done:
+            raise OSError(f"can't write to {folder}")
+
+    return save
+
+
+class Landing:
+    """Lands requests, those that wait at one time in one file; land() returns when its request's file is there."""
+
+    def __init__(self, save: Callable[[str, bytes], None]):
+        self._save, self._lock, self._writing, self._waiting = save, threading.Lock(), threading.Lock(), []
+
+    def land(self, signal: str, media: str, encoding: str | None, body: bytes) -> None:
+        row = {"signal": signal, "contentType": media, "contentEncoding": encoding, "received_at": datetime.datetime.now(datetime.UTC), "body": body}
+        own: dict = {"row": row}
+        with self._lock:
+            self._waiting.append(own)
+        # whoever gets to write takes all that wait along
+        with self._writing:
+            if "failed" not in own:
+                with self._lock:
+                    taken, self._waiting = self._waiting, []
+                failed = None
+                try:
+                    out = BytesIO()
+                    pq.write_table(pa.Table.from_pylist([t["row"] for t in taken], _SCHEMA), out)
+                    self._save(f"{uuid.uuid4().hex}.parquet", out.getvalue())
+                except OSError as e:
+                    failed = e
+                for t in taken:
+                    t["failed"] = failed
+        if own["failed"]:
+            raise own["failed"]
 
 
 class Front:
-    """start() listens on a port (0: any free one), stop() ends; both may be called at any time."""
+    """start() listens on a port (0: any free one), stop() ends; both may be called at any time. save: how files get into the landing folder."""
 
-    def __init__(self, landing: str, port: int = 4318, host: str = "0.0.0.0"):
-        self.landing, self._address, self._server = landing, (host, port), None
+    def __init__(self, landing: str, port: int = 4318, host: str = "0.0.0.0", save: Callable[[str, bytes], None] | None = None):
+        self.landing, self._address, self._server = Landing(save or local_folder(landing)), (host, port), None
 
     @property
     def port(self) -> int:
@@ -88,28 +176,38 @@ class Front:
 
         class Handler(BaseHTTPRequestHandler):
             protocol_version = "HTTP/1.1"
+            # seconds that a silent connection stays open
+            timeout = 60
 
             def answer(self) -> None:
-                length = int(self.headers.get("Content-Length") or 0)
-                body = self.rfile.read(length) if length else b""
+                body = None
                 try:
+                    body = read_body(self.rfile, self.headers)
                     encoding = self.headers.get("Content-Encoding")
                     signal, media = check_head(self.command, self.path, self.headers.get("Content-Type"), encoding)
-                    land(landing, signal, check_body(signal, media, encoding, body))
+                    check_body(signal, media, encoding, body)
+                    landing.land(signal, media, encoding, body)
                     status, out = 200, json.dumps({"partialSuccess": {ACCEPTED[signal]: 0}}).encode()
                     if media == PROTOBUF_TYPE:
                         out = b""
                 except Refused as e:
                     status, media, out = e.status, JSON_TYPE, json.dumps(e.body).encode()
+                except TimeoutError:
+                    status, media, out = 408, JSON_TYPE, json.dumps({"code": 4, "message": "Request timed out"}).encode()
                 except OSError as e:
                     status, media, out = 500, JSON_TYPE, json.dumps({"code": 13, "message": str(e)}).encode()
                 self.send_response(status)
                 self.send_header("Content-Type", media)
                 self.send_header("Content-Length", str(len(out)))
+                if body is None:
+                    # what follows on this connection can't be told from the body
+                    self.send_header("Connection", "close")
+                    self.close_connection = True
                 self.end_headers()
-                self.wfile.write(out)
+                if self.command != "HEAD":
+                    self.wfile.write(out)
 
-            do_GET = do_POST = do_PUT = do_DELETE = do_PATCH = answer
+            do_GET = do_POST = do_PUT = do_DELETE = do_PATCH = do_HEAD = do_OPTIONS = answer
 
             def log_message(self, *args) -> None:
                 pass

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import DEPTH, DONE, TAGS
 from ..session import configure, on_workers
-from .wire import decode_request
+from .wire import DEEPEST, decode_request
 
 #: Two containers at least, so that values may lie deeper than expressions unfold; or the key of finished ones, which no sender may use.
 _DEEP = rf"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)|{DONE}"
@@ -99,6 +99,22 @@ def _finished(x):
     return {k: _entries(v) if k in _ENTRIES and isinstance(v, list) else _folded(v, DEPTH) if k == "body" else _finished(v) for k, v in x.items()}
 
 
+def _no_number(token: str) -> None:
+    raise ValueError(f"{token} is no JSON")
+
+
+def check_json(text: str) -> None:
+    """Raises ValueError on a text that Spark could not store: no JSON, or nested beyond DEEPEST."""
+    try:
+        layer, depth = [json.loads(text, parse_constant=_no_number)], 0
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    while layer := [x for x in layer if isinstance(x, (dict, list))]:
+        if (depth := depth + 1) > DEEPEST:
+            raise ValueError("nested too deep")
+        layer = [y for x in layer for y in (x.values() if isinstance(x, dict) else x)]
+
+
 def _fold_deep(texts: pd.Series) -> pd.Series:
     # JSON text of Spark nests 1000 levels at most
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))

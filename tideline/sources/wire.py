@@ -1,7 +1,8 @@
 """Protobuf export requests to their JSON shape, by one decoder over a table of fields.
 
 Strict where the wire format is: a length beyond its message or a wire type that doesn't exist makes the request malformed.
-A known field with another wire type than its own is skipped as unknown. A repeated singular field's last value holds.
+A known field with another wire type than its own is skipped as unknown. A repeated singular field's last value holds. A message
+whose JSON form would nest deeper than Spark parses is malformed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import math
 import struct
 
 VARINT, I64, LEN, I32 = 0, 1, 2, 5
+#: Levels of objects and arrays that the JSON form of a message may have.
+DEEPEST = 1000
 
 
 class Malformed(ValueError):
@@ -135,8 +138,10 @@ def _packed(kind: int, read, raw: memoryview) -> list:
     return [read(raw[i : i + width]) for i in range(0, len(raw), width)]
 
 
-def decode(message: str, raw: bytes | memoryview) -> dict:
-    """A message as the object that its JSON form would be."""
+def decode(message: str, raw: bytes | memoryview, depth: int = 1) -> dict:
+    """A message as the object that its JSON form would be; depth: the level on which it stands."""
+    if depth > DEEPEST:
+        raise Malformed("nested too deep")
     table = MESSAGES[message]
     out: dict = {name: [] for name, type_ in table.values() if type_[-1] == "+"}
     for number, wire, value in fields(memoryview(raw)):
@@ -146,7 +151,7 @@ def decode(message: str, raw: bytes | memoryview) -> dict:
         many, type_ = type_[-1] in "*+", type_.rstrip("*+")
         if type_ in MESSAGES:
             if wire == LEN:
-                got = decode(type_, value)
+                got = decode(type_, value, depth + 1 + many)
                 out.setdefault(name, []).append(got) if many else out.__setitem__(name, got)
             continue
         for option in type_.split("|"):
@@ -165,39 +170,52 @@ def decode_request(signal: str, body: bytes) -> str:
     return json.dumps(decode(signal, body), ensure_ascii=False) if body else "{}"
 
 
-def encode(message: str, value: dict) -> bytes:
-    """The wire form of an object; for tests and for building inputs."""
-
-    def varint(n: int) -> bytes:
-        out = bytearray()
-        n &= 0xFFFFFFFFFFFFFFFF
-        while n > 127:
-            out.append(n & 127 | 128)
-            n >>= 7
-        return bytes([*out, n])
-
-    def scalar(type_: str, x) -> tuple[int, bytes]:
-        if type_ in ("string", "hex", "base64"):
-            raw = x.encode() if type_ == "string" else bytes.fromhex(x) if type_ == "hex" else base64.b64decode(x)
-            return LEN, varint(len(raw)) + raw
-        if type_ == "sint":
-            return VARINT, varint((x << 1) ^ (x >> 63))
-        kind = SCALARS[type_][0]
-        if kind == VARINT:
-            return VARINT, varint(int(x))
-        code = {"fixed32": "<I", "sfixed32": "<i", "float": "<f", "fixed64": "<Q", "sfixed64": "<q", "double": "<d"}[type_]
-        return kind, struct.pack(code, float(x) if type_ in ("float", "double") else int(x))
+def write_varint(n: int) -> bytes:
+    out = bytearray()
+    n &= 0xFFFFFFFFFFFFFFFF
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+#: How numbers of fixed width are laid out.
+_LAYOUT = {"fixed32": "<I", "sfixed32": "<i", "float": "<f", "fixed64": "<Q", "sfixed64": "<q", "double": "<d"}
+
+
+def write_scalar(type_: str, x) -> bytes:  # noqa: ANN001
+    """A scalar as it stands after its tag."""
+    if type_ in ("string", "hex", "base64"):
+        raw = x.encode() if type_ == "string" else bytes.fromhex(x) if type_ == "hex" else base64.b64decode(x)
+        return write_varint(len(raw)) + raw
+    if type_ == "sint":
+        return write_varint((x << 1) ^ (x >> 63))
+    if SCALARS[type_][0] == VARINT:
+        return write_varint(int(x))
+    if type_ in ("float", "double"):
+        return struct.pack(_LAYOUT[type_], float(x))
+    return struct.pack(_LAYOUT[type_], int(x) % (1 << 8 * struct.calcsize(_LAYOUT[type_])) if type_.startswith("fixed") else int(x))
+
+
+def read_scalar(type_: str, raw: bytes):  # noqa: ANN201
+    """The value of a scalar as it stands after its tag."""
+    kind, read = SCALARS[type_]
+    value = read_varint(memoryview(raw), 0)[0] if kind == VARINT else memoryview(raw)[read_varint(memoryview(raw), 0)[1] :] if kind == LEN else memoryview(raw)
+    return read(value)
+
 
+def encode(message: str, value: dict, packed: bool = False) -> bytes:
+    """The wire form of an object; for tests and for building inputs. packed: repeated numbers share one field."""
     out = bytearray()
     for number, (name, type_) in MESSAGES[message].items():
         if name not in value:
             continue
         many, type_ = type_[-1] in "*+", type_.rstrip("*+").split("|")[0]
-        for x in value[name] if many else [value[name]]:
-            if type_ in MESSAGES:
-                raw = encode(type_, x)
-                kind, raw = LEN, varint(len(raw)) + raw
-            else:
-                kind, raw = scalar(type_, x)
-            out += varint(number << 3 | kind) + raw
+        kind = SCALARS[type_][0] if type_ in SCALARS else LEN
+        parts = [write_scalar(type_, x) if type_ in SCALARS else encode(type_, x, packed) for x in (value[name] if many else [value[name]])]
+        if packed and many and kind != LEN:
+            kind, parts = LEN, [b"".join(parts)]
+        for raw in parts:
+            bare = type_ in SCALARS and SCALARS[type_][0] == kind
+            out += write_varint(number << 3 | kind) + (raw if bare else write_varint(len(raw)) + raw)
     return bytes(out)

@@ -39,19 +39,22 @@ def drain(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: str, *, seconds: float | None = None, logs_mirror: bool = True, files: int = FILES) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: str, *, seconds: float | None = None, logs_mirror: bool = True, files: int = FILES, clean: bool = False) -> StreamingQuery:
     """Landed requests (Parquet, see LANDED) to the raw and normalized sinks; without seconds it ends when all is done.
 
-    Every batch has its own folder in each sink; a batch that is run again after a failure replaces it, so no row doubles.
+    Every batch has its own folder in each sink, named by the checkpoint's stream and the batch's number: a batch that is run again
+    after a failure replaces it, so no row doubles, and a stream that starts from a new checkpoint replaces nothing. Bodies that
+    can't be read, or not stored, go to output/rejected with their reason, one by one. clean: landed files go once they are done.
     """
     configure(spark)
-    landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).parquet(landing)
+    landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).option("cleanSource", "delete" if clean else "off").parquet(landing)
     decoded = payloads.parse(payloads.decode_bodies(landed))
 
     def write(batch: DataFrame, number: int) -> None:
+        name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
         good = batch.filter("payload IS NOT NULL AND error IS NULL").select("signal", "received_at", "payload")
-        write_batch(good, output, logs_mirror, number)
-        batch.filter("payload IS NULL OR error IS NOT NULL").select("signal", "received_at", F.coalesce("error", F.lit("Invalid JSON")).alias("error")).write.mode("overwrite").json(f"{output}/rejected/batch={number}")
+        write_batch(good, output, logs_mirror, name)
+        batch.filter("payload IS NULL OR error IS NOT NULL").select("signal", "received_at", F.coalesce("error", F.lit("Invalid JSON")).alias("error")).write.mode("overwrite").json(f"{output}/rejected/batch={name}")
 
     writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
