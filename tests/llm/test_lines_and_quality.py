@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -115,3 +116,22 @@ def test_floor_and_bound_of_line_dedup(spark):
     assert clean(floor=1) == {1: "a", 2: texts[2], 3: "", 4: "", 5: texts[5], 6: ""}
     with pytest.raises(ValueError, match="bound"):
         linededup.dedup_lines(df, bound=2)
+
+
+def test_long_lines_cost_no_square(spark):
+    rng, n = random.Random(12), 200_000
+    line = "".join(rng.choice("abcdefgh ") for _ in range(n))
+    near_ = [line[: n // 3] + "X" + line[n // 3 :], line[:-1], line[: n // 2] + "Y" + line[n // 2 + 1 :], line[1:], line[:7] + "ZZ" + line[7:]]
+    df = spark.createDataFrame([(0, line), *((i + 1, x) for i, x in enumerate(near_))], "doc_id long, text string")
+    began = time.time()
+    kept = {r.doc_id for r in linededup.dedup_lines(df).filter("n_removed = 0").collect()}
+    # two characters put in are no near copy
+    assert kept == {0, 5} and time.time() - began < 60
+
+
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_blocks_of_variants_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    docs = random_lines(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.clean for r in linededup.dedup_lines(df).collect()} == brute(docs)

@@ -12,9 +12,14 @@ length differ by a replacement; a line that equals another's variant differs by
 small whatever the corpus: lines are distinct, so at most one per character of the alphabet and place can meet. Each line is
 held against the earliest of its groups, and the edit distance of the two texts is verified.
 
+A variant's hash combines the hashes of its blocks, of about the square root of its length but BLOCK characters at least. Only
+the block that lacks the character is hashed anew; the hashes of those before it, and of those behind it, which stand one place
+further, are combined once a block. So a line of n characters costs n blocks and its n / block blocks costs their square, and
+its places are spread over rows block by block.
+
 Only DataFrame functions run. Defined results: null texts have no lines; rows that share a doc_id share their decisions, and
 if their texts differ a line goes only where it equals the judged one; ties can't occur among distinct places; an empty table
-stays empty; other columns are kept.
+stays empty; other columns are kept; a line may be as long as a text.
 """
 
 from __future__ import annotations
@@ -51,18 +56,41 @@ def _halves(line: Column, n: Column, floor: int) -> list[Column]:
     return out
 
 
-def _variants(line: Column, n: Column, code: Column) -> Column:
-    """The variant hashes of a line in one of its groups: kind and hash. Kind 0: one place of equal lengths; 1: taken from the longer; 2: the shorter itself."""
-    part, front = F.floor(code / 2).cast("int"), code % 2 == 0
-    short = n - part
-    cut = F.floor(short / 2).cast("int")
-    low, high = F.when(front, cut).otherwise(F.lit(0)), F.when(front, n - 1).otherwise(cut - 1 + part)
-    lacking = lambda i: F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
-    places = F.sequence(low, high)
-    replaced = F.transform(places, lambda i: F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit("r"), n, i, lacking(i)).alias("hash")))
-    whole = F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit("d"), line).alias("hash")))
-    deleted = F.transform(places, lambda i: F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit("d"), lacking(i)).alias("hash")))
-    return F.when(high < low, F.slice(whole, 1, F.when(part == 0, 1).otherwise(0))).when(part == 0, F.concat(replaced, whole)).otherwise(F.array_distinct(deleted))
+#: Least characters of a block of a variant.
+BLOCK = 256
+_XOR = "aggregate({}, 0L, (x, y) -> x ^ y)"
+
+
+def _size(n: str) -> str:
+    """Characters of a block in a text of n."""
+    return f"greatest({BLOCK}L, CAST(ceil(sqrt({n})) AS BIGINT))"
+
+
+def _blocks(line: str, size: str) -> str:
+    """A line cut into blocks, in one pass."""
+    return f"regexp_extract_all({line}, concat('(?s).{{1,', {size}, '}}'), 0)"
+
+
+def _hashes(blocks: str) -> str:
+    return f"transform({blocks}, (s, k) -> xxhash64(k, s))"
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """me, kind, place and hash of the variants of lines in one of their groups (code). Kind 0: one place of equal lengths; 1: taken from the longer; 2: the shorter itself."""
+    lines = texts.select(F.struct(*LINE).alias("me"), "line", (F.col("code") % 2 == 0).alias("front"), F.expr("code DIV 2").alias("part"), F.length("line").cast("long").alias("n"))
+    whole = lines.filter("part = 0").select("me", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("place"), F.expr(f"xxhash64('d', n, {_XOR.format(_hashes(_blocks('line', _size('n'))))})").alias("hash"))
+    # the places of the other half
+    placed = lines.selectExpr("*", f"{_size('n - 1')} AS size", "CASE WHEN front THEN (n - part) DIV 2 ELSE 0L END AS low", "CASE WHEN front THEN n - 1 ELSE (n - part) DIV 2 - 1 + part END AS high").filter("low <= high")
+    cut = placed.selectExpr("*", f"{_blocks('line', 'size')} AS own", f"{_hashes(_blocks('substring(line, 2)', 'size'))} AS behind").selectExpr("*", f"{_hashes('own')} AS before")
+    rest = f"{_XOR.format('slice(before, 1, CAST(b AS INT))')} ^ {_XOR.format('slice(behind, CAST(b + 2 AS INT), size(behind))')}"
+    around = f"named_struct('b', CAST(b AS INT), 'rest', {rest}, 'chunk', concat(get(own, CAST(b AS INT)), coalesce(substring(get(own, CAST(b + 1 AS INT)), 1, 1), '')))"
+    spread = cut.selectExpr("me", "part", "n", "size", "low", "high", f"explode(transform(sequence(low DIV size, high DIV size), b -> {around})) AS x")
+    lacking = "concat(substring(x.chunk, 1, CAST(i - x.b * size AS INT)), substring(x.chunk, CAST(i - x.b * size + 2 AS INT), CAST(size AS INT)))"
+    # a last character that begins a block leaves no such block
+    total = f"x.rest ^ CASE WHEN x.b * size >= n - 1 THEN 0L ELSE xxhash64(x.b, {lacking}) END"
+    places = "sequence(greatest(low, x.b * size), least(high, x.b * size + size - 1))"
+    both = f"transform({places}, i -> named_struct('kind', CAST(part AS INT), 'place', CAST(i AS INT), 'hash', CASE WHEN part = 0 THEN xxhash64('r', n, i, {total}) ELSE xxhash64('d', n - 1, {total}) END))"
+    return spread.selectExpr("me", f"inline({both})").unionByName(whole)
 
 
 def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -78,18 +106,21 @@ def _removed_near(docs: DataFrame, first: DataFrame) -> DataFrame:
     texts = named.select("doc_id", F.explode(got).alias("x")).select("doc_id", "x.line_no", "x.check", "x.code", "x.line").filter(F.xxhash64("line") == F.col("check"))
     # a few texts make many variants, so they are dealt out by number and not by size
     texts = stored(texts.repartition(shuffle_partitions(docs.sparkSession), *LINE, "code"))
-    rows = texts.select(F.struct(*LINE).alias("me"), F.inline(_variants(F.col("line"), F.length("line"), F.col("code"))))
+    rows = _variants(texts)
     group = "OVER (PARTITION BY hash)"
     met = rows.withColumns({
         "same": F.expr(f"min(CASE WHEN kind = 0 THEN me END) {group}"),
-        "longer": F.expr(f"min(CASE WHEN kind = 1 THEN me END) {group}"),
+        "longer": F.expr(f"min(CASE WHEN kind = 1 THEN struct(me, place) END) {group}"),
         "shorter": F.expr(f"min(CASE WHEN kind = 2 THEN me END) {group}"),
     })
-    other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    pairs = met.select("me", other.alias("earlier")).filter("earlier < me").distinct()
+    other = F.when(F.col("kind") == 0, F.col("same")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer.me"))
+    pairs = met.select("me", other.alias("earlier"), "kind", F.coalesce("place", "longer.place").alias("place")).filter("earlier < me").groupBy("me", "earlier", "kind").agg(F.min("place").alias("place"))
     line = texts.select(F.struct(*LINE).alias("me"), "line").dropDuplicates(["me"])
     both = pairs.join(line, "me").join(line.select(F.col("me").alias("earlier"), F.col("line").alias("before")), "earlier")
-    return both.filter(F.levenshtein("line", "before", 1) == 1).select("me").distinct().select("me.*")
+    # one edit at that place makes one of the other; the edit distance by its table would cost the square of a line
+    lacking = lambda x: f"concat(substring({x}, 1, place), substring({x}, place + 2))"
+    fits = f"CASE kind WHEN 0 THEN {lacking('line')} = {lacking('before')} AND length(line) = length(before) WHEN 1 THEN {lacking('line')} = before ELSE {lacking('before')} = line END"
+    return both.filter(fits).select("me").distinct().select("me.*")
 
 
 def decisions(docs: DataFrame, floor: int = NEAR, bound: int = 1) -> DataFrame:
