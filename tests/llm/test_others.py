@@ -111,6 +111,33 @@ def test_search_with_copies_ties_and_unusable_rows(spark):
     assert addquant.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("measure", addquant.MEASURES)
+def test_search_over_many_blocks(spark, monkeypatch, measure):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id long, embedding array<float>").repartition(2)
+    monkeypatch.setattr(addquant, "SAMPLE", 1500)
+    wide = x.astype(np.float64)
+    score = wide[::20] @ wide.T if measure == "inner" else -((wide[::20, None] - wide[None]) ** 2).sum(2)
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = {20 * q: set(np.argsort(-score[q], kind="stable")[:20].tolist()) for q in range(200)}
+    for exact, least in ((False, 0.9), (True, 1.0)):
+        index = addquant.nearest(df, measure=measure, exact=exact, block=400)
+        got = {}
+        for r in index.collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = sum(len(got[q] & want[q]) for q in want) / (20 * len(want))
+        assert recall >= least, recall
+    with pytest.raises(ValueError, match="measure"):
+        addquant.nearest(df.limit(50), measure="other")
+
+
+def test_repeated_query_ids_rank_apart(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.5]), (2, [0.5, 3.0])]
+    got = sorted(tuple(r) for r in addquant.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(20, 1, 1, 3.0), (20, 1, 2, 3.0), (20, 2, 1, 0.5), (20, 2, 2, 0.5)]
+
+
 def test_scratch_tables_need_no_setting(spark, tmp_path):
     code = f"""
 import sys

@@ -1,15 +1,23 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one vector from each of several full-dimensional codebooks, found by a beam search over the
-residuals; the norm of the sum is stored beside the code. A search builds a lookup table of inner products per query and
-codebook, scores all codes of a block by adding table entries, keeps the best SHORTLIST distinct vectors of every block and
-reranks them exactly in double precision. Every row is indexed and every query meets every block, in tiles of a block of
-queries and a block of codes; equal vectors of a block share a code and one place in the shortlist, so copies don't crowd
-out others.
+residuals; beside the code stand the norm of the sum and the norm of what it leaves of the vector. A search builds a lookup table
+of inner products per query and codebook, scores all codes of a block by adding table entries (for distances less half the
+squared norm), keeps the best `size` distinct vectors of every block and reranks them exactly in double precision. Every row is
+indexed and every query meets every block; equal vectors of a block share a code and one place in the shortlist, so copies don't
+crowd out others.
+
+With exact=True nothing is left out: a vector's inner product is at most its table score and the query's norm times the stored
+rest, so whatever may still reach the k-th best is reranked too.
+
+Queries and blocks meet in tiles whose sizes follow memory, not the table: a block goes out once per QUERIES queries, with its
+vectors in single precision where that is exact, and a query once per block. What a tile does grows with its area, what is
+shuffled for it with its sides.
 
 The codebooks are fitted on the SAMPLE vectors with the least hash of their id, a fixed bound; all else covers all rows.
 Defined results: vectors that are null, zero, or hold a null, NaN or infinity take no part, nor do those of another length
-than most; with fewer candidates than k all are returned; ties go to the smaller vec_id; repeated ids are separate rows.
+than most; with fewer candidates than k all are returned; ties go to the smaller vec_id; repeated ids are separate rows, none of
+which is a candidate for its like.
 """
 
 from __future__ import annotations
@@ -25,8 +33,10 @@ from .common import on_workers, stored
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors the codebooks are fitted on.
 SAMPLE = 8192
-#: Rows of a code block and of a query block, and distinct vectors of a block that are reranked for a query.
-BLOCK, QUERIES, SHORTLIST = 16384, 512, 768
+#: Rows of a code block and of a query block, and distinct vectors of a block that are reranked for a query at least.
+BLOCK, QUERIES, SHORTLIST = 16384, 8192, 768
+#: What nearness is: the largest inner product, or the least distance (its square, negative, is the score).
+MEASURES = ("inner", "distance")
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, turns: int = 6, seed: int = 7) -> np.ndarray:
@@ -47,8 +57,8 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, turns: int = 6, s
     return np.stack(out)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (one word of each book) and the norms of their sums, by beam search."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (one word of each book), the norms of their sums and of what they leave, by beam search."""
     n, (m, words, d) = len(x), books.shape
     rest, cost = x[:, None].astype(np.float32), (x**2).sum(1)[:, None]
     codes = np.zeros((n, 1, 0), np.uint8)
@@ -64,7 +74,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         codes = np.concatenate((np.take_along_axis(codes, from_[:, :, None], 1), word[:, :, None].astype(np.uint8)), 2)
     top = np.argmin(cost, 1)
     chosen = codes[np.arange(n), top]
-    return chosen, np.linalg.norm(x - rest[np.arange(n), top], axis=1)
+    total = books[np.arange(m), chosen].astype(np.float64).sum(1)
+    return chosen, np.linalg.norm(total, axis=1), np.linalg.norm(x - total, axis=1)
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -75,15 +86,38 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def shortlist(table: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
-    """Per query the places of the codes with the largest table sums, (queries, size)."""
+def distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances along the last axis, negative, in double precision, added from left to right."""
+    total = np.zeros(np.broadcast_shapes(x.shape[:-1], q.shape[:-1]))
+    for i in range(x.shape[-1]):
+        total -= (x[..., i].astype(np.float64) - q[..., i].astype(np.float64)) ** 2
+    return total
+
+
+def table_scores(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The inner products of queries and sums, (queries, codes), by adding table entries."""
     score = np.zeros((len(table), len(codes)), np.float32)
     for m in range(codes.shape[1]):
         score += table[:, m][:, codes[:, m]]
-    size = min(size, len(codes))
+    return score
+
+
+def largest(score: np.ndarray, size: int) -> np.ndarray:
+    """Per row the places of the largest scores, (rows, size)."""
+    size = min(size, score.shape[1])
     return np.argpartition(-score, size - 1, 1)[:, :size]
 
 
+def best_case(rough: np.ndarray, half: np.ndarray, rest: np.ndarray, query: np.ndarray, measure: str) -> np.ndarray:
+    """The largest score that each coded vector can have: its rest may point along the query. Rounding of single precision is allowed for."""
+    length = float(np.linalg.norm(query))
+    if measure == "inner":
+        return rough + (1 + 1e-5) * length * rest + 1e-4 * (length * (np.sqrt(2 * half) + rest) + 1e-30)
+    # |q - x| is |q - sum| less |rest| at least
+    away = np.sqrt(np.maximum(length**2 - 2 * rough.astype(np.float64) + 2 * half, 0))
+    return -(np.maximum(away - rest - 1e-3 * (length + np.sqrt(2 * half) + rest), 0) ** 2)
+
+
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """key and vector (array<double> of one length, finite, not zero)."""
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast(T.ArrayType(T.DoubleType())).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -94,7 +128,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """Blocks of all rows of vectors (id, v): ids, place of each row's distinct vector, vectors, codes and norms."""
+    """Blocks of all rows of vectors (id, v): ids, place of each row's distinct vector, vectors, codes, norms of sums and of rests."""
     on_workers(vectors.sparkSession)
     d = books.shape[2]
 
@@ -111,11 +145,13 @@ def build_index(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> Da
             i, v = i[order], v[order]
             _, lead, place = np.unique(np.ascontiguousarray(v).view(f"V{8 * d}").ravel(), return_index=True, return_inverse=True)
             distinct = v[lead]
-            codes, norms = (np.concatenate(x) for x in zip(*(encode(distinct[k : k + 2048], books) for k in range(0, len(distinct), 2048))))
+            codes, norms, rests = (np.concatenate(x) for x in zip(*(encode(distinct[k : k + 2048], books) for k in range(0, len(distinct), 2048))))
+            narrow = distinct.astype(np.float32)
+            kept = narrow if np.array_equal(narrow, distinct) else distinct
             number += 1
             ids.clear()
             vs.clear()
-            return pa.RecordBatch.from_pylist([{"block": number, "ids": i.tobytes(), "place": place.astype(np.int32).tobytes(), "vectors": distinct.tobytes(), "codes": codes.tobytes(), "norms": norms.astype(np.float32).tobytes()}])
+            return pa.RecordBatch.from_pylist([{"block": number, "ids": i.tobytes(), "place": place.astype(np.int32).tobytes(), "vectors": kept.tobytes(), "codes": codes.tobytes(), "norms": norms.astype(np.float32).tobytes(), "rests": rests.astype(np.float32).tobytes()}])
 
         for b in batches:
             values = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -130,52 +166,66 @@ def build_index(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> Da
         if held:
             yield flush()
 
-    return vectors.mapInArrow(run, "block long, ids binary, place binary, vectors binary, codes binary, norms binary")
+    return vectors.mapInArrow(run, "block long, ids binary, place binary, vectors binary, codes binary, norms binary, rests binary")
 
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size: int = SHORTLIST, per_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest other rows; queries: id, v."""
-    d = books.shape[2]
-    names = index.select("block").distinct()
-    numbered = names.withColumn("b", F.row_number().over(_ordered("block")))
-    asked = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // per_block)))).cast("int"))
-    blocks, turns = numbered.count(), max(1, -(-queries.count() // per_block))
-    left = index.join(numbered, "block").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select("b", "q", F.struct("ids", "place", "vectors", "codes").alias("part"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
-    right = asked.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(max(1, blocks))))).select("b", "q", F.lit(None).cast(left.schema["part"].dataType).alias("part"), "id", "v")
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size: int = SHORTLIST, per_tile: int = QUERIES, measure: str = "inner", exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest other rows; queries: id, v. exact: by proof, not by shortlist."""
+    if measure not in MEASURES:
+        raise ValueError(f"no measure {measure}")
+    d, m = books.shape[2], books.shape[0]
+    numbered = index.select("block").distinct().withColumn("b", F.row_number().over(_ordered("block")))
+    blocks, turns = numbered.count(), max(1, -(-queries.count() // per_tile))
+    asked = queries.withColumn("ask", F.monotonically_increasing_id()).withColumn("q", F.pmod(F.xxhash64("id", "ask"), F.lit(turns)).cast("int"))
+    # distinct queries of one vector id keep apart by ask
+    columns = ["ids", "place", "vectors", "codes", "norms", *["rests"] * exact]
+    left = index.join(numbered, "block").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select("b", "q", F.struct(*columns).alias("part"), *[F.lit(None).cast("long").alias(c) for c in ("ask", "id")], F.lit(None).cast("array<double>").alias("v"))
+    right = asked.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(max(1, blocks))))).select("b", "q", F.lit(None).cast(left.schema["part"].dataType).alias("part"), "ask", "id", "v")
+    measured = inner if measure == "inner" else distance
 
     def tile(t: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"ask": [], "query_id": [], "vec_id": [], "score": []}
         parts = [p for p in t.column("part").to_pylist() if p and p["ids"] is not None]
         asks = t.filter(t.column("id").is_valid())
         if parts and asks.num_rows:
-            qid = asks.column("id").to_numpy()
+            ask, qid = asks.column("ask").to_numpy(), asks.column("id").to_numpy()
             q = asks.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            table = np.einsum("qd,mwd->qmw", q.astype(np.float32), books, optimize=True)
             for p in parts:
-                ids, place = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["place"], np.int32)
-                vectors, codes = np.frombuffer(p["vectors"], np.float64).reshape(-1, d), np.frombuffer(p["codes"], np.uint8).reshape(-1, books.shape[0])
+                ids, place, codes = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["place"], np.int32), np.frombuffer(p["codes"], np.uint8).reshape(-1, m)
+                vectors = np.frombuffer(p["vectors"], np.float32 if len(p["vectors"]) == 4 * d * len(codes) else np.float64).reshape(-1, d)
+                half = np.frombuffer(p["norms"], np.float32) ** 2 / 2
                 order = np.argsort(place, kind="stable")
                 first = np.searchsorted(place[order], np.arange(len(vectors) + 1))
                 for at in range(0, len(qid), 64):
-                    near = shortlist(table[at : at + 64], codes, size)
-                    score = inner(vectors[near], q[at : at + 64, None])
+                    some = q[at : at + 64]
+                    rough = table_scores(np.einsum("qd,mwd->qmw", some.astype(np.float32), books, optimize=True), codes)
+                    near = largest(rough if measure == "inner" else rough - half, size)
+                    score = measured(vectors[near], some[:, None])
                     for i in range(len(near)):
-                        best = np.argsort(-score[i], kind="stable")
+                        chosen, value = near[i], score[i]
+                        if exact and len(chosen) < len(vectors):
+                            # the own row's vector may be among the best, so the (k + 1)-th best of the shortlist is the mark
+                            mark = np.sort(value)[-min(k + 1, len(value))]
+                            rest = np.frombuffer(p["rests"], np.float32)
+                            chosen = np.union1d(chosen, np.flatnonzero(best_case(rough[i], half, rest, some[i], measure) >= mark))
+                            value = measured(vectors[chosen], some[i])
+                        best = np.argsort(-value, kind="stable")
                         # rows of one score compete by id, so all vectors that reach the k-th score are opened
-                        value = score[i][best]
-                        upto = int(np.searchsorted(-value, -value[min(k, len(value) - 1)], "right"))
-                        rows = [order[first[x] : first[x + 1]][: k + 1] for x in near[i][best[:upto]]]
-                        own, s = ids[np.concatenate(rows)], np.repeat(value[:upto], [len(r) for r in rows])
+                        ranked = value[best]
+                        upto = int(np.searchsorted(-ranked, -ranked[min(k, len(ranked) - 1)], "right"))
+                        rows = [order[first[x] : first[x + 1]] for x in chosen[best[:upto]]]
+                        own, s = ids[np.concatenate(rows)], np.repeat(ranked[:upto], [len(r) for r in rows])
                         keep = own != qid[at + i]
                         own, s = own[keep], s[keep]
                         top = np.lexsort((own, -s))[:k]
+                        out["ask"].append(np.full(len(top), ask[at + i]))
                         out["query_id"].append(np.full(len(top), qid[at + i]))
                         out["vec_id"].append(own[top])
                         out["score"].append(s[top])
         return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.float64 if c == "score" else np.int64)) for c, v in out.items()})
 
-    found = left.unionByName(right).groupBy("b", "q").applyInArrow(tile, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).filter(F.col("rank") <= k)
+    found = left.unionByName(right).groupBy("b", "q").applyInArrow(tile, "ask long, query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id, ask ORDER BY score DESC, vec_id)")).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -185,12 +235,12 @@ def _ordered(column: str):
     return Window.orderBy(column)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The k nearest by inner product of every row whose key is divisible by `every`, against all other rows."""
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", measure: str = "inner", exact: bool = False, block: int | None = None) -> DataFrame:
+    """The k nearest of every row whose key is divisible by `every`, against all other rows. exact: none is missed, at the cost of more reranking."""
     ready = usable(vectors, key, column)
     sample = ready.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(np.array(sample["v"].tolist()))
-    index = stored(build_index(ready, books))
-    return search(index, ready.filter(F.col("id") % every == 0), books, k)
+    index = stored(build_index(ready, books, block or BLOCK))
+    return search(index, ready.filter(F.col("id") % every == 0), books, k, measure=measure, exact=exact)
