@@ -32,6 +32,18 @@ def test_long_texts_are_cut_where_it_is_safe(encoder, monkeypatch):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_fragments_and_texts_without_spaces(encoder, monkeypatch):
+    rng = random.Random(7)
+    letters = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300))
+    texts = ["".join(rng.choice("aeioulnstr") for _ in range(5000)), "=" * 3000, "é" * 999, "".join(rng.choice("abc=_/") for _ in range(4000)), "ab<|endoftext|><|endoftext|>" + "x" * 200, "<|endoftext|", "。".join(letters[rng.randint(0, 200) :][: rng.randint(1, 60)] for _ in range(90)), "привет мир " * 300, "x" * 2000 + "<|endoftext|>" + "y " * 900]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for chunk in (1 << 20, 150):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        ids, at = encoder.encode(texts)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+    assert bpe.safe_end("ab" * 50 + "。cd", 3) == 100 and bpe.safe_end("привет мир", 2) == 6 and bpe.safe_end("abcdef", 1) == 6
+
+
 def test_round_trip_query(spark):
     path = vocabulary("byte_bpe_50k.json")
     texts = [None, "", "Hello world, it's <|endoftext|> fine", "ÄÖ 中文\n\n  x", "Hello world, it's <|endoftext|> fine"]

@@ -5,13 +5,18 @@ together in no vocabulary token mark a certain cut: no token can span them, so t
 independently and their ids concatenated. Pre-tokens repeat, so a batch is cut and grouped with array operations and each
 distinct pre-token is encoded once by the tokenizer's BPE model.
 
-Defined results: null and empty texts have no ids and decode to ''. Texts that hold the string of a special token take the
-library's own path, which turns it into that token's id. Repeated rows are encoded each; other columns are not read.
+Fragments up to LONG bytes are merged side by side, a step of all at a time; longer ones one by one through a heap of their pairs.
+Both apply the merges in the order of their ranks, leftmost first. The string of a special token in a text becomes its id, and
+the text before and behind it is encoded apart.
+
+Defined results: null and empty texts have no ids and decode to ''. A text may be as long as memory allows: it is handled in
+chunks that end where a pre-token does in any script. Repeated rows are encoded each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -24,13 +29,12 @@ from pyspark.sql import DataFrame
 
 from .common import on_workers
 
-#: Code points handled at a time; a longer text is cut at a space between ASCII letters, which is a pre-token's start.
+#: Code points handled at a time; a longer text is cut behind a letter, where a mark or a space with a letter behind it begins a pre-token.
 CHUNK = 1 << 20
 #: Distinct pre-tokens whose ids a worker keeps.
 CACHE = 400_000
 #: Bytes of a fragment up to which fragments are merged side by side.
 LONG = 48
-_SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 0
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -71,6 +75,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def safe_end(text: str, at: int) -> int:
+    """The first place from at on where a text may be cut without changing its pre-tokens; its end if there is none."""
+    kinds = classes()
+    while at < len(text) - 2:
+        cp = np.frombuffer(text[at : at + (1 << 16) + 2].encode("utf-32-le"), np.uint32)
+        kind = kinds[cp]
+        ends = (kind[:-2] == LETTER) & ((kind[1:-1] == OTHER) | ((cp[1:-1] == 32) & (kind[2:] == LETTER)))
+        if ends.any():
+            return at + int(np.argmax(ends)) + 1
+        at += len(cp) - 2
+    return len(text)
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -143,8 +160,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the first of several that begin at one place is the longest
+        self._split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else re.compile("(?!)")
         self.suffix = spec["model"]["end_of_word_suffix"]
         #: Word tokenizers lower the text, drop white space and take digits one by one; they end words by a suffix.
         self.by_word = bool(self.suffix)
@@ -206,17 +225,15 @@ class Encoder:
         return sym.astype(np.uint32), per
 
     def _merge(self, b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges each fragment's bytes, lowest rank first and leftmost on ties; all fragments take a step at a time.
-        Long fragments go to the library's model, since steps follow the longest one."""
+        """Merges each fragment's bytes, lowest rank first and leftmost on ties; all short fragments take a step at a time."""
         width = np.diff(np.append(starts, len(b)))
         sym = self._byte_id[b]
         sym[starts + width - 1] = self._last_id[b[starts + width - 1]]
         owner = np.repeat(np.arange(len(starts)), width)
         done_sym, done_owner = [], []
         for i in np.flatnonzero(width > LONG):
-            raw = b[starts[i] : starts[i] + width[i]]
-            ids = [t.id for t in self.model.tokenize("".join(self.chars[x] for x in raw))]
-            done_sym.append(np.array(ids, np.int64))
+            ids = self._merge_one(sym[starts[i] : starts[i] + width[i]])
+            done_sym.append(ids)
             done_owner.append(np.full(len(ids), i))
         keep = width[owner] <= LONG
         sym, owner = sym[keep], owner[keep]
@@ -238,6 +255,35 @@ class Encoder:
         sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
         return sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(starts))
 
+    def _merge_one(self, symbols: np.ndarray) -> np.ndarray:
+        """Merges one fragment; its pairs wait in a heap by rank and place, so time follows its length and not the square of it."""
+        never, sym = len(self._made), symbols.tolist()
+        n = len(sym)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        ranks = self._merges.find(symbols[:-1], symbols[1:], never).tolist()
+        heap = [(rank, i, sym[i], sym[i + 1]) for i, rank in enumerate(ranks) if rank < never]
+        heapq.heapify(heap)
+        rank_of = lambda x, y: int(self._merges.find(np.array([x]), np.array([y]), never)[0])
+        known: dict[tuple[int, int], int] = {}
+        while heap:
+            rank, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            # a pair of which a symbol is gone
+            if sym[i] != x or j < 0 or sym[j] != y:
+                continue
+            sym[i], sym[j] = int(self._made[rank]), -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0:
+                    pair = sym[left], sym[right]
+                    if (found := known.get(pair)) is None:
+                        found = known[pair] = rank_of(*pair)
+                    if found < never:
+                        heapq.heappush(heap, (found, left, *pair))
+        return np.array([x for x in sym if x >= 0], np.int64)
+
     def normal(self, text: str) -> str:
         if not self.by_word:
             return text
@@ -298,23 +344,20 @@ class Encoder:
             size = 0
 
         for i, text in enumerate(texts):
-            text = text or ""
-            if any(x in text for x in self.special):
-                flush()
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                out.append(ids)
-                count[i] += len(ids)
-                continue
-            text, at = self.normal(text), 0
-            while at < len(text):
-                to = len(text)
-                if to - at > CHUNK and (m := _SAFE.search(text, at + CHUNK)):
-                    to = m.end()
-                if size + to - at > CHUNK:
+            for part in self._split.split(text or ""):
+                if part in self._special:
                     flush()
-                group.append((i, text[at:to]))
-                size += to - at
-                at = to
+                    out.append(np.array([self._special[part]], np.uint32))
+                    count[i] += 1
+                    continue
+                part, at = self.normal(part), 0
+                while at < len(part):
+                    to = len(part) if len(part) - at <= CHUNK else safe_end(part, at + CHUNK)
+                    if size + to - at > CHUNK:
+                        flush()
+                    group.append((i, part[at:to]))
+                    size += to - at
+                    at = to
         flush()
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate(([0], np.cumsum(count)))
 
