@@ -26,6 +26,58 @@ def test_best_fit_keeps_every_capacity(rule):
     assert pack.best_fit(sizes, 100, 100, 10000).max() + 1 <= len(rooms)
 
 
+def plain_best_fit(sizes, tokens, documents, cost, weights, rule):
+    """The rule taken word by word: every open sequence with room in each dimension is scored."""
+    caps, open_, out = (tokens, documents, cost), [], []
+    for n in sizes:
+        need, best = (n, 1, n * n), None
+        for s, left in enumerate(open_):
+            if all(a >= b for a, b in zip(left, need)) and all(a > 0 for a in left):
+                rest = [(a / c, b / c) for a, b, c in zip(left, need, caps)]
+                score = sum(w * (a - b) ** 2 for w, (a, b) in zip(weights, rest)) if rule == "norm" else -sum(w * a * b for w, (a, b) in zip(weights, rest))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, s
+        if best is None:
+            open_.append(list(caps))
+            best = 0, len(open_) - 1
+        open_[best[1]] = [a - b for a, b in zip(open_[best[1]], need)]
+        out.append(best[1])
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("documents", "cost"), [(100, 10000), (3, 10000), (100, 2500), (4, 1500)])
+def test_best_fit_equals_brute_force(rule, documents, cost):
+    rng = random.Random(13)
+    sizes = sorted((rng.randint(1, 60) for _ in range(300)), reverse=True)
+    weights = (1.0, 0.31, 0.47)
+    got, want = pack.best_fit(np.array(sizes), 100, documents, cost, weights, rule), plain_best_fit(sizes, 100, documents, cost, weights, rule)
+    groups = lambda seq: sorted(tuple(sorted(n for n, s in zip(sizes, seq) if s == x)) for x in set(seq))
+    # ties may fall to either of two sequences with equal rooms
+    assert groups(list(got)) == groups(want)
+
+
+def test_documents_and_cost_bind_on_whole_tables(spark, monkeypatch):
+    monkeypatch.setattr(pack, "GROUP", 60)
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(14)
+    df = spark.createDataFrame([(i, "word " * rng.randint(0, 50)) for i in range(300)] + [(900, "word " * 700)], "doc_id long, text string")
+    for documents, cost in ((3, None), (None, 900), (5, 1600)):
+        sequences = {}
+        rows = pack.pack_documents(df, path, 64, documents, cost).collect()
+        for r in rows:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sum(r.length for r in rows if r.doc_id == 900) == 701 and len(rows) >= 301
+        for parts in sequences.values():
+            assert sum(n for _, n in parts) <= 64 and len(parts) <= (documents or 64) and sum(n * n for _, n in parts) <= (cost or 64 * 64)
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+        longest = max(r.length for r in rows)
+        assert longest == (64 if cost is None else int(cost**0.5))
+    # a piece that exceeds the cost alone stands alone
+    assert pack.best_fit(np.array([50, 40, 3, 3]), 64, 9, 900).tolist() == [0, 1, 2, 2]
+    with pytest.raises(ValueError, match="positive"):
+        pack.pack(df.select("doc_id"), documents=0)
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(pack, "GROUP", 40)
     path, rng = vocabulary("word_bpe_49k.json"), random.Random(4)

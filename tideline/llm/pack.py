@@ -6,12 +6,17 @@ the residual, or (the default) the one whose residual norm after placing is smal
 row into groups of bounded size that are packed side by side. What a group leaves in badly filled sequences is packed again
 with other groups' rest.
 
+A piece of n tokens costs n squared. Where documents or cost are given, they bind beside the tokens: pack_documents cuts at the
+largest length that tokens and cost allow, and a piece handed to pack that exceeds a capacity by itself gets a sequence of its own.
+
 Defined results: a null or empty text is one piece that holds only the end id; ties go to the earlier document, then to the
-older sequence; repeated rows are packed each; an empty table gives an empty result; other columns are not read.
+older sequence; repeated rows are packed each; an empty table gives an empty result; other columns are not read; a text may be
+as long as memory allows, its pieces are packed apart.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -62,7 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, wi
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: int, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> np.ndarray:
-    """The sequence of each piece; lengths must fall."""
+    """The sequence of each piece; lengths must fall. What exceeds a capacity by itself gets a sequence of its own."""
     cap, w = np.array([tokens, documents, cost], np.float64), np.array(weights, np.float64)
     out = np.empty(len(lengths), np.int64)
     left, ids, open_, made, rooms = np.empty((3, 256), np.int64), np.empty(256, np.int64), 0, 0, -1
@@ -97,8 +102,8 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, co
     """pieces (doc_id, piece, length, row and more) with sequence_id and offset. Without documents and cost only tokens bind."""
     spark = pieces.sparkSession
     on_workers(spark)
-    documents, cost = documents or tokens, cost or tokens * tokens
-    if tokens * tokens < 1 or documents < 1:
+    documents, cost = tokens if documents is None else documents, tokens * tokens if cost is None else cost
+    if min(tokens, documents, cost) < 1:
         raise ValueError("capacities must be positive")
     done: list[DataFrame] = []
     names = pieces.columns
@@ -108,8 +113,6 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int | None = None, co
         def run(key: tuple, t: pa.Table) -> pa.Table:
             t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
             size = t.column("length").to_numpy()
-            if len(size) and int(size[0]) ** 2 > cost:
-                raise ValueError("a piece exceeds the attention cost of a sequence")
             seq = best_fit(size, tokens, documents, cost, weights, rule)
             order = np.argsort(seq, kind="stable")
             seq, size, t = seq[order], size[order], t.take(pa.array(order))
@@ -149,5 +152,6 @@ def _without_group(run, names):
 
 def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 2048, documents: int | None = None, cost: int | None = None) -> DataFrame:
     """Every document's pieces with their sequence and their place in it."""
-    pieces = stored(cut_pieces(docs, tokenizer, tokens))
+    longest = tokens if cost is None else min(tokens, max(1, math.isqrt(cost)))
+    pieces = stored(cut_pieces(docs, tokenizer, longest))
     return pack(pieces, tokens, documents, cost).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
