@@ -382,7 +382,9 @@ def _components(docs: DataFrame) -> DataFrame:
     if more.take(1):
         labels = components(links.unionByName(more))
     root = names.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("u", "v", F.coalesce("label", "node").alias("root"))
-    return placed.join(root, ["u", "v"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    found = sets.join(root, ["u", "v"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    # documents without a set, which may be many, meet nothing and stay out of the join
+    return found.unionByName(placed.filter("u IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
