@@ -29,6 +29,16 @@ def test_counts_equal_the_library(spark):
     assert unigram.token_counts(df.limit(0), path).count() == 0
 
 
+def test_counts_of_a_model_with_fractional_scores(monkeypatch):
+    rng = random.Random(21)
+    pieces = [(p, -rng.random() * 12 - 0.1) for p, _ in unigram.read_pieces(vocabulary("piece_bpe_32k.model"))]
+    monkeypatch.setattr(unigram, "read_pieces", lambda path: pieces)
+    counter, model = unigram.Counter(""), Unigram(pieces, unk_id=0, byte_fallback=True)
+    pool = ["the ", "ing ", "and", " ", "  ", "é", "中", "<s>", "der Hund ", "a", "tion"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    assert not counter.adds and counter.count(texts)[0].tolist() == [len(model.tokenize("▁" + t.replace(" ", "▁"))) if t else 0 for t in texts]
+
+
 def test_best_score_is_the_best_of_all_cuts():
     counter = unigram.Counter(vocabulary("piece_bpe_32k.model"))
     scores = dict(counter.pieces)

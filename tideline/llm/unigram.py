@@ -5,9 +5,11 @@ best score and its number of pieces. Ties go as in the tokenizers library's unig
 the piece that starts first stays, and a character without a piece of its own may be unknown at ten below the least score,
 counted as its bytes. No piece spans the place before a space mark that follows another character, nor a character that
 occurs in no piece, so texts fall apart there; each distinct part of a batch is solved once and its score and count added.
-That is exact while scores add without rounding, as whole-number scores do up to 2**53.
+That is exact while scores add without rounding, as whole-number scores do up to 2**53; under a model with other scores, whose
+sums round as they grow, a text is solved whole from its first character on, as the library does.
 
-Defined results: null and empty texts have no tokens and score 0; repeated rows are counted each; other columns are dropped.
+Defined results: null and empty texts have no tokens and score 0; repeated rows are counted each; other columns are dropped; a
+text is held whole, in arrays of its length, but no other than it.
 """
 
 from __future__ import annotations
@@ -80,6 +82,8 @@ class Counter:
         self.foreign[[ord(c) for c in {c for p in last for c in p}]] = False
         if any(MARK in p.lstrip(MARK) for p in last):
             raise ValueError("a piece has a space mark after another character")
+        #: Whether parts of a text may be solved apart.
+        self.adds = all(score == int(score) for score in last.values())
         self.known: dict[str, tuple[float, int]] = {}
 
     def solve(self, text: str) -> tuple[float, int]:
@@ -125,7 +129,7 @@ class Counter:
         ends = np.cumsum([len(t) for t in texts])
         mark, foreign = cp == ord(MARK), self.foreign[cp]
         cut = np.ones(len(cp), bool)
-        cut[1:] = (mark[1:] & ~mark[:-1]) | foreign[1:] | foreign[:-1]
+        cut[1:] = ((mark[1:] & ~mark[:-1]) | foreign[1:] | foreign[:-1]) & self.adds
         cut[ends[:-1][ends[:-1] < len(cp)]] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(cp))
