@@ -5,7 +5,8 @@ An archive is a folder with two tables. payloads: address, payload. headers: hea
 header with its blank line) and the payload's address. Reading recomputes the digest of every stored payload and fails on a
 payload that is missing or doesn't fit its address.
 
-Equal payloads need no gathering: a map-side aggregate leaves one row per payload and task, however many copies there are.
+Equal payloads need no gathering: a map-side aggregate leaves one row per payload and task, however many copies there are. It
+also holds a second hash and the sizes of all copies against each other, so payloads that shared an address by chance would fail.
 Defined results: a null html is an empty payload; rows that share the largest page_id of their payload are all responses;
 null page_ids are revisits where another page holds the payload; line breaks in urls become spaces; other columns are dropped.
 """
@@ -27,7 +28,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, d
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]+", " ").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("address", F.sha2("payload", 256))
-    rows.groupBy("address").agg(F.first("payload").alias("payload"), F.max("page_id").alias("holder")).write.parquet(f"{path}/payloads")
+    once = rows.withColumn("also", F.struct(F.xxhash64("payload"), F.octet_length("payload"))).groupBy("address").agg(F.first("payload").alias("payload"), F.max("page_id").alias("holder"), F.min("also").alias("least"), F.max("also").alias("most"))
+    same = F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("different payloads at "), F.col("address"))))
+    once.select("address", same.alias("payload"), "holder").write.parquet(f"{path}/payloads")
     holders = spark.read.parquet(f"{path}/payloads").select("address", "holder")
     narrow = rows.select("page_id", "url", "address", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
     joined = narrow.join(holders, "address")
