@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, packing. Each stage takes (spark, docs, sf_dir)."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, packing. Each stage takes (spark, docs, sf_dir).
+
+Every stage works on all rows of docs, in any column order and with any further columns, which it hands on untouched but for
+n_chars, which follows the text. Null and blank texts go in the first stage. Rows without a doc_id are documents of their own;
+rows that share one are judged each by the first stage, share the second's decisions and stay together in the third. An empty
+table stays empty. Texts of any length are processed whole.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard", near_duplicates), ("best_fit_packing", packing)]
 
-#: SQL has no tokenizer; tests hold the stages against brute force.
+#: SQL has no tokenizer; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -114,3 +114,11 @@ def test_finished_values_take_nothing_from_the_sender(spark):
     assert [r["body"] for r in got] == [[[1], None], [value], None]
     df = payloads.parse(spark.createDataFrame([('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":{"arrayValue":{"values":[{"arrayValue":{"values":[{"doubleValue":1e400},{"doubleValue":12345678901234567890.12345678901},{"stringValue":"\\ud800"}]}}]}}}]}]}]}',)], "body string"))
     assert FLATTEN["logs"](df).select(F.to_json("body")).first()[0] == '[[null,12345678901234567890.12345678901,"?"]]'
+
+
+def test_names_hidden_by_escapes_are_found(spark):
+    value = '{"\\u0061rrayValue":{"values":[{"\\u0061rrayValue":{"values":[{"\\u0061rrayValue":{"values":[{"intValue":1}]}}]}}]}}'
+    body = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":' + value + "}]}]}]}"
+    df = payloads.parse(spark.createDataFrame([(body,)], "body string"))
+    assert FLATTEN["logs"](df).select(F.to_json("body")).first()[0] == "[[[1]]]"
+    assert FLATTEN["logs"](df).columns[0] == "resourceIndex"

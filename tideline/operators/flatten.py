@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.coerce import any_value, array, attributes, boolean, each, elements, field, integer, let, number, number_like, record, shape, text
 from ..functions.timefn import duration_of, iso, iso_of, nanos
-from ..sources.payloads import finish
+from ..sources.payloads import MAYBE, finish
 
 UNKNOWN_SERVICE = "_unknown"
 
@@ -32,7 +32,7 @@ def _scope(scope: str) -> str:
 
 def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...], times: dict[str, str]) -> DataFrame:
     """The leaves' fields (_x) with resource, serviceName and scope beside them, their place as resourceIndex, scopeIndex and leafIndex, and counts of nanoseconds (times: name and field)."""
-    kept = _quoted(df, "payload")
+    kept = _quoted(df, "payload", MAYBE)
     outer = finish(df).selectExpr(*kept, f"posexplode({elements(field('payload', top))}) AS (resourceIndex, _r)")
     outer = outer.selectExpr(*kept, "resourceIndex", f"{shape('_r', 'resource', middle)} AS _r")
     outer = outer.selectExpr(*kept, "resourceIndex", f"{attributes(field('_r.resource', 'attributes'))} AS resource", f"{elements(f'_r.{middle}')} AS _scopes")

@@ -10,6 +10,8 @@ import gzip
 import json
 import sys
 import zlib
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .wire import DEEPEST, decode_request
 
 #: Two containers at least, so that values may lie deeper than expressions unfold; or the key of finished ones, which no sender may use.
 _DEEP = rf"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)|{DONE}"
+#: Column that tells whether a payload's text names a container or the key of finished values.
+MAYBE = "_deep"
 #: Keys of key-value arrays.
 _ENTRIES = ("attributes", "filteredAttributes", "metadata")
 
@@ -124,22 +128,25 @@ def _fold_deep(texts: pd.Series) -> pd.Series:
 def finish(df: DataFrame) -> DataFrame:
     """df with the values in `payload` that are nested deeper than expressions unfold finished; only payloads that may hold some pass through Python.
 
-    The flatteners call it, so whatever hands payloads to them, none is cut, and raw sinks keep payloads as they came.
+    The flatteners call it, so whatever hands payloads to them, none is cut, and raw sinks keep payloads as they came. A column
+    MAYBE, as parse gives it, spares payloads without containers; it goes.
     """
     on_workers(df.sparkSession)
-    raw = F.to_json("payload")
+    raw = F.to_json(F.when(F.col(MAYBE), F.col("payload")) if MAYBE in df.columns else "payload")
     folded = F.pandas_udf(_fold_deep, "string")(F.when(raw.rlike(_DEEP), raw))
-    return df.withColumn("payload", F.coalesce(F.parse_json(folded), "payload"))
+    return df.withColumn("payload", F.coalesce(F.parse_json(folded), "payload")).drop(MAYBE)
 
 
 def parse(df: DataFrame, body: str = "body", deep: bool = True) -> DataFrame:
-    """df with `payload` (VARIANT) in place of a text column: empty bodies are {}, unreadable ones NULL.
+    """df with `payload` (VARIANT) in place of a text column: empty bodies are {}, unreadable ones NULL; and MAYBE, whether values may lie deep.
 
     deep: has no effect; values of any depth stay as they came, and the flatteners finish them.
     """
     configure(df.sparkSession)
     raw = F.when(F.length(body) == 0, F.lit("{}")).otherwise(F.col(body))
-    return df.withColumn("payload", F.try_parse_json(raw)).drop(body)
+    # an escape may hide a name
+    maybe = reduce(or_, [F.col(body).contains(x) for x in ("arrayValue", "kvlistValue", DONE, "\\u")])
+    return df.withColumns({"payload": F.try_parse_json(raw), MAYBE: maybe}).drop(body)
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def _lines(spark: SparkSession, landing: str, form: str, files: int) -> DataFram
 
 
 def flatten_stream(spark: SparkSession, landing: str, form: str = "text", files: int = FILES) -> DataFrame:
-    """Payloads (payload, received_at) as a stream from text files with one JSON body a line; rejected_stream has the lines that can't be read."""
+    """Payloads (payload, received_at, payloads.MAYBE) as a stream from text files with one JSON body a line; rejected_stream has the lines that can't be read."""
     return payloads.parse(_lines(spark, landing, form, files), "value").filter("payload IS NOT NULL")
 
 
@@ -52,7 +52,7 @@ def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: st
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
-        good = batch.filter("payload IS NOT NULL AND error IS NULL").select("signal", "received_at", "payload")
+        good = batch.filter("payload IS NOT NULL AND error IS NULL").drop("error", "contentType", "contentEncoding")
         write_batch(good, output, logs_mirror, name)
         batch.filter("payload IS NULL OR error IS NOT NULL").select("signal", "received_at", F.coalesce("error", F.lit("Invalid JSON")).alias("error")).write.mode("overwrite").json(f"{output}/rejected/batch={name}")
 
