@@ -1,8 +1,5 @@
 import hashlib
-import os
 import random
-import subprocess
-import sys
 
 import numpy as np
 import pytest
@@ -11,8 +8,6 @@ from tokenizers.models import Unigram
 from tideline.llm import addquant, unigram, warc
 from tideline.llm.queries import vocabulary
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 def test_counts_equal_the_library(spark):
     path = vocabulary("piece_bpe_32k.model")
@@ -148,17 +143,19 @@ def test_repeated_query_ids_rank_apart(spark):
     assert got == [(20, 1, 1, 3.0), (20, 1, 2, 3.0), (20, 2, 1, 0.5), (20, 2, 2, 0.5)]
 
 
-def test_scratch_tables_need_no_setting(spark, tmp_path):
-    code = f"""
-import sys
-sys.path.insert(0, {ROOT!r})
-from pyspark.sql import SparkSession
-from tideline.llm.common import stored
-spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
-assert spark.conf.get('spark.checkpoint.dir', None) is None
-assert stored(spark.range(5)).count() == 5
-"""
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=240)
+def test_scratch_folders_with_and_without_the_setting():
+    from types import SimpleNamespace as Session
+
+    from tideline.llm.common import shared_dir
+
+    def session(master, base):
+        return Session(conf=Session(get=lambda key, default: base), sparkContext=Session(master=master))
+
+    assert shared_dir(session("yarn", "hdfs://x/shared/")).startswith("hdfs://x/shared/tideline-")
+    assert "tideline-scratch" in shared_dir(session("local", None)) and "tideline-scratch" in shared_dir(session("local[4]", None))
+    for master in ("yarn", "spark://host:1", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            shared_dir(session(master, None))
 
 
 def test_pipeline_on_the_small_tables(spark):
