@@ -77,6 +77,12 @@ def op10_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,15 +101,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_best_fit": op8_vector_best_fit,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_first_cleaning": op10_line_first_cleaning,
+        "op11_benchmark_decontamination": op11_benchmark_decontamination,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup, quality, warc
+    from . import decontam, linededup, quality, warc
 
     return {
         "op3_deletion_neighbourhood": linededup.SQL,
         "op5_content_addressed_archive": warc.SQL,
         "op10_line_first_cleaning": quality.SQL,
+        "op11_benchmark_decontamination": decontam.SQL,
     }
