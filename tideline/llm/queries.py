@@ -83,6 +83,12 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_line_first_cleaning": op10_line_first_cleaning,
         "op11_benchmark_decontamination": op11_benchmark_decontamination,
+        "op12_bit_sliced_whitening": op12_bit_sliced_whitening,
         "pipeline": pipeline,
     }
 
