@@ -89,6 +89,12 @@ def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import report
+
+    return report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_first_cleaning": op10_line_first_cleaning,
         "op11_benchmark_decontamination": op11_benchmark_decontamination,
         "op12_bit_sliced_whitening": op12_bit_sliced_whitening,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
 
