@@ -10,8 +10,8 @@ def kv(**values):
     return [{"key": k, "value": v} for k, v in values.items()]
 
 
-def rows(spark, signal, *bodies, deep=False):
-    df = payloads.parse(spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string"), deep=deep)
+def rows(spark, signal, *bodies):
+    df = payloads.parse(spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string"))
     out = FLATTEN[signal](df)
     got = out.orderBy("i", *[c for c in PLACES if c in out.columns]).select(F.to_json(F.struct(*[c for c in out.columns if c not in PLACES and c != "i"]))).collect()
     return [json.loads(r[0]) for r in got]
@@ -42,7 +42,7 @@ def test_values_and_attributes(spark):
 
 def test_deep_values_equal_shallow_rules(spark):
     deep = {"arrayValue": {"values": [{"kvlistValue": {"values": kv(x={"arrayValue": {"values": [{"kvlistValue": {"values": kv(y={"intValue": "7"}, z={"stringValue": 1})}}, {}]}})}}]}}
-    (row,) = rows(spark, "logs", logs({"body": deep}), deep=True)
+    (row,) = rows(spark, "logs", logs({"body": deep}))
     assert row["body"] == [{"x": [{"y": "7"}, None]}]
 
 

@@ -19,9 +19,9 @@ from tideline.engine import Engine
 from tideline.functions import timefn
 from tideline.operators.routing import classify_request, service_dir
 from tideline.sources import payloads, wire
-from tideline.sources.http import Front, read_body
+from tideline.sources.http import Front, Landing, read_body
 from tideline.sources.sinks import write_batch
-from tideline.streaming.stream import drain, flatten_stream, ingest_stream, rejected_stream
+from tideline.streaming.stream import REJECTED, drain, flatten_stream, ingest_stream, rejected_stream
 
 LOG = {"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": ".."}}]}, "scopeLogs": [{"logRecords": [{"body": {"stringValue": "x"}}]}]}]}
 
@@ -205,7 +205,7 @@ def test_bodies_sent_in_chunks_or_too_deep_or_with_nan(spark, tmp_path):
         front.stop()
     assert sum(spark.read.parquet(landing).groupBy().count().first()) == 24
     ingest_stream(spark, landing, out, str(tmp_path / "state")).awaitTermination()
-    assert spark.read.text(f"{out}/services").count() == 24 and spark.read.schema("error string").json(f"{out}/rejected").count() == 0
+    assert spark.read.text(f"{out}/services").count() == 24 and spark.read.schema("error string").parquet(f"{out}/rejected").count() == 0
     bodies = [json.loads(r.value)["body"] for r in spark.read.text(f"{out}/services").collect()]
     depth = lambda x: 1 + depth(x[0]) if isinstance(x, list) else 0
     assert sorted(map(depth, bodies))[-2:] == [300, 300] and bodies.count("x") == 22
@@ -220,10 +220,73 @@ def test_poison_is_rejected_one_by_one_and_a_new_checkpoint_replaces_nothing(spa
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / day))
         ingest_stream(spark, str(tmp_path / day), out, str(tmp_path / f"state-{day}")).awaitTermination()
     assert spark.read.text(f"{out}/services").count() == 4 and spark.read.text(f"{out}/logs-by-service").count() == 4
-    assert sorted(r.error for r in spark.read.schema("error string").json(f"{out}/rejected").collect()) == ["Invalid JSON"] * 4 + ["Invalid protobuf"] * 6
+    rejected = spark.read.schema(REJECTED).parquet(f"{out}/rejected")
+    assert sorted(r.error for r in rejected.collect()) == ["Invalid JSON"] * 4 + ["Invalid protobuf"] * 6
+    # whole as they landed, ready to land again
+    assert sorted(bytes(r.body) for r in rejected.filter("signal = 'logs'").collect()) == sorted([b for _, b in bodies[1:5]] * 2)
+    rejected.drop("error").coalesce(1).write.parquet(str(tmp_path / "again"))
+    ingest_stream(spark, str(tmp_path / "again"), str(tmp_path / "out2"), str(tmp_path / "state-again")).awaitTermination()
+    assert spark.read.schema(REJECTED).parquet(str(tmp_path / "out2" / "rejected")).count() == 10
     assert len(os.listdir(f"{out}/services")) == 2 + sum(not f.startswith("batch=") for f in os.listdir(f"{out}/services"))
 
 
+LIMITS = {"digits": b'{"n":' + b"7" * 1200 + b"}", "fraction": b'{"n":0.' + b"7" * 1200 + b"}", "key": b'{"' + b"k" * 60_000 + b'":1}', "string": b'["' + b"s" * 20_000_001 + b'"]'}
+
+
+def test_what_spark_cannot_store_is_refused_by_the_front_and_kept_whole_by_the_stream(spark, tmp_path):
+    landing, out, js = str(tmp_path / "landing"), str(tmp_path / "out"), "application/json"
+    front = Front(landing, 0, "127.0.0.1").start()
+
+    def send(body, **head):
+        c = http.client.HTTPConnection("127.0.0.1", front.port, timeout=60)
+        c.request("POST", "/v1/logs", body, {"Content-Type": js, **{k.replace("_", "-"): v for k, v in head.items()}})
+        r = c.getresponse()
+        return r.status, json.loads(r.read())
+
+    try:
+        for body in LIMITS.values():
+            assert send(body) == (400, {"code": 3, "message": "Invalid JSON"})
+        for kind in (gzip, zlib):
+            assert send(kind.compress(b"[" + b" " * payloads.MAX_BODY + b"]"), Content_Encoding="gzip" if kind is gzip else "deflate") == (413, {"code": 8, "message": "Payload too large"})
+        c = http.client.HTTPConnection("127.0.0.1", front.port, timeout=60)
+        c.putrequest("POST", "/v1/logs")
+        c.putheader("Content-Type", js)
+        c.putheader("Content-Length", str(payloads.MAX_BODY + 1))
+        c.endheaders()
+        assert c.getresponse().status == 413
+        fits = b'["' + b"s" * 19_999_999 + b'",' + b"7" * 1000 + b',{"' + b"k" * 50_000 + b'":1}]'
+        assert send(fits)[0] == 200
+    finally:
+        front.stop()
+    ingest_stream(spark, landing, out, str(tmp_path / "state")).awaitTermination()
+    stored = json.loads(spark.read.text(f"{out}/raw").first().value)
+    assert (len(stored[0]), len(next(iter(stored[2])))) == (19_999_999, 50_000) and spark.read.schema(REJECTED).parquet(f"{out}/rejected").count() == 0
+    # landed by other hands
+    rows = [("logs", js, None, datetime.datetime(2024, 5, 1), body) for body in [*LIMITS.values(), json.dumps(LOG).encode()]]
+    spark.createDataFrame(rows, "signal string, contentType string, contentEncoding string, received_at timestamp, body binary").coalesce(1).write.parquet(str(tmp_path / "more"))
+    ingest_stream(spark, str(tmp_path / "more"), out, str(tmp_path / "state2")).awaitTermination()
+    assert sorted(bytes(r.body) for r in spark.read.schema(REJECTED).parquet(f"{out}/rejected").collect()) == sorted(LIMITS.values())
+    assert spark.read.text(f"{out}/services").count() == 1
+
+
+def test_a_failed_write_answers_all_that_wait():
+    def save(name, data):
+        raise RuntimeError("no disk")
+
+    landing, answers = Landing(save), []
+
+    def land():
+        try:
+            landing.land("logs", "application/json", None, b"{}")
+        except OSError as e:
+            answers.append(str(e))
+
+    many = [threading.Thread(target=land) for _ in range(8)]
+    [t.start() for t in many]
+    [t.join(20) for t in many]
+    assert answers == ["can't land the request: no disk"] * 8
+
+
 def test_engine_starts_once_stops_any_time_and_frees_its_port(spark, tmp_path):
     idle = Engine(spark, 0, str(tmp_path / "idle"))
     idle.stop()

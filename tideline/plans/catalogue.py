@@ -4,6 +4,7 @@ reduced to scalars, so that plain SQL over the base tables says what must come o
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import zlib
 from collections.abc import Callable
@@ -297,7 +298,7 @@ def anyvalue_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 10 THEN concat('{"arrayValue":{"values":[{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":', p_size, '}]}}]}}]}}')
         ELSE concat('{"kvlistValue":{"values":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"c","value":{"intValue":', p_size, '}}]}}}]}}}]}}') END""")
     body = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":'), value, F.lit("}]}]}]}"))
-    rows = flatten_logs(payloads.parse(_table(spark, sf_dir, "part").select("p_partkey", body.alias("body")), deep=True).withColumnRenamed("p_partkey", "id"))
+    rows = flatten_logs(payloads.parse(_table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))).withColumnRenamed("p_partkey", "id"))
     return rows.select("id", F.to_json("body").alias("body"))
 
 
@@ -529,7 +530,7 @@ def _landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     head, tail = F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"a/'), F.lit("]}]}]}")
     sent = ev.groupBy("event_type", F.expr(f"event_id DIV {CHUNK}").alias("chunk")).agg(F.concat_ws(",", F.collect_list(F.expr(_JSON_LOG))).alias("records"))
     good = sent.select(F.pmod(F.xxhash64("event_type", "chunk"), F.lit(6)).cast("int").alias("form"), F.concat(head, "event_type", F.lit('"}}]},"scopeLogs":[{"logRecords":['), "records", tail).alias("body"))
-    poison = ev.filter("event_id % 100 = 0").select(F.expr("CAST(6 + event_id DIV 100 % 3 AS INT)").alias("form"), F.lit("").alias("body"))
+    poison = ev.filter("event_id % 100 = 0").select(F.expr("CAST(6 + event_id DIV 100 % 5 AS INT)").alias("form"), F.col("event_id").cast("string").alias("body"))
     def nested() -> bytes:
         """A value 1500 arrays deep on the wire, put together from within."""
         out = b"\x0a\x01x"
@@ -546,13 +547,13 @@ def _landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = []
         for form, text in zip(forms, texts):
             if form >= 6:
-                out.append((b"[", b"\xff\xff\xff", nested())[form - 6])
+                out.append((b"[" + text.encode(), b"\xff\xff\xff", nested(), b'{"n":' + b"7" * 1200 + b"," + b'"id":' + text.encode() + b"}", b'{"' + b"k" * 60_000 + b'":' + text.encode() + b"}")[form - 6])
                 continue
             raw = encode("logs", json.loads(text)) if form % 2 else text.encode()
             out.append(gzip.compress(raw) if form // 2 == 1 else zlib.compress(raw) if form // 2 == 2 else raw)
         return pd.Series(out)
 
-    kind = F.when((F.col("form") % 2 == 1) & (F.col("form") < 6) | (F.col("form") > 6), "application/x-protobuf").otherwise("application/json; charset=utf-8")
+    kind = F.when(F.col("form").isin(1, 3, 5, 7, 8), "application/x-protobuf").otherwise("application/json; charset=utf-8")
     encoding = F.when(F.col("form").isin(2, 3), "gzip").when(F.col("form").isin(4, 5), "deflate")
     at = F.lit("2024-05-01 23:59:59").cast("timestamp")
     return good.unionByName(poison).select(F.lit("logs").alias("signal"), kind.alias("contentType"), encoding.alias("contentEncoding"), at.alias("received_at"), F.pandas_udf(bytes_of, "binary")("form", "body").alias("body"))
@@ -560,7 +561,7 @@ def _landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed requests through the ingest stream, read back from every sink: raw, services, the logs' mirror and what was rejected."""
-    from ..streaming.stream import ingest_stream
+    from ..streaming.stream import REJECTED, ingest_stream
 
     root = scratch_dir(spark)
     _landed_logs(spark, sf_dir).write.parquet(f"{root}/landing")
@@ -571,20 +572,22 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = services.unionByName(mirror).select("sink", "service_dir", "signal", "ingest_date", "r.serviceName", "r.timestamp", "r.severityText", "r.body", "r.attributes")
     raw = spark.read.schema(parts.format("signal string, ")).text(f"{root}/out/raw").select(F.lit("raw").alias("sink"), F.lit(None).cast("string").alias("service_dir"), "signal", "ingest_date", F.parse_json("value").alias("payload"))
     rows = rows.unionByName(flatten_logs(raw).select(*rows.columns))
-    rows = rows.select("sink", "service_dir", "signal", "ingest_date", "serviceName", "timestamp", "severityText", F.to_json("body").alias("body"), whole("event_id").alias("event_id"), F.to_json(F.try_element_at("attributes", F.lit("deep"))).alias("deep"), F.lit(None).cast("string").alias("error"))
-    rejected = spark.read.schema("signal string, received_at timestamp, error string, batch string").json(f"{root}/out/rejected")
+    rows = rows.select("sink", "service_dir", "signal", "ingest_date", "serviceName", "timestamp", "severityText", F.to_json("body").alias("body"), whole("event_id").alias("event_id"), F.to_json(F.try_element_at("attributes", F.lit("deep"))).alias("deep"), *[F.lit(None).cast("string").alias(c) for c in ("error", "contentType", "body_sha256")])
+    rejected = spark.read.schema(f"{REJECTED}, batch string").parquet(f"{root}/out/rejected")
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    rejected = rejected.select(F.lit("rejected").alias("sink"), *none("service_dir"), "signal", F.date_format("received_at", "yyyy-MM-dd").alias("ingest_date"), *none("serviceName", "timestamp", "severityText", "body"), F.lit(None).cast("long").alias("event_id"), *none("deep"), "error")
-    return rows.unionByName(rejected)
+    rejected = rejected.select(F.lit("rejected").alias("sink"), *none("service_dir"), "signal", F.date_format("received_at", "yyyy-MM-dd").alias("ingest_date"), *none("serviceName", "timestamp", "severityText", "body"), F.lit(None).cast("long").alias("event_id"), *none("deep"), "error", "contentType", F.when(F.length("body") < 100_000, F.sha2("body", 256)).alias("body_sha256"))
+    # the bytes of a nested value are not for SQL
+    return rows.unionByName(rejected.withColumn("body_sha256", F.when((F.col("contentType") != "application/x-protobuf") | (F.col("body_sha256") == hashlib.sha256(b"\xff\xff\xff").hexdigest()), F.col("body_sha256"))))
 
 
 STREAMING_INGEST_SQL = """
 SELECT sink, CASE WHEN sink <> 'raw' THEN 'a_' || event_type END AS service_dir, CASE WHEN sink <> 'logs-by-service' THEN 'logs' END AS signal, '2024-05-01' AS ingest_date, 'a/' || event_type AS "serviceName",
-       strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, event_type AS "severityText", '{"a":{"b":{"c":"' || event_id || '"}}}' AS body, event_id, '[[["' || user_id || '"]]]' AS deep, CAST(NULL AS VARCHAR) AS error
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, event_type AS "severityText", '{"a":{"b":{"c":"' || event_id || '"}}}' AS body, event_id, '[[["' || user_id || '"]]]' AS deep, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS "contentType", CAST(NULL AS VARCHAR) AS body_sha256
 FROM events, (SELECT unnest(['raw', 'services', 'logs-by-service']) AS sink)
 UNION ALL
-SELECT 'rejected', NULL, 'logs', '2024-05-01', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN event_id // 100 % 3 = 0 THEN 'Invalid JSON' ELSE 'Invalid protobuf' END
-FROM events WHERE event_id % 100 = 0
+SELECT 'rejected', NULL, 'logs', '2024-05-01', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN k IN (1, 2) THEN 'Invalid protobuf' ELSE 'Invalid JSON' END, CASE WHEN k IN (1, 2) THEN 'application/x-protobuf' ELSE 'application/json; charset=utf-8' END,
+       CASE k WHEN 0 THEN sha256('[' || event_id) WHEN 1 THEN sha256(unhex('ffffff')) WHEN 3 THEN sha256('{"n":' || repeat('7', 1200) || ',"id":' || event_id || '}') WHEN 4 THEN sha256('{"' || repeat('k', 60000) || '":' || event_id || '}') END
+FROM (SELECT event_id, event_id // 100 % 5 AS k FROM events WHERE event_id % 100 = 0)
 """
 
 

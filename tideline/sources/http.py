@@ -22,7 +22,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 
 from ..operators.routing import JSON_TYPE, PROTOBUF_TYPE, SIGNALS
-from .payloads import check_json, decompress
+from .payloads import MAX_BODY, TooLarge, check_json, check_text, decompress
 from .wire import decode_request
 
 #: Fixed values of the protocol: what an accepted export answers per signal.
@@ -51,23 +51,30 @@ def check_head(method: str, path: str, content_type: str | None, encoding: str |
     return route[4:], media
 
 
+TOO_LARGE = Refused(413, 8, "Payload too large")
+
+
 def check_body(signal: str, media: str, encoding: str | None, body: bytes) -> None:
-    """Refuses a body that can't be read."""
+    """Refuses a body that can't be read, or not stored."""
     try:
         plain = decompress(encoding, body)
+    except TooLarge as e:
+        raise TOO_LARGE from e
     except ValueError as e:
         raise Refused(400, 3, str(e)) from e
     try:
         if media == PROTOBUF_TYPE:
-            decode_request(signal, plain)
+            check_text(decode_request(signal, plain))
         else:
             check_json(plain.decode("utf-8", "replace") or "{}")
+    except TooLarge as e:
+        raise TOO_LARGE from e
     except ValueError as e:
         raise Refused(400, 3, "Invalid protobuf" if media == PROTOBUF_TYPE else "Invalid JSON") from e
 
 
 def read_body(stream: BinaryIO, headers: Mapping[str, str]) -> bytes:
-    """The body of a request, by its chunks or its Content-Length; refuses broken framing, after which a connection is of no use."""
+    """The body of a request, by its chunks or its Content-Length; refuses broken framing and more than MAX_BODY bytes, after which a connection is of no use."""
     broken = Refused(400, 3, "Malformed request body")
 
     def exactly(n: int) -> bytes:
@@ -79,13 +86,15 @@ def read_body(stream: BinaryIO, headers: Mapping[str, str]) -> bytes:
     if coding:
         if coding != "chunked":
             raise Refused(501, 12, "Unsupported Transfer-Encoding")
-        parts = []
+        parts, total = [], 0
         while True:
             size = stream.readline(1 << 16).split(b";")[0].strip()
             if not size or size.strip(b"0123456789abcdefABCDEF"):
                 raise broken
             if not (n := int(size, 16)):
                 break
+            if (total := total + n) > MAX_BODY:
+                raise TOO_LARGE
             parts.append(exactly(n))
             if stream.readline(3) not in (b"\r\n", b"\n"):
                 raise broken
@@ -96,6 +105,8 @@ def read_body(stream: BinaryIO, headers: Mapping[str, str]) -> bytes:
     length = (headers.get("Content-Length") or "0").strip()
     if not (length.isascii() and length.isdigit()):
         raise broken
+    if int(length[:20]) > MAX_BODY:
+        raise TOO_LARGE
     return exactly(int(length))
 
 
@@ -153,8 +164,9 @@ class Landing:
                     out = BytesIO()
                     pq.write_table(pa.Table.from_pylist([t["row"] for t in taken], _SCHEMA), out)
                     self._save(f"{uuid.uuid4().hex}.parquet", out.getvalue())
-                except OSError as e:
-                    failed = e
+                # whatever it is, all that wait must hear of it
+                except Exception as e:  # noqa: BLE001
+                    failed = e if isinstance(e, OSError) else OSError(f"can't land the request: {e}")
                 for t in taken:
                     t["failed"] = failed
         if own["failed"]:

@@ -7,6 +7,7 @@ with its reason, never dropped.
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import sys
 import zlib
@@ -26,6 +27,10 @@ from .wire import DEEPEST, decode_request
 _DEEP = rf"(?s)(arrayValue|kvlistValue).*(arrayValue|kvlistValue)|{DONE}"
 #: Column that tells whether a payload's text names a container or the key of finished values.
 MAYBE = "_deep"
+#: What Spark's JSON parser takes at most: characters of a number, and UTF-16 units of a key and of a string.
+MAX_NUMBER, MAX_KEY, MAX_STRING = 1000, 50_000, 20_000_000
+#: Bytes of a body, plain: Spark stores values of 128 MiB at most, and one may print longer than it came.
+MAX_BODY = 64 << 20
 #: Keys of key-value arrays.
 _ENTRIES = ("attributes", "filteredAttributes", "metadata")
 
@@ -103,22 +108,54 @@ def _finished(x):
     return {k: _entries(v) if k in _ENTRIES and isinstance(v, list) else _folded(v, DEPTH) if k == "body" else _finished(v) for k, v in x.items()}
 
 
+class TooLarge(ValueError):
+    """A body beyond MAX_BODY."""
+
+
 def _no_number(token: str) -> None:
     raise ValueError(f"{token} is no JSON")
 
 
+def _short(read):  # noqa: ANN001, ANN202
+    def number(token: str):  # noqa: ANN202
+        if len(token) > MAX_NUMBER:
+            raise ValueError("number too long")
+        return read(token)
+
+    return number
+
+
+def _longer(text: str, most: int) -> bool:
+    """Whether a text has more than `most` UTF-16 units, as the JVM counts."""
+    return 2 * len(text) > most and len(text.encode("utf-16-le", "surrogatepass")) > 2 * most
+
+
 def check_json(text: str) -> None:
-    """Raises ValueError on a text that Spark could not store: no JSON, or nested beyond DEEPEST."""
+    """Raises ValueError on a text that Spark could not store: no JSON, nested beyond DEEPEST, or with a number, key or string beyond the limits."""
     try:
-        layer, depth = [json.loads(text, parse_constant=_no_number)], 0
+        layer, depth = [json.loads(text, parse_constant=_no_number, parse_int=_short(int), parse_float=_short(float))], 0
     except RecursionError as e:
         raise ValueError("nested too deep") from e
-    while layer := [x for x in layer if isinstance(x, (dict, list))]:
+    while layer:
+        if any(isinstance(x, str) and _longer(x, MAX_STRING) for x in layer):
+            raise ValueError("string too long")
+        if not (layer := [x for x in layer if isinstance(x, (dict, list))]):
+            return
         if (depth := depth + 1) > DEEPEST:
             raise ValueError("nested too deep")
+        if any(_longer(k, MAX_KEY) for x in layer if isinstance(x, dict) for k in x):
+            raise ValueError("key too long")
         layer = [y for x in layer for y in (x.values() if isinstance(x, dict) else x)]
 
 
+def check_text(text: str) -> None:
+    """check_json for a text put together here: short ones can't break a limit."""
+    if len(text) > MAX_BODY:
+        raise TooLarge("Payload too large")
+    if len(text) > MAX_KEY:
+        check_json(text)
+
+
 def _fold_deep(texts: pd.Series) -> pd.Series:
     # JSON text of Spark nests 1000 levels at most
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
@@ -137,10 +174,10 @@ def finish(df: DataFrame) -> DataFrame:
     return df.withColumn("payload", F.coalesce(F.parse_json(folded), "payload")).drop(MAYBE)
 
 
-def parse(df: DataFrame, body: str = "body", deep: bool = True) -> DataFrame:
+def parse(df: DataFrame, body: str = "body") -> DataFrame:
     """df with `payload` (VARIANT) in place of a text column: empty bodies are {}, unreadable ones NULL; and MAYBE, whether values may lie deep.
 
-    deep: has no effect; values of any depth stay as they came, and the flatteners finish them.
+    Values of any depth stay as they came; the flatteners finish them.
     """
     configure(df.sparkSession)
     raw = F.when(F.length(body) == 0, F.lit("{}")).otherwise(F.col(body))
@@ -154,18 +191,24 @@ def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("payload IS NOT NULL"), df.filter("payload IS NULL")
 
 
-def decompress(encoding: str | None, body: bytes) -> bytes:
-    """A body by its Content-Encoding; raises ValueError on an unknown one and on damage."""
+def decompress(encoding: str | None, body: bytes, most: int = MAX_BODY) -> bytes:
+    """A body by its Content-Encoding; raises ValueError on an unknown one and on damage, TooLarge on one of more than `most` bytes, of which no more are unpacked."""
     encoding = (encoding or "").lower()
     try:
         if encoding == "gzip":
-            return gzip.decompress(body)
-        if encoding == "deflate":
-            return zlib.decompress(body)
+            with gzip.GzipFile(fileobj=io.BytesIO(body)) as f:
+                body = f.read(most + 1)
+        elif encoding == "deflate":
+            stream = zlib.decompressobj()
+            body = stream.decompress(body, most + 1)
+            if len(body) <= most and not stream.eof:
+                raise ValueError("incomplete or truncated stream")
+        elif encoding not in ("", "identity"):
+            raise ValueError(f"Unsupported Content-Encoding: {encoding}")
     except (OSError, EOFError, zlib.error) as e:
         raise ValueError(str(e)) from e
-    if encoding not in ("", "identity"):
-        raise ValueError(f"Unsupported Content-Encoding: {encoding}")
+    if len(body) > most:
+        raise TooLarge("Payload too large")
     return body
 
 

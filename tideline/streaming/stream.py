@@ -13,6 +13,8 @@ from ..sources.sinks import write_batch
 #: Landing files that one micro-batch takes at most.
 FILES = 1000
 LANDED = "signal string, contentType string, contentEncoding string, received_at timestamp, body binary"
+#: What output/rejected holds.
+REJECTED = f"{LANDED}, error string"
 
 
 def _lines(spark: SparkSession, landing: str, form: str, files: int) -> DataFrame:
@@ -43,18 +45,23 @@ def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: st
     """Landed requests (Parquet, see LANDED) to the raw and normalized sinks; without seconds it ends when all is done.
 
     Every batch has its own folder in each sink, named by the checkpoint's stream and the batch's number: a batch that is run again
-    after a failure replaces it, so no row doubles, and a stream that starts from a new checkpoint replaces nothing. Bodies that
-    can't be read, or not stored, go to output/rejected with their reason, one by one. clean: landed files go once they are done.
+    after a failure replaces it, so no row doubles, and a stream that starts from a new checkpoint replaces nothing. Requests whose
+    bodies can't be read, or not stored, go to output/rejected (Parquet) one by one, whole as they landed, with their reason; read
+    without `error` they can land again. clean: landed files go once they are done.
     """
     configure(spark)
     landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).option("cleanSource", "delete" if clean else "off").parquet(landing)
-    decoded = payloads.parse(payloads.decode_bodies(landed))
+    decoded = payloads.parse(payloads.decode_bodies(landed.withColumn("_raw", F.col("body"))))
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
-        good = batch.filter("payload IS NOT NULL AND error IS NULL").drop("error", "contentType", "contentEncoding")
-        write_batch(good, output, logs_mirror, name)
-        batch.filter("payload IS NULL OR error IS NOT NULL").select("signal", "received_at", F.coalesce("error", F.lit("Invalid JSON")).alias("error")).write.mode("overwrite").json(f"{output}/rejected/batch={name}")
+        batch = batch.persist()
+        try:
+            write_batch(batch.filter("payload IS NOT NULL AND error IS NULL"), output, logs_mirror, name, held=True)
+            rejected = batch.filter("payload IS NULL OR error IS NOT NULL").withColumn("error", F.coalesce("error", F.lit("Invalid JSON")))
+            rejected.select("signal", "contentType", "contentEncoding", "received_at", F.col("_raw").alias("body"), "error").write.mode("overwrite").parquet(f"{output}/rejected/batch={name}")
+        finally:
+            batch.unpersist()
 
     writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
