@@ -116,27 +116,84 @@ def test_search_with_copies_ties_and_unusable_rows(spark):
     assert addquant.nearest(df.limit(0)).count() == 0
 
 
+def _nearby(d, n=8000, seed=2):
+    """Rows around a few hundred centres, and the true neighbours of every 40th."""
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(size=(300, d))[rng.integers(0, 300, n)] + 0.7 * rng.normal(size=(n, d))).astype(np.float32)
+    return x
+
+
+def _truth(x, every, measure="inner", k=20):
+    wide, asked = x.astype(np.float64), np.arange(0, len(x), every)
+    score = wide[asked] @ wide.T if measure == "inner" else -((wide[asked, None] - wide[None]) ** 2).sum(2)
+    score[np.arange(len(asked)), asked] = -np.inf
+    return {int(q): set(np.argsort(-score[i], kind="stable")[:k].tolist()) for i, q in enumerate(asked)}
+
+
+def _recall(found, want):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(got.get(q, set()) & want[q]) for q in want) / sum(map(len, want.values()))
+
+
+def _vectors(spark, x, parts=2):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(parts)
+
+
+@pytest.mark.parametrize("d", [64, 256])
+def test_codes_find_what_a_twentieth_of_the_block_holds(spark, monkeypatch, d):
+    x = _nearby(d)
+    df, want = _vectors(spark, x), _truth(x, 40)
+    monkeypatch.setattr(addquant, "SAMPLE", 3000)
+    assert _recall(addquant.nearest(df, every=40, block=4000, shortlist=200), want) >= 0.9
+    # the test is worth something only if codes that say nothing fail it
+    blind = np.random.default_rng(1).normal(size=(addquant.BOOKS, addquant.WORDS, d)).astype(np.float32)
+    assert _recall(addquant.search(*_noisy(df, blind * 0.01), blind * 0.01, 20, 200), want) < 0.5
+
+
+def _noisy(df, books):
+    from pyspark.sql import functions as F
+
+    from tideline.llm.common import stored
+
+    ready = addquant.usable(df, "vec_id", "embedding")
+    index = stored(addquant.build_index(ready, books, 4000))
+    # codes dealt at random
+    shuffled = F.pandas_udf(lambda s: s.map(lambda raw: np.random.default_rng(5).integers(0, 256, len(raw)).astype(np.uint8).tobytes()), "binary")
+    return index.withColumn("codes", shuffled("codes")), ready.filter("id % 40 = 0")
+
+
 @pytest.mark.parametrize("measure", addquant.MEASURES)
-def test_search_over_many_blocks(spark, monkeypatch, measure):
+def test_measured_shortlist_holds_the_recall(spark, monkeypatch, measure):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 64)).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id long, embedding array<float>").repartition(2)
+    df, want = _vectors(spark, x), _truth(x, 20, measure)
     monkeypatch.setattr(addquant, "SAMPLE", 1500)
-    wide = x.astype(np.float64)
-    score = wide[::20] @ wide.T if measure == "inner" else -((wide[::20, None] - wide[None]) ** 2).sum(2)
-    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
-    want = {20 * q: set(np.argsort(-score[q], kind="stable")[:20].tolist()) for q in range(200)}
-    for exact, least in ((False, 0.9), (True, 1.0)):
-        index = addquant.nearest(df, measure=measure, exact=exact, block=400)
-        got = {}
-        for r in index.collect():
-            got.setdefault(r.query_id, set()).add(r.vec_id)
-        recall = sum(len(got[q] & want[q]) for q in want) / (20 * len(want))
-        assert recall >= least, recall
+    used = []
+    full = addquant.measured_shortlist
+    monkeypatch.setattr(addquant, "measured_shortlist", lambda *a: used.append(full(*a)) or used[-1])
+    assert _recall(addquant.nearest(df, measure=measure, block=2000), want) >= 0.93
+    # random vectors need a long one, near ones a short one
+    assert 20 < used[0] < 1500
+    near = _nearby(64, 4000)
+    assert _recall(addquant.nearest(_vectors(spark, near), measure=measure, block=2000), _truth(near, 20, measure)) >= 0.93 and used[1] < used[0]
     with pytest.raises(ValueError, match="measure"):
         addquant.nearest(df.limit(50), measure="other")
 
 
+@pytest.mark.parametrize("measure", addquant.MEASURES)
+def test_exact_search_rests_on_its_bound(spark, monkeypatch, measure):
+    x = _nearby(64, 3000)
+    df, want = _vectors(spark, x), _truth(x, 20, measure)
+    monkeypatch.setattr(addquant, "SAMPLE", 1500)
+    assert _recall(addquant.nearest(df, measure=measure, exact=True, block=1500, shortlist=20), want) == 1
+    books = addquant.fit(x[:1500])
+    ready = addquant.usable(df, "vec_id", "embedding")
+    index = addquant.build_index(ready, books, 1500)
+    assert _recall(addquant.search(index, ready.filter("id % 20 = 0"), books, 20, 20, measure=measure), want) < 1
+
+
 def test_repeated_query_ids_rank_apart(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.5]), (2, [0.5, 3.0])]
     got = sorted(tuple(r) for r in addquant.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())

@@ -7,6 +7,10 @@ squared norm), keeps the best `size` distinct vectors of every block and reranks
 indexed and every query meets every block; equal vectors of a block share a code and one place in the shortlist, so copies don't
 crowd out others.
 
+How many vectors of a block have to be reranked depends on the data, so it is measured: for the PROBES queries with the least hash
+of their id the true k nearest of all rows are found, and where the codes rank each of them within its block; the shortlist is
+the least that holds the RECALL of them. It grows up to whole blocks where codes say nothing. Both are parameters of `nearest`.
+
 With exact=True nothing is left out: a vector's inner product is at most its table score and the query's norm times the stored
 rest, so whatever may still reach the k-th best is reranked too.
 
@@ -17,7 +21,7 @@ shuffled for it with its sides.
 The codebooks are fitted on the SAMPLE vectors with the least hash of their id, a fixed bound; all else covers all rows.
 Defined results: vectors that are null, zero, or hold a null, NaN or infinity take no part, nor do those of another length
 than most; with fewer candidates than k all are returned; ties go to the smaller vec_id; repeated ids are separate rows, none of
-which is a candidate for its like.
+which is a candidate for its like. An empty table, or one without a usable vector, gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +37,12 @@ from .common import on_workers, stored
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors the codebooks are fitted on.
 SAMPLE = 8192
-#: Rows of a code block and of a query block, and distinct vectors of a block that are reranked for a query at least.
-BLOCK, QUERIES, SHORTLIST = 16384, 8192, 768
+#: Rows of a code block and of a query block.
+BLOCK, QUERIES = 16384, 8192
+#: Queries by which the shortlist is measured, and the share of their nearest that it must hold.
+PROBES, RECALL = 128, 0.97
+#: The shortlist of an exact search, which opens what it needs beyond it.
+FIRST = 100
 #: What nearness is: the largest inner product, or the least distance (its square, negative, is the score).
 MEASURES = ("inner", "distance")
 
@@ -169,13 +177,59 @@ def build_index(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> Da
     return vectors.mapInArrow(run, "block long, ids binary, place binary, vectors binary, codes binary, norms binary, rests binary")
 
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size: int = SHORTLIST, per_tile: int = QUERIES, measure: str = "inner", exact: bool = False) -> DataFrame:
+def opened(part: dict, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids, place of each row's distinct vector, codes, vectors and half the squared norms of their sums."""
+    codes = np.frombuffer(part["codes"], np.uint8).reshape(-1, m)
+    vectors = np.frombuffer(part["vectors"], np.float32 if len(part["vectors"]) == 4 * d * len(codes) else np.float64).reshape(-1, d)
+    return np.frombuffer(part["ids"], np.int64), np.frombuffer(part["place"], np.int32), codes, vectors, np.frombuffer(part["norms"], np.float32) ** 2 / 2
+
+
+def measured_shortlist(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, recall: float = RECALL, measure: str = "inner", probes: int = PROBES) -> int:
+    """Distinct vectors of a block that have to be reranked so that the share `recall` of the true k nearest of some queries is found."""
+    d, m = books.shape[2], books.shape[0]
+    some = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(probes).select("id", "v").toPandas()
+    if not len(some):
+        return k
+    own, q = some["id"].to_numpy(), np.array(some["v"].tolist())
+    measured = inner if measure == "inner" else distance
+
+    def run(batches):
+        best = [np.zeros((0, 3)) for _ in own]
+        for b in batches:
+            for part in b.to_pylist():
+                ids, place, codes, vectors, half = opened(part, d, m)
+                rough = table_scores(np.einsum("qd,mwd->qmw", q.astype(np.float32), books, optimize=True), codes)
+                rough = rough if measure == "inner" else rough - half
+                for i, key in enumerate(own):
+                    rows = np.bincount(place[ids != key], minlength=len(vectors))
+                    score = measured(vectors, q[i])
+                    there = np.flatnonzero(rows)
+                    top = there[largest(score[there][None], k)[0]] if len(there) else there
+                    # a tie counts as ranked ahead
+                    rank = len(codes) - np.searchsorted(np.sort(rough[i]), rough[i][top])
+                    found = np.concatenate((best[i], np.stack((score[top], rank, rows[top]), 1)))
+                    best[i] = found[np.argsort(-found[:, 0], kind="stable")[:k]]
+        probe = np.repeat(np.arange(len(own)), [len(x) for x in best])
+        flat = np.concatenate(best)
+        yield pa.RecordBatch.from_pydict({"probe": pa.array(probe, pa.int32()), "score": pa.array(flat[:, 0]), "place": pa.array(flat[:, 1].astype(np.int64)), "n": pa.array(flat[:, 2].astype(np.int64))})
+
+    tops = index.select("ids", "place", "vectors", "codes", "norms").mapInArrow(run, "probe int, score double, place long, n long")
+    tops = tops.withColumn("r", F.expr("row_number() OVER (PARTITION BY probe ORDER BY score DESC, place)")).filter(F.col("r") <= k)
+    # rows up to the k-th of each probe; the last vector's copies count as far as they are needed
+    before = F.coalesce(F.expr("sum(n) OVER (PARTITION BY probe ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
+    got = tops.withColumn("n", F.least("n", F.lit(k) - before)).filter("n > 0").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").toPandas()
+    reached = got["n"].cumsum().to_numpy()
+    return max(k, int(got["place"].to_numpy()[np.searchsorted(reached, recall * reached[-1])])) if len(got) else k
+
+
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size: int, per_tile: int = QUERIES, measure: str = "inner", exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest other rows; queries: id, v. exact: by proof, not by shortlist."""
-    if measure not in MEASURES:
-        raise ValueError(f"no measure {measure}")
     d, m = books.shape[2], books.shape[0]
-    numbered = index.select("block").distinct().withColumn("b", F.row_number().over(_ordered("block")))
-    blocks, turns = numbered.count(), max(1, -(-queries.count() // per_tile))
+    # a block's number is its place in its partition behind the blocks of partitions before; the driver gets a count of each
+    per = index.groupBy((F.shiftright("block", 32)).cast("int").alias("of")).agg(F.count("*").alias("n")).orderBy("of").collect()
+    blocks, turns, starts = sum(r["n"] for r in per), max(1, -(-queries.count() // per_tile)), np.r_[0, np.cumsum([r["n"] for r in per])]
+    numbered = index.sparkSession.createDataFrame([(r["of"], int(s)) for r, s in zip(per, starts)], "of int, start long")
+    numbered = index.select("block").join(F.broadcast(numbered), F.shiftright("block", 32).cast("int") == F.col("of")).select("block", (F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("b"))
     asked = queries.withColumn("ask", F.monotonically_increasing_id()).withColumn("q", F.pmod(F.xxhash64("id", "ask"), F.lit(turns)).cast("int"))
     # distinct queries of one vector id keep apart by ask
     columns = ["ids", "place", "vectors", "codes", "norms", *["rests"] * exact]
@@ -191,9 +245,7 @@ def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size
             ask, qid = asks.column("ask").to_numpy(), asks.column("id").to_numpy()
             q = asks.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             for p in parts:
-                ids, place, codes = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["place"], np.int32), np.frombuffer(p["codes"], np.uint8).reshape(-1, m)
-                vectors = np.frombuffer(p["vectors"], np.float32 if len(p["vectors"]) == 4 * d * len(codes) else np.float64).reshape(-1, d)
-                half = np.frombuffer(p["norms"], np.float32) ** 2 / 2
+                ids, place, codes, vectors, half = opened(p, d, m)
                 order = np.argsort(place, kind="stable")
                 first = np.searchsorted(place[order], np.arange(len(vectors) + 1))
                 for at in range(0, len(qid), 64):
@@ -229,18 +281,20 @@ def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, size
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _ordered(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", measure: str = "inner", exact: bool = False, block: int | None = None, shortlist: int | None = None, recall: float = RECALL) -> DataFrame:
+    """The k nearest of every row whose key is divisible by `every`, against all other rows.
 
-
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", column: str = "embedding", measure: str = "inner", exact: bool = False, block: int | None = None) -> DataFrame:
-    """The k nearest of every row whose key is divisible by `every`, against all other rows. exact: none is missed, at the cost of more reranking."""
+    shortlist: distinct vectors of a block that are reranked for a query; without it as many as the share `recall` of a sample's true
+    nearest needs. exact: none is missed, at the cost of more reranking.
+    """
+    if measure not in MEASURES:
+        raise ValueError(f"no measure {measure}")
     ready = usable(vectors, key, column)
     sample = ready.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(np.array(sample["v"].tolist()))
-    index = stored(build_index(ready, books, block or BLOCK))
-    return search(index, ready.filter(F.col("id") % every == 0), books, k, measure=measure, exact=exact)
+    index, queries = stored(build_index(ready, books, block or BLOCK)), ready.filter(F.col("id") % every == 0)
+    if shortlist is None:
+        shortlist = FIRST if exact else measured_shortlist(index, queries, books, k, recall, measure)
+    return search(index, queries, books, k, max(k, shortlist), measure=measure, exact=exact)
