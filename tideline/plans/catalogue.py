@@ -17,57 +17,16 @@ from pyspark.sql import functions as F
 from ..functions import timefn
 from ..operators.flatten import flatten_logs, flatten_metrics, flatten_traces
 from ..operators.routing import classify_request, ingest_date, service_dir
-from ..session import configure, on_workers, scratch_dir
+from ..session import on_workers, scratch_dir
 from ..sources import payloads
 from ..sources.wire import encode, read_scalar, write_scalar
+from . import stateful
+from .common import CHUNK, attr, entry, envelopes, nanos, read_table, tagged, whole
 
-#: Leaves that one payload holds.
-CHUNK = 500
 #: How bodies become payloads.
 Reader = Callable[[DataFrame], DataFrame]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for f in df.schema:
-        if f.dataType.typeName() == "timestamp_ntz":
-            df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
-    return df
-
-
-def tagged(s: str = "NULL", i: str = "NULL", d: str = "NULL", b: str = "NULL") -> str:
-    return f"named_struct('stringValue', CAST({s} AS STRING), 'intValue', CAST({i} AS STRING), 'doubleValue', CAST({d} AS DOUBLE), 'boolValue', CAST({b} AS BOOLEAN))"
-
-
-def entry(key: str, **value: str) -> str:
-    return f"named_struct('key', '{key}', 'value', {tagged(**value)})"
-
-
-def nanos(ts: str) -> str:
-    return f"concat(unix_micros({ts}), '000')"
-
-
-_NAMES = {"logs": ("resourceLogs", "scopeLogs", "logRecords"), "traces": ("resourceSpans", "scopeSpans", "spans"), "metrics": ("resourceMetrics", "scopeMetrics", "metrics")}
-
-
-def envelopes(df: DataFrame, signal: str, service: str, number: str, leaf: str, kept: tuple[str, ...] = ()) -> DataFrame:
-    """Payloads (body) with up to CHUNK leaves of one service each; number: a whole number that tells rows apart; kept: of service and chunk."""
-    top, middle, inner = _NAMES[signal]
-    rows = df.select(F.expr(service).alias("service"), F.expr(f"({number}) DIV {CHUNK}").alias("chunk"), F.expr(leaf).alias("leaf"))
-    body = f"""to_json(named_struct('{top}', array(named_struct('resource', named_struct('attributes', array({entry('service.name', s='service')})),
-        '{middle}', array(named_struct('scope', named_struct('name', 'gen', 'version', '1.0'), '{inner}', collect_list(leaf)))))))"""
-    return rows.groupBy("service", "chunk").agg(F.expr(body).alias("body")).select("body", *kept)
-
-
-def attr(name: str, type_: str, column: str = "attributes"):
-    return F.try_variant_get(F.try_element_at(column, F.lit(name)), "$", type_)
-
-
-def whole(name: str, column: str = "attributes"):
-    return attr(name, "string", column).cast("long")
-
-
 # logs
 
 _LOG = f"""named_struct('timeUnixNano', {nanos('ts')}, 'observedTimeUnixNano', {nanos("ts + INTERVAL '1' SECOND")}, 'severityNumber', event_id % 24 + 1, 'severityText', event_type,
@@ -76,7 +35,7 @@ _LOG = f"""named_struct('timeUnixNano', {nanos('ts')}, 'observedTimeUnixNano', {
 
 
 def _log_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelopes(_table(spark, sf_dir, "events"), "logs", "concat('svc-', event_type)", "event_id", _LOG)
+    return envelopes(read_table(spark, sf_dir, "events"), "logs", "concat('svc-', event_type)", "event_id", _LOG)
 
 
 def _log_rows(parsed: DataFrame) -> DataFrame:
@@ -101,7 +60,7 @@ def logs_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs_edge_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Malformed records: each kind degrades to omitted or default columns, never to a lost row."""
-    ev = _table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events")
     record = r"""CASE event_id % 8
         WHEN 0 THEN concat('{"timeUnixNano":"not-a-number","severityNumber":"9","attributes":[{"key":"id","value":{"intValue":"', event_id, '"}}]}')
         WHEN 1 THEN concat('{"timeUnixNano":"999999999999999999999999999999999999","severityText":"","body":{"stringValue":""},"attributes":[{"key":"id","value":{"intValue":"', event_id, '"}}]}')
@@ -136,7 +95,7 @@ _SPAN = f"""named_struct('traceId', lpad(lower(hex(l_orderkey)), 32, '0'), 'span
 
 
 def _span_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelopes(_table(spark, sf_dir, "lineitem"), "traces", "concat('supplier-', l_suppkey % 10)", "l_orderkey", _SPAN)
+    return envelopes(read_table(spark, sf_dir, "lineitem"), "traces", "concat('supplier-', l_suppkey % 10)", "l_orderkey", _SPAN)
 
 
 def _span_rows(parsed: DataFrame) -> DataFrame:
@@ -162,7 +121,7 @@ def traces_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_events_links(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     """One span per order; its lines are events, its suppliers links."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.expr(f"collect_list(named_struct('timeUnixNano', {nanos('l_shipdate')}, 'name', l_returnflag, 'droppedAttributesCount', l_linenumber, 'attributes', array({entry('line', i='l_linenumber')})))").alias("events"),
         F.expr("collect_list(named_struct('traceId', lpad(lower(hex(l_suppkey)), 32, '0'), 'spanId', lpad(lower(hex(l_linenumber)), 16, '0'), 'flags', 1))").alias("links"),
     )
@@ -190,7 +149,7 @@ _POINT_TIME = "'startTimeUnixNano', '1000000', 'timeUnixNano', '1700000000123456
 
 def metrics_gauge(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     leaf = _metric("'balance'", "gauge", f"named_struct({_POINT_TIME}, 'asDouble', s_acctbal, 'attributes', array({entry('id', i='s_suppkey')}))")
-    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "supplier"), "metrics", "concat('nation-', s_nationkey)", "s_suppkey", leaf)))
+    rows = flatten_metrics(read(envelopes(read_table(spark, sf_dir, "supplier"), "metrics", "concat('nation-', s_nationkey)", "s_suppkey", leaf)))
     return rows.select("serviceName", "metricName", "unit", "metricType", "startTimestamp", "timestamp", F.try_variant_get("value", "$", "double").alias("value"), "valueType", "aggregationTemporality", "isMonotonic", whole("id").alias("id"))
 
 
@@ -203,7 +162,7 @@ FROM supplier
 
 def metrics_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = _metric("p_name", "sum", f"named_struct({_POINT_TIME}, 'asInt', CAST(p_size - 25 AS STRING), 'flags', p_size % 2, 'attributes', array({entry('id', i='p_partkey')}))", ", 'aggregationTemporality', 2, 'isMonotonic', p_size > 25")
-    rows = flatten_metrics(payloads.parse(envelopes(_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", leaf)))
+    rows = flatten_metrics(payloads.parse(envelopes(read_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", leaf)))
     return rows.select("serviceName", "metricName", "metricType", "flags", F.to_json("value").alias("value"), "valueType", "aggregationTemporality", "isMonotonic", whole("id").alias("id"), F.size("exemplars").cast("long").alias("n_exemplars"))
 
 
@@ -216,7 +175,7 @@ FROM part
 
 def metrics_histogram(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     """Quantities per part counted in three buckets."""
-    counts = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in (("b0", "l_quantity <= 10"), ("b1", "l_quantity > 10 AND l_quantity <= 30"), ("b2", "l_quantity > 30"))], F.count("*").alias("n"), F.sum("l_quantity").alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    counts = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in (("b0", "l_quantity <= 10"), ("b1", "l_quantity > 10 AND l_quantity <= 30"), ("b2", "l_quantity > 30"))], F.count("*").alias("n"), F.sum("l_quantity").alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
     point = f"named_struct({_POINT_TIME}, 'count', CAST(n AS STRING), 'sum', s, 'min', lo, 'max', hi, 'bucketCounts', array(CAST(b0 AS STRING), CAST(b1 AS STRING), CAST(b2 AS STRING)), 'explicitBounds', array(10.0D, 30.0D), 'attributes', array({entry('id', i='l_partkey')}))"
     rows = flatten_metrics(read(envelopes(counts, "metrics", "'parts'", "l_partkey", _metric("'quantity'", "histogram", point, ", 'aggregationTemporality', 1"))))
     bucket = lambda i: F.try_variant_get(F.get("bucketCounts", F.lit(i)), "$", "string").cast("long").alias(f"b{i}")
@@ -233,7 +192,7 @@ FROM lineitem GROUP BY l_partkey
 
 def metrics_exp_histogram(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     point = f"named_struct({_POINT_TIME}, 'count', p_size, 'sum', p_retailprice, 'scale', p_size % 7 - 3, 'zeroCount', CAST(p_size % 3 AS STRING), 'zeroThreshold', 0.5D, 'positive', named_struct('offset', p_size % 5 - 2, 'bucketCounts', array(CAST(p_size AS STRING), '1')), 'negative', CASE WHEN p_size % 2 = 0 THEN named_struct('offset', -1) END, 'attributes', array({entry('id', i='p_partkey')}))"
-    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", _metric("'price'", "exponentialHistogram", point))))
+    rows = flatten_metrics(read(envelopes(read_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", _metric("'price'", "exponentialHistogram", point))))
     return rows.select(whole("id").alias("id"), "metricType", F.to_json("count").alias("count"), "sum", "scale", F.to_json("zeroCount").alias("zeroCount"), "zeroThreshold", F.col("positive.offset").alias("offset"), F.size("positive.bucketCounts").cast("long").alias("n_positive"), F.col("negative").isNotNull().alias("has_negative"), F.col("negative.bucketCounts").isNull().alias("no_negative_counts"))
 
 
@@ -246,7 +205,7 @@ FROM part
 
 def metrics_summary(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
     point = f"named_struct({_POINT_TIME}, 'count', CAST(user_id AS STRING), 'sum', value, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', value), named_struct('quantile', 0.99D, 'value', value * 2)), 'attributes', array({entry('id', i='event_id')}))"
-    rows = flatten_metrics(read(envelopes(_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))))
+    rows = flatten_metrics(read(envelopes(read_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))))
     rows = rows.select(whole("id").alias("id"), "metricType", F.try_variant_get("count", "$", "string").cast("long").alias("count"), "sum", F.col("exemplars").isNull().alias("no_exemplars"), F.explode("quantileValues").alias("q"))
     return rows.select("id", "metricType", "count", "sum", "no_exemplars", F.col("q.quantile").alias("quantile"), F.col("q.value").alias("value"))
 
@@ -261,7 +220,7 @@ def metrics_multi_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric with a gauge and a sum gives rows of both, gauge first."""
     point = lambda v: f"named_struct('asDouble', {v}, 'attributes', array({entry('id', i='s_suppkey')}))"
     leaf = f"named_struct('name', s_name, 'sum', named_struct('dataPoints', array({point('s_acctbal * 2')})), 'gauge', named_struct('dataPoints', array({point('s_acctbal')})))"
-    rows = flatten_metrics(payloads.parse(envelopes(_table(spark, sf_dir, "supplier"), "metrics", "'suppliers'", "s_suppkey", leaf)))
+    rows = flatten_metrics(payloads.parse(envelopes(read_table(spark, sf_dir, "supplier"), "metrics", "'suppliers'", "s_suppkey", leaf)))
     return rows.select("metricName", "metricType", F.col("pointIndex").cast("long").alias("place"), F.try_variant_get("value", "$", "double").alias("value"), whole("id").alias("id"))
 
 
@@ -275,7 +234,7 @@ def metric_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null asDouble decides a point's value but not an exemplar's."""
     body = F.expr("""concat('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"gauge":{"dataPoints":[{"asDouble":', CASE event_id % 3 WHEN 0 THEN 'null' ELSE CAST(value AS STRING) END, ',"asInt":"', user_id,
         '","exemplars":[{"timeUnixNano":"', unix_micros(ts), '000",', CASE event_id % 3 WHEN 0 THEN '"asDouble":null,' WHEN 1 THEN concat('"asDouble":', value, ',') ELSE '' END, '"asInt":"', user_id, '","filteredAttributes":[{"key":"k","value":{"stringValue":"', event_type, '"}}]}]}]}}]}]}]}')""")
-    rows = flatten_metrics(payloads.parse(_table(spark, sf_dir, "events").select("event_id", body.alias("body"))))
+    rows = flatten_metrics(payloads.parse(read_table(spark, sf_dir, "events").select("event_id", body.alias("body"))))
     rows = rows.select("event_id", F.try_variant_get("value", "$", "double").alias("value"), "valueType", F.explode("exemplars").alias("x"))
     return rows.select("event_id", "value", "valueType", F.col("x.timestamp").alias("timestamp"), F.try_variant_get("x.value", "$", "double").alias("exemplar"), F.col("x.valueType").alias("exemplar_type"), F.try_variant_get(F.try_element_at("x.filteredAttributes", F.lit("k")), "$", "string").alias("k"))
 
@@ -298,7 +257,7 @@ def anyvalue_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 10 THEN concat('{"arrayValue":{"values":[{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":', p_size, '}]}}]}}]}}')
         ELSE concat('{"kvlistValue":{"values":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"c","value":{"intValue":', p_size, '}}]}}}]}}}]}}') END""")
     body = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":'), value, F.lit("}]}]}]}"))
-    rows = flatten_logs(payloads.parse(_table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))).withColumnRenamed("p_partkey", "id"))
+    rows = flatten_logs(payloads.parse(read_table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))).withColumnRenamed("p_partkey", "id"))
     return rows.select("id", F.to_json("body").alias("body"))
 
 
@@ -312,7 +271,7 @@ FROM part
 def timestamp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("""CASE event_id % 9 WHEN 0 THEN concat('"', unix_micros(ts), '999"') WHEN 1 THEN concat('" ', unix_micros(ts), '000 "') WHEN 2 THEN '"-1"' WHEN 3 THEN '1.5' WHEN 4 THEN '"1e3"' WHEN 5 THEN '"8640000000000000000000"'
         WHEN 6 THEN '"8640000000001000000000"' WHEN 7 THEN CAST(event_id * 1000000 AS STRING) ELSE 'null' END""")
-    v = _table(spark, sf_dir, "events").select("event_id", F.parse_json(raw).alias("v"))
+    v = read_table(spark, sf_dir, "events").select("event_id", F.parse_json(raw).alias("v"))
     return v.select("event_id", F.expr(timefn.iso("v")).alias("iso"))
 
 
@@ -325,7 +284,7 @@ FROM events
 
 def duration_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.expr("CASE event_id % 5 WHEN 0 THEN concat('\"', unix_micros(ts) + 2, '500\"') WHEN 1 THEN '\"1\"' WHEN 2 THEN 'null' WHEN 3 THEN concat('\"', unix_micros(ts), '000\"') ELSE '\"99999999999999999999999999999999999999\"' END")
-    v = _table(spark, sf_dir, "events").select("event_id", F.parse_json(F.expr("concat('\"', unix_micros(ts), '000\"')")).alias("s"), F.parse_json(end).alias("e"))
+    v = read_table(spark, sf_dir, "events").select("event_id", F.parse_json(F.expr("concat('\"', unix_micros(ts), '000\"')")).alias("s"), F.parse_json(end).alias("e"))
     return v.select("event_id", F.expr(timefn.duration_ms("s", "e")).isNotNull().alias("known"), F.when(F.expr("event_id % 5 < 4"), F.expr(timefn.duration_ms("s", "e"))).alias("ms"))
 
 
@@ -336,7 +295,7 @@ SELECT event_id, event_id % 5 IN (0, 3, 4) AS known, CASE event_id % 5 WHEN 0 TH
 
 def service_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.expr(r"CASE c_custkey % 8 WHEN 0 THEN concat('a/', c_custkey) WHEN 1 THEN concat('a\\', c_custkey) WHEN 2 THEN '.' WHEN 3 THEN '..' WHEN 4 THEN '   ' WHEN 5 THEN concat(' \t', c_custkey, ' ') WHEN 6 THEN '...' ELSE c_name END")
-    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("service"), F.lit("2024-05-01 23:59:59").cast("timestamp").alias("received"))
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("service"), F.lit("2024-05-01 23:59:59").cast("timestamp").alias("received"))
     return c.select("id", service_dir(F.col("service")).alias("service_dir"), F.date_format(ingest_date(F.col("received")), "yyyy-MM-dd").alias("ingest_date"))
 
 
@@ -350,7 +309,7 @@ FROM customer
 def raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any JSON value is stored as it came; empty bodies are {}, broken ones are kept apart."""
     body = F.expr("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('{\"n\":', event_id, '}') WHEN 2 THEN '' ELSE concat('[', event_id, '{') END")
-    parsed = payloads.parse(_table(spark, sf_dir, "events").select("event_id", body.alias("body")))
+    parsed = payloads.parse(read_table(spark, sf_dir, "events").select("event_id", body.alias("body")))
     good, bad = payloads.split_rejected(parsed)
     lines = good.select("event_id", payloads.serialized(F.col("payload")).alias("line"), F.lit(False).alias("rejected"))
     again = lines.select("event_id", F.try_variant_get(F.parse_json("line"), "$.n", "bigint").alias("n"), F.try_variant_get(F.parse_json("line"), "$.k", "bigint").alias("k"), (F.col("line") == "{}").alias("empty"), "rejected")
@@ -411,7 +370,7 @@ def protobuf_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exemplars with either number; one that has both keeps asDouble."""
     exemplar = f"named_struct('timeUnixNano', {nanos('ts')}, 'asDouble', CASE WHEN event_id % 3 <> 0 THEN value END, 'asInt', CASE WHEN event_id % 3 <> 1 THEN CAST(user_id AS STRING) END, 'traceId', lpad(lower(hex(event_id)), 32, '0'), 'spanId', lpad(lower(hex(user_id)), 16, '0'), 'filteredAttributes', array({entry('k', s='event_type')}))"
     leaf = _metric("'value'", "gauge", f"named_struct({_POINT_TIME}, 'asInt', CAST(-event_id AS STRING), 'flags', event_id % 2, 'exemplars', array({exemplar}), 'attributes', array({entry('id', i='event_id')}))")
-    rows = flatten_metrics(_by_wire("metrics")(envelopes(_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", leaf)))
+    rows = flatten_metrics(_by_wire("metrics")(envelopes(read_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", leaf)))
     rows = rows.select(whole("id").alias("id"), F.to_json("value").alias("value"), "valueType", "flags", F.explode("exemplars").alias("x"))
     return rows.select("id", "value", "valueType", "flags", "x.timestamp", F.to_json("x.value").alias("exemplar"), F.col("x.valueType").alias("exemplar_type"), "x.traceId", "x.spanId", F.try_variant_get(F.try_element_at("x.filteredAttributes", F.lit("k")), "$", "string").alias("k")).withColumn("exemplar", F.when(F.col("exemplar_type") == "int", F.col("exemplar")))
 
@@ -430,7 +389,7 @@ def protobuf_anyvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 3 THEN concat('{"doubleValue":', p_size, '.5}') WHEN 4 THEN concat('{"bytesValue":"', base64(encode(p_brand, 'UTF-8')), '"}') WHEN 5 THEN concat('{"arrayValue":{"values":[{"intValue":"', p_size, '"},{},{"arrayValue":{"values":[{"boolValue":true},{"arrayValue":{"values":[{"stringValue":""}]}}]}}]}}')
         WHEN 6 THEN concat('{"kvlistValue":{"values":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"c","value":{"intValue":"', p_size, '"}}]}}}]}}},{"key":"a2","value":{"arrayValue":{"values":[]}}}]}}') ELSE '{}' END""")
     body = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"severityNumber":'), F.expr("CAST(p_size AS STRING)"), F.lit(',"attributes":[{"key":"id","value":{"intValue":"'), F.col("p_partkey").cast("string"), F.lit('"}}],"body":'), value, F.lit("}]}]}]}"))
-    rows = flatten_logs(_by_wire("logs")(_table(spark, sf_dir, "part").select(body.alias("body"))))
+    rows = flatten_logs(_by_wire("logs")(read_table(spark, sf_dir, "part").select(body.alias("body"))))
     return rows.select(whole("id").alias("id"), "severityNumber", F.to_json("body").alias("body"))
 
 
@@ -452,7 +411,7 @@ def wire_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.pandas_udf(there_and_back, "string")(F.expr("(p_partkey - 100) * (p_size - 25)"))
 
     kinds = ("sint", "sfixed32", "float", "int64", "sfixed64", "uint", "fixed32", "double")
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[sent(k).cast("double").alias(k) for k in kinds])
+    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[sent(k).cast("double").alias(k) for k in kinds])
 
 
 WIRE_SCALARS_SQL = """
@@ -471,7 +430,7 @@ def protobuf_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protobuf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = _metric("p_name", "sum", f"named_struct({_POINT_TIME}, 'asInt', CAST(p_size - 25 AS STRING), 'flags', p_size % 2, 'attributes', array({entry('id', i='p_partkey')}))", ", 'aggregationTemporality', 2, 'isMonotonic', p_size > 25")
-    bodies = envelopes(_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", leaf)
+    bodies = envelopes(read_table(spark, sf_dir, "part"), "metrics", "p_brand", "p_partkey", leaf)
     rows = flatten_metrics(payloads.parse(payloads.decode_bodies(_as_protobuf(bodies, "metrics"))))
     return rows.select("serviceName", "metricName", "metricType", "flags", F.to_json("value").alias("value"), "valueType", "aggregationTemporality", "isMonotonic", whole("id").alias("id"), F.size("exemplars").cast("long").alias("n_exemplars"))
 
@@ -491,7 +450,7 @@ def compressed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer").select(
+    c = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 11 = 0 THEN 'GET' ELSE 'POST' END").alias("method"),
         F.expr("CASE c_custkey % 5 WHEN 0 THEN '/v1/logs' WHEN 1 THEN '/v1/traces?x=1' WHEN 2 THEN '/v1/metrics' WHEN 3 THEN '/v1/logs/' ELSE '/v1/logs' END").alias("path"),
         F.expr("CASE c_custkey % 4 WHEN 0 THEN 'Application/JSON; charset=utf-8' WHEN 1 THEN 'application/x-protobuf' WHEN 2 THEN 'text/plain' END").alias("type"),
@@ -526,7 +485,7 @@ _LOG_ROW = "serviceName string, timestamp string, severityText string, body vari
 def _landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as the HTTP front lands them: log records with values three deep, as JSON and protobuf, plain and compressed, and bodies that can't be read."""
     on_workers(spark)
-    ev = _table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events")
     head, tail = F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"a/'), F.lit("]}]}]}")
     sent = ev.groupBy("event_type", F.expr(f"event_id DIV {CHUNK}").alias("chunk")).agg(F.concat_ws(",", F.collect_list(F.expr(_JSON_LOG))).alias("records"))
     good = sent.select(F.pmod(F.xxhash64("event_type", "chunk"), F.lit(6)).cast("int").alias("form"), F.concat(head, "event_type", F.lit('"}}]},"scopeLogs":[{"logRecords":['), "records", tail).alias("body"))
@@ -598,9 +557,9 @@ def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, kept = scratch_dir(spark), ("service", "chunk")
     gauge = _metric("'balance'", "gauge", f"named_struct({_POINT_TIME}, 'asDouble', s_acctbal)")
     sent = {
-        "logs": envelopes(_table(spark, sf_dir, "events"), "logs", "concat(' svc/', event_type)", "event_id", _LOG, kept),
-        "traces": envelopes(_table(spark, sf_dir, "lineitem"), "traces", "concat('supplier-', l_suppkey % 10)", "l_orderkey", _SPAN, kept),
-        "metrics": envelopes(_table(spark, sf_dir, "supplier"), "metrics", "'..'", "s_suppkey", gauge, kept),
+        "logs": envelopes(read_table(spark, sf_dir, "events"), "logs", "concat(' svc/', event_type)", "event_id", _LOG, kept),
+        "traces": envelopes(read_table(spark, sf_dir, "lineitem"), "traces", "concat('supplier-', l_suppkey % 10)", "l_orderkey", _SPAN, kept),
+        "metrics": envelopes(read_table(spark, sf_dir, "supplier"), "metrics", "'..'", "s_suppkey", gauge, kept),
     }
     day = F.timestamp_seconds(F.lit(1714607999) + F.col("chunk") % 3 * 86400)
     bodies = reduce(DataFrame.unionByName, [b.select(F.lit(signal).alias("signal"), day.alias("received_at"), "chunk", "body") for signal, b in sent.items()])
@@ -640,7 +599,7 @@ def http_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = []
     try:
         # a table of 25 rows by its specification
-        for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+        for r in read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
             key, log = r.n_nationkey, {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": r.n_name, "severityNumber": r.n_nationkey}]}]}]}
             text, path, method = json.dumps(log).encode(), "/v1/logs", "POST"
             head, body = {"Content-Type": "application/json"}, text
@@ -713,4 +672,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "streaming_ingest": (streaming_ingest, STREAMING_INGEST_SQL),
     "sink_batches": (sink_batches, SINK_BATCHES_SQL),
     "http_front": (http_front, HTTP_FRONT_SQL),
+    **stateful.QUERIES,
 }
