@@ -74,6 +74,57 @@ def test_blocks_find_what_anchors_miss(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == brute(docs)
 
 
+def open_group(spark, n, seed=6):
+    """One open group: nodes of sizes from 20 to 20,000 with bitmaps of a few bits, every fourth like its predecessor."""
+    rng = np.random.default_rng(seed)
+    size = np.exp(rng.uniform(np.log(20), np.log(20_000), n)).astype(int)
+    bits = rng.integers(0, 1 << 62, (n, len(jaccard.MAPS)))
+    size[3::4], bits[3::4] = size[2::4][: len(size[3::4])], bits[2::4][: len(size[3::4])]
+    nodes = spark.createDataFrame([(i, int(size[i]), *map(int, bits[i])) for i in range(n)], "node long, n long, " + ", ".join(f"{m} long" for m in jaccard.MAPS))
+    rows = spark.createDataFrame([(7, i, i, n) for i in range(n)], "sig long, node long, label long, size long")
+    return rows, nodes, size, bits
+
+
+def test_one_open_group_spreads_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 256)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 10_000)
+    n = 50_000
+    from pyspark.sql import functions as F
+
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("sig"), F.col("id").alias("node"), F.col("id").alias("label"), F.lit(n).cast("long").alias("size"))
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.exp(F.lit(3) + F.pmod(F.xxhash64("id"), F.lit(70000)) / 10000).cast("long").alias("n"), *[F.lit(0).cast("long").alias(m) for m in jaccard.MAPS])
+    tiled = jaccard._tiled(rows, nodes)
+    got = tiled.groupBy("bucket").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    tiles = tiled.groupBy("tile").count().agg(F.max("count")).first()[0]
+    # 50,000 nodes in chunks of 256 would be ten million rows; bands leave a seventh, and no bucket holds many
+    assert got[1] < 1_600_000 and got[0] < 20_000 and tiles < 4 * 256, got
+
+
+def test_bands_and_blocks_find_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    rows, nodes, size, bits = open_group(spark, 1500)
+    want = set()
+    for i in range(1500):
+        near = np.flatnonzero((5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i])) & (9 * np.bitwise_count(bits ^ bits[i]).sum(1) <= size + size[i]))
+        want |= {(i, int(j)) for j in near if i < j}
+    assert {(r.a, r.b) for r in jaccard._across(rows, nodes).collect()} == want and len(want) > 300
+
+
+def test_hot_parts_are_dealt_by_node(spark):
+    """Most documents are near copies of one; their parts are hot in every batch."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
+    docs = []
+    for i in range(400):
+        t = list(base)
+        t[rng.randrange(150)] = f"x{i}"
+        docs.append((i, " ".join(t if i % 5 else [f"y{i}_{k}" for k in range(60)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    groups = jaccard._groups(df, 8)
+    assert groups.filter("hot").count() > 1000 and groups.filter("NOT hot").count() > 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == brute(docs)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for n in [*range(1, 40), 77, 130, 300, 999]:

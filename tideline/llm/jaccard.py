@@ -15,7 +15,12 @@ bitmaps differ bound the overlap from above; pairs beyond the bound of either ar
 Groups. In a group that shares a part every node is first held against one anchor, then against the node that stands in the
 most and largest groups, which links copies of one text through it with as many pairs as nodes. Only groups that still hold
 several components are compared throughout, in blocks, and only across components, so no group of copies is expanded into
-its pairs and no link between different texts is lost. Texts are fetched once, for nodes with a pair that the bitmaps allow.
+its pairs and no link between different texts is lost. Groups larger than a block are cut by size bands first, of which only
+neighbours can link. Texts are fetched once, for nodes with a pair that the bitmaps allow.
+
+Hot parts. Where a part stands in more than a sixteenth of the documents that a worker has at hand, its nodes are dealt by node
+instead of by part, each with the least of them as anchor; these least ones meet under the part. Joins by part deal such rows,
+and all rows of open groups, by a share of the node too, and repeat the one row per part on the other side.
 
 Defined results: null, empty and blank texts have no set and are their own component; repeated rows share a node and rows that share
 a doc_id share its links; rows without a doc_id are documents of their own and link as others do; the smallest doc_id of a component
@@ -29,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import powers, slices
@@ -40,6 +45,8 @@ SIZE = 5
 BITS, LONG_BITS = 2048, 8192
 #: Nodes of a side of a tile in the block comparison, and pairs compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
+#: Shares that a hot part's nodes are dealt to, rows of a block comparison that one group of an Arrow batch holds, and the ratio of a large group's size bands.
+SHARES, AT_ONCE, RATIO = 32, 50_000, 1.3
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -161,10 +168,10 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, buckets: int) -> DataFrame:
-    """The parts (sig) on which several nodes agree, with their nodes (u) and one of them as anchor."""
+    """The parts (sig) on which several nodes agree, with their nodes (u), one of them as anchor, and whether the part was dealt by node (hot)."""
 
     def emit(batches):
-        sigs, us, held = [], [], 0
+        sigs, us, held, docs = [], [], 0, 0
 
         def flush():
             sig, u = np.concatenate(sigs) & _U(_SHORT), np.concatenate(us) & _SHORT
@@ -172,14 +179,15 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
             sig, u = sig[order], u[order]
             fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (u[1:] != u[:-1])))
             sig, u = sig[fresh], u[fresh]
-            to = (sig % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            six = np.concatenate((sig[order].view(np.uint8).reshape(-1, 8)[:, :6], u[order].view(np.uint8).reshape(-1, 8)[:, :6]), 1)
-            some = np.flatnonzero(np.diff(edge))
+            head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(sig)))
+            hot = np.repeat(size >= max(16, docs // 16), size)
+            least = np.repeat(u[head], size)
+            plain = ~hot
+            plain[head] = True
             sigs.clear()
             us.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(some), "rows": pa.array([six[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())})
+            return pa.concat_batches([dealt(sig[plain], sig[plain], u[plain]), dealt(mix(sig[hot] ^ u[hot].view(_U)), sig[hot], u[hot], least[hot])])
 
         for whole in batches:
             for b in slices(whole, "text"):
@@ -188,18 +196,37 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
                 sig, who = signatures(flat, at)
                 sigs.append(sig)
                 us.append(digest[who])
-                held += len(sig)
+                held, docs = held + len(sig), docs + b.num_rows
                 if held >= 4_000_000:
                     yield flush()
-                    held = 0
+                    held = docs = 0
         if held:
             yield flush()
 
+    def dealt(by: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """Six bytes of each column per row, in one piece per bucket; three columns are rows of hot parts."""
+        to = (by % _U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edge = np.searchsorted(to[order], np.arange(buckets + 1))
+        six = np.concatenate([np.ascontiguousarray(c[order]).view(np.uint8).reshape(-1, 8)[:, :6] for c in columns], 1)
+        some = np.flatnonzero(np.diff(edge))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(some), "hot": pa.array([len(columns) == 3] * len(some), pa.bool_()), "rows": pa.array([six[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())})
+
+    def read(t: pa.Table, hot: bool) -> np.ndarray:
+        k = 3 if hot else 2
+        six = np.concatenate([np.zeros((0, 6 * k), np.uint8), *[np.frombuffer(x, np.uint8).reshape(-1, 6 * k) for x, h in zip(t.column("rows").to_pylist(), t.column("hot").to_pylist()) if h == hot]])
+        wide = np.zeros((k, len(six), 8), np.uint8)
+        for i in range(k):
+            wide[i, :, :6] = six[:, 6 * i : 6 * i + 6]
+        return wide.view(np.int64)[:, :, 0]
+
     def meet(t: pa.Table) -> pa.Table:
-        six = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 12) for x in t.column("rows")])
-        wide = np.zeros((2, len(six), 8), np.uint8)
-        wide[0, :, :6], wide[1, :, :6] = six[:, :6], six[:, 6:]
-        sig, u = wide[0].view(np.int64).ravel(), wide[1].view(np.int64).ravel()
+        parts = [met(*read(t, False)), read(t, True)]
+        return pa.table({n: pa.array(np.concatenate([p[i] for p in parts])) for i, n in enumerate(("sig", "u", "anchor"))} | {"hot": pa.array(np.repeat([False, True], [len(p[0]) for p in parts]))})
+
+    def met(sig: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(sig):
+            return sig, u, u
         order = np.argsort(sig, kind="stable")
         sig, u = sig[order], u[order]
         head = np.concatenate(([True], sig[1:] != sig[:-1]))
@@ -207,15 +234,15 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         sig, u = sig[many], u[many]
         if not len(sig):
-            return pa.table({"sig": pa.array([], pa.int64()), "u": pa.array([], pa.int64()), "anchor": pa.array([], pa.int64())})
+            return sig, u, u
         head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(head, len(sig)))
         least, most = np.minimum.reduceat(u, head), np.maximum.reduceat(u, head)
         keep = np.repeat(least != most, size)
-        return pa.table({"sig": pa.array(sig[keep]), "u": pa.array(u[keep]), "anchor": pa.array(np.repeat(least, size)[keep])})
+        return sig[keep], u[keep], np.repeat(least, size)[keep]
 
-    blobs = docs.select("text").mapInArrow(emit, "bucket long, rows binary").repartition(buckets, "bucket")
-    return stored(blobs.groupBy("bucket").applyInArrow(meet, "sig long, u long, anchor long"))
+    blobs = docs.select("text").mapInArrow(emit, "bucket long, hot boolean, rows binary").repartition(buckets, "bucket")
+    return stored(blobs.groupBy("bucket").applyInArrow(meet, "sig long, u long, anchor long, hot boolean"))
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -274,35 +301,61 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+def _share() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")
+
+
+def _by_part(rows: DataFrame, facts: DataFrame, hot: Column | None = None) -> DataFrame:
+    """rows (sig, node) with the facts of their sig, joined by sig and, on rows that are hot (all, if not said), a share of the node; facts need a column hot then."""
+    every = F.sequence(F.lit(0), F.lit(SHARES - 1))
+    shares = every if hot is None else F.when(F.col("hot"), every).otherwise(F.array(F.lit(0)))
+    dealt = facts.withColumn("_share", F.explode(shares)).drop("hot")
+    return rows.withColumn("_share", _share() if hot is None else F.when(hot, _share()).otherwise(0)).join(dealt, ["sig", "_share"]).drop("_share")
+
+
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, node and label of the groups whose nodes have several labels."""
+    """sig, node, label and the group's size (rows) of the groups whose nodes have several labels."""
     named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), F.col("label").alias("_l")), "node", "left").select("sig", "node", F.coalesce("_l", "node").alias("label"))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
-    return stored(named.join(mixed, "sig"))
+    mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("sig", "size")
+    return stored(_by_part(named, mixed))
 
 
 def _central(rows: DataFrame) -> DataFrame:
     """The pairs of each node with the one of its group that meets the most nodes."""
-    size = rows.groupBy("sig").agg(F.count("*").alias("size"))
-    degree = rows.join(size, "sig").groupBy("node").agg(F.sum("size").alias("degree"))
-    top = rows.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node", "label")).alias("top"))
-    met = rows.join(top, "sig").filter(F.col("label") != F.col("top.label"))
+    size = rows.groupBy("sig").agg(F.count("*").alias("size"), F.max("hot").alias("hot"))
+    degree = _by_part(rows, size, F.col("hot")).groupBy("node").agg(F.sum("size").alias("degree"))
+    top = rows.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node", "label")).alias("top"), F.max("hot").alias("hot"))
+    met = _by_part(rows, top, F.col("hot")).filter(F.col("label") != F.col("top.label"))
     return met.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
 
 
+def _tiled(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows as _open gives, once for every tile in which they are compared, dealt to buckets of about AT_ONCE."""
+    light = rows.join(nodes.select("node", "n"), "node")
+    # in a large group a set meets those of its own size band, and as the upper one of a pair those of the band below
+    band = F.floor(F.log("n") / F.log(F.lit(RATIO))).cast("int")
+    large = F.col("size") > BLOCK
+    light = light.withColumn("_band", band).withColumn("band", F.explode(F.when(large, F.array(F.col("_band"), F.col("_band") - 1)).otherwise(F.array(F.lit(-1)))))
+    light = light.withColumn("own", ~large | (F.col("band") == F.col("_band"))).drop("_band")
+    banded = light.filter(large).groupBy("sig", "band").agg(F.count("*").alias("n_band"), F.max(F.col("own")).alias("_any")).filter("_any").select("sig", F.col("band").alias("_b"), F.ceil(F.col("n_band") / BLOCK).cast("int").alias("chunks"))
+    big = _by_part(light.filter(large), banded).filter("band = _b").drop("_b")
+    light = stored(light.filter(~large).withColumn("chunks", F.lit(1)).unionByName(big))
+    # rows as the comparison will see them, one for every chunk that they meet
+    count = light.agg(F.sum("chunks")).first()[0] or 0
+    buckets = max(shuffle_partitions(rows.sparkSession), count // AT_ONCE + 1)
+    rows = light.join(nodes.select("node", *MAPS), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    return rows.withColumn("tile", F.xxhash64("sig", "band", "i", "j")).withColumn("bucket", F.pmod("tile", F.lit(buckets)))
+
+
 def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that share a part but no label and that sizes and short bitmaps allow, from block comparisons. rows: as _open gives."""
     maps = MAPS
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("size")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
-    count = rows.count()
-    rows = rows.join(sizes, "sig").join(nodes.select("node", "n", *maps), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    buckets = max(shuffle_partitions(rows.sparkSession), count // 100_000 + 1)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.withColumn("tile", F.xxhash64("sig", "i", "j")).withColumn("bucket", F.pmod("tile", F.lit(buckets)))
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("tile")
         tile, node, label, n, chunk = (t.column(c).to_numpy() for c in ("tile", "node", "label", "n", "chunk"))
+        own = t.column("own").to_numpy(zero_copy_only=False)
         bits = np.stack([t.column(m).to_numpy() for m in maps], 1).view(_U)
         head = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
         size = np.diff(np.append(head, len(tile)))
@@ -313,7 +366,7 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
             x = np.repeat(np.arange(at, to), later[at:to])
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
-            ok = (label[x] != label[y]) & (node[x] != node[y]) & ~(crossed[x] & (chunk[x] == chunk[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            ok = (label[x] != label[y]) & (node[x] != node[y]) & (own[x] | own[y]) & ~(crossed[x] & (chunk[x] == chunk[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
             ok = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
             found.append(np.stack([node[x[ok]], node[y[ok]]]))
@@ -321,7 +374,7 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         got = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
         return pa.table({"a": pa.array(got[0]), "b": pa.array(got[1])})
 
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return _tiled(rows, nodes).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _identified(docs: DataFrame) -> DataFrame | None:
@@ -365,7 +418,7 @@ def _components(docs: DataFrame) -> DataFrame:
     first = groups.filter("u != anchor").select("u", "anchor").distinct()
     first = first.join(key.withColumnRenamed("node", "a"), "u").join(key.select(F.col("u").alias("anchor"), F.col("node").alias("b")), "anchor").select("a", "b")
     stars = _bounded(first, nodes)
-    members = groups.join(key, "u").select("sig", "node")
+    members = groups.join(key, "u").select("sig", "node", "hot")
     # pairs that the bitmaps allow, through anchors, central nodes and, where both leave several components, blocks
     stars = stored(stars.unionByName(_bounded(_central(members.withColumn("label", F.col("node"))), nodes)).distinct())
     rows = _open(members, components(stars))
