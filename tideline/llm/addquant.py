@@ -177,6 +177,17 @@ def build_index(vectors: DataFrame, books: np.ndarray, block: int = BLOCK) -> Da
     return vectors.mapInArrow(run, "block long, ids binary, place binary, vectors binary, codes binary, norms binary, rests binary")
 
 
+def least_hashed(rows: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """The n rows with the least hash of their id. Rows whose hash is far from the least are left out before they are sorted, so that tasks hand over about n rows together, not each."""
+    hashed = F.xxhash64("id", F.lit(salt))
+    share = 2 * n / max(1, rows.count())
+    # over the whole range of a long, from its least value
+    some = rows if share >= 1 else rows.filter(hashed < int(-(2**63) + share * 2**64))
+    if share < 1 and some.limit(n).count() < n:
+        some = rows
+    return some.orderBy(hashed, "id").limit(n)
+
+
 def opened(part: dict, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's ids, place of each row's distinct vector, codes, vectors and half the squared norms of their sums."""
     codes = np.frombuffer(part["codes"], np.uint8).reshape(-1, m)
@@ -187,7 +198,7 @@ def opened(part: dict, d: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def measured_shortlist(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int, recall: float = RECALL, measure: str = "inner", probes: int = PROBES) -> int:
     """Distinct vectors of a block that have to be reranked so that the share `recall` of the true k nearest of some queries is found."""
     d, m = books.shape[2], books.shape[0]
-    some = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(probes).select("id", "v").toPandas()
+    some = least_hashed(queries, probes, 1).select("id", "v").toPandas()
     if not len(some):
         return k
     own, q = some["id"].to_numpy(), np.array(some["v"].tolist())
@@ -290,7 +301,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     if measure not in MEASURES:
         raise ValueError(f"no measure {measure}")
     ready = usable(vectors, key, column)
-    sample = ready.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
+    sample = least_hashed(ready, SAMPLE).select("v").toPandas()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(np.array(sample["v"].tolist()))
