@@ -122,3 +122,23 @@ def test_names_hidden_by_escapes_are_found(spark):
     df = payloads.parse(spark.createDataFrame([(body,)], "body string"))
     assert FLATTEN["logs"](df).select(F.to_json("body")).first()[0] == "[[[1]]]"
     assert FLATTEN["logs"](df).columns[0] == "resourceIndex"
+
+
+INTERNAL = ("resource", "scope", "serviceName", "resourceIndex", "scopeIndex", "leafIndex", "_r", "_s", "_x", "_p", "_t", "_m", "p", "_own", "_leaf", "_leaves", "_scopes", "_points", "_nanos", "_nanos_end", "_start", "_time", "f0")
+
+
+def test_callers_columns_may_have_any_name(spark):
+    span = {"resourceSpans": [{"resource": {"attributes": kv(**{"service.name": {"stringValue": "s"}})}, "scopeSpans": [{"spans": [{"name": "n"}]}]}]}
+    point = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [{"asInt": "3"}]}}]}]}]}
+    for signal, body in (("logs", logs({"severityText": "x"}, **{"service.name": {"stringValue": "s"}})), ("traces", span), ("metrics", point)):
+        plain = FLATTEN[signal](payloads.parse(spark.createDataFrame([(json.dumps(body),)], "body string")))
+        clashing = list(dict.fromkeys([*INTERNAL, *[c for c in plain.columns if c != "body"], "a`b", "x.y", "TimeStamp_in"]))
+        given = spark.createDataFrame([(json.dumps(body), *range(len(clashing)))], "_given string, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in clashing))
+        rows = FLATTEN[signal](payloads.parse(given, "_given"))
+        # nothing clashes, whatever the case, and all values are there
+        assert len({c.lower() for c in rows.columns}) == len(rows.columns) == len(plain.columns) + len(clashing)
+        row, bare = rows.collect()[0].asDict(), plain.selectExpr(*[f"to_json(struct(`{c}`)) AS `{c}`" for c in plain.columns]).collect()[0].asDict()
+        assert sorted(v for c, v in row.items() if c not in plain.columns) == list(range(len(clashing))) and row["a`b"] == clashing.index("a`b")
+        assert row["resource_in"] == 0 and "resource" in plain.columns
+        again = rows.selectExpr(*[f"to_json(struct(`{c}`)) AS `{c}`" for c in plain.columns]).collect()[0].asDict()
+        assert again == bare

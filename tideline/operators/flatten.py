@@ -3,6 +3,9 @@
 Each function takes a DataFrame with a VARIANT column `payload` and returns its other columns, the place of the row in its
 payload and the normalized columns. Parents are computed before their children are exploded, so they are computed once;
 plans are scans, projections and generators without an exchange. NULL columns are omitted ones; to_json drops them.
+
+The caller's columns go along in one struct, so they may have any names but `payload`. One whose name is, but for case, also that
+of a normalized column comes out as name_in, or with as many _in as make it differ; a column named as payloads.MAYBE goes.
 """
 
 from __future__ import annotations
@@ -22,8 +25,37 @@ def _named(**columns: str) -> list[str]:
     return [f"{value} AS `{name}`" for name, value in columns.items()]
 
 
-def _quoted(df: DataFrame, *left_out: str) -> list[str]:
-    return [f"`{c}`" for c in df.columns if c not in left_out]
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: The struct that carries the caller's columns as f0, f1 and so on.
+_OWN = "_own"
+
+
+def _foreign(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("payload", MAYBE)]
+
+
+def _carried(names: list[str]) -> list[str]:
+    return ["named_struct(" + ", ".join(f"'f{i}', {_quote(c)}" for i, c in enumerate(names)) + f") AS {_OWN}"] if names else []
+
+
+def _returned(names: list[str], normalized: list[str]) -> list[str]:
+    """The caller's columns out of their struct, renamed where they clash."""
+    taken, out = {c.lower() for c in normalized}, []
+    for i, name in enumerate(names):
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(f"{_OWN}.f{i} AS {_quote(name)}")
+    return out
+
+
+def _selected(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Columns of df, given as SQL, behind those of the caller."""
+    rows = df.selectExpr(*([_OWN] if names else []), *columns)
+    return rows.selectExpr(*_returned(names, [c for c in rows.columns if c != _OWN]), *[_quote(c) for c in rows.columns if c != _OWN])
 
 
 def _scope(scope: str) -> str:
@@ -32,8 +64,9 @@ def _scope(scope: str) -> str:
 
 def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str, ...], times: dict[str, str]) -> DataFrame:
     """The leaves' fields (_x) with resource, serviceName and scope beside them, their place as resourceIndex, scopeIndex and leafIndex, and counts of nanoseconds (times: name and field)."""
-    kept = _quoted(df, "payload", MAYBE)
-    outer = finish(df).selectExpr(*kept, f"posexplode({elements(field('payload', top))}) AS (resourceIndex, _r)")
+    names = _foreign(df)
+    kept = [_OWN] if names else []
+    outer = finish(df).selectExpr(*_carried(names), "payload").selectExpr(*kept, f"posexplode({elements(field('payload', top))}) AS (resourceIndex, _r)")
     outer = outer.selectExpr(*kept, "resourceIndex", f"{shape('_r', 'resource', middle)} AS _r")
     outer = outer.selectExpr(*kept, "resourceIndex", f"{attributes(field('_r.resource', 'attributes'))} AS resource", f"{elements(f'_r.{middle}')} AS _scopes")
     service = f"""coalesce({text("try_element_at(resource, 'service.name')")}, '{UNKNOWN_SERVICE}')"""
@@ -45,8 +78,8 @@ def _leaves(df: DataFrame, top: str, middle: str, leaf: str, fields: tuple[str,
     return rows.selectExpr("*", *_named(**{name: nanos(f"_x.{source}") for name, source in times.items()})) if times else rows
 
 
-def _place(df: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in df.columns if c not in ("serviceName", "resource", "scope", "_x") and not c.startswith("_nanos")]
+#: A row's place in its payload.
+_PLACE = ("resourceIndex", "scopeIndex", "leafIndex")
 
 
 #: Fields read of a log record and of a span.
@@ -65,14 +98,14 @@ def _same(s: str, read: Callable[[str], str], *names: str) -> dict[str, str]:
 
 def flatten_logs(payloads: DataFrame) -> DataFrame:
     df = _leaves(payloads, "resourceLogs", "scopeLogs", "logRecords", LOG, {"_nanos": "timeUnixNano", "_nanos_observed": "observedTimeUnixNano"})
-    return df.selectExpr(
-        *_place(df), "serviceName",
+    return _selected(df, _foreign(payloads), [
+        *_PLACE, "serviceName",
         *_named(
             timestamp=iso_of("_nanos"), observedTimestamp=iso_of("_nanos_observed"), severityNumber=integer("_x.severityNumber"), severityText=text("_x.severityText"), body=any_value("_x.body"),
             **_same("_x", text, "traceId", "spanId"), **_same("_x", integer, "flags", "droppedAttributesCount"),
         ),
         "resource", "scope", *_named(attributes=attributes("_x.attributes")),
-    )
+    ])
 
 
 def _status(value: str) -> str:
@@ -89,8 +122,8 @@ def _link(x: str) -> str:
 
 def flatten_traces(payloads: DataFrame) -> DataFrame:
     df = _leaves(payloads, "resourceSpans", "scopeSpans", "spans", SPAN, {"_nanos": "startTimeUnixNano", "_nanos_end": "endTimeUnixNano"})
-    return df.selectExpr(
-        *_place(df), "serviceName",
+    return _selected(df, _foreign(payloads), [
+        *_PLACE, "serviceName",
         *_named(
             **_same("_x", text, "traceId", "spanId", "parentSpanId", "name"), kind=integer("_x.kind"), traceState=text("_x.traceState"), flags=integer("_x.flags"),
             startTimestamp=iso_of("_nanos"), endTimestamp=iso_of("_nanos_end"), durationMs=duration_of("_nanos", "_nanos_end"), status=_status("_x.status"),
@@ -101,7 +134,7 @@ def flatten_traces(payloads: DataFrame) -> DataFrame:
             attributes=attributes("_x.attributes"), events=_each("_x.events", ("timeUnixNano", "name", "droppedAttributesCount", "attributes"), _event),
             links=_each("_x.links", ("traceId", "spanId", "traceState", "flags", "droppedAttributesCount", "attributes"), _link),
         ),
-    )
+    ])
 
 
 #: Fields read of a data point of any kind.
@@ -138,11 +171,12 @@ def flatten_metrics(payloads: DataFrame) -> DataFrame:
 
         return let(shape(f"_x.{kind}", "dataPoints", "aggregationTemporality", "isMonotonic"), of_holder)
 
+    names = _foreign(payloads)
     base = df.selectExpr(
-        *_place(df), "serviceName", *_named(metricName=text("_x.name"), description=text("_x.description"), unit=text("_x.unit")), "resource", "scope",
+        *[_OWN] * bool(names), *_PLACE, "serviceName", *_named(metricName=text("_x.name"), description=text("_x.description"), unit=text("_x.unit")), "resource", "scope",
         *_named(metadata=attributes("_x.metadata"), _points=f"concat({', '.join(map(points, KINDS))})"),
     )
-    kept = _quoted(base, "_points")
+    kept = [c for c in base.columns if c != "_points"]
     rows = base.selectExpr(*kept, "posexplode(_points) AS (pointIndex, _p)")
     rows = rows.selectExpr(*kept, "pointIndex", "_p.kind AS metricType", "_p.temporality AS _t", "_p.monotonic AS _m", f"{shape('_p.point', *POINT)} AS p")
     rows = rows.selectExpr("*", *_named(_start=nanos("p.startTimeUnixNano"), _time=nanos("p.timeUnixNano")))
@@ -151,8 +185,8 @@ def flatten_metrics(payloads: DataFrame) -> DataFrame:
     plain, exp, summary = ("histogram",), ("exponentialHistogram",), ("summary",)
     # a present asDouble decides even if it holds no number
     value = f"CASE WHEN p.asDouble IS NOT NULL THEN CASE WHEN {number('p.asDouble')} IS NOT NULL THEN p.asDouble END ELSE {number_like('p.asInt')} END"
-    return rows.selectExpr(
-        *kept, "pointIndex", "metricType",
+    return _selected(rows, names, [
+        *[c for c in kept if c != _OWN], "pointIndex", "metricType",
         *_named(
             aggregationTemporality=of(numbers + both, "_t"), isMonotonic=of(numbers, "_m"), startTimestamp=iso_of("_start"), timestamp=iso_of("_time"), flags=integer("p.flags"),
             value=of(numbers, value), valueType=of(numbers, _value_type("p")), count=of(counted, number_like("p.count")), sum=of(counted, number("p.sum")),
@@ -161,7 +195,7 @@ def flatten_metrics(payloads: DataFrame) -> DataFrame:
             positive=of(exp, _buckets("p.positive")), negative=of(exp, _buckets("p.negative")), quantileValues=of(summary, _each("p.quantileValues", ("quantile", "value"), _quantile)),
             attributes=attributes("p.attributes"), exemplars=of(numbers + both, _each("p.exemplars", ("timeUnixNano", "asDouble", "asInt", "traceId", "spanId", "filteredAttributes"), _exemplar)),
         ),
-    )
+    ])
 
 
 FLATTEN = {"logs": flatten_logs, "traces": flatten_traces, "metrics": flatten_metrics}
