@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators import trees
+from tideline.operators.asof import as_of
 from tideline.operators.intervals import covering, widths
 from tideline.streaming.retries import without_retries
 from tideline.streaming.stream import LANDED, drain
@@ -125,3 +127,52 @@ def test_interval_join_equals_brute_force_without_nested_loops(spark):
     sizes = leveled.select(F.expr("shiftright(b - 1, 3 * _level) - shiftright(a, 3 * _level) + 1").alias("n")).collect()
     assert max(r.n for r in sizes) <= 2
     assert covering(p.limit(0), i, "k", "t", "a", "b").count() == covering(p, i.limit(0), "k", "t", "a", "b").count() == 0
+
+
+def test_as_of_equals_brute_force_and_spreads_a_busy_key(spark):
+    rng = random.Random(9)
+    points = [(rng.choice(["hot"] * 6 + ["b", "none", None]), rng.choice([None, *range(200)]), i) for i in range(600)] + [("hot", 50, 1000)] * 40
+    values = [(rng.choice(["hot", "hot", "b", "only", None]), rng.choice([None, *range(20, 220)]), rng.randint(0, 9)) for _ in range(300)]
+    p, v = spark.createDataFrame(points, "k string, t long, n int"), spark.createDataFrame(values, "k string, t long, value int")
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        got = as_of(p, v, "k", "t")
+        rows = sorted(map(repr, map(tuple, got.collect())))
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+    def last(k, t):
+        known = [(u, x) for j, u, x in values if j == k and None not in (k, t, u) and u <= t]
+        return max(known)[1] if known else None
+
+    assert rows == sorted(repr((k, t, n, last(k, t))) for k, t, n in points) and got.columns == ["k", "t", "n", "value"]
+    assert as_of(p, v.limit(0), "k", "t").filter("value IS NULL").count() == 640 and as_of(p.limit(0), v, "k", "t").count() == 0
+
+
+def test_a_busy_key_lies_in_many_ranges(spark):
+    p = spark.range(50_000).select(F.lit("k").alias("k"), F.lit(7).cast("long").alias("t"), "id")
+    v = spark.createDataFrame([("k", 3, "x"), ("k", 7, "y"), ("k", 9, "z")], "k string, t long, value string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = as_of(p, v, "k", "t")
+        assert order.groupBy("value").count().collect() == [("y", 50_000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trees_of_long_chains_hot_parents_and_circles(spark, monkeypatch):
+    monkeypatch.setattr(trees, "HOT", 100)
+    spans = [("chain", f"{i:05}", f"{i - 1:05}" if i else None) for i in range(10_000)] + [("star", f"s{i}", "s0" if i else "") for i in range(500)]
+    spans += [("loop", "a", "c"), ("loop", "b", "a"), ("loop", "c", "b"), ("loop", "tail", "a"), ("self", "x", "x"), ("lost", "p", "gone"), ("lost", "q", "p"), ("lost", "q", "p"), ("lost", None, "p"), (None, "z", None)]
+    df = spark.createDataFrame([(t, i, p, 10 * k, 10 * k + 5) for k, (t, i, p) in enumerate(spans)], "trace string, id string, parent string, start long, end long")
+    found = trees.resolve(df).cache()
+    by = {(r.trace, r.id): (r.depth, r.top, r.kind) for r in found.collect()}
+    assert all(by["chain", f"{i:05}"] == (i, "00000", "tree") for i in range(10_000)) and all(by["star", f"s{i}"] == (min(i, 1), "s0", "tree") for i in range(500))
+    assert {k: v for k, v in by.items() if k[0] not in ("chain", "star")} == {**{("loop", x): (None, None, "cycle") for x in ("a", "b", "c", "tail")}, ("self", "x"): (None, None, "cycle"), ("lost", "p"): (0, "p", "orphan"), ("lost", "q"): (1, "p", "orphan")}
+    paths = {(r.trace, r.top): (r.spans, r.deepest, r.last, r.steps, r.passed) for r in trees.critical_paths(found).collect()}
+    assert paths["chain", "00000"] == (10_000, 9999, "09999", 9999, 99_995) and paths["star", "s0"] == (500, 1, "s499", 1, 4995) and len(paths) == 3
+    assert trees.resolve(df.limit(0)).count() == 0
