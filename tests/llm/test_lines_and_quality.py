@@ -4,6 +4,7 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import linededup, quality
 
@@ -53,7 +54,7 @@ def test_failed_lines_go_and_columns_stay(spark):
 def test_line_rules(spark, line, fails):
     from pyspark.sql import functions as F
 
-    assert spark.range(1).select(quality.line_fails(F.lit(line))).first()[0] is fails
+    assert spark.range(1).select(quality.line_facts(F.lit(line))["fails"]).first()[0] is fails
 
 
 def near(a, b):
@@ -135,3 +136,20 @@ def test_blocks_of_variants_meet(spark, monkeypatch, block):
     docs = random_lines(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.clean for r in linededup.dedup_lines(df).collect()} == brute(docs)
+
+
+MENUS = {"en": "Home About Contact www.example.com", "de": "Startseite Über uns v1.2 Kontakt", "fr": "Accueil Boutique info@exemple.fr", "es": "Inicio Tienda 3.50 Contacto"}
+PROSE = {"en": 'He said "it is done." Then he left', "de": "Das Wetter war gut (wie immer).", "fr": "Il l'a dit : « c'est fini. »", "es": "¿Quién lo sabe? Nadie de aquí", "zh": "今天天气很好。明天呢"}
+
+
+def test_rules_hold_in_every_language(spark):
+    """Sentences stay, menus with dots in addresses and numbers go, and so do lines with a phrase of any language."""
+    lines = [(x, True) for x in MENUS.values()] + [(x, False) for x in PROSE.values()] + [(f"Hier: {p.title()}.", True) for ps in quality.BOILERPLATE.values() for p in ps]
+    df = spark.createDataFrame(lines, "line string, fails boolean")
+    wrong = df.select("line", "fails", quality.line_facts(F.col("line"))["fails"].alias("got")).filter("got <> fails").collect()
+    assert not wrong and len(quality.BOILERPLATE) == 4
+
+
+def test_facts_of_a_line(spark):
+    row = spark.range(1).select(quality.line_facts(F.lit(" ab\t c\x0bdé. ")).alias("x")).first().x
+    assert (row.n, row.chars, row.fails) == (3, 6, False)

@@ -47,8 +47,8 @@ def line_goes(line):
         return False
     separators = len(re.findall(r" (?:\||>|»|•|/) ", line))
     return (
-        not re.search(r"[.!?…。！？]", line) or sum(line.count(c) for c in quality.SYMBOLS) * 10 >= len(line) or line.count("!!") * 3 >= len(ws)
-        or separators >= 3 and separators * 3 >= len(ws) or any(p in line.lower() for p in quality.BOILERPLATE) or len(ws) >= 10 and len(set(ws)) * 3 < len(ws)
+        not re.search(quality.ENDS.replace(r"\z", r"\Z"), line) or sum(line.count(c) for c in quality.SYMBOLS) * 10 >= len(line) or line.count("!!") * 3 >= len(ws)
+        or separators >= 3 and separators * 3 >= len(ws) or any(p in line.lower() for p in quality.PHRASES) or len(ws) >= 10 and len(set(ws)) * 3 < len(ws)
     )
 
 

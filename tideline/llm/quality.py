@@ -1,8 +1,9 @@
 """Line-first cleaning: rules per line remove failures, then documents that lose too much text are rejected.
 
-A line that has a word fails if it has no sentence punctuation (punctuation rule), is mostly marks or exclamations (symbol
-rule), is a row of separated labels (navigation rule), holds a boilerplate phrase, or repeats few words (repetition rule).
-Lines without a word stay. A document goes if its base signals fail, if its remaining lines hold less than half of its word
+A line that has a word fails if no sentence ends in it (punctuation rule: a mark with white space or the line's end behind it,
+quotes and brackets between them allowed, so that no dot of an address or number counts), is mostly marks or exclamations (symbol
+rule), is a row of separated labels (navigation rule), holds a boilerplate phrase of any of the languages in BOILERPLATE, or
+repeats few words (repetition rule). Lines without a word stay. A document goes if its base signals fail, if its remaining lines hold less than half of its word
 characters, or if fewer than ten words remain.
 
 Only expressions on the row itself: no shuffle, and one long document costs no more than its own length.
@@ -18,7 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = ("cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "released under the", "enable javascript", "subscribe to our", "click here", "sign up for")
+#: A sentence's end: marks of scripts that put a space behind them, or those that don't.
+ENDS = r"""[.!?…][.!?…"'”’»)\]]*([\x20\x09-\x0D]|\z)|[。！？]"""
+#: Phrases of web pages and licences, in small letters, by language.
+BOILERPLATE = {
+    "en": ("cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "released under the", "enable javascript", "subscribe to our", "click here", "sign up for"),
+    "de": ("diese website verwendet cookies", "wir verwenden cookies", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "lizenziert unter", "veröffentlicht unter der", "javascript aktivieren", "newsletter abonnieren", "klicken sie hier", "jetzt anmelden", "allgemeine geschäftsbedingungen"),
+    "fr": ("ce site utilise des cookies", "nous utilisons des cookies", "politique de confidentialité", "conditions d'utilisation", "conditions générales d'utilisation", "tous droits réservés", "sous licence", "mentions légales", "activer javascript", "abonnez-vous à", "cliquez ici", "inscrivez-vous"),
+    "es": ("este sitio utiliza cookies", "utilizamos cookies", "política de cookies", "política de privacidad", "términos de uso", "condiciones de uso", "todos los derechos reservados", "bajo la licencia", "aviso legal", "habilitar javascript", "suscríbete a", "haga clic aquí"),
+}
+PHRASES = tuple(p for language in BOILERPLATE.values() for p in language)
 NAVIGATION = r" (\||>|»|•|/) "
 MIN_WORDS = 10
 #: Percent of a document's words that may stand in repeated 5-word windows.
@@ -79,44 +89,49 @@ def repeated_words(words: Column) -> Column:
     return let(words, counted)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails a rule."""
+def line_facts(line: Column) -> Column:
+    """A line, its words (n), their characters, and whether it has a word and fails a rule; its words are cut once."""
 
-    def rules(ws: Column) -> Column:
+    def fails(ws: Column) -> Column:
         n = F.size(ws)
         separators = F.regexp_count(line, F.lit(NAVIGATION))
         return (
-            ~line.rlike(r"[.!?…。！？]")
+            ~line.rlike(ENDS)
             | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 10 >= F.length(line))
             | (F.regexp_count(line, F.lit("!!")) * 3 >= n)
             | ((separators >= 3) & (separators * 3 >= n))
-            | let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in BOILERPLATE]))
+            | let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in PHRASES]))
             | ((n >= 10) & (F.size(F.array_distinct(ws)) * 3 < n))
         )
 
-    return line.rlike(r"[^\x20\x09-\x0D]") & let(word_array(line), rules)
+    def facts(ws: Column) -> Column:
+        chars = F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.length(w))
+        return F.struct(line.alias("line"), F.size(ws).cast("long").alias("n"), chars.alias("chars"), ((F.size(ws) > 0) & fails(ws)).alias("fails"))
+
+    return let(word_array(line), facts)
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns clean (its text without failed lines), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     kept_chars, base_failed and kept; columns of these names are replaced (filter_documents and report keep a caller's)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    clean = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
-    measured = docs.withColumns({
-        "clean": clean,
-        "n_words": F.size(word_array(body)).cast("long"),
-        "word_chars": F.length(without(body, " \t\n\x0b\x0c\r")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(without(body, SYMBOLS))).cast("long"),
-        "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(word_array(body)).cast("long"),
-    })
+    total = lambda of, c: F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + x[c])
+
+    def summed(all_: Column) -> Column:
+        def of(stay: Column) -> Column:
+            worded = F.transform(F.filter(all_, lambda x: x["n"] > 0), lambda x: x["line"])
+            return F.struct(
+                F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("clean"), total(all_, "n").alias("n_words"), total(all_, "chars").alias("word_chars"), total(stay, "n").alias("kept_words"), total(stay, "chars").alias("kept_chars"),
+                let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            )
+
+        return let(F.filter(all_, lambda x: ~x["fails"]), of)
+
+    lines = let(F.transform(F.split(body, "\n"), line_facts), summed)
+    measured = docs.withColumn("_lines", lines).withColumns({c: F.col("_lines").getField(c) for c in ("clean", "n_words", "word_chars", "n_dup_lines", "kept_chars", "kept_words")}).drop("_lines")
+    measured = measured.withColumns({"n_symbols": (F.length(body) - F.length(without(body, SYMBOLS))).cast("long"), "n_repeat_words": repeated_words(word_array(body)).cast("long")})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return (
-        measured.withColumns({"base_failed": base, "kept_chars": F.length(without(F.col("clean"), " \t\n\x0b\x0c\r")).cast("long"), "kept_words": F.size(word_array(F.col("clean"))).cast("long")})
-        .withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= MIN_KEPT * F.col("word_chars")) & (F.col("kept_words") >= MIN_WORDS))
-    )
+    return measured.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= MIN_KEPT * F.col("word_chars")) & (F.col("kept_words") >= MIN_WORDS))
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -154,11 +169,11 @@ l AS (
 k AS (
   SELECT r, sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) AS kept_chars, sum(n) AS kept_words
   FROM l
-  WHERE regexp_matches(x, '[.!?…。！？]')
+  WHERE regexp_matches(x, '""" + ENDS.replace("'", "''") + r"""')
     AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 < length(x)
     AND len(regexp_extract_all(x, '!!')) * 3 < n
     AND NOT (sep >= 3 AND sep * 3 >= n)
-    AND NOT regexp_matches(lower(x), '""" + "|".join(BOILERPLATE) + r"""')
+    AND NOT regexp_matches(lower(x), '""" + "|".join(PHRASES).replace("'", "''") + r"""')
     AND NOT (n >= 10 AND nd * 3 < n)
   GROUP BY r),
 s AS (
