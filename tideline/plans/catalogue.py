@@ -20,7 +20,7 @@ from ..operators.routing import classify_request, ingest_date, service_dir
 from ..session import on_workers, scratch_dir
 from ..sources import payloads
 from ..sources.wire import encode, read_scalar, write_scalar
-from . import handmade, stateful
+from . import handmade, measures, stateful
 from .common import CHUNK, attr, entry, envelopes, nanos, read_table, tagged, whole
 
 #: How bodies become payloads.
@@ -673,5 +673,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sink_batches": (sink_batches, SINK_BATCHES_SQL),
     "http_front": (http_front, HTTP_FRONT_SQL),
     **handmade.QUERIES,
+    **measures.QUERIES,
     **stateful.QUERIES,
 }
