@@ -78,3 +78,29 @@ def test_deltas_equal_brute_force_over_ranges(spark):
     for width in (7, 100, 10**9):
         assert sorted(map(tuple, deltas(df, width).collect()), key=repr) == brute(points)
     assert deltas(df.limit(0)).count() == 0
+
+
+def test_audit_finds_every_difference_of_multisets(spark):
+    from collections import Counter
+
+    from tideline.operators import audit
+
+    rng = random.Random(8)
+    left = [(rng.choice(["a", "b", None]), rng.randint(1, 3), rng.choice([None, "", "x", "y", f"line {i}"])) for i in range(500)] + [("a", 1, "hot")] * 3000 + [("same", 1, f"s{i}") for i in range(50)]
+    right = list(left)
+    rng.shuffle(right)
+    df = lambda rows: spark.createDataFrame([(p, d, v, i) for i, (p, d, v) in enumerate(rows)], "p string, d int, value string, i int")
+    assert audit.differing(df(left), df(right), "p", "d").count() == 0 and audit.differences(df(left), df(right), "p", "d").count() == 0
+    # one lost, one doubled, two that change places, a partition of its own on either side
+    right.remove(("a", 1, "hot"))
+    right += [right[5], ("new", 9, "z"), ("new", 9, "z")]
+    left += [("old", 4, None)]
+    lost = [r for r in right if r[0] == "b"][:2]
+    for p, d, v in lost:
+        right.remove((p, d, v))
+        right.append((p, d, f"{v}!"))
+    want = Counter(left)
+    want.subtract(Counter(right))
+    got = {(r.p, r.d, r.value): r.n for r in audit.differences(df(left), df(right), "p", "d").collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    assert not any(r.p == "same" for r in audit.differing(df(left), df(right), "p", "d").collect())
