@@ -8,7 +8,7 @@ from tideline.operators import trees
 from tideline.operators.asof import as_of
 from tideline.operators.intervals import covering, widths
 from tideline.streaming.retries import without_retries
-from tideline.streaming.stream import LANDED, drain
+from tideline.streaming.stream import LANDED, REJECTED, drain, ingest_stream
 from tideline.streaming.traces import complete_traces, rounds
 from tideline.streaming.windows import CLOSED, MEASURES, read_open, read_windows, window_stream
 
@@ -176,3 +176,13 @@ def test_trees_of_long_chains_hot_parents_and_circles(spark, monkeypatch):
     paths = {(r.trace, r.top): (r.spans, r.deepest, r.last, r.steps, r.passed) for r in trees.critical_paths(found).collect()}
     assert paths["chain", "00000"] == (10_000, 9999, "09999", 9999, 99_995) and paths["star", "s0"] == (500, 1, "s499", 1, 4995) and len(paths) == 3
     assert trees.resolve(df.limit(0)).count() == 0
+
+
+def test_the_ingest_stream_drops_repeats_if_asked(spark, tmp_path):
+    log = b'{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"severityText":"once"}]}]}]}'
+    send = lambda t, body=log: ("logs", "application/json", None, at(t), body)
+    land(spark, str(tmp_path / "in"), LANDED, [send(0), send(1), send(2), send(30), send(0, b"["), send(1, b"[")], [send(31), send(60)])
+    for name, retries, n, bad in (("all", None, 6, 2), ("once", 600_000, 3, 1)):
+        out = str(tmp_path / name)
+        ingest_stream(spark, str(tmp_path / "in"), out, f"{out}-state", files=1, retries_ms=retries).awaitTermination()
+        assert spark.read.text(f"{out}/services").count() == n and spark.read.schema(REJECTED).parquet(f"{out}/rejected").count() == bad

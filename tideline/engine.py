@@ -14,8 +14,8 @@ from .streaming.stream import LANDED, ingest_stream
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, port: int | None = None, output: str | None = None, *, seconds: float = 5.0, logs_mirror: bool = True):
-        self.spark, self.output, self.seconds, self.logs_mirror = configure(spark), output or DEFAULT_OUTPUT, seconds, logs_mirror
+    def __init__(self, spark: SparkSession, port: int | None = None, output: str | None = None, *, seconds: float = 5.0, logs_mirror: bool = True, retries_ms: int | None = None):
+        self.spark, self.output, self.seconds, self.logs_mirror, self.retries_ms = configure(spark), output or DEFAULT_OUTPUT, seconds, logs_mirror, retries_ms
         self.landing = f"{self.output.rstrip('/')}/_landing"
         self.front = Front(self.landing, DEFAULT_PORT if port is None else port, save=hadoop_folder(spark, self.landing))
         self.query: StreamingQuery | None = None
@@ -27,7 +27,7 @@ class Engine:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.landing)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
         self.front.start()
-        self.query = ingest_stream(self.spark, self.landing, self.output, f"{self.output.rstrip('/')}/_checkpoint", seconds=self.seconds, logs_mirror=self.logs_mirror, clean=True)
+        self.query = ingest_stream(self.spark, self.landing, self.output, f"{self.output.rstrip('/')}/_checkpoint", seconds=self.seconds, logs_mirror=self.logs_mirror, clean=True, retries_ms=self.retries_ms)
         return self
 
     def stop(self) -> None:

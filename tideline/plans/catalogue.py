@@ -204,8 +204,7 @@ FROM part
 
 
 def metrics_summary(spark: SparkSession, sf_dir: str, read: Reader = payloads.parse) -> DataFrame:
-    point = f"named_struct({_POINT_TIME}, 'count', CAST(user_id AS STRING), 'sum', value, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', value), named_struct('quantile', 0.99D, 'value', value * 2)), 'attributes', array({entry('id', i='event_id')}))"
-    rows = flatten_metrics(read(envelopes(read_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))))
+    rows = flatten_metrics(read(_point_bodies(spark, sf_dir)))
     rows = rows.select(whole("id").alias("id"), "metricType", F.try_variant_get("count", "$", "string").cast("long").alias("count"), "sum", F.col("exemplars").isNull().alias("no_exemplars"), F.explode("quantileValues").alias("q"))
     return rows.select("id", "metricType", "count", "sum", "no_exemplars", F.col("q.quantile").alias("quantile"), F.col("q.value").alias("value"))
 
@@ -216,6 +215,12 @@ FROM events, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS q)
 """
 
 
+def _point_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary point per event."""
+    point = f"named_struct({_POINT_TIME}, 'count', CAST(user_id AS STRING), 'sum', value, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', value), named_struct('quantile', 0.99D, 'value', value * 2)), 'attributes', array({entry('id', i='event_id')}))"
+    return envelopes(read_table(spark, sf_dir, "events"), "metrics", "event_type", "event_id", _metric("'value'", "summary", point))
+
+
 def metrics_multi_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric with a gauge and a sum gives rows of both, gauge first."""
     point = lambda v: f"named_struct('asDouble', {v}, 'attributes', array({entry('id', i='s_suppkey')}))"

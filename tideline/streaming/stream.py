@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ..session import configure
 from ..sources import payloads
 from ..sources.sinks import write_batch
+from .retries import without_retries
 
 #: Landing files that one micro-batch takes at most.
 FILES = 1000
@@ -41,16 +42,19 @@ def drain(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: str, *, seconds: float | None = None, logs_mirror: bool = True, files: int = FILES, clean: bool = False) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, landing: str, output: str, checkpoint: str, *, seconds: float | None = None, logs_mirror: bool = True, files: int = FILES, clean: bool = False, retries_ms: int | None = None) -> StreamingQuery:
     """Landed requests (Parquet, see LANDED) to the raw and normalized sinks; without seconds it ends when all is done.
 
     Every batch has its own folder in each sink, named by the checkpoint's stream and the batch's number: a batch that is run again
     after a failure replaces it, so no row doubles, and a stream that starts from a new checkpoint replaces nothing. Requests whose
     bodies can't be read, or not stored, go to output/rejected (Parquet) one by one, whole as they landed, with their reason; read
     without `error` they can land again. clean: landed files go once they are done.
+    retries_ms: requests that repeat another up to so many milliseconds before are dropped (retries.without_retries).
     """
     configure(spark)
     landed = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).option("cleanSource", "delete" if clean else "off").parquet(landing)
+    if retries_ms is not None:
+        landed = without_retries(landed, retries_ms)
     decoded = payloads.parse(payloads.decode_bodies(landed.withColumn("_raw", F.col("body"))))
 
     def write(batch: DataFrame, number: int) -> None:
