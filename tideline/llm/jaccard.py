@@ -20,7 +20,7 @@ neighbours can link. Texts are fetched once, for nodes with a pair that the bitm
 
 Hot parts. Where a part stands in more than a sixteenth of the documents that a worker has at hand, its nodes are dealt by node
 instead of by part, each with the least of them as anchor; these least ones meet under the part. Joins by part deal such rows,
-and all rows of open groups, by a share of the node too, and repeat the one row per part on the other side.
+and those of large open groups, by a share of the node too, and repeat the one row per part on the other side.
 
 Defined results: null, empty and blank texts have no set and are their own component; repeated rows share a node and rows that share
 a doc_id share its links; rows without a doc_id are documents of their own and link as others do; the smallest doc_id of a component
@@ -44,7 +44,7 @@ SIZE = 5
 #: Bits of the short and the long bitmap.
 BITS, LONG_BITS = 2048, 8192
 #: Nodes of a side of a tile in the block comparison, and pairs compared at a time.
-BLOCK, PAIRS = 2048, 1 << 20
+BLOCK, PAIRS = 1024, 1 << 20
 #: Shares that a hot part's nodes are dealt to, rows of a block comparison that one group of an Arrow batch holds, and the ratio of a large group's size bands.
 SHARES, AT_ONCE, RATIO = 32, 50_000, 1.3
 _U = np.uint64
@@ -315,9 +315,9 @@ def _by_part(rows: DataFrame, facts: DataFrame, hot: Column | None = None) -> Da
 
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, node, label and the group's size (rows) of the groups whose nodes have several labels."""
-    named = groups.select("sig", "node").join(labels.select(F.col("id").alias("node"), F.col("label").alias("_l")), "node", "left").select("sig", "node", F.coalesce("_l", "node").alias("label"))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("sig", "size")
-    return stored(_by_part(named, mixed))
+    named = groups.select("sig", "node", "hot").join(labels.select(F.col("id").alias("node"), F.col("label").alias("_l")), "node", "left").select("sig", "node", "hot", F.coalesce("_l", "node").alias("label"))
+    mixed = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.max("hot").alias("hot")).filter("lo != hi").select("sig", "size", "hot")
+    return stored(_by_part(named, mixed, F.col("hot")).drop("hot"))
 
 
 def _central(rows: DataFrame) -> DataFrame:
