@@ -104,3 +104,22 @@ def test_audit_finds_every_difference_of_multisets(spark):
     got = {(r.p, r.d, r.value): r.n for r in audit.differences(df(left), df(right), "p", "d").collect()}
     assert got == {k: n for k, n in want.items() if n}
     assert not any(r.p == "same" for r in audit.differing(df(left), df(right), "p", "d").collect())
+
+
+def test_top_k_equals_row_number_and_orders_candidates_only(spark):
+    from tideline.operators import topk
+
+    rng = random.Random(9)
+    values = [None, 0.0, -0.0, -1.5, 1.5, 1e300, -1e300, 1e-300, -1e-300, float("inf"), float("-inf"), float("nan"), 3.0, 3.0000001]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([*values, rng.uniform(-50, 50)]), i) for i in range(400)] + [("hot", float(i % 1000), i) for i in range(20_000)] + [("ties", 7.0, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(6)
+    for k in (1, 5, 60):
+        got = topk.top_k(df, k, "v", "id", "g")
+        from pyspark.sql.window import Window
+
+        want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc_nulls_last("v"), "id"))).filter(F.col("rank") <= k)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == ["g", "v", "id", "rank"]
+    bound = {r.g: r._bound for r in topk.bounds(df, 5, "v", "g").collect()}
+    left = df.filter(F.col("g") == "hot").filter(topk.cell(F.col("v")) >= bound["hot"]).count()
+    assert left < 500
+    assert topk.top_k(df.limit(0), 3, "v", "id", "g").count() == 0

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import deltas as cumulative
 from ..operators import histograms
-from ..operators.flatten import flatten_metrics
+from ..operators.flatten import flatten_logs, flatten_metrics
+from ..operators.topk import top_k
 from ..sources import payloads
-from .common import entry, envelopes, nanos, read_table, whole
+from .common import attr, entry, envelopes, nanos, read_table, whole
 
 QUANTILES = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
 
@@ -85,7 +86,20 @@ FROM k
 """
 
 
+def top_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five logs of each service with the greatest value."""
+    leaf = f"named_struct('timeUnixNano', {nanos('ts')}, 'attributes', array({entry('event_id', i='event_id')}, {entry('value', d='value')}))"
+    logs = flatten_logs(payloads.parse(envelopes(read_table(spark, sf_dir, "events"), "logs", "event_type", "event_id", leaf)))
+    return top_k(logs.select("serviceName", whole("event_id").alias("event_id"), attr("value", "double").alias("value")), 5, "value", "event_id", "serviceName")
+
+
+TOP_LOGS_SQL = """
+SELECT * FROM (SELECT event_type AS "serviceName", event_id, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS INT) AS rank FROM events) WHERE rank <= 5
+"""
+
+
 QUERIES = {
+    "top_logs": (top_logs, TOP_LOGS_SQL),
     "merged_histograms": (merged_histograms, MERGED_SQL),
     "merged_quantiles": (merged_quantiles, MERGED_QUANTILES_SQL),
     "cumulative_deltas": (cumulative_deltas, DELTAS_SQL),
