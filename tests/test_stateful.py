@@ -122,7 +122,7 @@ def test_interval_join_equals_brute_force_without_nested_loops(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     # an interval takes two buckets at most, a point one of each width
-    leveled, levels = widths(p, i, "a", "b")
+    leveled, levels = widths(i, "a", "b")
     assert len(levels) <= len(lengths)
     sizes = leveled.select(F.expr("shiftright(b - 1, 3 * _level) - shiftright(a, 3 * _level) + 1").alias("n")).collect()
     assert max(r.n for r in sizes) <= 2

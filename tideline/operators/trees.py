@@ -27,10 +27,9 @@ def _looked_up(active: DataFrame, targets: DataFrame) -> DataFrame:
     hot = active.groupBy("trace", "ptr").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select("trace", "ptr")
     found = targets.withColumnRenamed("id", "ptr")
     hot = stored(found.join(hot, ["trace", "ptr"], "left_semi"))
-    if 0 < (n := hot.count()) <= MOST:
+    if 0 < hot.count() <= MOST:
         rest = active.join(F.broadcast(hot.select("trace", "ptr")), ["trace", "ptr"], "left_anti")
         return active.join(F.broadcast(hot), ["trace", "ptr"]).unionByName(rest.join(found, ["trace", "ptr"], "left"), allowMissingColumns=True)
-    del n
     return active.join(found, ["trace", "ptr"], "left")
 
 
