@@ -3,7 +3,9 @@
 import json
 import time
 
-from tideline.sources import wire
+import pyarrow as pa
+
+from tideline.sources import payloads, wire
 
 
 def spent(run):
@@ -23,3 +25,11 @@ def test_the_codec_takes_a_few_times_what_reading_json_takes():
     assert wire.decode("traces", raw) == request
     reading = spent(lambda: json.loads(text))
     assert spent(lambda: wire.decode("traces", raw)) < 8 * reading and spent(lambda: wire.encode("traces", request)) < 8 * reading
+
+
+def test_bodies_are_worked_on_in_slices_of_few_bytes():
+    b = pa.RecordBatch.from_pydict({"body": pa.array([b"x" * 10_000] * 900 + [None, b""], pa.binary()), "n": pa.array(range(902))})
+    slices = list(payloads.in_slices([b, b.slice(0, 0)], 1 << 20))
+    assert len(slices) > 5 and max(s.nbytes for s in slices) < 2 << 20
+    assert [n for s in slices for n in s.column("n").to_pylist()] == list(range(902))
+
