@@ -4,15 +4,17 @@ A trace's round begins with its first span by received_at and ends `wait` later,
 spans received up to then belong to it, later ones begin another round. A round is decided when the watermark, the latest
 received_at less `delay`, has passed its end, so the order of arrival within `delay` changes nothing.
 
-State is a list of sums per trace and time of receipt, not spans: spans of one request are summed in the worker that decoded them,
-before they are shuffled, so a trace with most of all spans is a few rows. A timer on the event-time clock wakes a trace whose
-round ends, and its state goes with its last round. A span received before the watermark would be left out by Spark: `delay` has
-to be longer than landed files are out of order.
+State is sums per trace and time of receipt, not spans: spans of one request are summed in the worker that decoded them, before
+they are shuffled, so a trace with most of all spans is a few rows. Traces are kept in BUCKETS by a hash of their id, so Python is
+called per bucket and batch, not per trace. A timer on the event-time clock wakes a bucket in which a round ends, and a trace's sums
+go with its last round. A span received before the watermark would be left out by Spark: `delay` has to be longer than landed files
+are out of order.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +27,9 @@ from ..session import on_workers
 
 #: A decided round: microseconds of the first receipt, the first start and the last end.
 ROUND = "traceId string, verdict string, spans long, errors long, received long, start long, end long"
+_NAMES = [c.split()[0] for c in ROUND.split(", ")]
+#: Groups of traces that state is kept by; a bucket's state is read and written whole, so larger streams want more.
+BUCKETS = 512
 _PART = "traceId string, received_at timestamp, roots long, spans long, errors long, start long, end long"
 
 
@@ -60,38 +65,48 @@ def rounds(parts: list[tuple], wait: int, settle: int) -> Iterator[tuple[int, li
         yield end, now
 
 
-def _decided(trace: str, parts: list[tuple]) -> dict:
+def _decided(trace: str, parts: list[tuple]) -> tuple:
     some = lambda i: [p[i] for p in parts if p[i] is not None]
-    return {"traceId": trace, "verdict": "whole" if any(p[1] for p in parts) else "overdue", "spans": sum(p[2] for p in parts), "errors": sum(p[3] for p in parts), "received": parts[0][0], "start": min(some(4), default=None), "end": max(some(5), default=None)}
+    return (trace, "whole" if any(p[1] for p in parts) else "overdue", sum(p[2] for p in parts), sum(p[3] for p in parts), parts[0][0], min(some(4), default=None), max(some(5), default=None))
 
 
-def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_000, delay: str = "1 minute") -> DataFrame:
-    """ROUNDs of a stream of span_parts, each as soon as the watermark has passed its end."""
+def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_000, delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
+    """ROUNDs of a stream of span_parts, each as soon as the watermark has passed its end. A stream keeps its number of buckets for as long as its checkpoint."""
     on_workers(parts.sparkSession)
     wait, settle = wait_ms * 1000, settle_ms * 1000
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(p) for p in json.loads(state.get[0])] if state.exists else []
+        held = defaultdict(list)
+        if state.exists:
+            for trace, some in json.loads(state.get[0]).items():
+                held[trace] = [tuple(p) for p in some]
         if not state.hasTimedOut:
-            # times come as microseconds, without a zone to get lost
-            none = lambda x: None if pd.isna(x) else int(x)
             for f in frames:
-                held += [(int(t), int(r), int(n), int(e), none(a), none(b)) for t, r, n, e, a, b in f[["received", "roots", "spans", "errors", "start", "end"]].itertuples(index=False)]
-        mark, out, rest, due = state.getCurrentWatermarkMs() * 1000, [], [], None
-        for end, of in rounds(held, wait, settle):
-            if end < mark:
-                out.append(_decided(key[0], of))
-            else:
-                rest += of
-                due = end if due is None else due
+                # times come as microseconds, without a zone to get lost
+                columns = [f[c].tolist() for c in ("traceId", "received", "roots", "spans", "errors", "start", "end")]
+                # a null among them makes doubles of start and end, exact up to 2**53 microseconds
+                columns[5:] = [[None if x != x else int(x) for x in c] for c in columns[5:]]
+                for trace, *part in zip(*columns):
+                    held[trace].append(tuple(part))
+        mark, out, rest, due = state.getCurrentWatermarkMs() * 1000, [], {}, None
+        for trace, some in held.items():
+            keep = []
+            for end, of in rounds(some, wait, settle):
+                if end < mark:
+                    out.append(_decided(trace, of))
+                else:
+                    keep += of
+                    due = end if due is None else min(due, end)
+            if keep:
+                rest[trace] = keep
         if rest:
             state.update((json.dumps(rest),))
             state.setTimeoutTimestamp(due // 1000 + 1)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out).astype({"start": "Int64", "end": "Int64"})
+            yield pd.DataFrame(out, columns=_NAMES).astype({"start": "Int64", "end": "Int64"})
 
     few = parts.select(*[c.split()[0] for c in _PART.split(", ")]).mapInArrow(_summed, _PART)
-    marked = few.withWatermark("received_at", delay).withColumn("received", F.unix_micros("received_at"))
-    return marked.groupBy("traceId").applyInPandasWithState(advance, ROUND, "parts string", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = few.withWatermark("received_at", delay).withColumns({"received": F.unix_micros("received_at"), "_bucket": F.pmod(F.xxhash64("traceId"), F.lit(buckets)).cast("int")})
+    return marked.groupBy("_bucket").applyInPandasWithState(advance, ROUND, "parts string", "append", GroupStateTimeout.EventTimeTimeout)
