@@ -1,11 +1,14 @@
 """What grows with the input must stay within a task, a batch or a payload."""
 
+import datetime
 import json
 import time
 
 import pyarrow as pa
 
+from tideline.plans import stateful
 from tideline.sources import payloads, wire
+from tideline.streaming.traces import complete_traces
 
 
 def spent(run):
@@ -33,3 +36,24 @@ def test_bodies_are_worked_on_in_slices_of_few_bytes():
     assert len(slices) > 5 and max(s.nbytes for s in slices) < 2 << 20
     assert [n for s in slices for n in s.column("n").to_pylist()] == list(range(902))
 
+
+
+def test_traces_are_kept_by_buckets(spark, tmp_path):
+    schema = "traceId string, received_at timestamp, roots long, spans long, errors long, start long, end long"
+    at = lambda s: datetime.datetime(2024, 5, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    rows = [(f"t{i}", at(i % 7), int(i % 2), 1, 0, None if i % 5 == 0 else 2**50 + i, 2**51 + i) for i in range(300)]
+    for k, part in enumerate((rows, [("z", at(9_000), 1, 1, 0, 1, 2)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = complete_traces(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60_000, 6_000, "10 minutes", buckets=8)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not k:
+            assert query.recentProgress[0].stateOperators[0]["numRowsTotal"] == 8
+    got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((t, "whole" if root else "overdue", 1, 0, int(a.timestamp()) * 10**6, s, e) for t, a, root, _, _, s, e in rows)
+
+
+def test_landed_slices_are_written_by_every_task_and_payloads_are_bounded(spark, tmp_path):
+    df = spark.range(4000).repartition(4).selectExpr("CAST(id % 2 AS INT) AS slice", "CAST(id AS STRING) AS value")
+    stateful._land(stateful._sliced(df, str(tmp_path / "slices")), str(tmp_path / "in"), 1, "text")
+    assert len(list((tmp_path / "in").glob("part-*"))) > 1 and spark.read.text(str(tmp_path / "in")).count() == 2000
