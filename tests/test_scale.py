@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from tideline.plans import stateful
 from tideline.sources import payloads, wire
+from tideline.sources.sinks import write_batch
 from tideline.streaming.traces import complete_traces
 
 
@@ -57,3 +58,19 @@ def test_landed_slices_are_written_by_every_task_and_payloads_are_bounded(spark,
     df = spark.range(4000).repartition(4).selectExpr("CAST(id % 2 AS INT) AS slice", "CAST(id AS STRING) AS value")
     stateful._land(stateful._sliced(df, str(tmp_path / "slices")), str(tmp_path / "in"), 1, "text")
     assert len(list((tmp_path / "in").glob("part-*"))) > 1 and spark.read.text(str(tmp_path / "in")).count() == 2000
+
+
+def test_sinks_may_be_compressed_and_keep_nothing_beside_them(spark, tmp_path):
+    log = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"severityText": "x" * 1000}] * 50}]}]}
+    df = payloads.parse(spark.createDataFrame([("logs", datetime.datetime(2024, 5, 1), json.dumps(log))] * 4, "signal string, received_at timestamp, body string"))
+    persisted = []
+    held, frame = type(df).persist, type(df)
+    frame.persist = lambda self, *a: persisted.append(1) or held(self, *a)
+    try:
+        write_batch(df, str(tmp_path), True, 0, held=True, compression="gzip")
+    finally:
+        frame.persist = held
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert not persisted and files and all(f.name.endswith(".gz") for f in files) and sum(f.stat().st_size for f in files) < 50_000
+    lines = lambda sink: sorted(r.value for r in spark.read.text(str(tmp_path / sink)).collect())
+    assert lines("services") == lines("logs-by-service") and len(lines("services")) == 200 and len(lines("raw")) == 4
