@@ -142,3 +142,16 @@ def test_callers_columns_may_have_any_name(spark):
         assert row["resource_in"] == 0 and "resource" in plain.columns
         again = rows.selectExpr(*[f"to_json(struct(`{c}`)) AS `{c}`" for c in plain.columns]).collect()[0].asDict()
         assert again == bare
+
+
+def test_payloads_are_read_in_one_pass_and_odd_parts_keep_their_place(spark):
+    span = {"name": "n", "attributes": 7, "events": [5, {"name": "e", "attributes": [5, {"key": 5, "value": 1}, *kv(a={"intValue": 1})]}], "links": {}, "status": []}
+    body = {"resourceSpans": [5, {"resource": 5, "scopeSpans": [None, {"scope": 5, "spans": [span, [], None]}, {"spans": 3}]}, {"resource": {"attributes": {}}, "scopeSpans": 1}]}
+    df = payloads.parse(spark.createDataFrame([(json.dumps(body),)], "body string"))
+    out = FLATTEN["traces"](df)
+    # level by level, every VARIANT would be written anew
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "StructField(scopeSpans,ArrayType(StructType(" in plan
+    got = [tuple(r) for r in out.orderBy(*PLACES[:3]).select(*PLACES[:3], F.size("links"), F.col("status").isNull(), F.to_json("resource"), F.to_json("attributes"), F.to_json("events")).collect()]
+    assert [r[:-1] for r in got] == [(1, 1, i, 0, True, "{}", "{}") for i in range(3)]
+    assert json.loads(got[0][-1]) == [{"attributes": {}}, {"name": "e", "attributes": {"a": 1}}] and [json.loads(r[-1]) for r in got[1:]] == [[], []]
