@@ -186,3 +186,21 @@ def test_the_ingest_stream_drops_repeats_if_asked(spark, tmp_path):
         out = str(tmp_path / name)
         ingest_stream(spark, str(tmp_path / "in"), out, f"{out}-state", files=1, retries_ms=retries).awaitTermination()
         assert spark.read.text(f"{out}/services").count() == n and spark.read.schema(REJECTED).parquet(f"{out}/rejected").count() == bad
+
+
+def test_points_of_an_as_of_join_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.operators.asof import as_of
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    points = spark.range(50).select(F.when(F.col("id") % 10 > 0, "k").alias("key"), "id", F.udf(count, "long")("id").alias("at"))
+    values = spark.createDataFrame([("k", 7, 1.0), ("k", 30, 2.0)], "key string, at long, value double")
+    got = {r["id"]: r["value"] for r in as_of(points, values, "key", "at").collect()}
+    assert got == {i: None if i % 10 == 0 or i < 7 else 1.0 if i < 30 else 2.0 for i in range(50)}
+    assert seen.value == 50

@@ -25,7 +25,8 @@ def as_of(points: DataFrame, values: DataFrame, key: str, at: str) -> DataFrame:
     value, given = F.struct(F.col(at).alias("_at"), *shown), F.struct(*points.columns)
     # copies of a time leave one value before they are dealt
     latest = values.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(value).alias("_value"))
-    left = points.select(F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"), given.alias("_point"))
+    # written once: dealing by ranges reads its input twice, and untimed points once more
+    left = stored(points.select(F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"), given.alias("_point")))
     timed = left.filter("_key IS NOT NULL AND _t IS NOT NULL")
     right = latest.select(F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_salt"), F.col("_value"))
     order = ("_key", "_t", "_side", "_salt")
