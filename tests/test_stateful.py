@@ -204,3 +204,32 @@ def test_points_of_an_as_of_join_are_computed_once(spark):
     got = {r["id"]: r["value"] for r in as_of(points, values, "key", "at").collect()}
     assert got == {i: None if i % 10 == 0 or i < 7 else 1.0 if i < 30 else 2.0 for i in range(50)}
     assert seen.value == 50
+
+
+def test_pairs_of_one_key_and_of_long_intervals_are_made_by_many_tasks(spark):
+    points = spark.range(200_000).selectExpr("'k' AS k", "id * 7 AS t", "id AS p")
+    intervals = spark.range(40).selectExpr("'k' AS k", "id AS a", "id + 31536000000000 AS b", "id AS i")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = covering(points, intervals, "k", "t", "a", "b")
+        made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(made) == sum(200_000 - -(-i // 7) for i in range(40)) and len(made) == 4 and max(made) < sum(made) // 2
+
+
+def test_a_block_that_makes_too_many_pairs_is_copied_and_no_pair_is_lost_or_doubled(spark, monkeypatch):
+    from tideline.operators import intervals as module
+
+    for name, value in (("BLOCK", 8), ("SHARE", 100), ("LEAST", 50), ("MOST", 400)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(5)
+    # many points of one time, and ends on it
+    points = [(rng.choice("ab"), rng.choice([50, 50, rng.randint(0, 99)]), i, rng.choice([None, {"m": str(i)}])) for i in range(120)]
+    intervals = [("a", s := rng.choice([0, 49, 50, 51, rng.randint(0, 99)]), s + rng.choice([1, 2, 50, 10**15]), None if i % 7 == 0 else f"i{i}") for i in range(90)]
+    p, i = spark.createDataFrame(points, "k string, t int, p int, m map<string, string>"), spark.createDataFrame(intervals, "k string, a long, b long, i string")
+    found = covering(p, i, "k", "t", "a", "b")
+    assert found.dtypes == [("k", "string"), ("t", "int"), ("p", "int"), ("m", "map<string,string>"), ("a", "bigint"), ("b", "bigint"), ("i", "string")]
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    want = sorted(repr((k, t, x, m, a, b, y)) for k, t, x, m in points for j, a, b, y in intervals if k == j and a <= t < b)
+    assert sorted(repr(tuple(r)[:-1]) for r in rows) == want and len({r.task for r in rows}) > 4
