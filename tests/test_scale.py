@@ -38,6 +38,20 @@ def test_bodies_are_worked_on_in_slices_of_few_bytes():
     assert [n for s in slices for n in s.column("n").to_pylist()] == list(range(902))
 
 
+def test_wide_bodies_are_read_a_few_at_a_time(spark, tmp_path):
+    spark.range(1000).selectExpr("'logs' AS signal", "concat('{\"n\":', id, '}') AS body").coalesce(1).write.parquet(str(tmp_path / "landed"))
+    parsed = payloads.parse(spark.read.parquet(str(tmp_path / "landed")))
+    assert parsed.selectExpr("to_json(payload) AS line").distinct().count() == 1000
+    lines = parsed.selectExpr("to_json(payload) AS line")
+    assert len(lines.collect()) == 1000
+
+    def batches(plan):
+        children = plan.children()
+        own = plan.metrics().get("numInputBatches")
+        return (own.get().value() if own.isDefined() else 0) + sum(batches(children.apply(i)) for i in range(children.size()))
+
+    assert batches(lines._jdf.queryExecution().executedPlan()) >= 10
+
 
 def test_traces_are_kept_by_buckets(spark, tmp_path):
     schema = "traceId string, received_at timestamp, roots long, spans long, errors long, start long, end long"
