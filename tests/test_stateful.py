@@ -233,3 +233,37 @@ def test_a_block_that_makes_too_many_pairs_is_copied_and_no_pair_is_lost_or_doub
     rows = found.withColumn("task", F.spark_partition_id()).collect()
     want = sorted(repr((k, t, x, m, a, b, y)) for k, t, x, m in points for j, a, b, y in intervals if k == j and a <= t < b)
     assert sorted(repr(tuple(r)[:-1]) for r in rows) == want and len({r.task for r in rows}) > 4
+
+
+def test_trees_of_small_traces_take_one_pass_and_circles_end_the_rounds_of_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(trees, "HOT", 10)
+    rng = random.Random(6)
+    spans = [(f"t{t:02}", f"{i:03}", rng.choice([None, "", "gone", *[f"{rng.randint(0, n - 1):03}"] * 12])) for t in range(40) for n in [rng.choice([1, 2, 5, 60])] for i in range(n)]
+    spans += [("ring", f"{i:03}", f"{(i + 1) % 300:03}") for i in range(300)] + [("line", f"{i:03}", f"{i + 1:03}" if i < 9 else None) for i in range(10)]
+
+    def walked(trace, i, up):
+        depth, seen = 0, {i}
+        while up.get((trace, i)) and (trace, up[trace, i]) in up:
+            depth, i = depth + 1, up[trace, i]
+            if i in seen:
+                return None, None, "cycle"
+            seen.add(i)
+        return depth, i, "orphan" if up[trace, i] else "tree"
+
+    up = {(t, i): p for t, i, p in spans}
+    want = sorted((repr(k), walked(*k, up)) for k in up)
+    df = spark.createDataFrame([(*s, k, k + 5) for k, s in enumerate(spans)], "trace string, id string, parent string, start long, end long")
+    writes = []
+    stored = trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df: writes.append(1) or stored(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for local, most in ((1000, 2), (20, 20), (0, 20)):
+            writes.clear()
+            found = trees.resolve(df, local)
+            assert found.columns == ["trace", "id", "parent", "start", "end", "depth", "top", "kind"]
+            rows = found.collect()
+            assert sorted((repr((r.trace, r.id)), (r.depth, r.top, r.kind)) for r in rows) == want and {(r.trace, r.id, r.parent, r.end - r.start) for r in rows} == {(t, i, p or None, 5) for t, i, p in spans}
+            assert len(writes) <= most
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
