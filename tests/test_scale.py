@@ -9,7 +9,7 @@ import pyarrow as pa
 from tideline.plans import stateful
 from tideline.sources import payloads, wire
 from tideline.sources.sinks import write_batch
-from tideline.streaming.traces import complete_traces
+from tideline.streaming.traces import complete_traces, packed, unpacked
 
 
 def spent(run):
@@ -68,6 +68,15 @@ def test_traces_are_kept_by_buckets(spark, tmp_path):
     assert got == sorted((t, "whole" if root else "overdue", 1, 0, int(a.timestamp()) * 10**6, s, e) for t, a, root, _, _, s, e in rows)
 
 
+def test_state_of_traces_is_small_and_comes_back_as_it_was():
+    day = 1_700_000_000_000_000
+    held = {f"{i:032x}": [(day + i % 997 * 10**6, j % 2, 1, 0, None if j else day - i, day + i + j) for j in range(4)] for i in range(2000)}
+    back = {}
+    for trace, part in unpacked(packed(held)):
+        back.setdefault(trace, []).append(part)
+    assert back == held and len(packed(held)) < len(json.dumps(held)) / 5
+
+
 def test_landed_slices_are_written_by_every_task_and_payloads_are_bounded(spark, tmp_path):
     df = spark.range(4000).repartition(4).selectExpr("CAST(id % 2 AS INT) AS slice", "CAST(id AS STRING) AS value")
     stateful._land(stateful._sliced(df, str(tmp_path / "slices")), str(tmp_path / "in"), 1, "text")

@@ -6,14 +6,14 @@ received_at less `delay`, has passed its end, so the order of arrival within `de
 
 State is sums per trace and time of receipt, not spans: spans of one request are summed in the worker that decoded them, before
 they are shuffled, so a trace with most of all spans is a few rows. Traces are kept in BUCKETS by a hash of their id, so Python is
-called per bucket and batch, not per trace. A timer on the event-time clock wakes a bucket in which a round ends, and a trace's sums
+called per bucket and batch, not per trace; a bucket's sums are stored as compressed columns, since Spark's usual store keeps two
+versions of all state in the executors' memory. A timer on the event-time clock wakes a bucket in which a round ends, and a trace's sums
 go with its last round. A span received before the watermark would be left out by Spark: `delay` has to be longer than landed files
 are out of order.
 """
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -70,6 +70,25 @@ def _decided(trace: str, parts: list[tuple]) -> tuple:
     return (trace, "whole" if any(p[1] for p in parts) else "overdue", sum(p[2] for p in parts), sum(p[3] for p in parts), parts[0][0], min(some(4), default=None), max(some(5), default=None))
 
 
+_STATE = pa.schema([("traceId", pa.string()), *[(c, pa.int64()) for c in ("received", "roots", "spans", "errors", "start", "end")]])
+
+
+def packed(held: dict[str, list[tuple]]) -> bytes:
+    """Sums of traces (received, roots, spans, errors, start, end) as they are stored; in order of the traces, whose ids then share what they begin with."""
+    rows = [(trace, *p) for trace in sorted(held) for p in held[trace]]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _STATE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _STATE)], _STATE))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> Iterator[tuple[str, tuple]]:
+    """Each trace's sums, one by one, as they went into packed."""
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(raw))).read_all()
+    for trace, *p in zip(*(c.to_pylist() for c in table.columns)):
+        yield trace, tuple(p)
+
+
 def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_000, delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """ROUNDs of a stream of span_parts, each as soon as the watermark has passed its end. A stream keeps its number of buckets for as long as its checkpoint."""
     on_workers(parts.sparkSession)
@@ -78,8 +97,8 @@ def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = defaultdict(list)
         if state.exists:
-            for trace, some in json.loads(state.get[0]).items():
-                held[trace] = [tuple(p) for p in some]
+            for trace, part in unpacked(state.get[0]):
+                held[trace].append(part)
         if not state.hasTimedOut:
             for f in frames:
                 # times come as microseconds, without a zone to get lost
@@ -100,7 +119,7 @@ def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_
             if keep:
                 rest[trace] = keep
         if rest:
-            state.update((json.dumps(rest),))
+            state.update((packed(rest),))
             state.setTimeoutTimestamp(due // 1000 + 1)
         elif state.exists:
             state.remove()
@@ -109,4 +128,4 @@ def complete_traces(parts: DataFrame, wait_ms: int = 60_000, settle_ms: int = 5_
 
     few = parts.select(*[c.split()[0] for c in _PART.split(", ")]).mapInArrow(_summed, _PART)
     marked = few.withWatermark("received_at", delay).withColumns({"received": F.unix_micros("received_at"), "_bucket": F.pmod(F.xxhash64("traceId"), F.lit(buckets)).cast("int")})
-    return marked.groupBy("_bucket").applyInPandasWithState(advance, ROUND, "parts string", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("_bucket").applyInPandasWithState(advance, ROUND, "parts binary", "append", GroupStateTimeout.EventTimeTimeout)
