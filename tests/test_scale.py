@@ -6,7 +6,7 @@ import time
 
 import pyarrow as pa
 
-from tideline.plans import stateful
+from tideline.plans import catalogue, stateful
 from tideline.sources import payloads, wire
 from tideline.sources.sinks import write_batch
 from tideline.streaming.traces import complete_traces, packed, unpacked
@@ -97,3 +97,18 @@ def test_sinks_may_be_compressed_and_keep_nothing_beside_them(spark, tmp_path):
     assert not persisted and files and all(f.name.endswith(".gz") for f in files) and sum(f.stat().st_size for f in files) < 50_000
     lines = lambda sink: sorted(r.value for r in spark.read.text(str(tmp_path / sink)).collect())
     assert lines("services") == lines("logs-by-service") and len(lines("services")) == 200 and len(lines("raw")) == 4
+
+
+def test_bodies_made_of_short_texts_leave_python_in_slices(spark, tmp_path):
+    spark.range(6000).selectExpr("id AS event_id", "TIMESTAMP '2024-05-01' AS ts", "id AS user_id", "'view' AS event_type", "1.5D AS value", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    landed = catalogue._landed_logs(spark, str(tmp_path))
+    assert landed.filter("length(body) > 50000").count() >= 12 and landed.filter("contentType = 'application/x-protobuf'").count() > 0
+    assert "ArrowEvalPython" not in landed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_odd_numbers_are_finished_fast_and_alike():
+    attribute = {"key": "k", "value": {"arrayValue": {"values": [{"arrayValue": {"values": [{"intValue": "1"}, {"doubleValue": 1.5}]}}] * 3}}}
+    plain = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": {"doubleValue": 0.1}, "attributes": [attribute] * 5, "n\u00e9": "\u00e9\ud83d"}] * 200}]}]})
+    slow = lambda: payloads._text(payloads._finished(json.loads(plain, parse_float=payloads._Float)))
+    assert payloads._finished_text(plain) == slow() and '["1",1.50]' in payloads._finished_text(plain.replace("1.5", "1.50"))
+    assert spent(lambda: payloads._finished_text(plain)) < 0.8 * spent(slow)
