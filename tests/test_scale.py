@@ -112,3 +112,10 @@ def test_texts_without_odd_numbers_are_finished_fast_and_alike():
     slow = lambda: payloads._text(payloads._finished(json.loads(plain, parse_float=payloads._Float)))
     assert payloads._finished_text(plain) == slow() and '["1",1.50]' in payloads._finished_text(plain.replace("1.5", "1.50"))
     assert spent(lambda: payloads._finished_text(plain)) < 0.8 * spent(slow)
+
+
+def test_messages_of_one_field_are_written_without_a_walk_over_all_fields():
+    fields = wire._writers("AnyValue", True)
+    for value in ({"stringValue": "x" * 200}, {"boolValue": False}, {"doubleValue": 1.5}, {"arrayValue": {"values": []}}, {"other": 1}, {}):
+        assert wire._joined(fields, value) == wire._joined(fields, value | {"no": 1, "field": 2})
+    assert wire.encode("Buckets", {"bucketCounts": ["1", "2"]}, True) == b"\x12\x02\x01\x02" and wire.encode("Buckets", {"bucketCounts": ["1", "2"]}) == b"\x10\x01\x10\x02"
